@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "sentencepiece_codec")
+MODULES = ("chat_format", "language_id", "sentencepiece_codec", "simhash")
 
 
 def queries() -> dict:
