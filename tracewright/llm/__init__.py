@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("chat_format", "language_id", "sentencepiece_codec", "simhash")
+MODULES = ("chat_format", "language_id", "mixing", "sentencepiece_codec", "sharding", "simhash")
 
 
 def queries() -> dict:
