@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +16,22 @@ PROFILE_GRAMS, LEARNT_DOCUMENTS, UNDETERMINED = 300, 4000, "und"
 _EDGE = 1
 
 
-@cache
-def _letters() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+class _Letters:
+    """Which code points are letters, found once a worker."""
+
+    table: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, points: np.ndarray) -> np.ndarray:
+        if cls.table is None:
+            cls.table = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+        return cls.table[points]
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Keys and counts of the 1- to 3-grams of a lower-cased text's letter runs, with an edge mark round each run."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    letter = np.concatenate([[False], _letters()[points], [False]])
+    letter = np.concatenate([[False], _Letters.of(points), [False]])
     marked = np.where(letter, np.concatenate([[0], points, [0]]), _EDGE).astype(np.uint64)
     c = marked[letter | np.concatenate([[True], letter[:-1]])]
     two = c[:-1] << np.uint64(21) | c[1:]
