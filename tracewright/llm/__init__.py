@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("chat_format", "language_id", "link_trust", "mixing", "sentencepiece_codec", "sharding", "simhash", "spotsigs", "substrings")
+MODULES = ("chat_format", "divergence", "language_id", "link_trust", "mixing", "sentencepiece_codec", "sharding", "simhash", "spotsigs", "substrings")
 
 
 def queries() -> dict:
