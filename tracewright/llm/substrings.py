@@ -13,6 +13,8 @@ from .common import gram_hashes, pieces, table, text_buffer, words
 
 #: Words of the shortest repeat, and of the grams that anchors are chosen from.
 LENGTH, GRAM = 13, 5
+#: Bits of a gram's hash that are compared: one that only seems shared costs work, not results.
+GRAM_BITS = 48
 _KEY = "known boolean, route long, doc long, place long"
 
 
@@ -74,7 +76,7 @@ def _seeds(length: int, gram: int):
             _, at, keys = anchor_places(hashes, first, length, gram)
             at, own = np.unique(at, return_index=True)
             row = np.searchsorted(first, at, side="right") - 1
-            hashed.append(keys[own])
+            hashed.append(keys[own] >> np.uint64(64 - GRAM_BITS))
             docs.append(ids[row].astype(np.int64))
             places.append(at - first[row])
         keys, doc, place = _gather(hashed, np.uint64), _gather(docs, np.int64), _gather(places, np.int64)
@@ -125,8 +127,10 @@ def _windows(length: int, gram: int):
     return run
 
 
-def covered_words(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, body (the text), mark, covered: starts (with the row's 16-bit mark above bit 32) of the windows that an earlier
+def covered_words(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """id, body (the text), mark, rest (the columns `keep`), covered: starts (with the row's 16-bit mark above bit 32) of the windows that an earlier
     document has, null where there are none.
 
     Seed: each window of `length` words has one anchor, its gram with the least hash (winnowing: any shared window
@@ -141,30 +145,36 @@ def covered_words(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
     """
     text = F.col(text_col).cast("string")
     mark = F.xxhash64("body").bitwiseAND(F.lit(0xFFFF)).alias("mark")
-    every = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("body"))
+    rest = F.struct(*keep) if keep else F.lit(0)
+    every = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("body"), rest.alias("rest"))
     # Both joins below take these same rows, so the texts are shuffled once and the exchange is reused.
     rows = every.filter("id is not null")
-    seeds = rows.mapInArrow(_seeds(length, gram), _KEY)
+    seeds = rows.select("id", "body").mapInArrow(_seeds(length, gram), _KEY)
     gram_rows = Window.partitionBy("known", "route")
     shared = F.col("known") | (F.min("place").over(gram_rows) < 0) | (F.min("doc").over(gram_rows) < F.max("doc").over(gram_rows))
     seeds = seeds.withColumn("shared", shared).filter("shared and place >= 0")
     seeds = seeds.groupBy("doc").agg(F.collect_list("place").alias("seeds"))
-    found = rows.join(seeds, rows.id == seeds.doc).select("id", "body", mark, "seeds").mapInArrow(_windows(length, gram), _KEY)
+    found = rows.join(seeds, rows.id == seeds.doc).select("id", "body", mark, "seeds", "rest").mapInArrow(_windows(length, gram), _KEY)
     earlier = F.col("known") | (F.col("doc") > F.min("doc").over(gram_rows))
     gone = found.withColumn("earlier", earlier).filter("earlier").groupBy("doc").agg(F.collect_list("place").alias("covered"))
-    covered = rows.join(gone, rows.id == gone.doc, "left").select("id", "body", mark, "covered")
-    return covered.unionByName(every.filter("id is null").select("id", "body", mark, F.lit(None).cast("array<long>").alias("covered")))
+    covered = rows.join(gone, rows.id == gone.doc, "left").select("id", "body", mark, "rest", "covered")
+    none = F.lit(None).cast("array<long>").alias("covered")
+    return covered.unionByName(every.filter("id is null").select("id", "body", mark, "rest", none))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, n_removed, kept_text: the words not covered by a window of covered_words(), joined by a space."""
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
+    keep: tuple[str, ...] = (), as_is: bool = False,
+) -> DataFrame:
+    """id, n_words, n_removed, kept_text, rest (a struct of the columns `keep`): the words not covered by a window of
+    covered_words(), joined by a space; with `as_is`, a text that loses nothing stays as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "body"):
-            raw, _ = text_buffer(batch.column(1))
+            raw, offsets = text_buffer(batch.column(1))
             _, spans, first = words(batch.column(1))
             rows, marks = batch.num_rows, batch.column(2).to_numpy(zero_copy_only=False)
-            covered = batch.column(3)
+            covered = batch.column(4)
             lengths = np.where(covered.is_valid().to_numpy(zero_copy_only=False), np.diff(covered.offsets.to_numpy()), 0)
             values, row = covered.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(rows), lengths)
             own = values >> 32 == marks[row]
@@ -177,13 +187,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
             for i in range(rows):
                 part = slice(first[i], first[i + 1])
                 kept = spans[part][keep[part]]
-                texts.append(b" ".join([buffer[a:b] for a, b in kept.tolist()]))
                 removed.append(int(first[i + 1] - first[i] - len(kept)))
-            columns = [batch.column(0), pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_removed", "kept_text"])
-
-    found = covered_words(docs, length, gram, id_col, text_col)
-    return found.mapInArrow(run, "id long, n_words long, n_removed long, kept_text string")
+                if as_is and not removed[-1]:
+                    texts.append(buffer[offsets[i] : offsets[i + 1]])
+                else:
+                    texts.append(b" ".join([buffer[a:b] for a, b in kept.tolist()]))
+            columns = [batch.column(0), pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_removed", "kept_text", "rest"])
+
+    found = covered_words(docs, length, gram, id_col, text_col, keep)
+    return found.mapInArrow(run, f"id long, n_words long, n_removed long, kept_text string, rest {found.schema['rest'].dataType.simpleString()}")
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
