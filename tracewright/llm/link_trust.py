@@ -11,6 +11,8 @@ from .common import cut_lineage, table
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Percent of a score that walks on, number of steps, whole units that all seeds of a walk share.
 DAMPING_PERCENT, STEPS, UNITS = 85, 8, 10**15
+#: A host is blocked if its share of all distrust is over this percentage of its share of all pages.
+BLOCK_PERCENT = 150
 _LINK = r"(?i)(?:href|src)\s*=\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]*)"
 _SITE = r"[^.]+[.][^.]+$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,13 +38,13 @@ def rule_of(host: F.Column, path: F.Column, rules=RULES) -> tuple[F.Column, F.Co
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """src, dst, n: links from hosts to other hosts in the pages' html, counted once a page, and one link each way
-    between a host and its site (its last two labels), which have one owner."""
+    """src, dst, n: links from hosts to other hosts in the pages' html, counted once a page, and for each page
+    one link each way between its host and that host's site (its last two labels), which have one owner."""
     found = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(_LINK), 1), host_of)))
     links = pages.select(F.col("host").alias("src"), found.alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("n"))
-    owned = pages.select(F.col("host").alias("src"), F.regexp_extract("host", _SITE, 0).alias("dst")).distinct()
-    both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    owned = owned.select(F.inline(both)).withColumn("n", F.lit(1).cast("long"))
+    owned = pages.groupBy("host").agg(F.count("*").alias("n")).withColumn("site", F.regexp_extract("host", _SITE, 0))
+    both = F.array(*(F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), "n") for a, b in (("host", "site"), ("site", "host"))))
+    owned = owned.select(F.inline(both))
     every = links.unionByName(owned).filter("src <> '' and dst <> '' and src <> dst")
     return every.groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
@@ -77,8 +79,8 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
 
     Pages that a rule allows or blocks are seeds. Trust walks from the allowed pages' hosts along links between hosts;
     distrust walks from the blocked pages' hosts against them, since who links to the blocked is suspect. A host is
-    blocked if its distrust exceeds both its trust and the score that its share of all pages would be; others are
-    allowed. Rules win over that.
+    blocked if its distrust exceeds both its trust and BLOCK_PERCENT of its share of all pages; others are allowed.
+    Rules win over that.
 
     Null urls or urls without :// have an empty host and path and are allowed. Null html has no links. Links are
     counted a pair of hosts before any step; no step lists more than the links. Repeated rows count again as seeds and
@@ -91,7 +93,7 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     judged = cut_lineage(rows.drop("html"))
     hosts = cut_lineage(judged.groupBy("host", "says").agg(F.count("*").alias("n")))
     totals = {r.says: r.n for r in hosts.filter("host <> ''").groupBy("says").agg(F.sum("n").alias("n")).collect()}
-    fair = UNITS // max(1, sum(totals.values()))
+    fair = UNITS // max(1, sum(totals.values())) * BLOCK_PERCENT // 100
     totals.pop(None, None)
     if totals:
         scores = propagate(cut_lineage(host_links(rows)), hosts.filter("host <> '' and says is not null"), totals)
@@ -143,10 +145,10 @@ WITH judged AS (
         regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^"''\s>]*)', 1),
         lambda u: translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}')))) AS dst FROM ruled
 ), owned AS (
-    SELECT DISTINCT host, regexp_extract(host, '[^.]+[.][^.]+$') AS site FROM ruled
+    SELECT host, regexp_extract(host, '[^.]+[.][^.]+$') AS site, count(*) AS n FROM ruled GROUP BY host
 ), links AS (
     SELECT src, dst, CAST(sum(n) AS BIGINT) AS n FROM (
-        SELECT src, dst, 1 AS n FROM found UNION ALL SELECT host, site, 1 FROM owned UNION ALL SELECT site, host, 1 FROM owned)
+        SELECT src, dst, 1 AS n FROM found UNION ALL SELECT host, site, n FROM owned UNION ALL SELECT site, host, n FROM owned)
     WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
 ), ways AS (
     SELECT *, CAST(sum(n) OVER (PARTITION BY says, src) AS BIGINT) AS outgoing FROM (
@@ -157,7 +159,7 @@ WITH judged AS (
 ),
 {_steps_sql()},
 sums AS (
-    SELECT host, count(*) AS pages, (SELECT {UNITS} // greatest(1, count(*)) FROM ruled WHERE host <> '') AS fair FROM ruled GROUP BY host
+    SELECT host, count(*) AS pages, (SELECT {UNITS} // greatest(1, count(*)) * {BLOCK_PERCENT} // 100 FROM ruled WHERE host <> '') AS fair FROM ruled GROUP BY host
 )
 SELECT page_id, r.host, path, rule, coalesce(t.score, 0) AS trust, coalesce(d.score, 0) AS distrust,
     coalesce(r.says, CASE WHEN coalesce(d.score, 0) > coalesce(t.score, 0) AND coalesce(d.score, 0) > pages * fair AND r.host <> ''
