@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("sequences",)
 
 
 def _gather(name: str) -> dict:
