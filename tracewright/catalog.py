@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("measures", "sequences")
+MODULES: tuple[str, ...] = ("findings", "measures", "sequences")
 
 
 def _gather(name: str) -> dict:
