@@ -26,7 +26,7 @@ def charge(rows: DataFrame, rates: dict[str, float]) -> DataFrame:
 
 def money(rows: DataFrame, *keys: str) -> DataFrame:
     """Costs added up by key; the status is the worst of them, the amount null if nothing is priced."""
-    grouped = rows.groupBy(*keys).agg(F.round(F.sum("cost"), 6).alias("amount"), F.max(status_rank(F.col("status"))).alias("worst"), F.count("*").alias("n"))
+    grouped = rows.groupBy(*keys).agg(F.round(F.sum("cost"), 8).alias("amount"), F.max(status_rank(F.col("status"))).alias("worst"), F.count("*").alias("n"))
     return grouped.withColumn("status", status_name(F.col("worst"))).drop("worst")
 
 
@@ -68,7 +68,7 @@ def monthly(rows: DataFrame, zone: str = "UTC") -> DataFrame:
     found = cells.agg(
         F.count("*").alias("responses"),
         F.countDistinct("thread_id").alias("threads"),
-        F.round(F.sum("cost"), 4).alias("cost"),
+        F.round(F.sum("cost"), 8).alias("cost"),
         F.max(status_rank(F.col("status"))).alias("worst"),
         F.round(F.sum("cache_read") / F.nullif(F.sum(F.col("cache_read") + F.col("input")), F.lit(0)), 6).alias("cache_share"),
     )
@@ -80,7 +80,7 @@ def spend_overview(rows: DataFrame) -> DataFrame:
     sets = [[], [F.col("model")], [F.col("effort")], [F.col("model"), F.col("effort")]]
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
     return rows.groupingSets(sets, "model", "effort").agg(
-        F.grouping_id().cast("long").alias("level"), F.count("*").alias("responses"), *map(count, STATUS), F.round(F.sum("cost"), 4).alias("cost"),
+        F.grouping_id().cast("long").alias("level"), F.count("*").alias("responses"), *map(count, STATUS), F.round(F.sum("cost"), 8).alias("cost"),
         F.count_if(F.col("response_id").isNull()).alias("anonymous"),
     )
 
