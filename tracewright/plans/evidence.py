@@ -175,7 +175,7 @@ ORACLE_SQL = {
     "redact_text": f"SELECT doc_id, md5({_redact_sql('text')}) AS digest, length({_redact_sql('text')}) AS chars FROM {_DOCS}",
     "secret_scan": f"""SELECT * FROM (SELECT doc_id, {_hits_sql(tx.SECRET)} AS secrets, {_hits_sql(tx.EMAIL)} AS emails, {_hits_sql(tx.IPV4)} AS addresses,
         {_hits_sql(tx.PHONE)} AS phones FROM {_DOCS}) WHERE secrets + emails + addresses + phones > 0""",
-    "lexicon_hits": f"SELECT lang, source, count(*) AS n FROM {_DOCS} WHERE regexp_matches(text, '(?i)(?:^|[^\\p{L}\\p{N}_])(?:was|des|und|que)(?:[^\\p{L}\\p{N}_]|$)') GROUP BY lang, source",
+    "lexicon_hits": f"SELECT lang, source, count(*) AS n FROM {_DOCS} WHERE regexp_matches(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:was|des|und|que)(?:[^\\p{{L}}\\p{{N}}_]|$)') GROUP BY lang, source",
     "deliverables": """SELECT page_id, count(*) AS items, max(length(item)) AS longest FROM (SELECT DISTINCT page_id, unnest(list_concat(
         regexp_extract_all(html, 'https?://[^\\s"''<>)]+'), regexp_extract_all(html, '(?:[A-Za-z0-9_-]+/)+[A-Za-z0-9_.-]+'), regexp_extract_all(html, '`[^`\\n]+`'))) AS item FROM pages)
         GROUP BY page_id""",
