@@ -1,0 +1,62 @@
+"""JSONL session logs as text with provenance: scan, format detection, discovery."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: Suffixes of folders that an orchestrator has set aside.
+SET_ASIDE = r"\.(?:quarantine|interrupted|crashed[^/]*)(?:/|$)"
+
+
+def files(spark: SparkSession, path: str, suffix: str = ".jsonl") -> DataFrame:
+    """Path, sha256 and size of every log below a path, without folders that were set aside."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(path)
+    return found.filter(~F.col("path").rlike(SET_ASIDE)).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), "content")
+
+
+def distinct_files(found: DataFrame) -> DataFrame:
+    """S3: one file of each content, the others as its aliases; a file that another begins with is its older snapshot.
+
+    Files meet by the hash of their first line, so no two unrelated files are compared."""
+    by = Window.partitionBy("sha256").orderBy("path")
+    first = found.withColumns({"place": F.row_number().over(by), "canonical": F.first("path").over(by)})
+    one = first.filter("place = 1").withColumn("head", F.sha2(F.split_part(F.decode("content", "utf-8"), F.lit("\n"), F.lit(1)), 256))
+    a, b = one.alias("a"), one.alias("b")
+    longer = (F.col("a.head") == F.col("b.head")) & (F.col("a.bytes") < F.col("b.bytes")) & F.startswith(F.col("b.content"), F.col("a.content"))
+    snapshots = a.join(b, longer).groupBy(F.col("a.path").alias("old")).agg(F.max_by("b.path", "b.bytes").alias("newer"))
+    return first.join(snapshots, first.canonical == snapshots.old, "left").select(
+        "path", "sha256", "bytes", F.coalesce("newer", "canonical").alias("canonical"),
+        F.when(F.col("newer").isNotNull(), "snapshot").when(F.col("place") > 1, "alias").otherwise("kept").alias("role"),
+    )
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """Path, line (from 1), record (variant) and bad for every line of the logs below a path.
+
+    A file's lines stay in order, for it is read whole; a line that is not a JSON object is bad and has no record."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
+    lines = text.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("n", "raw")).filter("trim(raw) <> ''")
+    lines = lines.filter(~F.col("path").rlike(SET_ASIDE))
+    parsed = F.when(F.ltrim("raw").startswith("{"), F.try_parse_json("raw"))
+    return lines.select("path", (F.col("n") + 1).cast("long").alias("line"), parsed.alias("record"), parsed.isNull().alias("bad"), "raw")
+
+
+def get(record: str | Column, path: str, kind: str = "string") -> Column:
+    return F.try_variant_get(F.col(record) if isinstance(record, str) else record, path, kind)
+
+
+def formats(rows: DataFrame) -> DataFrame:
+    """Path and format, from the shape of a file's first good record."""
+    first = rows.filter("not bad").groupBy("path").agg(F.min_by("record", "line").alias("r"))
+    kind = get("r", "$.type")
+    name = (
+        F.when(kind.isin("session_meta", "turn_context", "response_item", "event_msg"), "codex_native")
+        .when(kind.startswith("thread.") | kind.startswith("turn.") | kind.startswith("item."), "codex_stdout")
+        .when((kind == "session") & get("r", "$.cwd").isNotNull(), "pi_native")
+        .when(kind.isin("session", "tool_execution_start", "message_end"), "pi_stdout")
+        .when(get("r", "$.uuid").isNotNull() & get("r", "$.sessionId").isNotNull(), "claude_native")
+        .when(kind.isin("system", "assistant", "user", "result"), "claude_stdout")
+        .otherwise("unknown")
+    )
+    return first.select("path", name.alias("format"))
