@@ -121,7 +121,7 @@ def norm_args(args: Column) -> Column:
 
 def split_segments(command: Column) -> Column:
     """a shell command's segments at ; | newline && and ||, none inside quotes."""
-    part = r"(?:'[^']*'|\"(?:[^\"\\]|\\.)*\"|\\.|&(?!&)|[^;|&\n'\"\\])+"
+    part = r"(?:'[^']*'|\"(?:[^\"\\]|\\.)*\"|\\.|(?<!&)&(?!&)|[^;|&\n'\"\\])+"
     return F.filter(F.transform(F.regexp_extract_all(command, F.lit(part), 0), lambda x: F.trim(x)), lambda x: x != "")
 
 
