@@ -151,7 +151,7 @@ walk AS (SELECT DISTINCT parent AS node, parent AS root, 0 AS depth FROM edges W
 _INTENT = "CASE WHEN regexp_matches(command, '^(npm run build|pytest|python -m pytest)') THEN 'build_test' WHEN regexp_matches(command, '^(sed -i|git revert|echo done > )') THEN 'mutate' WHEN regexp_matches(command, '^(git status|ls|cat)') THEN 'inspect' ELSE 'other' END"
 
 
-def _redact_sql(text: str) -> str:
+def redact_sql(text: str) -> str:
     for pattern, name in ((tx.SECRET, "<secret>"), (tx.EMAIL, "<email>"), (tx.URL, "<url>"), (tx.PHONE, "<phone>"), (tx.IPV4, "<ip>")):
         text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{name}', 'g')"
     return text
@@ -172,7 +172,7 @@ ORACLE_SQL = {
         SELECT node, min(other) AS label FROM reach GROUP BY node""",
         "ev",
     ).removeprefix("WITH "),
-    "redact_text": f"SELECT doc_id, md5({_redact_sql('text')}) AS digest, length({_redact_sql('text')}) AS chars FROM {_DOCS}",
+    "redact_text": f"SELECT doc_id, md5({redact_sql('text')}) AS digest, length({redact_sql('text')}) AS chars FROM {_DOCS}",
     "secret_scan": f"""SELECT * FROM (SELECT doc_id, {_hits_sql(tx.SECRET)} AS secrets, {_hits_sql(tx.EMAIL)} AS emails, {_hits_sql(tx.IPV4)} AS addresses,
         {_hits_sql(tx.PHONE)} AS phones FROM {_DOCS}) WHERE secrets + emails + addresses + phones > 0""",
     "lexicon_hits": f"SELECT lang, source, count(*) AS n FROM {_DOCS} WHERE regexp_matches(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:was|des|und|que)(?:[^\\p{{L}}\\p{{N}}_]|$)') GROUP BY lang, source",
