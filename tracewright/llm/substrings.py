@@ -121,17 +121,32 @@ def _windows(length: int, gram: int):
         if not len(order):
             return
         keys, doc, place = keys[order].view(np.int64), doc[order], place[order]
-        later = doc > least
-        yield from _emit(later, np.where(later, doc, keys), doc, place)
+        asked = doc == least
+        yield from _emit(np.zeros(asked.sum(), bool), keys[asked], doc[asked], place[asked])
+        doc, place = _runs(doc[~asked], place[~asked])
+        yield from _emit(np.ones(len(doc), bool), doc, doc, place)
 
     return run
 
 
+def _runs(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of consecutive places as one: the place of the first, with how many more follow it above bit 48."""
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)
+    begins = np.flatnonzero(new)
+    new[np.arange(len(doc)) - begins[np.cumsum(new) - 1] & 0x7FFF == 0] = True
+    begins = np.flatnonzero(new)
+    sizes = np.diff(np.concatenate([begins, [len(doc)]]))
+    return doc[begins], place[begins] | (sizes - 1) << 48
+
+
 def covered_words(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """id, body (the text), mark, rest (the columns `keep`), covered: starts (with the row's 16-bit mark above bit 32) of the windows that an earlier
-    document has, null where there are none.
+    """id, body (the text), mark, rest (the columns `keep`), covered: starts (with the row's 16-bit mark above bit 32, and
+    the number of windows that follow at once above bit 48) of the windows that an earlier document has; null for none.
 
     Seed: each window of `length` words has one anchor, its gram with the least hash (winnowing: any shared window
     makes both documents choose the same anchor). Anchors that only one document has are dropped. Extend: round each
@@ -177,11 +192,11 @@ def remove_repeats(
             covered = batch.column(4)
             lengths = np.where(covered.is_valid().to_numpy(zero_copy_only=False), np.diff(covered.offsets.to_numpy()), 0)
             values, row = covered.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(rows), lengths)
-            own = values >> 32 == marks[row]
+            own = values >> 32 & 0xFFFF == marks[row]
             starts = (values & 0xFFFFFFFF)[own] + first[row[own]]
             edges = np.zeros(len(spans) + 1, np.int64)
             np.add.at(edges, starts, 1)
-            np.add.at(edges, starts + length, -1)
+            np.add.at(edges, starts + (values[own] >> 48) + length, -1)
             keep = np.cumsum(edges[:-1]) == 0
             buffer, texts, removed = raw.tobytes(), [], []
             for i in range(rows):
