@@ -79,3 +79,20 @@ def test_trace_events(spark, logs):
     assert [(r.input, r.cache_read, r.output) for r in by["th"][3:]] == [(60, 40, 10), (30, 20, 2)] and by["th"][1].ok is False
     assert [r.kind for r in by["p"]] == ["user_msg", "assistant_msg", "usage"] and by["p"][0].text == "hello"
     assert [(r.kind, r.command, r.ok) for r in by["r"]] == [("user_msg", None, None), ("tool_call", "ls -l", None), ("tool_result", None, False)]
+
+
+def test_analysis_of_logs(spark, logs, tmp_path):
+    from tracewright.__main__ import main
+
+    assert main(["analyze", logs, str(tmp_path / "out"), "--since", "2025-01-01", "--fail-on", "high"]) == 0
+    sessions = {r.session_id: r for r in spark.read.parquet(str(tmp_path / "out/sessions")).collect()}
+    assert (sessions["s1"].calls, sessions["s1"].errors, sessions["s1"].output) == (1, 1, 9)
+    found = {(r.detector, r.session_id) for r in spark.read.parquet(str(tmp_path / "out/findings")).collect()}
+    assert ("thin_prompt", "s1") in found
+
+
+def test_model_filter(spark, logs):
+    from tracewright.operators import analysis
+
+    events = decoders.trace_events(spark, logs)
+    assert {r.session_id for r in analysis.in_range(events, models=("X",)).select("session_id").distinct().collect()} == {"s1"}
