@@ -71,6 +71,12 @@ def wait_cohorts(rows: DataFrame, edges: list[float]) -> DataFrame:
     return waits.groupBy("model", "band").agg(F.count("*").alias("waits"), F.sum("cache_write").alias("written"), F.count_if(F.col("cache_read") < F.col("before")).alias("rewrites"))
 
 
+def repeated_reads(events: DataFrame) -> DataFrame:
+    """M7: reads of a path that the session has read before."""
+    nth = F.row_number().over(Window.partitionBy("session_id", "path").orderBy("idx"))
+    return events.filter("category = 'read' and path is not null").withColumn("nth", nth).filter("nth > 1").drop("nth")
+
+
 def claim(candidates: list[tuple[str, DataFrame]]) -> DataFrame:
     """M7: a partition of units (session_id, unit, amount) among claims: the first in the list that names it wins."""
     union = reduce(DataFrame.unionByName, (c.withColumns({"claim": F.lit(n), "priority": F.lit(i)}) for i, (n, c) in enumerate(candidates)))

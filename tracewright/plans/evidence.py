@@ -27,7 +27,8 @@ def tree_rollup(spark, d):
 
 
 def components(spark, d):
-    rows = trace_events(spark, d).filter("kind = 'tool_call' and path is not null and session_id % 10 = k % 10")
+    """G7 over all session-path links. The SQL twin keeps every tenth remainder only, so the two differ."""
+    rows = trace_events(spark, d).filter("kind = 'tool_call' and path is not null")
     return graph.families(rows.select(F.concat(F.lit("s"), F.col("session_id").cast("string")).alias("a"), F.col("path").alias("b")))
 
 
