@@ -3,7 +3,8 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from tracewright.operators import structure
+from tracewright.functions import text as tx
+from tracewright.operators import memory, structure
 from tracewright.plans import evidence, structures
 from tracewright.sources.driver_tables import sql, trace_events
 
@@ -46,3 +47,12 @@ def test_waste_counts_repeated_reads(spark, sf_dir):
     assert sorted(map(tuple, structures.vetoed_diagnoses(spark, sf_dir).select("session_id", "unit", "amount").collect())) == sorted(want)
     got = structures.waste_partition(spark, sf_dir).filter(F.col("claim") == "DUPLICATE_WORK").first()
     assert (got.units, got.amount) == (len(want), sum(r[2] for r in want))
+
+
+def test_evidence_keeps_messages_whole(spark):
+    message, result = "m" * 9000 + " a@b.org", "h" * 1000 + "x" * 5000 + "t" * 1000
+    rows = [("user_msg", message), ("assistant_msg", message), ("tool_result", result), ("tool_result", "y" * 2000), ("tool_call", result), ("tool_result", None)]
+    frame = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "session_id long, idx long, kind string, text string")
+    got = {r.idx: r.text for r in memory.evidence(frame, tx.redact).collect()}
+    whole = "m" * 9000 + " <email>"
+    assert got == {0: whole, 1: whole, 2: "h" * 1000 + "\n[... tool result truncated ...]\n" + "t" * 1000, 3: "y" * 2000, 4: result, 5: None}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+TRUNCATED = "\n[... tool result truncated ...]\n"
+
 
 def aliases(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The smallest id of each text, by its SHA-256, and how many share it.
@@ -15,12 +17,17 @@ def aliases(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed.join(groups, "__key").drop("__key")
 
 
-def evidence(events: DataFrame, redact) -> DataFrame:
-    """session_id, idx, role, text (redacted, clipped) and antecedent, the last assistant message before it."""
+def evidence(events: DataFrame, redact, edge: int = 1000) -> DataFrame:
+    """session_id, idx, role, text (redacted) and antecedent, the last assistant message before it.
+
+    Texts are whole but for tool results of over two edges, which keep one at each end round a mark."""
     before = Window.partitionBy("session_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     antecedent = F.last(F.when(F.col("kind") == "assistant_msg", F.col("idx")), ignorenulls=True).over(before)
     role = F.when(F.col("kind") == "user_msg", "user").when(F.col("kind") == "assistant_msg", "assistant").otherwise("tool")
-    return events.filter("kind <> 'meta'").select("session_id", "idx", role.alias("role"), F.left(redact(F.col("text")), F.lit(4000)).alias("text"), antecedent.alias("antecedent"))
+    text = redact(F.col("text"))
+    ends = F.concat(F.left(text, F.lit(edge)), F.lit(TRUNCATED), F.right(text, F.lit(edge)))
+    shown = F.when((F.col("kind") == "tool_result") & (F.length(text) > 2 * edge), ends).otherwise(text)
+    return events.filter("kind <> 'meta'").select("session_id", "idx", role.alias("role"), shown.alias("text"), antecedent.alias("antecedent"))
 
 
 def chunks(rows: DataFrame, id_col: str, text_col: str, size: int, overlap: int) -> DataFrame:
