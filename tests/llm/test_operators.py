@@ -352,6 +352,15 @@ def test_link_trust(spark):
     assert link_trust.judge_urls(frame.limit(0)).count() == 0
 
 
+def test_link_trust_blocks_an_unruled_page_among_blocked_ones(spark):
+    urls = [*("http://bad.net/x",) * 30, "http://bets.example.com/de/1", "http://bets.example.com/de/2", "http://bets.example.com/en/3"]
+    urls += [*("http://clean.example.com/",) * 5, *(f"http://plain{i}.io/" for i in range(60))]
+    frame = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in link_trust.judge_urls(frame).collect()}
+    assert got[32] == (None, "block")
+    assert {got[i] for i in range(33, len(urls))} == {(None, "allow")}
+
+
 def test_pipeline(spark, sf_dir, monkeypatch):
     import corpus_pipeline
 

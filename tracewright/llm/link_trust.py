@@ -11,7 +11,7 @@ from .common import cut_lineage, table
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Percent of a score that walks on, number of steps, whole units that all seeds of a walk share.
 DAMPING_PERCENT, STEPS, UNITS = 85, 8, 10**15
-#: A host is blocked if its share of all distrust is over this percentage of its share of all pages.
+#: Only the SQL twin's: it blocks a host if its share of all distrust is over this percentage of its share of all pages.
 BLOCK_PERCENT = 150
 _LINK = r"(?i)(?:href|src)\s*=\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]*)"
 _SITE = r"[^.]+[.][^.]+$"
@@ -52,15 +52,16 @@ def host_links(pages: DataFrame) -> DataFrame:
 def propagate(links: DataFrame, seeds: DataFrame, totals: dict[str, int], steps: int = STEPS) -> DataFrame:
     """says, host, score: a personalised PageRank for each verdict, from its seeds (says, host, n; n adds up to totals).
 
-    The walk of `allow` follows the links (src, dst, n), that of `block` goes against them. Scores are whole units and
+    The walk of `allow` follows the links (src, dst, n), those of `block` and `every` go against them. Scores are whole units and
     every division rounds down, so sums do not depend on the order of their terms and reruns agree; what rounds off or
     has nowhere to go is lost. Each step joins on hosts and is a checkpoint; hosts that many link to are summed on the
     map side first.
     """
     share = F.create_map(*(F.lit(x) for k, n in totals.items() for x in (k, UNITS // n)))
     seed = cut_lineage(seeds.select("says", "host", (F.col("n") * share[F.col("says")]).alias("seed")))
+    against = F.explode(F.array(F.lit("block"), F.lit("every"))).alias("on")
     ways = links.select(F.lit("allow").alias("on"), "src", "dst", "n").unionByName(
-        links.select(F.lit("block").alias("on"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+        links.select(against, F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     )
     out = ways.groupBy("on", "src").agg(F.sum("n").alias("out"))
     ways = cut_lineage(ways.join(out, ["on", "src"]))
@@ -78,8 +79,9 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every page (page_id, url, html).
 
     Pages that a rule allows or blocks are seeds. Trust walks from the allowed pages' hosts along links between hosts;
-    distrust walks from the blocked pages' hosts against them, since who links to the blocked is suspect. A host is
-    blocked if its distrust exceeds both its trust and BLOCK_PERCENT of its share of all pages; others are allowed.
+    distrust walks from the blocked pages' hosts against them, since who links to the blocked is suspect. The same walk
+    from all pages says what distrust is usual for a host: what sites and dead ends take away, they take from both. A
+    host is blocked if its distrust exceeds both its trust and what is usual for it; others are allowed.
     Rules win over that.
 
     Null urls or urls without :// have an empty host and path and are allowed. Null html has no links. Links are
@@ -93,19 +95,20 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     judged = cut_lineage(rows.drop("html"))
     hosts = cut_lineage(judged.groupBy("host", "says").agg(F.count("*").alias("n")))
     totals = {r.says: r.n for r in hosts.filter("host <> ''").groupBy("says").agg(F.sum("n").alias("n")).collect()}
-    fair = UNITS // max(1, sum(totals.values())) * BLOCK_PERCENT // 100
+    every = sum(totals.values())
     totals.pop(None, None)
     if totals:
-        scores = propagate(cut_lineage(host_links(rows)), hosts.filter("host <> '' and says is not null"), totals)
+        seeds = hosts.filter("says is not null").unionByName(hosts.withColumn("says", F.lit("every"))).filter("host <> ''")
+        scores = propagate(cut_lineage(host_links(rows)), seeds.groupBy("says", "host").agg(F.sum("n").alias("n")), totals | {"every": every})
     else:
         scores = hosts.select("says", "host", F.col("n").alias("score")).limit(0)
-    sums = hosts.groupBy("host").agg(F.sum("n").alias("pages")).join(
-        scores.groupBy("host").agg(*(F.sum(F.when(F.col("says") == v, F.col("score")).otherwise(0)).alias(c) for v, c in (("allow", "trust"), ("block", "distrust")))),
+    sums = hosts.select("host").distinct().join(
+        scores.groupBy("host").agg(*(F.sum(F.when(F.col("says") == v, F.col("score")).otherwise(0)).alias(c) for v, c in (("allow", "trust"), ("block", "distrust"), ("every", "usual")))),
         "host",
         "left",
     )
-    trust, distrust = (F.coalesce(c, F.lit(0)) for c in ("trust", "distrust"))
-    blocked = (distrust > trust) & (distrust > F.col("pages") * fair) & (F.col("host") != "")
+    trust, distrust, usual = (F.coalesce(c, F.lit(0)) for c in ("trust", "distrust", "usual"))
+    blocked = (distrust > trust) & (distrust > usual) & (F.col("host") != "")
     verdicts = sums.select(F.col("host").alias("of"), F.when(blocked, "block").otherwise("allow").alias("method"), trust.alias("trust"), distrust.alias("distrust"))
     found = judged.join(verdicts, judged.host == verdicts.of)
     return found.select("page_id", "host", "path", "rule", F.coalesce("says", "method").alias("verdict"), "trust", "distrust")
