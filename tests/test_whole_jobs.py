@@ -1,11 +1,14 @@
 """Operators that must take all of their input, on small tables with brute-force answers."""
 
+import json
+
 import duckdb
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as tx
-from tracewright.operators import memory, structure
+from tracewright.operators import analysis, detectors, memory, structure
 from tracewright.plans import evidence, structures
+from tracewright.sources import decoders
 from tracewright.sources.driver_tables import sql, trace_events
 
 
@@ -56,3 +59,23 @@ def test_evidence_keeps_messages_whole(spark):
     got = {r.idx: r.text for r in memory.evidence(frame, tx.redact).collect()}
     whole = "m" * 9000 + " <email>"
     assert got == {0: whole, 1: whole, 2: "h" * 1000 + "\n[... tool result truncated ...]\n" + "t" * 1000, 3: "y" * 2000, 4: result, 5: None}
+
+
+def test_rules_on_decoded_logs(spark, tmp_path):
+    """An assert that goes after a failed test run, a gap of ten minutes and a shell poll that is no poll by name."""
+    use = lambda i, at, name, **given: ("assistant", at, {"type": "tool_use", "id": i, "name": name, "input": given})
+    says = lambda i, at, bad: ("user", at, {"type": "tool_result", "tool_use_id": i, "content": "test failed: 1 failed, AssertionError" if bad else "ok", "is_error": bad})
+    blocks = [use("a", "00:00", "Bash", command="pytest"), says("a", "00:01", True)]
+    edits = [("tests/test_a.py", "assert x\nassert y", "assert x"), ("src/m0.py", "assert x", ""), ("tests/test_a.py", "x", "y"), ("b.spec.ts", "it()", "it.skip()")]
+    blocks += [use(f"e{i}", "00:02", "Edit", file_path=p, old_string=o, new_string=n) for i, (p, o, n) in enumerate(edits)]
+    blocks += [use(f"s{i}", "00:13", "Bash", command="sleep 5") for i in range(4)] + [use(f"t{i}", "00:13", "spawn_agent", command="go") for i in range(4)]
+    lines = [{"type": t, "sessionId": "s", "timestamp": f"2026-01-01T{at}:00Z", "message": {"role": t, "content": [b]}} for t, at, b in blocks]
+    (tmp_path / "projects").mkdir()
+    (tmp_path / "projects" / "s.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines))
+    rich = analysis.enrich(decoders.trace_events(spark, str(tmp_path))).cache()
+    paths = {r.idx: r.path for r in rich.filter("category = 'write'").collect()}
+    assert rich.filter("error = 'build_test_fail'").count() == 1
+    found = detectors.run(rich, enabled={"TEST_GAMING", "idle_gap", "RETRY_STORM", "overlong_trace"}).collect()
+    assert sorted(paths[r.span_end] for r in found if r.detector == "TEST_GAMING") == ["b.spec.ts", "tests/test_a.py"]
+    assert [(r.detector, r.value) for r in found if r.detector != "TEST_GAMING"] == [("idle_gap", 11.0), ("RETRY_STORM", 4.0)]
+    assert detectors.REGISTRY["overlong_trace"].knobs["minutes"] == 90 and detectors.REGISTRY["bloated_opener"].knobs["tokens"] == 2000

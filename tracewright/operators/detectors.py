@@ -76,7 +76,7 @@ def _first(events: DataFrame, condition) -> DataFrame:
 IS_WRITE, IS_READ = "category = 'write'", "category = 'read'"
 
 
-@detector("cold_start_reads", "low", "smell", needs=("category", "path"), most=6)
+@detector("cold_start_reads", "low", "smell", needs=("category", "path"), most=8)
 def cold_start_reads(events, knobs):
     """D3: more distinct paths read before the first write than allowed; silent without a write."""
     first = events.filter(IS_WRITE).groupBy("session_id").agg(F.min("idx").alias("first_write"))
@@ -84,16 +84,16 @@ def cold_start_reads(events, knobs):
     return _whole(reads.agg((F.countDistinct("path") + F.max(s.flag(F.col("path").isNull()))).alias("n")).filter(F.col("n") > knobs["most"]), "n")
 
 
-@detector("slow_to_action", "info", "smell", needs=("category",), most=2)
+@detector("slow_to_action", "info", "smell", needs=("category",), most=6)
 def slow_to_action(events, knobs):
     """The first call stands late; without a call, the number of logical events counts."""
     rows = s.logical(events).groupBy("session_id").agg(F.coalesce(F.min(F.when(F.col("kind") == "tool_call", F.col("pos"))), F.count("*")).alias("n"))
     return _whole(rows.filter(F.col("n") > knobs["most"]), "n")
 
 
-@detector("overlong_trace", "low", "smell", needs=("ts", "size"), events=80, size=500_000, minutes=41_000)
+@detector("overlong_trace", "low", "smell", needs=("ts", "size"), events=400, size=600_000, minutes=90)
 def overlong_trace(events, knobs):
-    """Too many events, too much text or too long."""
+    """Too many events, too much text (150,000 tokens of about four characters) or too long."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = events.groupBy("session_id").agg(F.count("*").alias("n"), F.sum("size").alias("size"), ((F.max(micros) - F.min(micros)) / 6e7).alias("minutes"))
     return _whole(rows.filter((F.col("n") > knobs["events"]) | (F.col("size") > knobs["size"]) | (F.col("minutes") > knobs["minutes"])), "n")
@@ -106,7 +106,7 @@ def context_bloat(events, knobs):
     return _at(rows.filter((F.col("n") > knobs["share"] * knobs["window"]) & ~F.col("cleared")), value=F.col("n"))
 
 
-@detector("tool_monoculture", "low", "smell", needs=("tool",), least=10, share=0.5)
+@detector("tool_monoculture", "low", "smell", needs=("tool",), least=10, share=0.8)
 def tool_monoculture(events, knobs):
     """One tool makes most of the calls."""
     counts = events.filter("kind = 'tool_call'").groupBy("session_id", "tool").agg(F.count("*").alias("n"))
@@ -120,7 +120,7 @@ def _linear(events, knobs):
     return _whole(rows.filter((F.col("n") > knobs["most"]) & (F.col("greps") == 0)), "n")
 
 
-detector("linear_scan_search", "low", "smell", needs=("category", "tool"), most=8)(_linear)
+detector("linear_scan_search", "low", "smell", needs=("category", "tool"), most=10)(_linear)
 detector("LINEAR_SCAN", "low", needs=("category", "tool"), most=10)(_linear)
 
 
@@ -139,7 +139,7 @@ def no_plan_dive(events, knobs):
     return _at(_first(rows, F.lit(True)))
 
 
-@detector("idle_gap", "info", "smell", needs=("ts",), minutes=2000)
+@detector("idle_gap", "info", "smell", needs=("ts",), minutes=5)
 def idle_gap(events, knobs):
     """The longest gap between neighbours by idx."""
     rows = s.adjacent_gaps(events).groupBy("session_id").agg((F.max("gap") / 60).alias("n"), F.max_by("idx", F.struct("gap", -F.col("idx"))).alias("idx"))
@@ -153,7 +153,7 @@ def context_rot(events, knobs):
     return _whole(rows.filter((F.col("last_hits") >= 2) & (F.col("first_hits") >= 1) & (F.col("last_hits") >= knobs["ratio"] * F.col("first_hits"))), "last_hits")
 
 
-@detector("EDIT_THRASH", "medium", needs=("category", "path"), rows=25)
+@detector("EDIT_THRASH", "medium", needs=("category", "path"), rows=20)
 def edit_thrash(events, knobs):
     """Three edits of a path in a short span with no read of it between; the first such span of a path."""
     w = Window.partitionBy("session_id", "path").orderBy("idx")
@@ -181,11 +181,18 @@ def full_file_rewrite(events, knobs):
     return _at(rows.filter((F.col("category") == "write") & (F.col("n") > 1) & (F.col("size") >= knobs["least"])), value=F.col("size"))
 
 
-@detector("RETRY_STORM", "medium", needs=("command",), least=3, rows=40)
+@detector("RETRY_STORM", "medium", needs=("command",), least=4, rows=40, polls=None)
 def retry_storm(events, knobs):
-    """One command again and again within a window of events, with no write between (polls do not count)."""
+    """One command again and again within a window of events, with no write between (polls do not count:
+    calls of subagents, those of MCP tools that wait, list or poll, and commands that the pattern `polls` names)."""
     writes = F.sum(s.flag(F.col("category") == "write")).over(s.upto())
-    rows = events.withColumn("writes", writes).filter("command is not null and command <> 'sleep 5'")
+    rows = events.withColumn("writes", writes).filter("command is not null")
+    if "category" in events.columns:
+        rows = rows.filter("category is null or category <> 'subagent'")
+    if "tool" in events.columns:
+        rows = rows.filter(~F.coalesce(F.col("tool").rlike("^mcp[._]") & F.col("tool").rlike("(?i)wait|list|poll"), F.lit(False)))
+    if knobs["polls"]:
+        rows = rows.filter(~F.col("command").rlike(knobs["polls"]))
     frame = Window.partitionBy("session_id", "command", "writes").orderBy("idx").rangeBetween(-knobs["rows"], 0)
     runs = rows.withColumns({"n": F.count("*").over(frame), "start": F.min("idx").over(frame)})
     best = runs.filter(F.col("n") >= knobs["least"]).groupBy("session_id").agg(F.max(F.struct("n", -F.col("idx"), "start")).alias("b"))
@@ -198,11 +205,23 @@ def no_adapt_retry(events, knobs):
     return _at(s.no_adapt_clusters(events.filter("kind = 'tool_call' and command is not null"), "command"), "first_idx", "last_idx", F.col("attempts"))
 
 
-@detector("TEST_GAMING", "high", needs=("category", "error"))
+TEST_PATH = r"(?i)(^|/)(test_|tests?/)|_test\.|\.test\.|\.spec\."
+_SKIP, _ASSERT = r"(?i)@pytest\.mark\.(skip|xfail)|\bxfail\b|\.skip\s*\(|\bskip\b|@unittest\.skip", r"\bassert\b|\bexpect\s*\("
+
+
+@detector("TEST_GAMING", "high", needs=("category", "error", "path"), path=TEST_PATH, loosened=True)
 def test_gaming(events, knobs):
-    """After a failed test run, an edit of a path whose key marks it as a test."""
+    """After a failed test run, an edit of a test's path that adds a skip or removes asserts.
+
+    Edit texts are the columns old_text and new_text; without them it is silent, unless `loosened` is off and any edit counts."""
     failed = F.max(F.when(F.col("error") == "build_test_fail", F.col("idx"))).over(s.before())
-    rows = events.withColumn("failed", failed).filter("category = 'write' and failed is not null and path = 'src/m0.py'")
+    rows = events.withColumn("failed", failed).filter("category = 'write' and failed is not null").filter(F.col("path").rlike(knobs["path"]))
+    if knobs["loosened"]:
+        if not {"old_text", "new_text"} <= set(events.columns):
+            return _at(rows.limit(0), "failed", "idx")
+        old, new = (F.coalesce(c, F.lit("")) for c in ("old_text", "new_text"))
+        asserts = lambda c: F.regexp_count(c, F.lit(_ASSERT))
+        rows = rows.filter((new.rlike(_SKIP) & ~old.rlike(_SKIP)) | (asserts(old) > asserts(new)))
     return _at(rows, "failed", "idx")
 
 
@@ -269,14 +288,14 @@ def compaction_amnesia(events, knobs):
     return _at(again.groupBy("session_id", "scope").agg(F.min("idx").alias("a"), F.max("idx").alias("b"), F.countDistinct("path").alias("n")), "a", "b", F.col("n"))
 
 
-@detector("RUNAWAY_SESSION", "medium", needs=("size", "ok"), events=85, size=400_000)
+@detector("RUNAWAY_SESSION", "medium", needs=("size", "ok"), events=400, size=600_000)
 def runaway_session(events, knobs):
     """A cap is passed and the session's last result is not a success."""
     rows = events.groupBy("session_id").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.max_by("ok", F.when(F.col("kind") == "tool_result", F.col("idx"))).alias("ends"))
     return _whole(rows.filter(((F.col("n") > knobs["events"]) | (F.col("size") > knobs["size"])) & ~F.coalesce("ends", F.lit(False))), "n")
 
 
-@detector("bloated_opener", "info", "smell", needs=("text",), tokens=150)
+@detector("bloated_opener", "info", "smell", needs=("text",), tokens=2000)
 def bloated_opener(events, knobs):
     """The first user message is long."""
     rows = events.filter("kind = 'user_msg'").groupBy("session_id").agg(F.min_by("text", "idx").alias("text")).withColumn("n", tx.approx_tokens(F.col("text")))
@@ -290,7 +309,7 @@ def thin_prompt(events, knobs):
     return _whole(rows.filter(F.col("n") < knobs["words"]), "n")
 
 
-@detector("KITCHEN_SINK", "low", needs=("text",), least=3, words=30)
+@detector("KITCHEN_SINK", "low", needs=("text",), least=2, words=30)
 def kitchen_sink(events, knobs):
     """Several messages that each open a task (long enough to be one), none compacted between."""
     rows = events.filter("kind = 'user_msg'").filter(tx.word_count(F.col("text")) >= knobs["words"]).groupBy("session_id")
@@ -298,7 +317,7 @@ def kitchen_sink(events, knobs):
     return _at(found.filter(F.col("n") >= knobs["least"]), "a", "b", F.col("n"))
 
 
-@detector("CORRECTION_LOOP", "medium", needs=("text",), rows=30, least=2)
+@detector("CORRECTION_LOOP", "medium", needs=("text",), rows=30, least=3)
 def correction_loop(events, knobs):
     """Corrections crowd in a window of events."""
     hit = (F.col("kind") == "user_msg") & tx.lexicon(F.col("text"), knobs.get("lexicon", tx.CORRECTIONS))

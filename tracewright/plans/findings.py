@@ -8,8 +8,14 @@ from tracewright.functions import text as tx
 from tracewright.operators import detectors
 from tracewright.sources.driver_tables import conversation_events, sql, trace_events
 
-#: Words of the conversations' invented languages that stand for corrections and claims.
-KNOBS = {"CORRECTION_LOOP": {"lexicon": ("no", "not", "und", "the"), "rows": 6}, "ASSUMING_NOT_OBSERVING": {"lexicon": ("was", "est", "ist", "que")}}
+#: Values that suit the shared tables: their sessions last weeks, and words of the conversations' invented languages stand for
+#: corrections and claims. The defaults of the rules are for logs.
+KNOBS = {
+    "cold_start_reads": {"most": 6}, "slow_to_action": {"most": 2}, "overlong_trace": {"events": 80, "size": 500_000, "minutes": 41_000}, "tool_monoculture": {"share": 0.5},
+    "linear_scan_search": {"most": 8}, "idle_gap": {"minutes": 2000}, "EDIT_THRASH": {"rows": 25}, "RETRY_STORM": {"least": 3, "polls": "^sleep 5$"},
+    "TEST_GAMING": {"path": r"^src/m0\.py$", "loosened": False}, "RUNAWAY_SESSION": {"events": 85, "size": 400_000}, "bloated_opener": {"tokens": 150}, "KITCHEN_SINK": {"least": 3},
+    "CORRECTION_LOOP": {"lexicon": ("no", "not", "und", "the"), "rows": 6, "least": 2}, "ASSUMING_NOT_OBSERVING": {"lexicon": ("was", "est", "ist", "que")},
+}
 ON_MESSAGES = (
     "bloated_opener", "thin_prompt", "KITCHEN_SINK", "CORRECTION_LOOP", "ACTING_ON_QUESTION", "ASSUMING_NOT_OBSERVING", "CREDENTIAL_LEAK",
 )

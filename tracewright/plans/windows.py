@@ -11,7 +11,7 @@ from tracewright.sources.driver_tables import conversation_events, sql, trace_ev
 from tracewright.streaming import twins
 
 from .evidence import redact_sql
-from .findings import BODIES
+from .findings import BODIES, KNOBS
 
 TRACE_FINDINGS = ["RATE_LIMIT_LOOP", "EDIT_THRASH", "UNVERIFIED_COMPLETION"]
 
@@ -30,7 +30,7 @@ def evidence_projection(spark, d):
 
 def trace_table(spark, d):
     events = trace_events(spark, d)
-    found = detectors.run(events, enabled=set(TRACE_FINDINGS))
+    found = detectors.run(events, KNOBS, enabled=set(TRACE_FINDINGS))
     return sinks.trace_table(metrics.session_metrics(events).select("session_id", "n_events", "errors"), found, TRACE_FINDINGS)
 
 

@@ -18,7 +18,7 @@ from .jsonl import get
 
 EVENTS = (
     "session_id string, line long, block int, kind string, tool string, call_id string, text string, ok boolean, path string, command string, model string, "
-    "ts timestamp, input long, output long, cache_read long, cache_write long, cumulative boolean"
+    "ts timestamp, input long, output long, cache_read long, cache_write long, cumulative boolean, old_text string, new_text string"
 )
 _NAMES = [c.split()[0] for c in EVENTS.split(", ")]
 #: Tools by what they do.
@@ -71,6 +71,7 @@ def claude(records: DataFrame) -> DataFrame:
     inputs = {
         "path": F.coalesce(get("b", "$.input.file_path"), get("b", "$.input.path"), get("b", "$.input.notebook_path")),
         "command": F.coalesce(get("b", "$.input.command"), get("b", "$.input.cmd")),
+        "old_text": get("b", "$.input.old_string"), "new_text": F.coalesce(get("b", "$.input.new_string"), get("b", "$.input.content")),
     }
     ok = F.when(kind == "tool_result", ~F.coalesce(get("b", "$.is_error", "boolean"), F.lit(False)))
     text = F.coalesce(get("b", "$.text"), get("b", "$.thinking"), _flat(F.try_variant_get("b", "$.content", "variant")))
@@ -122,6 +123,7 @@ def pi(records: DataFrame) -> DataFrame:
     shared = {"session_id": F.col("session"), "ts": F.col("ts")}
     tool, call = get("record", "$.toolName"), get("record", "$.toolCallId")
     args = {"path": F.coalesce(get("record", "$.args.path"), get("record", "$.args.file_path")), "command": get("record", "$.args.command")}
+    args |= {"old_text": get("record", "$.args.old_string"), "new_text": F.coalesce(get("record", "$.args.new_string"), get("record", "$.args.content"))}
     calls = _event(rows.filter("type = 'tool_execution_start'"), kind=F.lit("tool_call"), tool=tool, call_id=call, **args, **shared)
     results = _event(rows.filter("type = 'tool_execution_end'"), kind=F.lit("tool_result"), tool=tool, call_id=call, ok=~F.coalesce(get("record", "$.isError", "boolean"), F.lit(False)), **shared)
     said = rows.filter("type in ('message', 'message_end')").withColumn("role", get("record", "$.message.role"))
