@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as tx
-from tracewright.operators import analysis, detectors, memory, structure
+from tracewright.operators import analysis, detectors, memory, structure, tails
 from tracewright.plans import evidence, structures
 from tracewright.sources import decoders
 from tracewright.sources.driver_tables import sql, trace_events
@@ -79,3 +79,10 @@ def test_rules_on_decoded_logs(spark, tmp_path):
     assert sorted(paths[r.span_end] for r in found if r.detector == "TEST_GAMING") == ["b.spec.ts", "tests/test_a.py"]
     assert [(r.detector, r.value) for r in found if r.detector != "TEST_GAMING"] == [("idle_gap", 11.0), ("RETRY_STORM", 4.0)]
     assert detectors.REGISTRY["overlong_trace"].knobs["minutes"] == 90 and detectors.REGISTRY["bloated_opener"].knobs["tokens"] == 2000
+
+
+def test_fanout_counts_spawns(spark):
+    rows = [("user_msg", None, None)] + [("tool_call", "Task", "subagent")] * 3 + [("tool_call", "shell", "execute")] * 5
+    frame = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "session_id long, idx long, kind string, tool string, category string")
+    assert [(r.idx, r.value) for r in tails.delegation_fanout(frame).collect()] == [(1, 3.0)]
+    assert [r.value for r in tails.delegation_fanout(frame, F.col("tool") == "shell").collect()] == [5.0]

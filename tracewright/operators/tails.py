@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import joins, sequence as s
@@ -58,9 +58,10 @@ def _per_scope(events: DataFrame, kind: str, hit, value, least: int) -> DataFram
     return _incident(rows.filter(F.col("n") >= least), kind, F.col("value"))
 
 
-def delegation_fanout(events: DataFrame) -> DataFrame:
-    """Spawns in one request; shell calls stand for them."""
-    return _per_scope(events, "delegation_fanout", F.col("tool") == "shell", F.count("*"), 2)
+def delegation_fanout(events: DataFrame, spawns: Column | None = None) -> DataFrame:
+    """Spawns in one request; calls of subagents unless `spawns` names others."""
+    hit = spawns if spawns is not None else F.col("category") == "subagent"
+    return _per_scope(events, "delegation_fanout", hit, F.count("*"), 2)
 
 
 def context_replay(events: DataFrame) -> DataFrame:
@@ -103,9 +104,9 @@ MEASURES = (
 )
 
 
-def incidents(events: DataFrame) -> DataFrame:
-    """All measurements of a trace table."""
-    return reduce(DataFrame.unionByName, (m(events) for m in MEASURES))
+def incidents(events: DataFrame, spawns: Column | None = None) -> DataFrame:
+    """All measurements of a trace table; `spawns` as in delegation_fanout()."""
+    return reduce(DataFrame.unionByName, (m(events, spawns) if m is delegation_fanout else m(events) for m in MEASURES))
 
 
 def distributions(found: DataFrame) -> DataFrame:

@@ -53,16 +53,21 @@ def expense_tail_5pct(spark, d):
     return c.expense_tail(per)
 
 
+def _incidents(spark, d):
+    """The shared tables have no subagents; shell calls stand for spawns."""
+    return t.incidents(trace_events(spark, d), F.col("tool") == "shell")
+
+
 def tail_distributions(spark, d):
-    return t.distributions(t.incidents(trace_events(spark, d)))
+    return t.distributions(_incidents(spark, d))
 
 
 def tail_retained(spark, d):
-    return t.retained(t.incidents(trace_events(spark, d)), 10, 0.5)
+    return t.retained(_incidents(spark, d), 10, 0.5)
 
 
 def tail_observations(spark, d):
-    return t.observations(t.incidents(trace_events(spark, d)), 0.3)
+    return t.observations(_incidents(spark, d), 0.3)
 
 
 def model_activity(spark, d):
@@ -73,11 +78,11 @@ def model_activity(spark, d):
 
 
 def theme_scores(spark, d):
-    return r.themes(t.incidents(trace_events(spark, d)))
+    return r.themes(_incidents(spark, d))
 
 
 def priority_rank(spark, d):
-    return r.priorities(t.observations(t.incidents(trace_events(spark, d)), 0.3))
+    return r.priorities(t.observations(_incidents(spark, d), 0.3))
 
 
 def prevalence_rankings(spark, d):
