@@ -42,7 +42,7 @@ def words_of(text):
     return WORD.findall(text or "")
 
 
-@pytest.mark.parametrize("bucket", [2, 48])
+@pytest.mark.parametrize("bucket", [16, 48])
 def test_simhash_components(spark, bucket, monkeypatch):
     from xxhash import xxh64_intdigest
 
@@ -79,7 +79,8 @@ def test_simhash_links_are_exact_for_close_fingerprints(spark):
     classes = spark.createDataFrame(signed, "fingerprint long, rep long")
     from tracewright.llm.components import connected_components
 
-    for bucket in (2, 1000):
+    for bucket in (16, 1000):
+        assert {(r.a, r.b) for r in simhash.links(classes, bucket).collect()} == {(a, b) for a, b in itertools.combinations(range(len(prints)), 2) if (prints[a] ^ prints[b]).bit_count() <= 2}
         got = {r.node: r.component for r in connected_components(simhash.links(classes, bucket)).collect()}
         parent = list(range(len(prints)))
 
@@ -95,6 +96,25 @@ def test_simhash_links_are_exact_for_close_fingerprints(spark):
         assert {k: got.get(k, k) for k in range(len(prints))} == {k: find(k) for k in range(len(prints))}
 
 
+def test_simhash_splits_crowded_buckets_down_to_the_last_level(spark):
+    rng = random.Random(6)
+    bits = [3, 4, 20, 21, 33, 40, 41, 50, 62, 63]
+    prints = sorted({sum(1 << b for b in bits if rng.random() < 0.5) for _ in range(700)})
+    classes = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p, i) for i, p in enumerate(prints)], "fingerprint long, rep long")
+    got = simhash.links(classes, 16).collect()
+    want = {(a, b) for a, b in itertools.combinations(range(len(prints)), 2) if (prints[a] ^ prints[b]).bit_count() <= 2}
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    assert simhash.links(classes.limit(0)).count() == 0
+
+
+def test_keep_one_takes_a_stated_row(spark):
+    rows = [(1, "b b", "en", "x"), (1, "a a", "fr", "y"), (1, "a a", "de", "z"), (2, None), (2, ""), (None, "q")]
+    for parts in (1, 5):
+        kept = simhash.keep_one(docs(spark, rows).repartition(parts)).collect()
+        assert sorted((r.doc_id or 0, r.text or "-", r.source or "") for r in kept) == [(0, "q", ""), (1, "a a", "z"), (2, "-", "")]
+    assert simhash.keep_one(docs(spark, [])).count() == 0 and simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
 def test_keep_one_keeps_columns(spark):
     kept = simhash.keep_one(docs(spark, [(2, "a b c d"), (1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (3, "q r s t u")]))
     assert sorted((r.doc_id is None, r.doc_id or 0, r.source, r["size"]) for r in kept.collect()) == [(False, 1, None, 7), (False, 3, None, 7), (True, 0, None, 7)]

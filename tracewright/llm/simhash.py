@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, pieces, table
 from .components import connected_components
 
-#: Buckets of candidates over this size are linked through one-bit neighbours instead of pairs.
+#: Buckets of candidates over this size are split by the ring of their free bits before pairs are listed; 16 or more.
 PAIR_BUCKET = 48
 _LANES = np.uint64(0x0101010101010101)
 
@@ -87,58 +87,54 @@ def pigeonring(a: F.Column, b: F.Column, distance: int, m: int) -> F.Column:
     return fits
 
 
+def _buckets(members: DataFrame, width: int) -> DataFrame:
+    """Each class (fingerprint, rep, path, shared, free) under the six keys of its `width` free bits.
+
+    The free bits are four segments on a ring. A chain within the budgets 0, 1, 1 starts with an equal segment, followed
+    by an equal one or by one that differs in a bit and then an equal one; so two classes can only link if they agree on
+    segments (i, i + 1) or (i, i + 2). These two join the `shared` bits, the other two stay free.
+    """
+    part = width // 4
+    seg = [F.shiftrightunsigned("free", part * i).bitwiseAND(F.lit((1 << part) - 1)) for i in range(4)]
+    kinds = sorted({tuple(sorted((i, (i + step) % 4))) for i in range(4) for step in (1, 2)})
+
+    def joined(i: int, j: int) -> F.Column:
+        return F.shiftleft(seg[j], part).bitwiseOR(seg[i])
+
+    def kind(k: int, i: int, j: int) -> F.Column:
+        left = joined(*(x for x in range(4) if x not in (i, j)))
+        shared = F.shiftleft("shared", 2 * part).bitwiseOR(joined(i, j))
+        return F.struct((F.col("path") * len(kinds) + k).alias("path"), shared.alias("shared"), left.alias("free"))
+
+    return members.select("fingerprint", "rep", F.inline(F.array(*(kind(k, i, j) for k, (i, j) in enumerate(kinds)))))
+
+
 def links(classes: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
-    """a, b (reps) that connect all classes (fingerprint long, rep long) at a Hamming distance of 2 or less.
-
-    Four segments of 16 bits on a ring. A chain within the budgets 0, 1, 1 starts with an equal segment, followed by
-    an equal one or by one that differs in a bit and then an equal one; so two classes can only link if they agree
-    on segments (i, i + 1) or (i, i + 2): six 32-bit keys. In a bucket of at most `pair_bucket` classes, pairs pass
-    the pigeonring test, then the full Hamming test. A larger bucket does not list pairs: each class goes to its 64
-    one-bit neighbours and itself, and all that meet at a value (which differ by 2 bits at most) link to the least.
-    Both ways are exact; the rows are linear in the classes. Some pairs may be linked only through others.
+    """a, b (reps): all classes (fingerprint long, rep long) at a Hamming distance of 2 or less.
+
+    Candidates share a key of _buckets(): 32 equal bits. The pairs of a bucket of at most `pair_bucket` classes (16 or
+    more) pass the pigeonring test, then the full Hamming test. A larger bucket lists no pairs but is split in the same
+    way by its 32 free bits, and again by 16, 8 and 4: the classes that are left share 60 bits, so they are 16 at most.
+    Two classes that link agree on two segments of whatever bits are free, so they meet at every level, and which
+    bucket is split changes no link. Rows: six a class and level, pairs only within small buckets.
     """
-    m, distance = 4, 2
-    seg = _segments(F.col("fingerprint"), m)
-    keys = sorted({tuple(sorted((i, (i + step) % m))) for i in range(m) for step in (1, 2)})
-    keyed = classes.select(
-        "fingerprint",
-        "rep",
-        F.explode(
-            F.array(
-                *(
-                    F.struct(F.lit(k).alias("kind"), F.shiftleft(seg[i], 16).bitwiseOR(seg[j]).alias("key"))
-                    for k, (i, j) in enumerate(keys)
-                )
-            )
-        ).alias("k"),
-    ).select("fingerprint", "rep", "k.kind", "k.key")
-    sizes = keyed.groupBy("kind", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = keyed.join(sizes, ["kind", "key"])
-    bucket = (
-        shared.filter(F.col("size") <= pair_bucket)
-        .groupBy("kind", "key")
-        .agg(F.array_sort(F.collect_list(F.struct("rep", "fingerprint"))).alias("members"))
-    )
-    one = bucket.select("members", F.posexplode("members").alias("at", "x"))
-    pairs = one.select(
-        F.col("x").alias("x"), F.explode(F.slice("members", F.col("at") + 2, F.lit(pair_bucket))).alias("y")
-    ).select(
-        F.col("x.rep").alias("a"),
-        F.col("y.rep").alias("b"),
-        F.col("x.fingerprint").alias("fa"),
-        F.col("y.fingerprint").alias("fb"),
-    )
-    near = pairs.filter(pigeonring(F.col("fa"), F.col("fb"), distance, m)).filter(
-        F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance
-    )
-    crowded = shared.filter(F.col("size") > pair_bucket).select("fingerprint", "rep").distinct()
-    flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << b) - (1 << 64) * (b == 63)).cast("long") for b in range(64)))
-    meeting = crowded.select("rep", F.col("fingerprint"), F.explode(flips).alias("flip")).select(
-        "rep", F.col("fingerprint").bitwiseXOR(F.col("flip")).alias("value")
-    )
-    least = meeting.groupBy("value").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    stars = meeting.join(least.select("value", "a"), "value").filter("rep <> a").select("a", F.col("rep").alias("b"))
-    return near.select("a", "b").unionByName(stars).distinct()
+    members = classes.select("fingerprint", "rep", F.lit(0).alias("path"), F.lit(0).cast("long").alias("shared"), F.col("fingerprint").alias("free"))
+    found = None
+    for width in (64, 32, 16, 8):
+        keyed = _buckets(members, width)
+        sizes = keyed.groupBy("path", "shared").agg(F.count("*").alias("size")).filter("size > 1")
+        keyed = cut_lineage(keyed.join(sizes, ["path", "shared"]))
+        small = keyed if width == 8 else keyed.filter(F.col("size") <= pair_bucket)
+        bucket = small.groupBy("path", "shared").agg(F.collect_list(F.struct("rep", "fingerprint")).alias("members"))
+        one = bucket.select(F.col("members").alias("of"), F.posexplode("members").alias("at", "x"))
+        pairs = one.select("x", F.explode(F.slice("of", F.col("at") + 2, F.size("of"))).alias("y"))
+        fa, fb = F.col("x.fingerprint"), F.col("y.fingerprint")
+        near = pairs.filter(pigeonring(fa, fb, 2, 4)).filter(F.bit_count(fa.bitwiseXOR(fb)) <= 2)
+        near = near.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+        found = near if found is None else found.unionByName(near)
+        members = keyed.filter(F.col("size") > pair_bucket).drop("size")
+        if width == 8 or members.isEmpty():
+            return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,11 +155,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are the smallest id of their component; other columns as they are.
 
-    Of rows that repeat that id one stays (the least text); rows without an id stay.
+    Rows that repeat an id are one document, of which one row stays: the least by text (null first), then by the other
+    columns as JSON. Rows without an id stay. An empty table gives no rows.
     """
-    firsts = near_duplicates(docs, id_col, text_col).filter("id = component_id").select(F.col("id").alias("_first")).distinct()
-    keep = docs.join(firsts, docs[id_col] == firsts._first, "left_semi")
-    return keep.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    firsts = near_duplicates(docs, id_col, text_col).filter("id = component_id").select(F.col("id").alias("_id")).distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.struct(*docs.columns).alias("_doc")).join(firsts, "_id", "left_semi")
+    others = F.struct(*(F.col(f"_doc.{c}") for c in docs.columns if c != text_col))
+    order = F.struct(F.col(f"_doc.{text_col}").cast("string").alias("text"), F.to_json(others).alias("others"))
+    one = rows.groupBy("_id").agg(F.min_by("_doc", order).alias("_doc")).select("_doc.*")
+    return one.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op10_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
