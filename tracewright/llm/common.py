@@ -73,27 +73,12 @@ def text_lengths(text: pa.Array) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C1B  # odd, 3 modulo 8
-_BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
+#: A random number for each byte at each place of a word; beyond these places they are multiplied by the block's number.
+_PLACES = 256
+_CODES = np.random.default_rng(20240229).integers(0, 2**64, (_PLACES, 256), dtype=np.uint64)
 _MASK = (1 << 64) - 1
 
 
-class _Powers:
-    """Powers of _BASE modulo 2**64 and their inverses, grown as needed."""
-
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(cls.up) < n:
-            k = len(cls.up)
-            step = pow(_BASE, k, 1 << 64)
-            cls.up = np.concatenate([cls.up, cls.up * np.uint64(step)])
-            cls.down = np.concatenate([cls.down, cls.down * np.uint64(pow(step, -1, 1 << 64))])
-        return cls.up, cls.down
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that every output bit depends on every input bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -116,9 +101,13 @@ def words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     after = np.concatenate([solid[1:], [False]])
     starts = np.flatnonzero(solid & (~before | row_edge[:-1]))
     ends = np.flatnonzero(solid & (~after | row_edge[1:])) + 1
-    up, down = _Powers.of(len(raw) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_CODES[raw] * up[: len(raw)], dtype=np.uint64)])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    at = np.arange(len(raw))
+    place = at - np.maximum.accumulate(np.where(solid & (~before | row_edge[:-1]), at, 0))
+    codes = _CODES[place & (_PLACES - 1), raw]
+    if len(starts) and (ends - starts).max() > _PLACES:
+        codes *= mix((place // _PLACES).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) << np.uint64(1) | np.uint64(1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes, dtype=np.uint64)])
+    hashes = mix(total[ends] - total[starts] + (ends - starts).astype(np.uint64))
     return hashes, np.stack([starts, ends], axis=1), np.searchsorted(starts, offsets)
 
 

@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, pieces, table, text_buffer, words
+from .common import gram_hashes, mix, pieces, table, text_buffer, words
 
 #: Words of the shortest repeat, and of the grams that anchors are chosen from.
 LENGTH, GRAM = 13, 5
 #: Bits of a gram's hash that are compared: one that only seems shared costs work, not results.
 GRAM_BITS = 48
-_KEY = "known boolean, route long, doc long, place long"
+#: A place is a word's number in its row, with so many bits of the row's mark above it.
+PLACE_BITS, MARK_BITS = 32, 31
+#: Anchors or windows that a worker holds at once; repeats among them are found without a shuffle.
+HELD_ROWS = 4_000_000
+_SEED = "known boolean, route long, doc long, place long"
+_MATCH = "known boolean, n int, src long, src_place long, route long, doc long, place long"
+_RUN = "doc long, place long, n int, src long, src_place long"
 
 
 def anchor_places(hashes: np.ndarray, first: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,65 +47,91 @@ def anchor_places(hashes: np.ndarray, first: np.ndarray, length: int, gram: int)
     return starts, at[starts], grams[at[starts]]
 
 
-def _local_first(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the rows by (key, doc); in that order, the least doc of each row's key and the start of its group."""
-    order = np.lexsort((docs, keys))
+def _by_key(keys: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the rows by key, doc and place; in that order, where each key begins and each row's key's beginning."""
+    order = np.lexsort((places, docs, keys))
     k = keys[order]
     new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    return order, docs[order][new][group] if len(k) else docs, np.flatnonzero(new)
+    begins = np.flatnonzero(new)
+    return order, begins, begins[np.cumsum(new) - 1] if len(k) else begins
+
+
+def _emit(schema: str, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    kinds = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64()}
+    fields = [f.split() for f in schema.split(", ")]
+    for at in range(0, len(columns[0]), 200_000):
+        arrays = [pa.array(c[at : at + 200_000], kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, [n for n, _ in fields])
+
 
+def _spread(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A route for rows that need not meet any other."""
+    return mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.view(np.uint64)).view(np.int64)
 
-def _rows(known, route, doc, place) -> pa.RecordBatch:
-    kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((known, route, doc, place), kinds, strict=True)], ["known", "route", "doc", "place"])
 
+class _Held:
+    """Columns of rows, gathered until there are HELD_ROWS of them."""
 
-def _emit(known: np.ndarray, route: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(doc), 200_000):
-        part = slice(at, at + 200_000)
-        yield _rows(known[part], route[part], doc[part], place[part])
+    def __init__(self, answer):
+        self.answer, self.parts, self.size = answer, [], 0
 
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(columns)
+        self.size += len(columns[0])
+        if self.size >= HELD_ROWS:
+            yield from self.flush()
 
-def _gather(parts: list[np.ndarray], kind) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
+            self.parts, self.size = [], 0
+            yield from self.answer(*columns)
 
 
 def _seeds(length: int, gram: int):
-    """Anchors of a partition's documents. What the partition alone shows to be shared is known; a gram that several
-    of its documents have is asked for once, with place -1, so a frequent gram has one row a partition."""
+    """Anchors of documents. What the rows held at once show to be shared is known; a gram that several of their
+    documents have is asked for once, with place -1, so a frequent gram has a row for each HELD_ROWS, not for each
+    place."""
+
+    def answer(keys: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order, begins, begin = _by_key(keys, doc, place)
+        keys, doc, place = keys[order].view(np.int64), doc[order], place[order]
+        last = np.concatenate([begins[1:], [len(doc)]]) - 1
+        shared = np.repeat(doc[begins] != doc[last], last - begins + 1)
+        yield from _emit(_SEED, shared, np.where(shared, _spread(doc, place), keys), doc, place)
+        told = begins[shared[begins]]
+        yield from _emit(_SEED, np.zeros(len(told), bool), keys[told], doc[told], np.full(len(told), -1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, docs, places = [], [], []
+        held = _Held(answer)
         for batch in pieces(batches, "body"):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             hashes, _, first = words(batch.column(1))
             _, at, keys = anchor_places(hashes, first, length, gram)
             at, own = np.unique(at, return_index=True)
             row = np.searchsorted(first, at, side="right") - 1
-            hashed.append(keys[own] >> np.uint64(64 - GRAM_BITS))
-            docs.append(ids[row].astype(np.int64))
-            places.append(at - first[row])
-        keys, doc, place = _gather(hashed, np.uint64), _gather(docs, np.int64), _gather(places, np.int64)
-        order, least, begins = _local_first(keys, doc)
-        if not len(order):
-            return
-        keys, doc, place = keys[order].view(np.int64), doc[order], place[order]
-        sizes = np.diff(np.concatenate([begins, [len(doc)]]))
-        shared = np.repeat(doc[begins] != doc[begins + sizes - 1], sizes)
-        yield from _emit(shared, np.where(shared, doc, keys), doc, place)
-        told = begins[shared[begins]]
-        yield from _emit(np.zeros(len(told), bool), keys[told], doc[told], np.full(len(told), -1))
+            yield from held.add(keys[own] >> np.uint64(64 - GRAM_BITS), ids[row].astype(np.int64), at - first[row])
+        yield from held.flush()
 
     return run
 
 
 def _windows(length: int, gram: int):
-    """Windows round shared anchors of a partition's documents. Those of which the partition has an earlier document
-    are known to go; for the others, the earliest of each text in the partition, the window's hash is asked for."""
+    """Windows round shared anchors of documents. Those of which the rows held at once have an earlier document are
+    matched with it, run by run; for the others, the earliest of each text among them, the window's hash is asked for."""
+
+    def answer(keys: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order, _, begin = _by_key(keys, doc, place)
+        keys, doc, place = keys[order].view(np.int64), doc[order], place[order]
+        src, src_place = doc[begin], place[begin]
+        asked, none = doc == src, np.zeros(len(doc), np.int64)
+        yield from _emit(_MATCH, *(c[asked] for c in (none > 0, none + 1, none, none, keys, doc, place)))
+        doc, place, src, src_place = (c[~asked] for c in (doc, place, src, src_place))
+        n, doc, place, src, src_place = _extend(np.ones(len(doc), np.int64), doc, place, src, src_place)
+        yield from _emit(_MATCH, n > 0, n, src, src_place, _spread(doc, place), doc, place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, docs, places = [], [], []
+        held = _Held(answer)
         for batch in pieces(batches, "body"):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             marks = batch.column(2).to_numpy(zero_copy_only=False)
@@ -113,104 +146,173 @@ def _windows(length: int, gram: int):
             is_seed[flat[flat < first[seed_row + 1]]] = True
             starts = starts[is_seed[at]]
             row = np.searchsorted(first, starts, side="right") - 1
-            hashed.append(gram_hashes(hashes, length, 101)[starts])
-            docs.append(ids[row])
-            places.append(marks[row] << 32 | (starts - first[row]))
-        keys, doc, place = _gather(hashed, np.uint64), _gather(docs, np.int64), _gather(places, np.int64)
-        order, least, _ = _local_first(keys, doc)
-        if not len(order):
-            return
-        keys, doc, place = keys[order].view(np.int64), doc[order], place[order]
-        asked = doc == least
-        yield from _emit(np.zeros(asked.sum(), bool), keys[asked], doc[asked], place[asked])
-        doc, place = _runs(doc[~asked], place[~asked])
-        yield from _emit(np.ones(len(doc), bool), doc, doc, place)
+            place = marks[row] << PLACE_BITS | (starts - first[row])
+            yield from held.add(gram_hashes(hashes, length, 101)[starts], ids[row], place)
+        yield from held.flush()
 
     return run
 
 
-def _runs(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of consecutive places as one: the place of the first, with how many more follow it above bit 48."""
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
+def _extend(n: np.ndarray, doc: np.ndarray, place: np.ndarray, src: np.ndarray, src_place: np.ndarray) -> tuple:
+    """Matches (n windows from a place of doc equal those from a place of src) put together while both sides go on
+    without a gap: each match is extended both ways as far as it goes with this source. Repeated rows count once."""
+    order = np.lexsort((-n, place, doc))
+    again = np.zeros(len(doc), bool)
+    again[1:] = (np.diff(doc[order]) == 0) & (np.diff(place[order]) == 0)
+    order = order[~again]
+    n, doc, place, src, src_place = (c[order] for c in (n, doc, place, src, src_place))
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)
+    new[1:] = (np.diff(doc) != 0) | (np.diff(src) != 0) | (np.diff(place) != n[:-1]) | (np.diff(src_place) != n[:-1])
     begins = np.flatnonzero(new)
-    new[np.arange(len(doc)) - begins[np.cumsum(new) - 1] & 0x7FFF == 0] = True
-    begins = np.flatnonzero(new)
-    sizes = np.diff(np.concatenate([begins, [len(doc)]]))
-    return doc[begins], place[begins] | (sizes - 1) << 48
+    total = np.add.reduceat(n, begins) if len(n) else n
+    return total, *(c[begins] for c in (doc, place, src, src_place))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The extended matches of documents (doc, matches)."""
+    for batch in batches:
+        row = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(batch.column(1).offsets.to_numpy()))
+        match = batch.column(1).flatten()
+        n, place, src, src_place = (match.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+        n, doc, place, src, src_place = _extend(n, row, place, src, src_place)
+        yield from _emit(_RUN, doc, place, n, src, src_place)
 
 
-def covered_words(
+def _digest(raw: memoryview, spans: np.ndarray) -> bytes:
+    """Of the words themselves, so that equal digests are equal words."""
+    return blake2b(b" ".join([raw[a:b] for a, b in spans.tolist()]), digest_size=16).digest()
+
+
+def _digests(length: int):
+    """Digests of the words of asked runs (id, body, mark, asked: place and n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "body"):
+            raw, _ = text_buffer(batch.column(1))
+            _, spans, first = words(batch.column(1))
+            raw, asked = memoryview(raw.tobytes()), batch.column(3)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
+            place, n = (asked.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            own = np.flatnonzero(place >> PLACE_BITS == batch.column(2).to_numpy(zero_copy_only=False)[row])
+            row, place, n = row[own], place[own], n[own]
+            at = first[row] + (place & (1 << PLACE_BITS) - 1)
+            found = [_digest(raw, spans[a:b]) for a, b in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True)]
+            columns = [pa.array(batch.column(0).to_numpy(zero_copy_only=False)[row]), pa.array(place), pa.array(n, pa.int32()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["src", "src_place", "n", "digest"])
+
+    return run
+
+
+class _Verified:
+    """The runs of a batch (id, body, mark, rest, runs) whose words are their source's: row, first word, number of
+    words, and place in the list of runs."""
+
+    def __init__(self, batch: pa.RecordBatch, length: int):
+        raw, self.offsets = text_buffer(batch.column(1))
+        _, self.spans, self.first = words(batch.column(1))
+        self.raw = memoryview(raw.tobytes())
+        runs, marks = batch.column(4), batch.column(2).to_numpy(zero_copy_only=False)
+        lengths = np.where(runs.is_valid().to_numpy(zero_copy_only=False), np.diff(runs.offsets.to_numpy()), 0)
+        self.runs = runs.flatten()
+        row = np.repeat(np.arange(batch.num_rows), lengths)
+        place, n = (self.runs.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+        own = np.flatnonzero(place >> PLACE_BITS == marks[row])
+        at = self.first[row[own]] + (place[own] & (1 << PLACE_BITS) - 1)
+        size = n[own] + length - 1
+        theirs = self.runs.field(2).take(pa.array(own)).to_pylist()
+        same = [_digest(self.raw, self.spans[a : a + k]) == d for a, k, d in zip(at.tolist(), size.tolist(), theirs, strict=True)]
+        same = np.array(same, bool)
+        self.row, self.at, self.size, self.which = row[own][same], at[same], size[same], own[same]
+
+
+def verified_runs(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """id, body (the text), mark, rest (the columns `keep`), covered: starts (with the row's 16-bit mark above bit 32, and
-    the number of windows that follow at once above bit 48) of the windows that an earlier document has; null for none.
+    """id, body (the text), mark, rest (the columns `keep`), runs: of each row the maximal runs of words that its
+    windows' least documents have, as place, n (windows), digest of the source's words, src, src_place; null for none.
 
     Seed: each window of `length` words has one anchor, its gram with the least hash (winnowing: any shared window
-    makes both documents choose the same anchor). Anchors that only one document has are dropped. Extend: round each
-    anchor left, the windows reaching both ways that have it as theirs are hashed, and each distinct window's least
-    document is found; runs of such windows are the maximal repeats. No documents are paired, and each partition
-    answers its own repeats first, so a gram or window that many documents have costs a row a partition.
-
-    Documents are told apart by id; rows that share one never remove from each other (the mark, from the text's hash,
-    keeps their windows apart). Rows without an id neither remove nor lose anything. Null, empty and short texts have
-    no windows. Repeats within one document stay. An empty table gives no rows.
+    makes both documents choose the same anchor). Anchors that only one document has are dropped. The windows that
+    reach both ways round a shared anchor and have it as theirs are hashed, and each distinct window is linked to its
+    least document's first one. Extend: linked windows are put together while document and source go on side by side,
+    so a run ends where the words, or the least document, change. Each source gives a digest of each run's words, with
+    which the caller compares the document's own words: windows whose hashes only happened to be equal stay.
+
+    No documents are paired, and each worker answers repeats among the rows it holds first, so a gram or window that
+    many documents have costs a row for each HELD_ROWS. A run that many documents share is asked of its source once.
+
+    Documents are told apart by id; rows that share one never remove from each other (MARK_BITS of their texts' hashes
+    keep their windows apart). Rows without an id neither remove nor lose anything. Null, empty and short texts have
+    no windows; long texts are cut into windows whole. Repeats within one document stay. An empty table gives no rows.
     """
     text = F.col(text_col).cast("string")
-    mark = F.xxhash64("body").bitwiseAND(F.lit(0xFFFF)).alias("mark")
+    mark = F.xxhash64("body").bitwiseAND(F.lit((1 << MARK_BITS) - 1)).alias("mark")
     rest = F.struct(*keep) if keep else F.lit(0)
     every = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("body"), rest.alias("rest"))
-    # Both joins below take these same rows, so the texts are shuffled once and the exchange is reused.
+    # The joins below take these same rows by id, so the texts are shuffled once and the exchange is reused.
     rows = every.filter("id is not null")
-    seeds = rows.select("id", "body").mapInArrow(_seeds(length, gram), _KEY)
+    seeds = rows.select("id", "body").mapInArrow(_seeds(length, gram), _SEED)
     gram_rows = Window.partitionBy("known", "route")
     shared = F.col("known") | (F.min("place").over(gram_rows) < 0) | (F.min("doc").over(gram_rows) < F.max("doc").over(gram_rows))
     seeds = seeds.withColumn("shared", shared).filter("shared and place >= 0")
     seeds = seeds.groupBy("doc").agg(F.collect_list("place").alias("seeds"))
-    found = rows.join(seeds, rows.id == seeds.doc).select("id", "body", mark, "seeds", "rest").mapInArrow(_windows(length, gram), _KEY)
-    earlier = F.col("known") | (F.col("doc") > F.min("doc").over(gram_rows))
-    gone = found.withColumn("earlier", earlier).filter("earlier").groupBy("doc").agg(F.collect_list("place").alias("covered"))
-    covered = rows.join(gone, rows.id == gone.doc, "left").select("id", "body", mark, "rest", "covered")
-    none = F.lit(None).cast("array<long>").alias("covered")
-    return covered.unionByName(every.filter("id is null").select("id", "body", mark, "rest", none))
+    found = rows.join(seeds, rows.id == seeds.doc).select("id", "body", mark, "seeds").mapInArrow(_windows(length, gram), _MATCH)
+    earliest = Window.partitionBy("known", "route").orderBy("doc", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    linked = found.withColumns({"least": F.first("doc").over(earliest), "least_place": F.first("place").over(earliest)}).filter("known or doc > least")
+    match = F.struct(
+        "n", "place", F.when(F.col("known"), F.col("src")).otherwise(F.col("least")).alias("src"),
+        F.when(F.col("known"), F.col("src_place")).otherwise(F.col("least_place")).alias("src_place"),
+    )
+    runs = linked.groupBy("doc").agg(F.collect_list(match).alias("matches")).mapInArrow(_runs, _RUN)
+    asked = runs.groupBy("src").agg(F.collect_set(F.struct("src_place", "n")).alias("asked"))
+    digests = rows.join(asked, rows.id == asked.src).select("id", "body", mark, "asked").mapInArrow(_digests(length), "src long, src_place long, n int, digest binary")
+    digests = digests.groupBy("src", "src_place", "n").agg(F.first("digest").alias("digest"))
+    told = runs.join(digests, ["src", "src_place", "n"]).groupBy("doc").agg(F.collect_list(F.struct("place", "n", "digest", "src", "src_place")).alias("runs"))
+    whole = rows.join(told, rows.id == told.doc, "left").select("id", "body", mark, "rest", "runs")
+    none = F.lit(None).cast(whole.schema["runs"].dataType).alias("runs")
+    return whole.unionByName(every.filter("id is null").select("id", "body", mark, "rest", none))
+
+
+def maximal_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, start, n_words, src, src_start: the runs of verified_runs() whose words equal the source's, in words from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "body"):
+            held = _Verified(batch, length)
+            src, src_place = (held.runs.field(i).to_numpy(zero_copy_only=False)[held.which] for i in (3, 4))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[held.row]
+            yield from _emit("id long, start long, n_words long, src long, src_start long", ids, held.at - held.first[held.row], held.size, src, src_place & (1 << PLACE_BITS) - 1)
+
+    return verified_runs(docs.filter(F.col(id_col).isNotNull()), length, gram, id_col, text_col).mapInArrow(run, "id long, start long, n_words long, src long, src_start long")
 
 
 def remove_repeats(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
     keep: tuple[str, ...] = (), as_is: bool = False,
 ) -> DataFrame:
-    """id, n_words, n_removed, kept_text, rest (a struct of the columns `keep`): the words not covered by a window of
-    covered_words(), joined by a space; with `as_is`, a text that loses nothing stays as it is."""
+    """id, n_words, n_removed, kept_text, rest (a struct of the columns `keep`): the words that no run of
+    verified_runs() with its source's words covers, joined by a space; with `as_is`, a text that loses nothing stays
+    as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "body"):
-            raw, offsets = text_buffer(batch.column(1))
-            _, spans, first = words(batch.column(1))
-            rows, marks = batch.num_rows, batch.column(2).to_numpy(zero_copy_only=False)
-            covered = batch.column(4)
-            lengths = np.where(covered.is_valid().to_numpy(zero_copy_only=False), np.diff(covered.offsets.to_numpy()), 0)
-            values, row = covered.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(rows), lengths)
-            own = values >> 32 & 0xFFFF == marks[row]
-            starts = (values & 0xFFFFFFFF)[own] + first[row[own]]
-            edges = np.zeros(len(spans) + 1, np.int64)
-            np.add.at(edges, starts, 1)
-            np.add.at(edges, starts + (values[own] >> 48) + length, -1)
-            keep = np.cumsum(edges[:-1]) == 0
-            buffer, texts, removed = raw.tobytes(), [], []
-            for i in range(rows):
+            held = _Verified(batch, length)
+            edges = np.zeros(len(held.spans) + 1, np.int64)
+            np.add.at(edges, held.at, 1)
+            np.add.at(edges, held.at + held.size, -1)
+            keep, first, texts, removed = np.cumsum(edges[:-1]) == 0, held.first, [], []
+            for i in range(batch.num_rows):
                 part = slice(first[i], first[i + 1])
-                kept = spans[part][keep[part]]
+                kept = held.spans[part][keep[part]]
                 removed.append(int(first[i + 1] - first[i] - len(kept)))
                 if as_is and not removed[-1]:
-                    texts.append(buffer[offsets[i] : offsets[i + 1]])
+                    texts.append(bytes(held.raw[held.offsets[i] : held.offsets[i + 1]]))
                 else:
-                    texts.append(b" ".join([buffer[a:b] for a, b in kept.tolist()]))
+                    texts.append(b" ".join([held.raw[a:b] for a, b in kept.tolist()]))
             columns = [batch.column(0), pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), batch.column(3)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_removed", "kept_text", "rest"])
 
-    found = covered_words(docs, length, gram, id_col, text_col, keep)
+    found = verified_runs(docs, length, gram, id_col, text_col, keep)
     return found.mapInArrow(run, f"id long, n_words long, n_removed long, kept_text string, rest {found.schema['rest'].dataType.simpleString()}")
 
 
