@@ -9,6 +9,8 @@ from .common import WORD, cut_lineage, table
 
 #: Weights of the sources in order, again and again; most copies of a document; seed of the offsets.
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 20240229
+#: Rows of one source and size that are ordered together.
+RUN_ROWS = 500
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -46,32 +48,46 @@ def offset(source: F.Column, seed: int) -> F.Column:
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED, run_rows: int = 50_000) -> DataFrame:
-    """id, source, size, source_size, target, copies: how often the mix takes each document (0 to MOST times).
+def place_hash(id_col: F.Column, seed: int) -> F.Column:
+    """32 hexadecimal digits that the seed and the id fix; documents of one size stand in their order."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit(""))))
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED,
+    run_rows: int = RUN_ROWS, key: F.Column | None = None,
+) -> DataFrame:
+    """id, source, size, source_size, target, copies (0 to MOST), key: how often the mix takes each document.
 
     Every document of a source has the same expected copies, target / source_size. Documents of a source stand in
-    order of size (then in a fixed order); their expected copies are added up from one random offset, and a document
-    is taken once for each whole number that its own share crosses. Because neighbours in that order have nearly equal
-    sizes, the words taken miss the target by no more than the source's largest document has.
-
-    The running count has no window over a whole source: rows are counted by (source, size, slice of a hash of the
-    id), the counts (pre-aggregated on the map side) are added up, and only the rows of one such group are ordered by
-    themselves; slices are added until a group of the commonest size holds about `run_rows` rows. Equal rows get equal
-    or neighbouring places, so reruns agree. Null text has size 0; documents of size 0 are taken or not, to no effect.
+    order of size, then of place_hash(id), then of `key` (any column of the documents; by default a digest of the
+    text); their expected copies are added up from one random offset, and a document is taken once for each whole
+    number that its own share crosses. Because neighbours in that order have nearly equal sizes, the words taken miss
+    the target by no more than the source's largest document has.
+
+    The running count has no window over a whole source: rows are counted by (source, size, slice), a slice being a
+    range of place hashes, the counts (pre-aggregated on the map side) are added up, and only the rows of one slice are
+    ordered by themselves. A source and size has a slice for each `run_rows` rows. Slices are ranges of one order, so
+    their number changes no result. Sources are one row each where targets are set. Rows that are equal in all of this
+    get neighbouring places, so reruns agree. Null text has size 0; documents of size 0 are taken or not, to no effect.
     An empty table gives no rows.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = cut_lineage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")))
+    key = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) if key is None else key
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"),
+        place_hash(F.col(id_col), seed).alias("hash"), key.alias("key"),
+    )
+    rows = cut_lineage(rows)
     groups = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
-    slices = F.greatest(F.lit(1), F.ceil(F.col("n") / run_rows)).cast("long")
-    groups = cut_lineage(groups.withColumn("slices", slices))
+    groups = cut_lineage(groups.withColumn("slices", F.greatest(F.lit(1), F.ceil(F.col("n") / run_rows)).cast("long")))
     sizes = groups.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     targets = source_targets(sizes)
-    sized = groups.select(F.col("source").alias("of_source"), F.col("size").alias("of_size"), "slices")
+    # Only sources and sizes of more rows than a run has slices are joined; of these there are n / run_rows at most.
+    sized = groups.filter("slices > 1").select(F.col("source").alias("of_source"), F.col("size").alias("of_size"), "slices")
     in_group = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size"))
-    sliced = rows.join(sized, in_group).select(
-        "id", "source", "size", F.pmod(F.xxhash64("id", F.lit(seed)), "slices").alias("slice")
-    )
+    part = F.floor(F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") * F.coalesce("slices", F.lit(1)) / F.lit(1 << 32))
+    sliced = rows.join(sized, in_group, "left").select("id", "source", "size", "hash", "key", part.alias("slice"))
     counts = sliced.groupBy("source", "size", "slice").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("source").orderBy("size", "slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
@@ -80,19 +96,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         F.col("source").alias("of_source"), F.col("size").alias("of_size"), F.col("slice").alias("of_slice"), "start", "source_size", "target"
     )
     placed = sliced.join(starts, in_group & (F.col("slice") == F.col("of_slice")))
-    place = F.col("start") + F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("id"))
+    place = F.col("start") + F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("hash", "key"))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = lambda at: F.floor(expected * at + offset(F.col("source"), seed))
-    return placed.withColumn("place", place).select(
-        "id", "source", "size", "source_size", "target", (crossed(F.col("place")) - crossed(F.col("place") - 1)).cast("long").alias("copies")
-    )
+    copies = (crossed(F.col("place")) - crossed(F.col("place") - 1)).cast("long")
+    return placed.withColumn("place", place).select("id", "source", "size", "source_size", "target", copies.alias("copies"), "key")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns they have."""
-    copies = mix(docs, id_col, **options).filter("copies > 0").select(F.col("id").alias("_id"), F.col("copies").alias("_copies")).dropDuplicates(["_id"])
-    found = docs.join(copies, docs[id_col].eqNullSafe(copies._id))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_id", "_copies", "_copy")
+    """The documents of the mix, each as often as mix() takes it, with the columns they have.
+
+    Rows are told apart by a digest of all their columns, so rows that share an id, or have none, each get their own
+    copies; wholly equal rows are one row, which gets the copies of all of them. An empty table gives no rows.
+    """
+    whole = F.struct(*docs.columns)
+    key = F.md5(F.to_json(whole))
+    copies = mix(docs, id_col, key=key, **options).groupBy("key").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    rows = docs.select(key.alias("key"), whole.alias("doc")).groupBy("key").agg(F.first("doc").alias("doc"))
+    found = rows.join(copies, "key").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return found.select("doc.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,11 +125,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_mixing": op3_mixing}
-# With fewer rows of one source and size than run_rows there is one slice, so places go by size and id.
 ORACLE_SQL = {
     "op3_mixing": r"""
 WITH rows AS (
-    SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+    SELECT doc_id, source, md5('20240229:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hash, md5(coalesce(text, '')) AS key,
+        CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), sizes AS (
     SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM rows GROUP BY source
 ), weighted AS (
@@ -126,7 +148,7 @@ WITH rows AS (
     FROM levels l, first_fit f
 ), placed AS (
     SELECT r.*, t.source_size, t.target,
-        row_number() OVER (PARTITION BY r.source ORDER BY r.size, r.doc_id) AS place,
+        row_number() OVER (PARTITION BY r.source ORDER BY r.size, r.hash, r.key) AS place,
         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS expected,
         CAST('0x' || substr(md5('20240229:' || coalesce('s' || r.source, '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS start
     FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
