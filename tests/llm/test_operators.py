@@ -166,6 +166,28 @@ def test_mixing(spark):
     assert sum(targets.values()) == pytest.approx(sum(size.values()))
 
 
+def test_mixing_is_the_same_for_any_number_of_slices(spark):
+    rows = [*corpus(4), *((5000 + i, "same size here", None, "a") for i in range(300))]
+    found = [sorted(map(tuple, mixing.mix(docs(spark, rows).repartition(parts), run_rows=n).collect()), key=str) for parts, n in ((1, 10**6), (5, 7), (3, 500))]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+
+
+def test_mixed_documents_follow_mix(spark):
+    rows = [*corpus(4), *((1, f"word {i} " * 3, "en", "a") for i in range(20)), *((None, f"none {i}", "en", "ü") for i in range(9)), *((7, "equal rows", None, "b"),) * 5]
+    frame = docs(spark, rows)
+    got = mixing.mixed_documents(frame)
+    assert got.columns == frame.columns
+    found = [tuple(r) for r in got.collect()]
+    assert sorted(found, key=str) == sorted(map(tuple, mixing.mixed_documents(frame.repartition(3)).collect()), key=str)
+    words = Counter()
+    for r in found:
+        words[r[3]] += len(words_of(r[1]))
+    targets, sizes = brute_mix(rows)
+    for s, target in targets.items():
+        assert abs(words[s] - target) <= max(len(words_of(r[1])) for r in rows if (*r, None, None)[3] == s)
+    assert mixing.mixed_documents(docs(spark, [])).count() == 0
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert [r.copies for r in mixing.mix(docs(spark, [(1, None), (2, "")])).collect()] == [0, 0]
@@ -183,20 +205,34 @@ def minimax(sizes, shards):
     return best[shards][len(sizes)]
 
 
-@pytest.mark.parametrize("shards", [1, 2, 5, 9])
-def test_minimax_cuts(spark, shards):
+@pytest.mark.parametrize("shards,first_bits", [(1, 3), (4, 3), (7, 8), (40, 5)])
+def test_minimax_cuts(spark, shards, first_bits):
     rng = random.Random(shards)
-    for n in (1, 4, 30):
-        sizes = [rng.choice([1, 2, 3, 50, 7]) for _ in range(n)]
-        cuts = sharding.minimax_cuts(spark.createDataFrame([(3 * i, s) for i, s in enumerate(sizes)], "place long, bytes long"), shards)
+    for n, sizes in ((1, [9]), (30, [1, 2, 3, 7]), (400, [1, 2, 3, 7, 30]), (400, [5, 6, 5000])):
+        keys = sorted({rng.randrange(-(2**63), 2**63) for _ in range(n)})
+        groups = [(k, rng.choice(sizes[:2]) if rng.random() < 0.9 else rng.choice(sizes)) for k in keys]
+        cuts = sharding.minimax_cuts(spark.createDataFrame(groups, "group long, bytes long"), shards, first_bits)
         assert len(cuts) < shards and sorted(set(cuts)) == cuts
-        parts = [sum(s for i, s in enumerate(sizes) if sum(c <= 3 * i for c in cuts) == k) for k in range(shards)]
-        assert max(parts) == minimax(sizes, shards)
+        parts = [[s for k, s in groups if sum(c <= k for c in cuts) == j] for j in range(shards)]
+        assert max(map(sum, parts)) == minimax([s for _, s in groups], shards)
+        # But for single large groups, no shard is over the smallest capacity that does.
+        def needs(capacity):
+            used, fill = 0, 0
+            for _, s in groups:
+                if s > capacity or fill + s > capacity:
+                    used, fill = used + (fill > 0) + (s > capacity), 0 if s > capacity else s
+                else:
+                    fill += s
+            return used + (fill > 0)
+
+        least = next(c for c in range(1, sum(s for _, s in groups) + 1) if needs(c) <= shards)
+        assert max((sum(p) for p in parts if len(p) > 1), default=0) <= least
 
 
 def test_shards(spark):
     rows = corpus(6) + [(2000 + i, "copy of one text") for i in range(150)]
     got = sharding.shard(docs(spark, rows), 5, run_rows=7).collect()
+    assert sorted(map(str, got)) == sorted(map(str, sharding.shard(docs(spark, rows).repartition(3), 5).collect()))
     text = {i: t for i, t, *_ in rows}
     by_text, slots = defaultdict(set), defaultdict(list)
     import zlib
@@ -262,6 +298,51 @@ def test_substrings(spark, length, gram):
     assert substrings.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_maximal_repeats_extend_and_cover(spark):
+    rows = corpus(10, 80)
+    split = {i: words_of(t) for i, t, *_ in rows if i is not None}
+    found = substrings.maximal_repeats(docs(spark, rows).repartition(5), 6, 3).collect()
+    gone = defaultdict(set)
+    for r in found:
+        own, theirs = split[r.id], split[r.src]
+        assert r.src < r.id and r.n_words >= 6 and own[r.start : r.start + r.n_words] == theirs[r.src_start : r.src_start + r.n_words]
+        gone[r.id] |= set(range(r.start, r.start + r.n_words))
+    want = {i: n for i, _, n, _ in brute_repeats(rows, 6)}
+    assert {i: len(g) for i, g in gone.items()} == {i: n for i, n in want.items() if n}
+    copy, first = 1005, min(i for i, t in split.items() if t == split[1005])
+    assert any(r.id == copy and r.src == first and (r.start, r.n_words) == (0, len(split[copy])) for r in found) or len(split[copy]) < 6
+    assert substrings.maximal_repeats(docs(spark, [])).count() == 0
+
+
+def test_substrings_compare_words_not_hashes(spark, monkeypatch):
+    """All windows hash alike: then only runs whose words are truly the source's may go."""
+    import numpy as np
+
+    monkeypatch.setattr(substrings, "gram_hashes", lambda hashes, n, salt: np.zeros(max(0, len(hashes) - n + 1), np.uint64))
+    text = {0: "a b c d e f g", 1: "h i j k l m n", 2: "a b c d e f g", 3: "o p a b c d e f"}
+    found = {r.id: r.kept_text for r in substrings.remove_repeats(docs(spark, text.items()), 6, 3).collect()}
+    assert found[0] == text[0] and found[1] == text[1]
+    assert all(found[k] == text[k] or set(text[k].split()) - set(found[k].split()) <= set("abcdefg") for k in (2, 3))
+
+
+def test_words_of_any_length_hash_by_their_bytes():
+    import numpy as np
+    import pyarrow as pa
+
+    from tracewright.llm.common import words
+
+    long = ["x" * 600, "x" * 601, "x" * 300 + "y" + "x" * 299, "ab" * 400, "ba" * 400]
+    texts = ["a b a", None, "", " \t", *long, " ".join(long), "ab ba aab"]
+    hashes, spans, first = words(pa.array(texts))
+    seen = {}
+    for text, a, b in zip(texts, first, first[1:], strict=False):
+        w = words_of(text)
+        assert len(w) == b - a
+        for word, h in zip(w, hashes[a:b].tolist(), strict=True):
+            assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen) and len(spans) == len(hashes) and hashes.dtype == np.uint64
+
+
 def brute_signatures(text):
     bare = [b for w in (text or "").encode().split() if (b := w.decode().lower().encode().strip(spotsigs._STRIP))]
     out = set()
@@ -361,7 +442,7 @@ def test_link_trust(spark):
         page(10, "https://x.org/fr/"),
         *(page(100 + i, f"https://plain{i}.io/") for i in range(30)),
     ]
-    frame = spark.createDataFrame([(*r, "q") for r in rows], "page_id long, url string, html string, host string").drop("host")
+    frame = spark.createDataFrame([(*r, "q") for r in rows], "page_id long, url string, html string, host string")
     got = {r.page_id: r for r in link_trust.judge_urls(frame).collect()}
     assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("good.example.net", "/en/x", "example.net/en/", "allow")
     assert (got[2].host, got[2].rule, got[2].verdict) == ("bad.net", "net/", "block")
@@ -372,6 +453,45 @@ def test_link_trust(spark):
     assert link_trust.judge_urls(frame.limit(0)).count() == 0
 
 
+def test_link_trust_does_not_depend_on_how_links_are_dealt(spark):
+    rng = random.Random(21)
+    links = [(f"h{a}", f"h{b}", rng.randint(1, 3)) for a, b in {(rng.choice([0, 0, rng.randrange(30)]), rng.randrange(30)) for _ in range(120)} if a != b]
+    seeds = [("allow", "h1", 2), ("allow", "h2", 1), ("block", "h3", 4), ("every", "h1", 1), ("every", "h0", 5)]
+    totals = {"allow": 3, "block": 4, "every": 6}
+    frames = spark.createDataFrame(links, "src string, dst string, n long"), spark.createDataFrame(seeds, "says string, host string, n long")
+    found = [sorted(map(tuple, link_trust.propagate(*frames, totals, 6, run).collect())) for run in (2, 10_000)]
+    want = defaultdict(int)
+    for says, host, n in seeds:
+        want[says, host] = n * (link_trust.UNITS // totals[says])
+    first = dict(want)
+    for _ in range(6):
+        step = defaultdict(int, {k: v // 100 * 15 for k, v in first.items()})
+        for says in totals:
+            ways = [(a, b, n) if says == "allow" else (b, a, n) for a, b, n in links]
+            out = Counter()
+            for a, _, n in ways:
+                out[a] += n
+            for a, b, n in ways:
+                step[says, b] += want[says, a] // 100 * 85 // out[a] * n
+        want = step
+    assert found[0] == found[1]
+    assert {(r[0], r[1]): r[2] for r in found[0] if r[2]} == {k: v for k, v in want.items() if v}
+
+
+def test_owners_of_hosts(spark):
+    rows = spark.createDataFrame([(i, f"http://{h}/", None) for i, h in enumerate(["a.b.co.uk", "b.co.uk", "c.co.uk", "x.y.com", "z.com.br.io"])], "page_id long, url string, html string")
+    pages = rows.select("page_id", link_trust.host_of(F.col("url")).alias("host"), "html")
+    found = {(r.src, r.dst) for r in link_trust.host_links(pages).collect()}
+    assert found == {("a.b.co.uk", "b.co.uk"), ("b.co.uk", "a.b.co.uk"), ("x.y.com", "y.com"), ("y.com", "x.y.com"), ("z.com.br.io", "br.io"), ("br.io", "z.com.br.io")}
+
+
+def test_link_trust_of_repeated_rows_and_long_pages(spark):
+    long = "x" * 300_000 + '<a href="http://bad.net/">' + "y" * 300_000
+    rows = [(1, "http://bad.net/a", None), (1, "http://bad.net/a", None), (2, "http://fan.io/", long), *((10 + i, f"http://p{i}.io/", "") for i in range(40))]
+    got = link_trust.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and {r.verdict for r in got if r.page_id in (1, 2)} == {"block"}
+
+
 def test_link_trust_blocks_an_unruled_page_among_blocked_ones(spark):
     urls = [*("http://bad.net/x",) * 30, "http://bets.example.com/de/1", "http://bets.example.com/de/2", "http://bets.example.com/en/3"]
     urls += [*("http://clean.example.com/",) * 5, *(f"http://plain{i}.io/" for i in range(60))]
