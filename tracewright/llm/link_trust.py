@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,16 @@ from .common import cut_lineage, table
 
 #: Rules (host suffix, path prefix, verdict); the longest that fits wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Percent of a score that walks on, number of steps, whole units that all seeds of a walk share.
-DAMPING_PERCENT, STEPS, UNITS = 85, 8, 10**15
-#: Only the SQL twin's: it blocks a host if its share of all distrust is over this percentage of its share of all pages.
-BLOCK_PERCENT = 150
+#: Percent of a score that walks on, percent of all scores that may be left to walk, units that all seeds of a walk share.
+DAMPING_PERCENT, LEFT_PERCENT, UNITS = 85, 1, 10**15
+#: After this many steps at most LEFT_PERCENT of all scores have not come to rest, whatever the links: 29.
+STEPS = ceil(log(LEFT_PERCENT / 100) / log(DAMPING_PERCENT / 100))
+#: Links of a host that one task follows; hosts with over 1 / HOT_SHARE of all pages, fewer than HOT_SHARE, are broadcast.
+LINK_RUN, HOT_SHARE = 10_000, 1000
 _LINK = r"(?i)(?:href|src)\s*=\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]*)"
-_SITE = r"[^.]+[.][^.]+$"
+#: Second-level labels under which countries register owners.
+_SHARED = "ac|co|com|edu|go|gov|ne|net|or|org"
+_SITE = rf"[^.]+[.](?:(?:{_SHARED})[.][a-z][a-z]|[^.]+)$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,7 +45,8 @@ def rule_of(host: F.Column, path: F.Column, rules=RULES) -> tuple[F.Column, F.Co
 
 def host_links(pages: DataFrame) -> DataFrame:
     """src, dst, n: links from hosts to other hosts in the pages' html, counted once a page, and for each page
-    one link each way between its host and that host's site (its last two labels), which have one owner."""
+    one link each way between its host and that host's site, which have one owner: its last two labels, or three where
+    the last two are a country's shared ones, like co.uk."""
     found = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(_LINK), 1), host_of)))
     links = pages.select(F.col("host").alias("src"), found.alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("n"))
     owned = pages.groupBy("host").agg(F.count("*").alias("n")).withColumn("site", F.regexp_extract("host", _SITE, 0))
@@ -49,29 +56,37 @@ def host_links(pages: DataFrame) -> DataFrame:
     return every.groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, totals: dict[str, int], steps: int = STEPS) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, totals: dict[str, int], steps: int = STEPS, link_run: int = LINK_RUN) -> DataFrame:
     """says, host, score: a personalised PageRank for each verdict, from its seeds (says, host, n; n adds up to totals).
 
-    The walk of `allow` follows the links (src, dst, n), those of `block` and `every` go against them. Scores are whole units and
-    every division rounds down, so sums do not depend on the order of their terms and reruns agree; what rounds off or
-    has nowhere to go is lost. Each step joins on hosts and is a checkpoint; hosts that many link to are summed on the
-    map side first.
+    The walk of `allow` follows the links (src, dst, n), those of `block` and `every` go against them. Scores are whole
+    units and every division rounds down, so sums do not depend on the order of their terms and reruns agree; what
+    rounds off or has nowhere to go is lost. The number of steps follows from the damping and what may be left to walk.
+    The links of a host are dealt by `link_run` to parts that are joined apart, and hosts that many link to are summed
+    on the map side first, so hubs on either side are split. Some steps make one plan, then a checkpoint.
     """
     share = F.create_map(*(F.lit(x) for k, n in totals.items() for x in (k, UNITS // n)))
     seed = cut_lineage(seeds.select("says", "host", (F.col("n") * share[F.col("says")]).alias("seed")))
-    against = F.explode(F.array(F.lit("block"), F.lit("every"))).alias("on")
-    ways = links.select(F.lit("allow").alias("on"), "src", "dst", "n").unionByName(
-        links.select(against, F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+    against = F.explode(F.array(F.lit("block"), F.lit("every"))).alias("says")
+    ways = links.select(F.lit("allow").alias("says"), F.col("src").alias("host"), "dst", "n").unionByName(
+        links.select(against, F.col("dst").alias("host"), F.col("src").alias("dst"), "n")
     )
-    out = ways.groupBy("on", "src").agg(F.sum("n").alias("out"))
-    ways = cut_lineage(ways.join(out, ["on", "src"]))
+    nodes = ways.groupBy("says", "host").agg(F.sum("n").alias("out"), F.ceil(F.count("*") / link_run).alias("parts"))
+    nodes = cut_lineage(nodes)
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("dst"), "parts")).otherwise(0).cast("int").alias("part")
+    ways = cut_lineage(ways.join(nodes, ["says", "host"]).select("says", "host", part, "dst", "n"))
+    kept = seed.select("says", "host", F.expr(f"seed div 100 * {100 - DAMPING_PERCENT}").alias("score"))
     score = seed.select("says", "host", F.col("seed").alias("score"))
-    for _ in range(steps):
-        moved = F.expr(f"score div 100 * {DAMPING_PERCENT} div out * n")
-        step = ways.join(score, (F.col("on") == F.col("says")) & (F.col("src") == F.col("host")))
-        gained = step.groupBy(F.col("on").alias("says"), F.col("dst").alias("host")).agg(F.sum(moved).alias("score"))
-        kept = seed.select("says", "host", F.expr(f"seed div 100 * {100 - DAMPING_PERCENT}").alias("score"))
-        score = cut_lineage(gained.unionByName(kept).groupBy("says", "host").agg(F.sum("score").alias("score")))
+    for k in range(steps):
+        moves = score.join(nodes, ["says", "host"]).select(
+            "says", "host", F.expr(f"score div 100 * {DAMPING_PERCENT} div out").alias("moved"),
+            F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"),
+        )
+        gained = ways.join(moves.filter("moved > 0"), ["says", "host", "part"])
+        gained = gained.groupBy("says", F.col("dst").alias("host")).agg(F.sum(F.col("moved") * F.col("n")).alias("score"))
+        score = gained.unionByName(kept).groupBy("says", "host").agg(F.sum("score").alias("score"))
+        if k % 5 == 4 or k == steps - 1:
+            score = cut_lineage(score)
     return score
 
 
@@ -84,9 +99,13 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     host is blocked if its distrust exceeds both its trust and what is usual for it; others are allowed.
     Rules win over that.
 
-    Null urls or urls without :// have an empty host and path and are allowed. Null html has no links. Links are
-    counted a pair of hosts before any step; no step lists more than the links. Repeated rows count again as seeds and
-    each gets the same verdict. An empty table gives no rows; other columns are dropped.
+    Null urls or urls without :// have an empty host and path and are allowed. Null html has no links, and html of any
+    length is read whole. Links are counted a pair of hosts before any step; no step lists more than the links. Repeated
+    rows count again as seeds and each gets the same verdict. An empty table gives no rows; other columns, whatever
+    their names, are dropped.
+
+    The pages of the hosts with most pages (fewer than HOT_SHARE of them, by their share) meet a broadcast verdict, all
+    others are joined by host, so the pages of one host are not gathered in a task.
     """
     url = F.col("url").cast("string")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.col("html").cast("string").alias("html"))
@@ -102,15 +121,19 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
         scores = propagate(cut_lineage(host_links(rows)), seeds.groupBy("says", "host").agg(F.sum("n").alias("n")), totals | {"every": every})
     else:
         scores = hosts.select("says", "host", F.col("n").alias("score")).limit(0)
-    sums = hosts.select("host").distinct().join(
+    sums = hosts.groupBy("host").agg(F.sum("n").alias("n")).join(
         scores.groupBy("host").agg(*(F.sum(F.when(F.col("says") == v, F.col("score")).otherwise(0)).alias(c) for v, c in (("allow", "trust"), ("block", "distrust"), ("every", "usual")))),
         "host",
         "left",
     )
     trust, distrust, usual = (F.coalesce(c, F.lit(0)) for c in ("trust", "distrust", "usual"))
     blocked = (distrust > trust) & (distrust > usual) & (F.col("host") != "")
-    verdicts = sums.select(F.col("host").alias("of"), F.when(blocked, "block").otherwise("allow").alias("method"), trust.alias("trust"), distrust.alias("distrust"))
-    found = judged.join(verdicts, judged.host == verdicts.of)
+    verdicts = sums.select(F.col("host").alias("of"), "n", F.when(blocked, "block").otherwise("allow").alias("method"), trust.alias("trust"), distrust.alias("distrust"))
+    verdicts = cut_lineage(verdicts)
+    pages_of_all = verdicts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(verdicts.filter(F.col("n") * HOT_SHARE > pages_of_all))
+    few = judged.join(hot, judged.host == hot.of, "left_anti").join(verdicts.filter(F.col("n") * HOT_SHARE <= pages_of_all), F.col("host") == F.col("of"))
+    found = judged.join(hot, judged.host == hot.of).unionByName(few)
     return found.select("page_id", "host", "path", "rule", F.coalesce("says", "method").alias("verdict"), "trust", "distrust")
 
 
@@ -123,7 +146,7 @@ def _steps_sql() -> str:
     parts = ["score0 AS (SELECT says, host, seed AS score FROM seed)"]
     for k in range(STEPS):
         parts.append(
-            f"score{k + 1} AS (SELECT says, host, CAST(sum(score) AS BIGINT) AS score FROM ("
+            f"score{k + 1} AS MATERIALIZED (SELECT says, host, CAST(sum(score) AS BIGINT) AS score FROM ("
             f"SELECT w.says, dst AS host, score // 100 * {DAMPING_PERCENT} // outgoing * n AS score FROM ways w "
             f"JOIN score{k} s ON w.says = s.says AND w.src = s.host"
             f" UNION ALL SELECT says, host, seed // 100 * {100 - DAMPING_PERCENT} FROM seed) GROUP BY says, host)"
@@ -148,26 +171,26 @@ WITH judged AS (
         regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^"''\s>]*)', 1),
         lambda u: translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}')))) AS dst FROM ruled
 ), owned AS (
-    SELECT host, regexp_extract(host, '[^.]+[.][^.]+$') AS site, count(*) AS n FROM ruled GROUP BY host
+    SELECT host, regexp_extract(host, '{_SITE}') AS site, count(*) AS n FROM ruled GROUP BY host
 ), links AS (
     SELECT src, dst, CAST(sum(n) AS BIGINT) AS n FROM (
         SELECT src, dst, 1 AS n FROM found UNION ALL SELECT host, site, n FROM owned UNION ALL SELECT site, host, n FROM owned)
     WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
 ), ways AS (
     SELECT *, CAST(sum(n) OVER (PARTITION BY says, src) AS BIGINT) AS outgoing FROM (
-        SELECT 'allow' AS says, src, dst, n FROM links UNION ALL SELECT 'block', dst, src, n FROM links)
+        SELECT 'allow' AS says, src, dst, n FROM links UNION ALL SELECT 'block', dst, src, n FROM links
+        UNION ALL SELECT 'every', dst, src, n FROM links)
+), seeds AS (
+    SELECT says, host FROM ruled WHERE says IS NOT NULL UNION ALL SELECT 'every', host FROM ruled
 ), seed AS (
     SELECT says, host, count(*) * ({UNITS} // CAST(sum(count(*)) OVER (PARTITION BY says) AS BIGINT)) AS seed
-    FROM ruled WHERE host <> '' AND says IS NOT NULL GROUP BY says, host
+    FROM seeds WHERE host <> '' GROUP BY says, host
 ),
-{_steps_sql()},
-sums AS (
-    SELECT host, count(*) AS pages, (SELECT {UNITS} // greatest(1, count(*)) * {BLOCK_PERCENT} // 100 FROM ruled WHERE host <> '') AS fair FROM ruled GROUP BY host
-)
+{_steps_sql()}
 SELECT page_id, r.host, path, rule, coalesce(t.score, 0) AS trust, coalesce(d.score, 0) AS distrust,
-    coalesce(r.says, CASE WHEN coalesce(d.score, 0) > coalesce(t.score, 0) AND coalesce(d.score, 0) > pages * fair AND r.host <> ''
+    coalesce(r.says, CASE WHEN coalesce(d.score, 0) > greatest(coalesce(t.score, 0), coalesce(e.score, 0)) AND r.host <> ''
         THEN 'block' ELSE 'allow' END) AS verdict
-FROM ruled r JOIN sums ON r.host = sums.host
-LEFT JOIN score{STEPS} t ON r.host = t.host AND t.says = 'allow' LEFT JOIN score{STEPS} d ON r.host = d.host AND d.says = 'block'
+FROM ruled r LEFT JOIN score{STEPS} t ON r.host = t.host AND t.says = 'allow'
+LEFT JOIN score{STEPS} d ON r.host = d.host AND d.says = 'block' LEFT JOIN score{STEPS} e ON r.host = e.host AND e.says = 'every'
 """
 }
