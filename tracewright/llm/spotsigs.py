@@ -100,6 +100,9 @@ def similar_pairs(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
     partition within a factor of `least`, so a class can only match in its own partition or the one below. Within
     them, classes meet at signatures of the prefix that any match must share (all but least * length of them, rarest
     first), and a meeting counts only at the first signature that both prefixes have; the exact Jaccard follows.
+    Null and empty texts are one class; repeated rows and rows without an id are members like others; an empty table
+    gives no rows. The pairs of a group of near copies are listed one by one: a group of k different texts has up to
+    k * (k - 1) / 2 links, each of which is a row.
     """
     sets = cut_lineage(signature_sets(docs, id_col, text_col))
     members = sets.select("fingerprint", "id")
@@ -133,12 +136,11 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows without an id come last. Rows of one id go by text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    n, least, most = rows.agg(F.count("*"), F.min("id"), F.max("id")).first()
+    hundredths = F.percentile_approx("id", [k / 100 for k in range(1, 100)], 2000)
+    n, least, most, among = rows.agg(F.count("*"), F.min("id"), F.max("id"), hundredths).first()
     blocks = min(MOST_BLOCKS, max(1, n // block_rows))
-    tops = [most or 0]
-    if blocks > 1:
-        quantiles = [k / min(blocks, 100) for k in range(1, min(blocks, 100))]
-        tops = sorted({most, *rows.agg(F.percentile_approx("id", quantiles, 2000)).first()[0]}, reverse=True)
+    step = -(-100 // min(blocks, 100))
+    tops = sorted({most or 0, *(among or [])[step - 1 :: step]}, reverse=True) if blocks > 1 else [most or 0]
     parts = -(-blocks // len(tops))
     ends = [*tops[1:], (least or 0) - 1]
     # Interval i holds the ids from above ends[i] to tops[i].
@@ -167,7 +169,10 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row: see edit().
 
     The next document of the last is the first; a lone document is its own next. Null text is empty. Each row is read
-    once and held only until its next one has come, however long the texts are.
+    once and held only until its next one has come, however long the texts are. Likeness is the Jaccard of the two
+    signature sets, whole: nothing is cut off below a bound here. Rows that repeat an id follow each other in order of
+    a hash of their text, rows without an id come after all others in the same order; an empty table gives no rows;
+    other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
