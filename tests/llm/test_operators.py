@@ -372,6 +372,38 @@ def test_spotsigs(spark):
     assert got[1004].fingerprint == got[1005].fingerprint and spotsigs.compare_with_next(docs(spark, [])).count() == 0
 
 
+def brute_sets(text):
+    """The signature set of a text, or its word sequence where it has no signature."""
+    bare = [b for w in (text or "").encode().split() if (b := w.decode().lower().encode().strip(spotsigs._STRIP))]
+    return frozenset(brute_signatures(text)) or frozenset([(b"", *bare)])
+
+
+def test_spotsigs_fingerprints_and_edits_against_brute_force(spark):
+    rows = [*(r for r in corpus(15) if r[0] is not None), (2000, "the cat sat. The dog"), (2001, "THE cat, sat the dog!"), (2002, "the the the"), (2003, "é" * 7)]
+    order = sorted(rows, key=lambda r: -r[0])
+    got = {r.id: r for r in spotsigs.compare_with_next(docs(spark, rows)).collect()}
+    named = {}
+    for k, (i, text, *_) in enumerate(order):
+        text, following = text or "", order[(k + 1) % len(order)][1] or ""
+        edited = text[: len(text) - len(text) // 3] + following[: len(text) // 3]
+        own, changed, after = map(brute_sets, (text, edited, following))
+        r = got[i]
+        assert r.near_edited == pytest.approx(len(own & changed) / len(own | changed))
+        assert r.near_next == pytest.approx(len(own & after) / len(own | after))
+        for name, found in ((r.fingerprint, own), (r.edited_fingerprint, changed)):
+            assert named.setdefault(name, found) == found and name.startswith(f"{len(found)}-")
+    assert len(set(named.values())) == len(named)
+
+
+def test_spotsigs_of_rows_without_or_with_equal_ids(spark):
+    rows = [(None, "the cat sat down"), (None, None), (5, "the dog ran off"), (5, "the dog ran off"), (9, "")]
+    one, two = (sorted(map(str, spotsigs.compare_with_next(docs(spark, rows).repartition(n)).collect())) for n in (1, 4))
+    assert one == two and len(one) == len(rows)
+    _, pairs = spotsigs.similar_pairs(docs(spark, rows))
+    members, none = spotsigs.similar_pairs(docs(spark, []))
+    assert pairs.count() == members.count() == none.count() == 0
+
+
 def test_spotsigs_pairs(spark):
     rows = [r for r in corpus(12, 80) if r[0] is not None]
     _, pairs = spotsigs.similar_pairs(docs(spark, rows), 0.5)
@@ -394,6 +426,53 @@ def test_language_profiles(spark, sf_dir):
     assert language_id.predict_language(docs(spark, [(1, "the")]), {}).first().lang_pred == "und"
 
 
+def brute_grams(text):
+    runs, grams = "".join(c if c.isalpha() else " " for c in text.lower()).split(), Counter()
+    if not runs:
+        return grams
+    marked = "\x01" + "\x01".join(runs) + "\x01"
+    for n in (1, 2, 3):
+        for g in (marked[i : i + n] for i in range(len(marked) - n + 1)):
+            if not (n == 1 and g == "\x01") and not (n == 3 and g[1] == "\x01"):
+                grams[g] += 1
+    return grams
+
+
+def brute_key(gram):
+    return sum(ord(c) << 21 * k for k, c in enumerate(reversed(gram)))
+
+
+def test_language_query_against_brute_force(spark, sf_dir):
+    import zlib
+
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    counts = defaultdict(Counter)
+    for r in table:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            counts[r.lang].update(brute_grams(r.text))
+    best = lambda c: sorted(c, key=lambda g: (-c[g], brute_key(g)))[: language_id.PROFILE_GRAMS]
+    profiles = {k: {g: i for i, g in enumerate(best(c))} for k, c in counts.items()}
+    got = {r.doc_id: r for r in language_id.op8_rank_order(spark, sf_dir).collect()}
+    assert len(got) == len(table)
+    for r in table:
+        own, found = best(brute_grams(r.text or "")), got[r.doc_id]
+        assert found.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not own:
+            assert (found.lang_pred, found.score) == ("und", 0.0)
+            continue
+        far = {k: sum(abs(p[g] - i) if g in p else language_id.PROFILE_GRAMS for i, g in enumerate(own)) for k, p in profiles.items()}
+        least = min(far, key=lambda k: (far[k], k))
+        assert found.lang_pred == least and found.score == pytest.approx(1 - far[least] / (language_id.PROFILE_GRAMS * len(own)))
+
+
+def test_language_of_long_texts_and_empty_tables(spark):
+    frame = docs(spark, [(1, "the cat and the dog " * 20_000, "en"), (2, "der hund und die katze " * 50, "de"), (2, "der hund und die katze " * 50, "de")])
+    profiles = language_id.learn_profiles(frame)
+    assert [r.lang_pred for r in language_id.predict_language(frame, profiles).orderBy("doc_id").collect()] == ["en", "de", "de"]
+    none = language_id.predict_language(frame.limit(0), profiles)
+    assert none.count() == 0 and none.columns == [*frame.columns, "lang_pred", "score"]
+
+
 def test_out_of_place_distance_by_hand():
     profiles = {"x": [ord("a"), ord("b")], "y": [ord("b"), ord("c")]}
     found = language_id.Profiles(profiles, 4).predict("aa b")
@@ -427,6 +506,26 @@ def test_chat_round_trip(spark):
         assert r.in_order == all(b in allowed.get(a, ()) for a, b in zip(["", *roles], roles, strict=False))
 
 
+def test_chat_of_nothing_and_of_clashing_columns(spark):
+    schema = "conv_id long, turn long, role string, text string, segment string, loss int, in_order string, turn_no int, id long"
+    frame = spark.createDataFrame([(1, 0, "user", "hi", "a", 1, "b", 2, 3), (1, 1, "assistant", "x" * 100_000, "a", 1, "b", 2, 3)], schema)
+    got = chat_format.read_back(chat_format.format_chat(frame)).collect()
+    assert [(r.n_turns, r.loss_chars, r.in_order) for r in got] == [(2, 100_000, True)]
+    assert chat_format.read_back(chat_format.format_chat(frame.limit(0))).count() == 0
+
+
+def test_pieces_of_repeated_rows_and_empty_tables(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    frame = docs(spark, [(1, "same words here"), (1, "same words here"), (2, None)])
+    found = sentencepiece_codec.encode_decode(frame, path)
+    assert found.columns == [*frame.columns, "ids", "decoded"]
+    rows = found.orderBy("doc_id").collect()
+    assert rows[0] == rows[1] and rows[2].ids == [] and rows[2].decoded == ""
+    assert sentencepiece_codec.encode_decode(frame.limit(0), path).count() == 0
+
+
 def test_link_trust(spark):
     page = lambda i, url, *to: (i, url, "".join(f'<a href="{t}">x</a>' for t in to))
     rows = [
@@ -520,6 +619,51 @@ def test_pipeline(spark, sf_dir, monkeypatch):
     assert max(copies.values()) <= 3
 
 
+def edge_rows():
+    return [
+        (None, "the cat sat on the mat and ran", "en", "a"), (None, None, None, None), (1, None, "en", "a"), (2, "", "en", "b"), (3, "the cat and the dog were here", None, None),
+        (3, "the cat and the dog were here", None, None), (3, "another text under one id", "en", "a"), (4, "the cat and the dog " * 8000, "en", "b"), (5, "12 34 !?", "en", "a"),
+    ]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages_of_odd_rows(spark, sf_dir, stage, monkeypatch):
+    import corpus_pipeline
+
+    name, run = corpus_pipeline.STAGES[stage]
+    monkeypatch.setattr(corpus_pipeline, "LEAST_LANGUAGE_SCORE", 0.0)
+    frame = docs(spark, edge_rows())
+    got = run(spark, frame, sf_dir).collect()
+    again = run(spark, frame.repartition(5), sf_dir).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    texts = Counter((r.doc_id, r.text) for r in got)
+    every = Counter((i, t) for i, t, *_ in edge_rows())
+    if name == "language_id":
+        assert texts == Counter({k: n for k, n in every.items() if k[1] and any(c.isalpha() for c in k[1])})
+    elif name == "near_duplicates":
+        assert sum(n for (i, _), n in texts.items() if i is None) == 2 and texts[1, None] == 1 and sum(n for (i, _), n in texts.items() if i == 3) == 1
+    elif name == "substring_dedup":
+        assert sum(texts.values()) == len(edge_rows()) and texts[3, "another text under one id"] == 1
+    elif name == "mixing":
+        assert max(texts.values()) <= 6 and set(texts) <= set(every)
+    else:
+        assert texts == every and all(r.round_trip for r in got)
+    empty = run(spark, frame.limit(0), sf_dir)
+    assert empty.count() == 0 and [f.name for f in empty.schema][:5] == list(corpus_pipeline.COLUMNS)
+
+
+def test_pipeline_leaves_one_folder(spark, sf_dir):
+    import os
+
+    import corpus_pipeline
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, sf_dir)
+    new = [x for x in set(os.listdir(folder)) - before if x.startswith("corpus-pipeline")]
+    assert len(new) == 1 and os.listdir(f"{folder}/{new[0]}") == ["3-mixing"] and out.count() > 0
+
+
 def test_queries_match_their_sql(spark, sf_dir):
     import duckdb
 
