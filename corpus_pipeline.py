@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import language_id, mixing, sentencepiece_codec, simhash, substrings
-from tracewright.llm.common import table
+from tracewright.llm.common import shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Score of the out-of-place distance under which a text is in no known language.
@@ -64,16 +64,26 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents. Each stage but the last is written to the shared folder and read again."""
+    """All stages over the documents. Each stage but the last is written to the shared folder and read again; what a
+    stage wrote is removed when the next one's rows are written. The last folder stays, as the returned rows are read
+    from it."""
     docs = table(spark, sf_dir, "documents")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}"
-    folder = f"{shared.rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            written = f"{folder}/{k}-{name}"
+            docs.write.parquet(written)
+            docs = spark.read.parquet(written)
+            if before:
+                _remove(spark, before)
+            before = written
     return docs
 
 
