@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import gram_hashes, mix, pieces, table, text_buffer, words
+from .common import CHUNK_BYTES, gram_hashes, mix, pieces, table, words
 
 #: Words of the shortest repeat, and of the grams that anchors are chosen from.
 LENGTH, GRAM = 13, 5
 #: Bits of a gram's hash that are compared: one that only seems shared costs work, not results.
 GRAM_BITS = 48
-#: A place is a word's number in its row, with so many bits of the row's mark above it.
+#: A place is a word's number in its row, with the row's mark in so many bits above it.
 PLACE_BITS, MARK_BITS = 32, 31
+_START = (1 << PLACE_BITS) - 1
 #: Anchors or windows that a worker holds at once; repeats among them are found without a shuffle.
 HELD_ROWS = 4_000_000
 _SEED = "known boolean, route long, doc long, place long"
@@ -25,6 +29,30 @@ _MATCH = "known boolean, n int, src long, src_place long, route long, doc long,
 _RUN = "doc long, place long, n int, src long, src_place long"
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, body, ...) with each text as a zstd frame, a third less to shuffle than what the shuffle makes of it."""
+    packer = zstandard.ZstdCompressor(level=1)
+    for batch in pieces(batches, "body"):
+        frames = [None if t is None else packer.compress(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(frames, pa.binary()), *batch.columns[2:]], batch.schema.names)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of _pack() with their texts, in pieces of about CHUNK_BYTES of text (one row at least)."""
+    opener = zstandard.ZstdDecompressor()
+    for batch in batches:
+        texts, size, at = [], 0, 0
+        for i in range(batch.num_rows):
+            frame = batch.column(1)[i].as_py()
+            texts.append(None if frame is None else opener.decompress(frame))
+            size += len(texts[-1] or b"")
+            if size >= CHUNK_BYTES or i == batch.num_rows - 1:
+                part = batch.slice(at, i + 1 - at)
+                body = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), body, *part.columns[2:]], batch.schema.names)
+                texts, size, at = [], 0, i + 1
+
+
 def anchor_places(hashes: np.ndarray, first: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of `length` words within rows: their starts, the place of each one's anchor and that place's gram hash.
 
@@ -132,7 +160,7 @@ def _windows(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held(answer)
-        for batch in pieces(batches, "body"):
+        for batch in _unpacked(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             marks = batch.column(2).to_numpy(zero_copy_only=False)
             seeds = batch.column(3)
@@ -169,66 +197,56 @@ def _extend(n: np.ndarray, doc: np.ndarray, place: np.ndarray, src: np.ndarray,
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The extended matches of documents (doc, matches)."""
+    """The extended matches of documents with a source (doc, mark, src, shift, other, places: start and n in one)."""
     for batch in batches:
-        row = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(batch.column(1).offsets.to_numpy()))
-        match = batch.column(1).flatten()
-        n, place, src, src_place = (match.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
-        n, doc, place, src, src_place = _extend(n, row, place, src, src_place)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(5).offsets.to_numpy()))
+        doc, mark, src, shift, other = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in range(5))
+        both = batch.column(5).flatten().to_numpy(zero_copy_only=False)
+        start, n = both & _START, both >> PLACE_BITS
+        place, src_place = mark << PLACE_BITS | start, (mark ^ other) << PLACE_BITS | (start + shift)
+        n, doc, place, src, src_place = _extend(n, doc, place, src, src_place)
         yield from _emit(_RUN, doc, place, n, src, src_place)
 
 
-def _digest(raw: memoryview, spans: np.ndarray) -> bytes:
+def _texts(batch: pa.RecordBatch) -> list[list[bytes]]:
+    """The words of each row: bytes between ASCII white space, as WORD has it."""
+    return [(t or b"").split() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+
+
+def _digest(words: list[bytes]) -> bytes:
     """Of the words themselves, so that equal digests are equal words."""
-    return blake2b(b" ".join([raw[a:b] for a, b in spans.tolist()]), digest_size=16).digest()
+    return blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def _digests(length: int):
     """Digests of the words of asked runs (id, body, mark, asked: place and n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "body"):
-            raw, _ = text_buffer(batch.column(1))
-            _, spans, first = words(batch.column(1))
-            raw, asked = memoryview(raw.tobytes()), batch.column(3)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
-            place, n = (asked.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
-            own = np.flatnonzero(place >> PLACE_BITS == batch.column(2).to_numpy(zero_copy_only=False)[row])
-            row, place, n = row[own], place[own], n[own]
-            at = first[row] + (place & (1 << PLACE_BITS) - 1)
-            found = [_digest(raw, spans[a:b]) for a, b in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True)]
-            columns = [pa.array(batch.column(0).to_numpy(zero_copy_only=False)[row]), pa.array(place), pa.array(n, pa.int32()), pa.array(found, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["src", "src_place", "n", "digest"])
+        for batch in _unpacked(batches):
+            out: tuple[list, ...] = ([], [], [], [])
+            for doc, words, mark, asked in zip(batch.column(0).to_pylist(), _texts(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                for run in asked:
+                    place, n = run["src_place"], run["n"]
+                    if place >> PLACE_BITS == mark:
+                        at = place & _START
+                        for column, value in zip(out, (doc, place, n, _digest(words[at : at + n + length - 1])), strict=True):
+                            column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["src", "src_place", "n", "digest"])
 
     return run
 
 
-class _Verified:
-    """The runs of a batch (id, body, mark, rest, runs) whose words are their source's: row, first word, number of
-    words, and place in the list of runs."""
-
-    def __init__(self, batch: pa.RecordBatch, length: int):
-        raw, self.offsets = text_buffer(batch.column(1))
-        _, self.spans, self.first = words(batch.column(1))
-        self.raw = memoryview(raw.tobytes())
-        runs, marks = batch.column(4), batch.column(2).to_numpy(zero_copy_only=False)
-        lengths = np.where(runs.is_valid().to_numpy(zero_copy_only=False), np.diff(runs.offsets.to_numpy()), 0)
-        self.runs = runs.flatten()
-        row = np.repeat(np.arange(batch.num_rows), lengths)
-        place, n = (self.runs.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
-        own = np.flatnonzero(place >> PLACE_BITS == marks[row])
-        at = self.first[row[own]] + (place[own] & (1 << PLACE_BITS) - 1)
-        size = n[own] + length - 1
-        theirs = self.runs.field(2).take(pa.array(own)).to_pylist()
-        same = [_digest(self.raw, self.spans[a : a + k]) == d for a, k, d in zip(at.tolist(), size.tolist(), theirs, strict=True)]
-        same = np.array(same, bool)
-        self.row, self.at, self.size, self.which = row[own][same], at[same], size[same], own[same]
+def _verified(words: list[bytes], mark: int, runs: list[dict] | None, length: int) -> list[tuple[int, int, dict]]:
+    """First word, number of words and run of those runs of a row whose words are their source's."""
+    found = [(r["place"] & _START, r["n"] + length - 1, r) for r in runs or () if r["place"] >> PLACE_BITS == mark]
+    return [(at, size, r) for at, size, r in found if _digest(words[at : at + size]) == r["digest"]]
 
 
 def verified_runs(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """id, body (the text), mark, rest (the columns `keep`), runs: of each row the maximal runs of words that its
+    """id, body (the text, packed), mark, rest (the columns `keep`), runs: of each row the maximal runs of words that its
     windows' least documents have, as place, n (windows), digest of the source's words, src, src_place; null for none.
 
     Seed: each window of `length` words has one anchor, its gram with the least hash (winnowing: any shared window
@@ -241,49 +259,56 @@ def verified_runs(
     No documents are paired, and each worker answers repeats among the rows it holds first, so a gram or window that
     many documents have costs a row for each HELD_ROWS. A run that many documents share is asked of its source once.
 
-    Documents are told apart by id; rows that share one never remove from each other (MARK_BITS of their texts' hashes
-    keep their windows apart). Rows without an id neither remove nor lose anything. Null, empty and short texts have
+    Documents are told apart by id; rows that share one never remove from each other (MARK_BITS of their texts' hashes,
+    the mark of such rows, keep their windows apart; other rows' mark is 0). Rows without an id neither remove nor lose anything. Null, empty and short texts have
     no windows; long texts are cut into windows whole. Repeats within one document stay. An empty table gives no rows.
     """
     text = F.col(text_col).cast("string")
-    mark = F.xxhash64("body").bitwiseAND(F.lit((1 << MARK_BITS) - 1)).alias("mark")
+    hashed = F.xxhash64("body").bitwiseAND(F.lit((1 << MARK_BITS) - 1)).alias("mark")
     rest = F.struct(*keep) if keep else F.lit(0)
     every = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("body"), rest.alias("rest"))
-    # The joins below take these same rows by id, so the texts are shuffled once and the exchange is reused.
-    rows = every.filter("id is not null")
-    seeds = rows.select("id", "body").mapInArrow(_seeds(length, gram), _SEED)
+    marked = every.select("id", "body", hashed, "rest")
+    as_packed = T.StructType([T.StructField("body", T.BinaryType()) if f.name == "body" else f for f in marked.schema.fields])
+    # The joins below take these same rows by id, all columns of them and with the filter that inner joins would add, so
+    # the texts are shuffled once and the exchange is reused.
+    alone = F.count("*").over(Window.partitionBy("id")) == 1
+    rows = marked.filter("id is not null").mapInArrow(_pack, as_packed).filter("id is not null").withColumn("mark", F.when(alone, 0).otherwise(F.col("mark")))
+    seeds = every.filter("id is not null").select("id", "body").mapInArrow(_seeds(length, gram), _SEED)
     gram_rows = Window.partitionBy("known", "route")
     shared = F.col("known") | (F.min("place").over(gram_rows) < 0) | (F.min("doc").over(gram_rows) < F.max("doc").over(gram_rows))
     seeds = seeds.withColumn("shared", shared).filter("shared and place >= 0")
     seeds = seeds.groupBy("doc").agg(F.collect_list("place").alias("seeds"))
-    found = rows.join(seeds, rows.id == seeds.doc).select("id", "body", mark, "seeds").mapInArrow(_windows(length, gram), _MATCH)
+    found = rows.join(seeds, rows.id == seeds.doc).select("id", "body", "mark", "seeds", "rest").mapInArrow(_windows(length, gram), _MATCH)
     earliest = Window.partitionBy("known", "route").orderBy("doc", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     linked = found.withColumns({"least": F.first("doc").over(earliest), "least_place": F.first("place").over(earliest)}).filter("known or doc > least")
-    match = F.struct(
-        "n", "place", F.when(F.col("known"), F.col("src")).otherwise(F.col("least")).alias("src"),
-        F.when(F.col("known"), F.col("src_place")).otherwise(F.col("least_place")).alias("src_place"),
-    )
-    runs = linked.groupBy("doc").agg(F.collect_list(match).alias("matches")).mapInArrow(_runs, _RUN)
+    start_of = lambda place: place.bitwiseAND(F.lit(_START))
+    mark_of = lambda place: F.shiftright(place, PLACE_BITS)
+    src, src_place = (F.when(F.col("known"), F.col(a)).otherwise(F.col(b)) for a, b in (("src", "least"), ("src_place", "least_place")))
+    # A document's matches with one source, side by side, share all but their places.
+    shift, other = (start_of(src_place) - start_of(F.col("place"))).alias("shift"), mark_of(src_place).bitwiseXOR(mark_of(F.col("place"))).alias("other")
+    both = F.shiftleft(F.col("n").cast("long"), PLACE_BITS).bitwiseOR(start_of(F.col("place")))
+    matches = linked.groupBy("doc", mark_of(F.col("place")).alias("mark"), src.alias("src"), shift, other).agg(F.collect_list(both).alias("places"))
+    runs = matches.mapInArrow(_runs, _RUN)
     asked = runs.groupBy("src").agg(F.collect_set(F.struct("src_place", "n")).alias("asked"))
-    digests = rows.join(asked, rows.id == asked.src).select("id", "body", mark, "asked").mapInArrow(_digests(length), "src long, src_place long, n int, digest binary")
+    digests = rows.join(asked, rows.id == asked.src).select("id", "body", "mark", "asked", "rest").mapInArrow(_digests(length), "src long, src_place long, n int, digest binary")
     digests = digests.groupBy("src", "src_place", "n").agg(F.first("digest").alias("digest"))
     told = runs.join(digests, ["src", "src_place", "n"]).groupBy("doc").agg(F.collect_list(F.struct("place", "n", "digest", "src", "src_place")).alias("runs"))
-    whole = rows.join(told, rows.id == told.doc, "left").select("id", "body", mark, "rest", "runs")
+    whole = rows.join(told, rows.id == told.doc, "left").select("id", "body", "mark", "rest", "runs")
     none = F.lit(None).cast(whole.schema["runs"].dataType).alias("runs")
-    return whole.unionByName(every.filter("id is null").select("id", "body", mark, "rest", none))
+    return whole.unionByName(marked.filter("id is null").mapInArrow(_pack, as_packed).select("id", "body", "mark", "rest", none))
 
 
 def maximal_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, start, n_words, src, src_start: the runs of verified_runs() whose words equal the source's, in words from 0."""
+    schema = "id long, start long, n_words long, src long, src_start long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "body"):
-            held = _Verified(batch, length)
-            src, src_place = (held.runs.field(i).to_numpy(zero_copy_only=False)[held.which] for i in (3, 4))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[held.row]
-            yield from _emit("id long, start long, n_words long, src long, src_start long", ids, held.at - held.first[held.row], held.size, src, src_place & (1 << PLACE_BITS) - 1)
+        for batch in _unpacked(batches):
+            rows = zip(batch.column(0).to_pylist(), _texts(batch), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            found = [(i, at, size, r["src"], r["src_place"] & _START) for i, words, mark, runs in rows for at, size, r in _verified(words, mark, runs, length)]
+            yield from _emit(schema, *np.array(found, np.int64).reshape(-1, 5).T)
 
-    return verified_runs(docs.filter(F.col(id_col).isNotNull()), length, gram, id_col, text_col).mapInArrow(run, "id long, start long, n_words long, src long, src_start long")
+    return verified_runs(docs.filter(F.col(id_col).isNotNull()), length, gram, id_col, text_col).mapInArrow(run, schema)
 
 
 def remove_repeats(
@@ -295,21 +320,19 @@ def remove_repeats(
     as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "body"):
-            held = _Verified(batch, length)
-            edges = np.zeros(len(held.spans) + 1, np.int64)
-            np.add.at(edges, held.at, 1)
-            np.add.at(edges, held.at + held.size, -1)
-            keep, first, texts, removed = np.cumsum(edges[:-1]) == 0, held.first, [], []
-            for i in range(batch.num_rows):
-                part = slice(first[i], first[i + 1])
-                kept = held.spans[part][keep[part]]
-                removed.append(int(first[i + 1] - first[i] - len(kept)))
-                if as_is and not removed[-1]:
-                    texts.append(bytes(held.raw[held.offsets[i] : held.offsets[i + 1]]))
-                else:
-                    texts.append(b" ".join([held.raw[a:b] for a, b in kept.tolist()]))
-            columns = [batch.column(0), pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), batch.column(3)]
+        for batch in _unpacked(batches):
+            whole, n_words, removed, texts = batch.column(1).cast(pa.binary()), [], [], []
+            for i, (words, mark, runs) in enumerate(zip(_texts(batch), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                kept = words
+                if runs:
+                    stays = bytearray(b"\1" * len(words))
+                    for at, size, _ in _verified(words, mark, runs, length):
+                        stays[at : at + size] = bytes(size)
+                    kept = list(compress(words, stays))
+                n_words.append(len(words))
+                removed.append(len(words) - len(kept))
+                texts.append(whole[i].as_py() or b"" if as_is and not removed[-1] else b" ".join(kept))
+            columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), batch.column(3)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_removed", "kept_text", "rest"])
 
     found = verified_runs(docs, length, gram, id_col, text_col, keep)
