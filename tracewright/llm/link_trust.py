@@ -15,8 +15,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 DAMPING_PERCENT, LEFT_PERCENT, UNITS = 85, 1, 10**15
 #: After this many steps at most LEFT_PERCENT of all scores have not come to rest, whatever the links: 29.
 STEPS = ceil(log(LEFT_PERCENT / 100) / log(DAMPING_PERCENT / 100))
-#: Links of a host that one task follows; hosts with over 1 / HOT_SHARE of all pages, fewer than HOT_SHARE, are broadcast.
-LINK_RUN, HOT_SHARE = 10_000, 1000
+#: Hosts with over 1 / HOT_SHARE of all pages, or of a walk's links, are hot: fewer than HOT_SHARE, so they are broadcast.
+HOT_SHARE = 1000
 _LINK = r"(?i)(?:href|src)\s*=\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]*)"
 #: Second-level labels under which countries register owners.
 _SHARED = "ac|co|com|edu|go|gov|ne|net|or|org"
@@ -56,14 +56,17 @@ def host_links(pages: DataFrame) -> DataFrame:
     return every.groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, totals: dict[str, int], steps: int = STEPS, link_run: int = LINK_RUN) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, totals: dict[str, int], steps: int = STEPS, hot_share: int = HOT_SHARE) -> DataFrame:
     """says, host, score: a personalised PageRank for each verdict, from its seeds (says, host, n; n adds up to totals).
 
     The walk of `allow` follows the links (src, dst, n), those of `block` and `every` go against them. Scores are whole
     units and every division rounds down, so sums do not depend on the order of their terms and reruns agree; what
     rounds off or has nowhere to go is lost. The number of steps follows from the damping and what may be left to walk.
-    The links of a host are dealt by `link_run` to parts that are joined apart, and hosts that many link to are summed
-    on the map side first, so hubs on either side are split. Some steps make one plan, then a checkpoint.
+
+    A step is one shuffle: scores lie by host, as the links do, and what they pass on is added up on the map side
+    before it is dealt by host again. Hosts with over 1 / hot_share of a walk's links, fewer than hot_share of them,
+    meet their links by a broadcast of their scores instead, so no hub's links come together. Five steps make one plan,
+    then a checkpoint.
     """
     share = F.create_map(*(F.lit(x) for k, n in totals.items() for x in (k, UNITS // n)))
     seed = cut_lineage(seeds.select("says", "host", (F.col("n") * share[F.col("says")]).alias("seed")))
@@ -71,20 +74,22 @@ def propagate(links: DataFrame, seeds: DataFrame, totals: dict[str, int], steps:
     ways = links.select(F.lit("allow").alias("says"), F.col("src").alias("host"), "dst", "n").unionByName(
         links.select(against, F.col("dst").alias("host"), F.col("src").alias("dst"), "n")
     )
-    nodes = ways.groupBy("says", "host").agg(F.sum("n").alias("out"), F.ceil(F.count("*") / link_run).alias("parts"))
-    nodes = cut_lineage(nodes)
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("dst"), "parts")).otherwise(0).cast("int").alias("part")
-    ways = cut_lineage(ways.join(nodes, ["says", "host"]).select("says", "host", part, "dst", "n"))
+    nodes = cut_lineage(ways.groupBy("says", "host").agg(F.sum("n").alias("out"), F.count("*").alias("links")))
+    most = nodes.groupBy("says").agg((F.sum("links") / hot_share).alias("most"))
+    hubs = cut_lineage(nodes.join(F.broadcast(most), "says").filter("links > most").select("says", "host"))
+    ways = cut_lineage(ways.join(nodes.drop("links"), ["says", "host"]))
+    crowded = not hubs.isEmpty()
+    common = ways.join(F.broadcast(hubs), ["says", "host"], "left_anti") if crowded else ways
+    of_hubs = cut_lineage(ways.join(F.broadcast(hubs), ["says", "host"], "left_semi")) if crowded else None
+    moved = F.expr(f"score div 100 * {DAMPING_PERCENT} div out * n").alias("score")
     kept = seed.select("says", "host", F.expr(f"seed div 100 * {100 - DAMPING_PERCENT}").alias("score"))
     score = seed.select("says", "host", F.col("seed").alias("score"))
     for k in range(steps):
-        moves = score.join(nodes, ["says", "host"]).select(
-            "says", "host", F.expr(f"score div 100 * {DAMPING_PERCENT} div out").alias("moved"),
-            F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"),
-        )
-        gained = ways.join(moves.filter("moved > 0"), ["says", "host", "part"])
-        gained = gained.groupBy("says", F.col("dst").alias("host")).agg(F.sum(F.col("moved") * F.col("n")).alias("score"))
-        score = gained.unionByName(kept).groupBy("says", "host").agg(F.sum("score").alias("score"))
+        step = common.join(score, ["says", "host"]).select("says", F.col("dst").alias("host"), moved).unionByName(kept)
+        if crowded:
+            high = score.join(F.broadcast(hubs), ["says", "host"], "left_semi")
+            step = step.unionByName(of_hubs.join(F.broadcast(high), ["says", "host"]).select("says", F.col("dst").alias("host"), moved))
+        score = step.groupBy("says", "host").agg(F.sum("score").alias("score"))
         if k % 5 == 4 or k == steps - 1:
             score = cut_lineage(score)
     return score
