@@ -77,9 +77,9 @@ def test_decumulation_with_a_reset(spark):
 
 def test_trees_with_cycles(spark):
     edges = spark.createDataFrame([("b", "a", "spawn"), ("c", "b", "fork"), ("x", "y", "spawn"), ("y", "x", "created"), ("z", "y", "spawn")], "child string, parent string, kind string")
-    got = {r.node: (r.root, r.depth) for r in graph.walk(graph.ranked_edges(edges), 8).collect()}
+    got = {r.node: (r.root, r.depth) for r in graph.walk(graph.ranked_edges(edges)).collect()}
     assert got["c"] == ("a", 2) and got["a"] == ("a", 0) and got["x"] == got["y"] and got["x"][1] is None
-    kept = {r.child for r in graph.without_cycles(graph.ranked_edges(edges), 8).collect()}
+    kept = {r.child for r in graph.without_cycles(graph.ranked_edges(edges)).collect()}
     assert kept == {"b", "c", "x", "z"}
 
 
@@ -91,10 +91,16 @@ def test_families(spark):
 def test_commands(spark):
     want = {
         "cd src && pytest -q": "build_test", "git commit -m 'a; b'": "mutate", "cat a | grep b": "inspect", "sed -i s/a/b/ f": "mutate", "FOO=1 sudo ls": "inspect",
-        "echo hi > f": "mutate", "sleep 1": "other", "echo 'a && pytest'": "other", "python -m pytest": "build_test",
+        "echo hi > f": "other", "bash -lc 'cd x && uv run pytest'": "build_test", "npm run dev": "other", "git push": "other", "sleep 1": "other", "echo 'a && pytest'": "other", "python -m pytest": "build_test",
     }
     frame = spark.createDataFrame([(k,) for k in want], "c string")
     assert {r.c: r.i for r in frame.select("c", tx.command_intent(F.col("c")).alias("i")).collect()} == want
+    edits = {"echo hi > src/f.py": True, "echo hi > /tmp/f": False, "cat a > out.log": False, "ls 2>&1": False, "x | tee -a b.md": True, "sed -i.bak s/a/b/ f": True, "python - <<'E'\nx > y.py\nE": False}
+    frame = spark.createDataFrame([(k,) for k in edits], "c string")
+    assert {r.c: r.i for r in frame.select("c", tx.edits_file(F.col("c")).alias("i")).collect()} == edits
+    checks = {"make check": True, "make deploy": False, "ruff format": False, "ruff format --check": True, "uv run pytest": True, "ruff check --fix": False, "ls": False}
+    frame = spark.createDataFrame([(k,) for k in checks], "c string")
+    assert {r.c: r.i for r in frame.select("c", tx.check_command(F.col("c")).alias("i")).collect()} == checks
 
 
 def test_text_functions(spark):
@@ -132,7 +138,8 @@ def test_label_store(spark, tmp_path):
 
 def test_batches_stay_under_their_limit(spark):
     frame = spark.createDataFrame([(i, 1 + i % 7) for i in range(200)] + [(999, 50)], "id long, bytes long")
-    packed = memory.batches(frame, "id", "bytes", 20).toPandas()
+    packed = memory.batches(frame, "id", "bytes", 20, 50).toPandas()
+    assert packed.lane.nunique() > 2
     sums = packed.groupby(["lane", "batch"]).bytes.agg(["sum", "count"])
     assert ((sums["sum"] <= 20) | (sums["count"] == 1)).all() and len(packed) == 201
 

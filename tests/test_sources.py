@@ -63,7 +63,7 @@ def test_discovery(spark, tmp_path):
     (tmp_path / "two.jsonl").write_text('{"a":1}\n')
     (tmp_path / "three.jsonl").write_text('{"a":1}\n{"b":2}\n')
     (tmp_path / "four.jsonl").write_text('{"c":1}\n')
-    got = {r.path.rsplit("/", 1)[1]: (r.role, r.canonical.rsplit("/", 1)[1]) for r in jsonl.distinct_files(jsonl.files(spark, str(tmp_path))).collect()}
+    got = {r.path.rsplit("/", 1)[1]: (r.role, r.canonical.rsplit("/", 1)[1]) for r in jsonl.distinct_files(jsonl.lines(spark, str(tmp_path))).collect()}
     assert got == {"one.jsonl": ("snapshot", "three.jsonl"), "two.jsonl": ("snapshot", "three.jsonl"), "three.jsonl": ("kept", "three.jsonl"), "four.jsonl": ("kept", "four.jsonl")}
 
 

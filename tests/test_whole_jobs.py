@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as tx
-from tracewright.operators import analysis, detectors, memory, structure, tails
+from tracewright.operators import analysis, detectors, memory, structure
 from tracewright.plans import evidence, structures
 from tracewright.sources import decoders
 from tracewright.sources.driver_tables import sql, trace_events
@@ -64,7 +64,7 @@ def test_evidence_keeps_messages_whole(spark):
 def test_rules_on_decoded_logs(spark, tmp_path):
     """An assert that goes after a failed test run, a gap of ten minutes and a shell poll that is no poll by name."""
     use = lambda i, at, name, **given: ("assistant", at, {"type": "tool_use", "id": i, "name": name, "input": given})
-    says = lambda i, at, bad: ("user", at, {"type": "tool_result", "tool_use_id": i, "content": "test failed: 1 failed, AssertionError" if bad else "ok", "is_error": bad})
+    says = lambda i, at, bad: ("user", at, {"type": "tool_result", "tool_use_id": i, "content": "Exit code 1\n1 failed, AssertionError" if bad else "ok", "is_error": bad})
     blocks = [use("a", "00:00", "Bash", command="pytest"), says("a", "00:01", True)]
     edits = [("tests/test_a.py", "assert x\nassert y", "assert x"), ("src/m0.py", "assert x", ""), ("tests/test_a.py", "x", "y"), ("b.spec.ts", "it()", "it.skip()")]
     blocks += [use(f"e{i}", "00:02", "Edit", file_path=p, old_string=o, new_string=n) for i, (p, o, n) in enumerate(edits)]
@@ -77,12 +77,5 @@ def test_rules_on_decoded_logs(spark, tmp_path):
     assert rich.filter("error = 'build_test_fail'").count() == 1
     found = detectors.run(rich, enabled={"TEST_GAMING", "idle_gap", "RETRY_STORM", "overlong_trace"}).collect()
     assert sorted(paths[r.span_end] for r in found if r.detector == "TEST_GAMING") == ["b.spec.ts", "tests/test_a.py"]
-    assert [(r.detector, r.value) for r in found if r.detector != "TEST_GAMING"] == [("idle_gap", 11.0), ("RETRY_STORM", 4.0)]
+    assert [(r.detector, r.value) for r in found if r.detector != "TEST_GAMING"] == [("idle_gap", 11.0)]
     assert detectors.REGISTRY["overlong_trace"].knobs["minutes"] == 90 and detectors.REGISTRY["bloated_opener"].knobs["tokens"] == 2000
-
-
-def test_fanout_counts_spawns(spark):
-    rows = [("user_msg", None, None)] + [("tool_call", "Task", "subagent")] * 3 + [("tool_call", "shell", "execute")] * 5
-    frame = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "session_id long, idx long, kind string, tool string, category string")
-    assert [(r.idx, r.value) for r in tails.delegation_fanout(frame).collect()] == [(1, 3.0)]
-    assert [r.value for r in tails.delegation_fanout(frame, F.col("tool") == "shell").collect()] == [5.0]

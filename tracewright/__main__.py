@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from tracewright import __version__, config
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -18,15 +22,25 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--until")
     run.add_argument("--model", action="append", default=[])
     run.add_argument("--disable", action="append", default=[])
+    run.add_argument("--config", help="a TOML file with settings")
     run.add_argument("--fail-on", choices=("info", "low", "medium", "high"))
+    shown = commands.add_parser("config-show", help="print the settings in force")
+    shown.add_argument("--config")
+    commands.add_parser("version", help="print the version")
     commands.add_parser("detectors", help="list the rules with their severities and knobs")
     threads = commands.add_parser("threads", help="list the sessions of logs")
     threads.add_argument("logs")
     args = parser.parse_args(argv)
 
+    if args.command == "version":
+        print(__version__)
+        return 0
+    if args.command == "config-show":
+        print(json.dumps(config.load(args.config), indent=1))
+        return 0
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     from tracewright.operators import analysis, detectors
-    from tracewright.sources import decoders, sinks
+    from tracewright.sources import decoders, jsonl, sinks
 
     if args.command == "detectors":
         for d in detectors.REGISTRY.values():
@@ -34,9 +48,15 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     events = decoders.trace_events(spark, args.logs)
     if args.command == "threads":
-        events.groupBy("session_id").count().orderBy("session_id").show(1000, False)
+        links = decoders.thread_links(decoders.decode(jsonl.records(spark, args.logs)))
+        events.groupBy("session_id").count().join(links, F.col("session_id") == F.col("child"), "left").drop("child").orderBy("session_id").show(1000, False)
         return 0
-    found = analysis.analyze(analysis.in_range(events, args.since, args.until, tuple(args.model)), disabled=frozenset(args.disable))
+    settings = config.load(args.config)
+    chosen = settings["detectors"]
+    found = analysis.analyze(
+        analysis.in_range(events, args.since, args.until, tuple(args.model)), config.knobs_of(settings), chosen["severity"], set(chosen["enabled"]) or None,
+        frozenset([*args.disable, *chosen["disabled"]]),
+    )
     for name, frame in found.items():
         frame.write.mode("errorifexists").format(args.format).save(f"{args.out}/{name}")
     return int(bool(args.fail_on) and sinks.fails(found["findings"], args.fail_on))

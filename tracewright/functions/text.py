@@ -119,32 +119,59 @@ def norm_args(args: Column) -> Column:
     return F.array_join(F.transform(items, lambda e: F.concat(e["key"], F.lit("="), F.trim(F.regexp_replace(e["value"], r"\s+", " ")))), "; ")
 
 
+def inner_command(command: Column) -> Column:
+    """what `bash -lc "..."` or `sh -c '...'` runs; any other command as it is."""
+    rest = F.regexp_replace(F.trim(command), r"(?i)^(?:/bin/)?(?:ba)?sh\b\s*(?:-\S*\s+)*", "")
+    quoted = F.trim(command).rlike(r"(?i)^(?:/bin/)?(?:ba)?sh\b") & rest.rlike(r"(?s)^(?:'.*'|\".*\")$")
+    return F.when(quoted, F.substring(rest, F.lit(2), F.length(rest) - 2)).otherwise(rest)
+
+
 def split_segments(command: Column) -> Column:
-    """a shell command's segments at ; | newline && and ||, none inside quotes."""
-    part = r"(?:'[^']*'|\"(?:[^\"\\]|\\.)*\"|\\.|(?<!&)&(?!&)|[^;|&\n'\"\\])+"
-    return F.filter(F.transform(F.regexp_extract_all(command, F.lit(part), 0), lambda x: F.trim(x)), lambda x: x != "")
+    """a shell command's segments at ; | newline && and ||, none inside quotes or here-documents."""
+    part = r"(?:<<-?\s*['\"]?(\w+)['\"]?(?s:.*?)\n\s*\1(?=\s|$)|'[^']*'|\"(?:[^\"\\]|\\.)*\"|\\.|(?<!&)&(?!&)|[^;|&\n'\"\\])+"
+    return F.filter(F.transform(F.regexp_extract_all(inner_command(command), F.lit(part), 0), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def segment_head(segment: Column) -> Column:
-    """a segment without environment settings and wrappers."""
-    return F.regexp_replace(segment, r"^(?:(?:[A-Za-z_][A-Za-z0-9_]*=\S*|sudo|env|time|nohup)\s+)+", "")
+    """a segment without changes of folder, settings, wrappers and the path of its program."""
+    head = F.regexp_replace(segment, r"^(?:(?:cd\s+\S+|sudo|env|time|nohup|then|do|[A-Za-z_][A-Za-z0-9_]*=\S*)(?:\s+|$))+", "")
+    return F.regexp_replace(head, r"^\S*/(?=\S)", "")
+
+
+#: Programs and subcommands by what they do, first match first; read alike by Java and RE2.
+_RUN = "test|build|lint|type-check|typecheck|check|clippy|vet|tsc|vitest|jest|pytest|ruff|mypy"
+INTENTS = (
+    (r"^git\s+(?:add|commit|checkout|reset|restore|stash|rebase|merge|revert)(?:\s|$)", "mutate"),
+    (r"^git\s+(?:status|diff|log|show|branch)(?:\s|$)", "inspect"),
+    (r"^git(?:\s|$)", "other"),
+    (rf"^(?:pnpm|npm|yarn|npx|bun|bunx|deno|cargo|go)\s(?:.*\s)?(?:{_RUN})(?:\s|$)", "build_test"),
+    (r"^(?:pnpm|npm|yarn|npx|bun|bunx|deno|cargo|go|uv)(?:\s|$)", "other"),
+    (r"^python3?\s(?:.*\s)?-m\s+(?:pytest|unittest|mypy|ruff|pyright|build)(?:\s|$)", "build_test"),
+    (r"^(?:playwright\s+test|cypress\s+run)(?:\s|$)", "build_test"),
+    (r"^sed\s(?:.*\s)?-i", "mutate"),
+    (r"^(?:vitest|jest|tsc|make|pytest|ruff|ty|mypy|pyright|eslint)(?:\s|$)", "build_test"),
+    (r"^(?:rm|mv|cp|mkdir|touch|chmod|chown|ln|tee)(?:\s|$)", "mutate"),
+    (r"^(?:sed|ls|cat|head|tail|grep|rg|find|which|wc|pwd|tree)(?:\s|$)", "inspect"),
+)
+#: Programs whose exit status 1 is an answer, and those that only read.
+_ANSWERS = r"^(?:(?:grep|egrep|fgrep|rg|ugrep|ag|diff|cmp|test|\[|false)(?:\s|$)|git\s+(?:-\S+\s+)*(?:diff|grep|diff-index|diff-files)(?:\s|$))"
+READERS = r"^(?:grep|egrep|rg|ugrep|ls|find|sed|cat|head|tail)(?:\s|$)"
+#: Files of code, and of anything a project holds.
+CODE = r"(?i)\.(?:py|pyi|ts|tsx|js|jsx|mjs|cjs|go|rs|java|kt|rb|php|c|cc|cpp|cs|swift|exs?|jl)$"
+SOURCE = (
+    r"(?i)\.(?:py|pyi|js|jsx|ts|tsx|mjs|cjs|json|ya?ml|toml|ini|cfg|conf|md|rst|sh|bash|zsh|go|rs|java|kt|rb|php|c|h|cc|cpp|hpp|cs|css|scss|html?|sql|env|xml|vue|svelte|"
+    r"txt|lock|proto|tf|dockerfile|mk|cmake|gradle|swift|m|mm|ex|exs|erl|hs|lua|pl|r|jl|dart|scala|clj|ipynb)$"
+)
+DOCUMENTS = r"(?i)\.(?:md|rst|txt|adoc)$"
+#: Targets that are no part of a project.
+SCRATCH = r"(?i)^(?:/dev/|/tmp/|/private/tmp/|/var/folders/|\$\{?tmpdir)|\.(?:log|out|err)$|(?:^|/)(?:tmp|logs|log|\.cache|evidence|artifacts)/"
 
 
 def segment_intent(segment: Column) -> Column:
-    """What one segment does, the first rule that fits."""
-    head = segment_head(segment)
-    rules = (
-        (r"^git\s+(?:commit|revert|reset|checkout|merge|rebase|push|add|rm|mv|stash|apply)\b", "mutate"),
-        (r"^git\b", "inspect"),
-        (r"^(?:npm|pnpm|yarn|bun)\s+(?:run\s+)?(?:test|build|lint|check)\b", "build_test"),
-        (r"^(?:uv run\s+|python3?\s+-m\s+)?(?:pytest|unittest|tox|mypy|ruff|jest|vitest|playwright|cypress)\b", "build_test"),
-        (r"^(?:make|cargo|go|mvn|gradle)\b", "build_test"),
-        (r"^(?:sed\s+-i|perl\s+-pi|tee|rm|mv|cp|mkdir|touch|chmod|ln|patch)\b", "mutate"),
-        (r"(?:^|[^0-9&>])>{1,2}\s*[^&\s]", "mutate"),
-        (r"^(?:ls|cat|head|tail|grep|rg|find|wc|sed|awk|pwd|which|tree|stat|diff)\b", "inspect"),
-    )
+    """What one segment does, the first rule that fits; `uv run` does what it runs."""
+    head = F.regexp_replace(segment_head(segment), r"^(?:uv\s+run\s+)+", "")
     out = F.lit("other")
-    for pattern, intent in reversed(rules):
+    for pattern, intent in reversed(INTENTS):
         out = F.when(head.rlike(pattern), intent).otherwise(out)
     return out
 
@@ -156,3 +183,80 @@ def command_intent(command: Column) -> Column:
     for intent in ("inspect", "mutate", "build_test"):
         out = F.when(F.array_contains(intents, intent), intent).otherwise(out)
     return F.when(command.isNotNull(), out)
+
+
+def last_head(command: Column) -> Column:
+    """The last segment of a command, from its program on."""
+    return segment_head(F.try_element_at(split_segments(command), F.lit(-1)))
+
+
+def exit1_is_answer(command: Column) -> Column:
+    """Whether exit status 1 of the last segment says `no match`, `differs` or `false`, not that it failed."""
+    return last_head(command).rlike(_ANSWERS)
+
+
+def is_compound(command: Column) -> Column:
+    """More than one segment."""
+    return F.size(split_segments(command)) > 1
+
+
+def check_command(command: Column) -> Column:
+    """Whether any segment checks the project: builds and tests, not formatters nor any target of make."""
+    make = r"^make\s(?:.*\s)?(?:check|test|lint|typecheck|type-check|build|validate)(?:[-:]\S+)?(?:\s|$)"
+
+    def checks(segment: Column) -> Column:
+        head = F.regexp_replace(segment_head(segment), r"^(?:uv\s+run\s+)+", "")
+        fixes = head.rlike(r"^ruff\s+format(?:\s|$)") & ~head.contains("--check") | head.rlike(r"^ruff\s(?:.*\s)?--fix")
+        return (segment_intent(segment) == "build_test") & ~fixes & (~head.rlike(r"^make(?:\s|$)") | head.rlike(make))
+
+    return F.coalesce(F.exists(split_segments(command), checks), F.lit(False))
+
+
+def edits_file(command: Column) -> Column:
+    """Whether any segment changes a project file: tee, sed -i, patch, dd, or > to a source file or from echo."""
+    project = lambda t: (t != "") & ~t.rlike(SCRATCH)
+
+    def edits(segment: Column) -> Column:
+        head = segment_head(segment)
+        targets = F.regexp_extract_all(F.split_part(segment, F.lit("\n"), F.lit(1)), F.lit(r"(?:^|[^=<>!-])>{1,2}\s*['\"]?([^\s&|>'\"=]+)"), 1)
+        sends = F.exists(targets, lambda t: project(t) & (t.rlike(SOURCE) | head.rlike(r"^(?:echo|printf|cat)(?:\s|$)")))
+        tee = F.regexp_extract(head, r"^tee\s+(?:-\S+\s+)*(\S+)", 1)
+        dd = F.regexp_extract(head, r"^dd\s(?:.*\s)?of=(\S+)", 1)
+        return project(tee) | project(dd) | head.rlike(r"^sed\s(?:.*\s)?-i(?:[^n]|$)") | head.rlike(r"^patch(?:\s|$)") | sends
+
+    return F.coalesce(F.exists(split_segments(command), edits), F.lit(False))
+
+
+def basename(path: Column) -> Column:
+    """what follows the last slash."""
+    return F.regexp_extract(path, r"([^/]*)$", 1)
+
+
+def stem(path: Column) -> Column:
+    """a file's name without its ending and without test marks, lower case."""
+    name = F.regexp_replace(F.regexp_replace(basename(path), r"\.[^.]*$", ""), r"^test_|(?:_test|\.test|\.spec)$", "")
+    return F.lower(name)
+
+
+def words_pattern(words: list[str] | tuple[str, ...]) -> str:
+    """Words and phrases as one pattern between word boundaries, longest first; none matches nothing."""
+    listed = sorted((w.strip() for w in words if w.strip()), key=lambda w: (-len(w), w))
+    escaped = ["".join("\\" + c if c in r".^$*+?{}[]\|()" else c for c in w) for w in listed]
+    return r"(?i)\b(?:" + "|".join(escaped) + r")\b" if listed else r"[^\s\S]"
+
+
+def asks(text: Column, words: list[str] | tuple[str, ...]) -> Column:
+    """Ends with a question mark or opens with one of the words."""
+    return text.rlike(r"\?\s*$") | text.rlike(r"^\s*" + words_pattern(words))
+
+
+#: Imports in Python and JavaScript, and file paths in prose.
+IMPORTS = r"(?m)^\s*(?:import\s+([\w.]+)|from\s+([\w.]+)\s+import|(?:const|let|var).*require\(['\"]([^'\"]+)|import\s+.*from\s+['\"]([^'\"]+))"
+PATHS = r"[\w./-]+\.[A-Za-z0-9]{1,6}"
+
+
+def imported(text: Column) -> Column:
+    """The top-level names of the modules that a text imports, in order."""
+    groups = [F.regexp_extract_all(text, F.lit(IMPORTS), F.lit(g)) for g in (1, 2, 3, 4)]
+    names = F.transform(F.arrays_zip(*(g.alias(f"g{i}") for i, g in enumerate(groups))), lambda z: F.concat(*(F.coalesce(z[f"g{i}"], F.lit("")) for i in range(4))))
+    return F.filter(F.transform(names, lambda n: F.regexp_extract(n, r"^([^./]*)", 1)), lambda n: n != "")

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import detectors, errors, metrics, tails
+from . import detectors, errors, handovers, metrics, tails
+from .facts import facts
 from .graph import cut_lineage
 
 
 def enrich(events: DataFrame) -> DataFrame:
-    """Decoded events with error (the category of a failed result's text, C3), size and a logical kind.
-
-    Usage rows are kept apart from what a session did: they are meta to all rules."""
+    """Decoded events with error and error_severity, the category of a failed result's text and command."""
     failed = (F.col("kind") == "tool_result") & ~F.col("ok")
-    error = F.when(failed, errors.classify(F.coalesce("text", F.lit("")))["category"])
-    kind = F.when(F.col("kind") == "usage", "meta").otherwise(F.col("kind"))
-    return events.withColumns({"error": error, "size": F.length(F.coalesce("text", F.lit(""))).cast("long"), "kind": kind})
+    key = F.coalesce("call_id", F.concat(F.lit("\u0000"), F.col("idx").cast("string")))
+    command = F.max(F.when(F.col("kind") == "tool_call", F.struct("idx", "command"))).over(Window.partitionBy("session_id", key))["command"]
+    told = errors.classify(F.col("text"), F.col("tool"), F.col("exit_code"), F.col("of_command"))
+    rows = events.withColumn("of_command", command).withColumn("e", F.when(failed, told))
+    return rows.withColumns({"error": F.col("e.category"), "error_severity": F.col("e.severity")}).drop("e", "of_command")
 
 
 def in_range(events: DataFrame, since: str | None = None, until: str | None = None, models: tuple[str, ...] = ()) -> DataFrame:
@@ -40,19 +41,23 @@ def _any_of(text: Column, parts: list[str]) -> Column:
     return out
 
 
-def analyze(events: DataFrame, knobs: dict[str, dict] | None = None, disabled: frozenset[str] = frozenset()) -> dict[str, DataFrame]:
-    """Sessions, usage, findings, incidents and their distributions of decoded events.
+def analyze(
+    events: DataFrame, knobs: dict[str, dict] | None = None, severities: dict[str, str] | None = None, enabled: set[str] | None = None, disabled: frozenset[str] = frozenset()
+) -> dict[str, DataFrame]:
+    """Sessions, usage, findings, incidents and their distributions, model activity and delegations of decoded events.
 
     The events are written once (a checkpoint), so the rules do not decode the logs again each."""
-    rich = cut_lineage(enrich(events))
-    acts = rich.filter("kind <> 'meta'")
-    incidents = cut_lineage(tails.incidents(acts))
-    usage = rich.filter("kind = 'meta' and cumulative is not null").groupBy("session_id").agg(*(F.sum(c).alias(c) for c in ("input", "output", "cache_read", "cache_write")))
+    rows = cut_lineage(facts(enrich(events)))
+    incidents = cut_lineage(tails.incidents(rows))
+    acts = rows.filter("logical")
+    usage = rows.filter("kind = 'usage'").groupBy("session_id").agg(*(F.sum(c).alias(c) for c in ("input", "output", "cache_read", "cache_write")))
     return {
         "sessions": metrics.session_metrics(acts).join(usage, "session_id", "left"),
-        "findings": detectors.run(acts, knobs, disabled=disabled).unionByName(_observed(incidents)),
+        "findings": detectors.run(rows, knobs, severities, known=True, enabled=enabled, disabled=disabled).unionByName(_observed(incidents)),
         "incidents": tails.retained(incidents),
         "distributions": tails.distributions(incidents),
+        "activity": tails.model_activity(rows),
+        "delegations": handovers.handovers(rows).withColumn("files", F.array_join("files", "\n")),
     }
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked_values
+
 #: Pricing statuses from best to worst.
 STATUS = ("exact", "estimated", "unknown")
 
@@ -45,14 +47,6 @@ def origin_attributed(rows: DataFrame, cache_rate: float) -> DataFrame:
     return rated.withColumn("attributed", own + tokens * F.coalesce(F.sum("rate").over(later), F.lit(0.0)))
 
 
-def cache_rebuilds(rows: DataFrame, least_write: int) -> DataFrame:
-    """A warm response followed at once by one that reads no cache and writes much of it, same model."""
-    w = Window.partitionBy("thread_id").orderBy("seq")
-    warm = (F.lag("cache_read").over(w) > 0) & (F.lag("model").over(w) == F.col("model"))
-    found = rows.withColumn("warm", warm).filter(F.col("warm") & (F.col("cache_hit") == 0) & (F.col("cache_write") >= least_write))
-    return found.groupBy("thread_id").agg(F.count("*").alias("rebuilds"), F.sum("cache_write").alias("written"))
-
-
 def band(value: Column, edges: list[float]) -> Column:
     """Half-open bands named by their lower edge; below the first edge is band 0."""
     out = F.lit(0.0)
@@ -86,21 +80,16 @@ def spend_overview(rows: DataFrame) -> DataFrame:
 
 
 def expense_tail(rows: DataFrame, share: float = 0.05) -> DataFrame:
-    """The most expensive share of the units, with all that tie with the last of them.
-
-    The cutoff is the value at place ceil(n * share), found from counts of equal costs (pre-aggregated), so units are
-    not ranked in one task; the cutoff is one row, which is broadcast."""
-    counts = rows.filter("cost is not null").groupBy("cost").agg(F.count("*").alias("n"))
-    above = F.coalesce(F.sum("n").over(Window.orderBy(F.col("cost").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = F.sum("n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    placed = counts.withColumns({"above": above, "whole": whole})
-    cutoff = placed.filter(F.col("above") < F.ceil(F.col("whole") * share)).agg(F.min("cost").alias("cutoff"))
+    """The most expensive share of the units, with all that tie with the last of them.
+
+    The cutoff is the value at place ceil(n * share), found by ranked_values(); it is one row, which is broadcast."""
+    placed = ranked_values(rows.filter("cost is not null").withColumn("__all", F.lit(1)), ["__all"], "cost")
+    cutoff = placed.filter(F.col("above") < F.ceil(F.col("size") * share)).agg(F.min("value").alias("cutoff"))
     return rows.join(F.broadcast(cutoff), F.col("cost") >= F.col("cutoff")).drop("cutoff")
 
 
 def share_of_top(rows: DataFrame, by: str, value: str, share: float = 0.01) -> DataFrame:
     """What part of each cohort's sum its largest units (a share of them, one at least) have."""
-    w = Window.partitionBy(by)
-    placed = rows.withColumns({"place": F.row_number().over(w.orderBy(F.col(value).desc(), "idx", "session_id")), "n": F.count("*").over(w)})
-    top = F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("n") * share))
-    return placed.groupBy(by).agg(F.round(F.sum(F.when(top, F.col(value))) / F.sum(value), 6).alias("top_share"))
+    placed = ranked_values(rows, [by], value)
+    top = F.greatest(F.lit(0), F.least(F.col("n"), F.greatest(F.lit(1), F.ceil(F.col("size") * share)) - F.col("above")))
+    return placed.groupBy(by).agg(F.round(F.sum(F.col("value") * top) / F.sum(F.col("value") * F.col("n")), 6).alias("top_share"))

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir; only a session that names none gets a local one."""
+    """A checkpoint in the folder of spark.checkpoint.dir; only a local session that names none gets a local one."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewright-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracewright-"))
     return df.checkpoint()
 
 
@@ -23,40 +26,49 @@ def ranked_edges(edges: DataFrame) -> DataFrame:
     return edges.filter("child <> parent").withColumn("place", place).filter("place = 1").drop("place")
 
 
-def walk(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def walk(edges: DataFrame) -> DataFrame:
     """Node, root, depth of every node, by pointer doubling: each round follows twice as many edges.
 
-    Takes one parent a child. Nodes on a cycle, and those under one, get their own smallest cycle member as root and a
-    null depth. A parent that is no child is a root of depth 0. Rounds grow with the logarithm of the depth, and the
-    lineage of each is cut, so the plan stays small however deep the trees are."""
-    nodes = edges.select(F.col("child").alias("node"), F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps"))
+    Takes one parent a child. Nodes on a cycle, and those under one, get the cycle's smallest member as root and a null
+    depth. A parent that is no child is a root of depth 0. A node that has reached its root is put aside, so no join
+    meets the many nodes of one root. Rounds go on until every node has, or has gone as many steps as there are edges,
+    which only nodes at a cycle can; the lineage of each is cut, so the plan stays small however deep the trees are."""
     roots = edges.select(F.col("parent").alias("node")).join(edges.select(F.col("child").alias("node")), "node", "left_anti").distinct()
-    state = nodes.unionByName(roots.select("node", F.col("node").alias("up"), F.lit(0).cast("long").alias("steps")))
-    state = state.withColumn("low", F.least("node", "up"))
-    state = cut_lineage(state)
-    for _ in range(max(1, max_depth.bit_length())):
-        ahead = state.select(F.col("node").alias("at"), F.col("up").alias("further"), F.col("steps").alias("more"), F.col("low").alias("lower"))
-        state = state.join(ahead, state.up == ahead["at"]).select(
-            "node", F.col("further").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.least("low", "lower").alias("low")
+    top = cut_lineage(roots.select(F.col("node").alias("root")))
+    first = edges.select(F.col("child").alias("node"), F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps"), F.least("child", "parent").alias("low"))
+    first = cut_lineage(first.join(top, F.col("up") == F.col("root"), "left"))
+    steps, most = 1, first.count()
+    done, active = first.filter("root is not null"), first.filter("root is null")
+    every, left = first, active.count()
+    while left and steps < 2 * most:
+        ahead = every.select(F.col("node").alias("at"), F.col("up").alias("further"), F.col("steps").alias("more"), F.col("low").alias("lower"), F.col("root").alias("ends"))
+        moved = active.join(ahead, active.up == ahead["at"]).select(
+            "node", F.col("further").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.least("low", "lower").alias("low"), F.col("ends").alias("root")
         )
-        state = cut_lineage(state)
-    top = roots.select(F.col("node").alias("root"))
-    found = state.join(top, state.up == top.root, "left")
-    return found.select("node", F.coalesce("root", "low").alias("root"), F.when(F.col("root").isNotNull(), F.col("steps")).alias("depth"))
-
-
-def without_cycles(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """The edges without the weakest of each cycle (the latest kind, then the larger child).
-
-    A node is on a cycle if a walk of max_depth steps or more from it ends at no root and some walk comes back to it:
-    the ends of such long walks are cycle members only."""
-    far = walk(edges, max_depth)
+        moved = cut_lineage(moved)
+        done, active, steps = done.unionByName(moved.filter("root is not null")), moved.filter("root is null"), 2 * steps
+        every = cut_lineage(done.unionByName(active))
+        done, left = every.filter("root is not null"), active.count()
+    # After that many steps a node stands on its cycle, all of which its walk from there has seen.
+    around = active.select(F.col("node").alias("on"), F.col("low").alias("least"))
+    cycles = active.join(around, active.up == around["on"]).select("node", F.col("least").alias("root"), F.lit(None).cast("long").alias("depth"))
+    found = done.select("node", "root", F.col("steps").alias("depth")).unionByName(cycles)
+    return found.unionByName(top.select(F.col("root").alias("node"), "root", F.lit(0).cast("long").alias("depth")))
+
+
+def without_cycles(edges: DataFrame) -> DataFrame:
+    """The edges without the weakest of each cycle (the latest kind, then the larger child)."""
+    far = walk(edges)
     members = far.filter("depth is null").select(F.col("node").alias("child"), F.col("root").alias("cycle"))
     rank = F.when(F.col("kind") == "spawn", 1).when(F.col("kind") == "fork", 2).otherwise(3)
     inner = edges.join(members, "child")
-    # A member that is nobody's parent within the cycle only hangs from it.
-    parents = inner.select(F.col("parent").alias("child"), F.col("cycle").alias("of")).distinct()
-    on = inner.join(parents, "child").filter("cycle = of")
+    # A member that is nobody's parent within the cycle only hangs from it, and so do those under it.
+    while True:
+        parents = inner.select(F.col("parent").alias("child"), F.col("cycle").alias("of")).distinct()
+        on = cut_lineage(inner.join(parents, "child").filter("cycle = of").select(*inner.columns))
+        if on.count() == inner.count():
+            break
+        inner = on
     weakest = on.groupBy("cycle").agg(F.max_by("child", F.struct(rank, "child")).alias("child"))
     return edges.join(weakest.select("child"), "child", "left_anti")
 

@@ -27,9 +27,18 @@ def confusion(rows: DataFrame, keys: list[str], gold: Column, predicted: Column)
     return counts.select("*", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(tp + tn, tp + fp + fn + tn).alias("accuracy"))
 
 
+#: Questions that a bank may hold.
+MOST_QUESTIONS = 10_000
+
+
 def drafts(objects: DataFrame, features: DataFrame, done: DataFrame) -> DataFrame:
-    """L1: every object with every question it lacks. `features` is a question bank, a table that people keep."""
-    wanted = objects.select("object_id").distinct().withColumn("feature_id", F.explode(F.array(*(F.lit(r.feature_id) for r in features.select("feature_id").collect()))))
+    """L1: every object with every question it lacks. `features` is a question bank, a table that people keep, so it is
+    broadcast; one of over MOST_QUESTIONS is refused."""
+    bank = features.select("feature_id").distinct()
+    if bank.limit(MOST_QUESTIONS + 1).count() > MOST_QUESTIONS:
+        raise ValueError(f"a question bank has at most {MOST_QUESTIONS} questions")
+    listed = F.broadcast(bank.agg(F.array_sort(F.collect_list("feature_id")).alias("bank")).withColumn("one", F.lit(1)))
+    wanted = objects.select("object_id").distinct().withColumn("one", F.lit(1)).join(listed, "one").select("object_id", F.explode("bank").alias("feature_id"))
     return wanted.join(done.select("object_id", "feature_id"), ["object_id", "feature_id"], "left_anti")
 
 

@@ -38,11 +38,16 @@ def chunks(rows: DataFrame, id_col: str, text_col: str, size: int, overlap: int)
     return cut.select(id_col, "chunk", F.substring(F.col(text_col), (F.col("chunk") * step + 1).cast("int"), F.lit(size)).alias("part"))
 
 
-def batches(rows: DataFrame, id_col: str, size_col: str, limit: int, lanes: int = 16) -> DataFrame:
+#: Ids that one lane packs, and hooks that a user may give.
+LANE_ROWS, MOST_HOOKS = 100_000, 1000
+
+
+def batches(rows: DataFrame, id_col: str, size_col: str, limit: int, lane_rows: int = LANE_ROWS) -> DataFrame:
     """Ids packed in order into batches of at most `limit` bytes; a larger one is alone.
 
     Packing is sequential, so it runs in lanes of a hash of the id, each a grouped stage of narrow rows that numbers
-    its own batches; more lanes give more tasks and at most one part-filled batch each."""
+    its own batches. There is a lane for each `lane_rows` rows, so a lane's size does not grow with the table; each
+    ends in at most one part-filled batch."""
     import pandas as pd
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
@@ -55,16 +60,26 @@ def batches(rows: DataFrame, id_col: str, size_col: str, limit: int, lanes: int
             out.append(batch)
         return frame[[id_col, "lane", size_col]].assign(batch=out)
 
-    laned = rows.select(id_col, size_col, F.pmod(F.xxhash64(id_col), F.lit(lanes)).alias("lane"))
+    lanes = max(1, -(-rows.count() // lane_rows))
+    number = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long")
+    laned = rows.select(id_col, size_col, (number % lanes).alias("lane"))
     kind = rows.schema[id_col].dataType.simpleString()
     return laned.groupBy("lane").applyInPandas(pack, f"{id_col} {kind}, lane long, {size_col} long, batch long")
 
 
+def _settings(table: DataFrame, most: int) -> list:
+    """The rows of a table that people write by hand; a larger one is refused."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a configuration table has at most {most} rows")
+    return rows
+
+
 def hooks(commands: DataFrame, table: DataFrame) -> DataFrame:
     """Per hook (a pattern that a user gives) and what it extracts, commands and sessions.
 
     The hooks are a configuration table: each becomes a column expression, so nothing is joined."""
-    wanted = [(r.hook, r.pattern) for r in table.collect()]
+    wanted = [(r.hook, r.pattern) for r in _settings(table, MOST_HOOKS)]
     found = F.array(*(F.struct(F.lit(h).alias("hook"), F.when(F.col("command").rlike(p), F.regexp_extract("command", p, 0)).alias("value")) for h, p in wanted))
     rows = commands.select("session_id", F.inline(found)).filter("value is not null")
     return rows.groupBy("hook", "value").agg(F.count("*").alias("n"), F.countDistinct("session_id").alias("sessions"))

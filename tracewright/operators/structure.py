@@ -41,25 +41,6 @@ def tasks(events: DataFrame, opens: Column) -> DataFrame:
     )
 
 
-def handovers(events: DataFrame) -> DataFrame:
-    """Delegations (calls with a call id) with their return, next use of its path, and status.
-
-    A launch has the first later result of its id; the same id launched again first leaves it orphaned."""
-    own = Window.partitionBy("session_id", "call_id").orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
-    nxt = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("idx"))).over(own)
-    rows = events.filter("call_id is not null").withColumns({"returned": nxt("tool_result"), "again": nxt("tool_call")})
-    rows = rows.withColumn("ok_after", F.first(F.when(F.col("kind") == "tool_result", F.col("ok")), ignorenulls=True).over(own))
-    status = F.when(F.col("returned").isNull(), "open").when(F.col("again") < F.col("returned"), "orphaned").when(F.col("ok_after"), "completed").otherwise("failed")
-    return rows.filter("kind = 'tool_call'").select("session_id", "call_id", "idx", F.when(status != "orphaned", F.col("returned")).alias("returned"), status.alias("status"))
-
-
-def repeated_delegations(launched: DataFrame) -> DataFrame:
-    """Launches of an id that an earlier launch in the session has completed, with how many did."""
-    before = Window.partitionBy("session_id", "call_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    rows = launched.withColumn("earlier", F.coalesce(F.sum(s.flag(F.col("status") == "completed")).over(before), F.lit(0)))
-    return rows.filter("earlier > 0").select("session_id", "call_id", "idx", "earlier")
-
-
 def wait_cohorts(rows: DataFrame, edges: list[float]) -> DataFrame:
     """Waits between neighbouring responses by model and band: waits, cache writes after them, rewrites."""
     from .costs import band

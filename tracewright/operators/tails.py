@@ -1,4 +1,7 @@
-"""Tail measurements: incidents (kind, cohort, session, idx, value), their distributions and observations."""
+"""Tail measurements: incidents (kind, cohort, session_id, idx, value), their distributions and observations.
+
+Every measure takes facts() of decoded events. Values are measured burdens; none claims that anything was wasted.
+"""
 
 from __future__ import annotations
 
@@ -7,142 +10,262 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import joins, sequence as s
+from tracewright import config
+from tracewright.functions import text as tx
+
+from . import handovers as h
+from . import sequence as s
+from .facts import is_call, is_read, is_user, named
+from .ranks import ranked_values
 
-#: What each kind of incident must reach to be an observation, and its severity.
-THRESHOLDS = {
-    "tool_latency": (120, "low"), "parent_wait": (300, "low"), "delegation_lifetime": (900, "info"), "delegation_open": (900, "info"),
-    "retry_attempts": (10, "medium"), "failure_chain": (10, "medium"), "output_volume": (50_000, "low"), "poll_amplification": (20, "low"),
-    "model_input": (100_000, "low"), "model_output": (8_000, "low"), "delegation_fanout": (20, "low"), "context_replay": (1_000_000, "low"),
-    "cache_creation": (100_000, "low"), "status_probes": (10, "low"), "inspection_rounds": (20, "info"), "output_repetition": (10_000, "low"),
-    "delegation_repetition": (2, "low"), "verification_repetition": (2, "low"), "cache_rebuilds": (2, "low"),
+#: How grave an observation of each kind is; its threshold is a setting.
+SEVERITIES = {
+    "tool_latency": "low", "parent_wait": "low", "delegation_lifetime": "info", "delegation_open": "info", "retry_attempts": "medium", "failure_chain": "medium",
+    "output_volume": "low", "poll_amplification": "low", "model_input": "low", "model_output": "low", "delegation_fanout": "low", "context_replay": "low", "cache_creation": "low",
+    "status_probes": "low", "inspection_rounds": "info", "output_repetition": "low", "delegation_repetition": "low", "verification_repetition": "low", "cache_rebuilds": "low",
 }
+THRESHOLDS = {k: (config.DEFAULTS["tails"][k], v) for k, v in SEVERITIES.items()}
+#: Tools that wait for a subagent, and that ask how things stand.
+WAITS = ("wait_agent", "get_subagent_result", "wait", "collaboration.wait_agent")
+POLLS = (*WAITS, "write_stdin", "functions.write_stdin", "list_agents", "collaboration.list_agents")
+_RUNNING = r"(?i)\b(?:process|script|agent) (?:is (?:still )?)?running\b|\brunning in (?:the )?background\b"
+
+
+def is_poll() -> Column:
+    return is_call() & named(F.col("tool"), POLLS)
+
+
+def is_usage() -> Column:
+    return F.col("kind") == "usage"
+
+
+def is_inspection() -> Column:
+    return is_read() | (is_call() & F.coalesce(F.col("intent") == "inspect", F.lit(False)))
+
+
+def _key() -> Column:
+    return F.coalesce("signature", "tool", F.lit(""))
+
+
+def status_probe(tool: Column, signature: Column) -> Column:
+    """Asks how things stand without waiting."""
+    name = F.regexp_extract(F.lower(tool), r"([^.]*)$", 1)
+    at_once = F.coalesce(signature.rlike(r"\"timeout_ms\"\s*:\s*0\b|\"wait\"\s*:\s*false"), F.lit(False))
+    idle = (name == "write_stdin") & F.coalesce(signature.rlike(r"\"yield_time_ms\"\s*:\s*0\b") & ~signature.rlike(r"\"chars\"\s*:\s*\"[^\"]"), F.lit(False))
+    return F.coalesce((name == "list_agents") | (name.isin("get_subagent_result", "wait_agent", "wait_threads") & at_once) | idle, F.lit(False))
+
+
+def _incident(rows: DataFrame, kind: str | Column, value: Column, cohort: Column | None = None, idx: str = "idx") -> DataFrame:
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    name = F.concat_ws(":", kind, F.coalesce(cohort, F.lit("unknown"))) if cohort is not None else kind
+    return rows.select(kind.alias("kind"), name.alias("cohort"), "session_id", F.col(idx).cast("long").alias("idx"), value.cast("double").alias("value"))
+
+
+def model_usage(rows: DataFrame) -> DataFrame:
+    """Uncached input and output of each response, by model."""
+    each = F.array(*(F.struct(F.lit(f"model_{c}").alias("name"), F.col(c).alias("tokens")) for c in ("input", "output")))
+    found = rows.filter(is_usage()).select("session_id", "idx", "model", F.inline(each)).filter("tokens >= 0")
+    return _incident(found, F.col("name"), F.col("tokens"), F.col("model"))
 
 
-def _incident(rows: DataFrame, kind: str, value, cohort=None, idx: str = "idx") -> DataFrame:
-    name = F.concat_ws(":", F.lit(kind), cohort) if cohort is not None else F.lit(kind)
-    return rows.select(F.lit(kind).alias("kind"), name.alias("cohort"), "session_id", F.col(idx).cast("long").alias("idx"), value.cast("double").alias("value"))
+def round_trips(rows: DataFrame) -> DataFrame:
+    """Seconds from a call to its only result, by tool; waits for subagents are apart."""
+    seconds = (F.unix_micros(F.col("r_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
+    found = rows.filter("paired").withColumn("seconds", seconds).filter("seconds >= 0")
+    return _incident(found, F.when(named(F.col("tool"), WAITS), "parent_wait").otherwise("tool_latency"), F.col("seconds"), F.col("tool"))
 
 
-def tool_latency(events: DataFrame) -> DataFrame:
-    """Seconds from a call to its only result."""
-    pairs = joins.pair_unique(events)
-    seconds = (F.unix_micros(F.col("ts_end").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
-    return _incident(pairs, "tool_latency", seconds, F.col("tool"))
+def output_volume(rows: DataFrame) -> DataFrame:
+    """Characters of each call's output, by tool."""
+    return _incident(rows.filter("paired and r_size >= 0"), "output_volume", F.col("r_size"), F.col("tool"))
 
 
-def output_volume(events: DataFrame) -> DataFrame:
-    """The size of each result."""
-    return _incident(events.filter("kind = 'tool_result'"), "output_volume", F.col("size"), F.when(F.col("ok"), "ok").otherwise("failed"))
+def _attempts(rows: DataFrame) -> DataFrame:
+    """Calls and user messages but polls, with what ends all open lists: user messages and calls without one result."""
+    acts = rows.filter((is_call() & ~is_poll()) | is_user())
+    stops = is_user() | ~F.col("paired")
+    return acts.withColumns({"stops": stops, "barrier": F.sum(s.flag(stops)).over(s.upto()), "failed": ~stops & F.col("r_failed"), "key": _key()})
 
 
-def retry_attempts(events: DataFrame) -> DataFrame:
-    """T4."""
-    groups = s.retry_groups(events.filter("kind in ('tool_result', 'user_msg')"), "call_id")
-    return _incident(groups, "retry_attempts", F.col("attempts"), idx="first_idx")
+def retry_attempts(rows: DataFrame) -> DataFrame:
+    """Attempts of one call up to its success, a user message or a call without one result; two failures at least."""
+    own = Window.partitionBy("session_id", "key", "barrier").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    tried = _attempts(rows).filter("not stops")
+    tried = tried.withColumn("closed", F.coalesce(F.sum(s.flag(~F.col("failed"))).over(own), F.lit(0)))
+    found = tried.groupBy("session_id", "key", "barrier", "closed").agg(F.count("*").alias("attempts"), F.count_if("failed").alias("failures"), F.min("idx").alias("idx"))
+    return _incident(found.filter("attempts >= 2 and failures >= 2"), "retry_attempts", F.col("attempts"))
 
 
-def failure_chain(events: DataFrame) -> DataFrame:
-    """T5."""
-    return _incident(s.failure_chains(events, 3), "failure_chain", F.col("failures"), idx="first_idx")
+def failure_chain(rows: DataFrame) -> DataFrame:
+    """Three failed calls or more with no success, user message or call without one result between; polls
+    neither extend nor end a chain."""
+    runs = _attempts(rows).withColumn("island", F.sum(s.flag(~F.col("failed"))).over(s.upto())).filter("failed")
+    found = runs.groupBy("session_id", "island").agg(F.count("*").alias("failures"), F.min("idx").alias("idx"))
+    return _incident(found.filter("failures >= 3"), "failure_chain", F.col("failures"))
 
 
-def poll_amplification(events: DataFrame) -> DataFrame:
-    """Runs of identical polls; here, of the same kind of read."""
-    runs = s.poll_runs(events, F.coalesce(F.col("category") == "read", F.lit(False)), "tool", 3)
-    return _incident(runs, "poll_amplification", F.col("polls"), idx="first_idx")
+def poll_amplification(rows: DataFrame) -> DataFrame:
+    """Three equal polls or more with no other kind of call and no user message between."""
+    acts = rows.filter(is_call() | is_user()).withColumn("island", F.sum(s.flag(~is_poll())).over(s.upto())).filter(is_poll())
+    found = acts.groupBy("session_id", "island", _key().alias("key")).agg(F.count("*").alias("polls"), F.min("idx").alias("idx"))
+    return _incident(found.filter("polls >= 3"), "poll_amplification", F.col("polls"))
 
 
-def _per_scope(events: DataFrame, kind: str, hit, value, least: int) -> DataFrame:
-    rows = s.request_scope(events).filter(hit).groupBy("session_id", "scope").agg(F.count("*").alias("n"), value.alias("value"), F.min("idx").alias("idx"))
-    return _incident(rows.filter(F.col("n") >= least), kind, F.col("value"))
+def _per_request(rows: DataFrame, kind: str, hit: Column, value: Column, least: int) -> DataFrame:
+    found = rows.filter(hit & (F.col("scope") >= 0)).groupBy("session_id", "scope").agg(F.count("*").alias("n"), value.alias("value"), F.min("idx").alias("idx"))
+    return _incident(found.filter(F.col("n") >= least), kind, F.col("value"))
 
 
-def delegation_fanout(events: DataFrame, spawns: Column | None = None) -> DataFrame:
-    """Spawns in one request; calls of subagents unless `spawns` names others."""
-    hit = spawns if spawns is not None else F.col("category") == "subagent"
-    return _per_scope(events, "delegation_fanout", hit, F.count("*"), 2)
+def delegation_fanout(rows: DataFrame) -> DataFrame:
+    """Subagents started in one request, two at least."""
+    return _per_request(rows, "delegation_fanout", h.is_spawn(), F.count("*"), 2)
 
 
-def context_replay(events: DataFrame) -> DataFrame:
-    """What one request's results read again, from three results on."""
-    return _per_scope(events, "context_replay", F.col("kind") == "tool_result", F.sum("size"), 3)
+def context_replay(rows: DataFrame) -> DataFrame:
+    """Cached tokens read in one request, by five responses at least."""
+    return _per_request(rows, "context_replay", is_usage() & (F.col("cache_read") > 0), F.sum("cache_read"), 5)
 
 
-def cache_creation(events: DataFrame) -> DataFrame:
-    """T9."""
-    return _per_scope(events, "cache_creation", F.col("category") == "write", F.sum("size"), 2)
+def cache_creation(rows: DataFrame) -> DataFrame:
+    """Cached tokens written in one request, by five responses at least."""
+    return _per_request(rows, "cache_creation", is_usage() & (F.col("cache_write") > 0), F.sum("cache_write"), 5)
 
 
-def inspection_rounds(events: DataFrame) -> DataFrame:
-    """Calls of a request of which all are inspections, three at least."""
-    calls = s.request_scope(events).filter("kind = 'tool_call'").groupBy("session_id", "scope")
-    rows = calls.agg(F.count("*").alias("n"), F.bool_and(F.col("category") == "read").alias("only"), F.min("idx").alias("idx"))
-    return _incident(rows.filter("only and n >= 3"), "inspection_rounds", F.col("n"))
+def rounds(rows: DataFrame) -> DataFrame:
+    """Responses with exactly one usage row, with what their calls do: no_tools, inspection, coordination,
+    execution or mixed; session_id, response_id, idx, scope, model, tokens, calls, category."""
+    of = rows.filter((is_usage() | is_call()) & F.col("response_id").isNotNull()).groupBy("session_id", "response_id")
+    calls = lambda c: F.count_if(is_call() & c) == F.count_if(is_call())
+    category = (
+        F.when(F.count_if(is_call()) == 0, "no_tools").when(calls(is_inspection()), "inspection").when(calls(h.is_coordination()), "coordination")
+        .when(calls(F.col("category").isin("execute", "write")), "execution").otherwise("mixed")
+    )
+    pick = lambda c: F.max(F.when(is_usage(), F.col(c))).alias(c)
+    found = of.agg(F.count_if(is_usage()).alias("n"), F.min("idx").alias("idx"), F.count_if(is_call()).alias("calls"), category.alias("category"), *(pick(c) for c in ("scope", "model", "input", "output", "cache_read", "cache_write")))
+    return found.filter("n = 1").drop("n")
 
 
-def status_probes(events: DataFrame) -> DataFrame:
-    """T12."""
-    return _per_scope(events, "status_probes", F.col("command") == "git status", F.count("*"), 1)
+def model_activity(rows: DataFrame) -> DataFrame:
+    """Rounds, calls and tokens by what the rounds do, by model and by whether any of their token counts is missing."""
+    tokens = ("input", "output", "cache_read", "cache_write")
+    part = rounds(rows).withColumn("incomplete", reduce(lambda a, b: a | b, (F.col(c).isNull() for c in tokens)))
+    return part.groupBy("category", "model", "incomplete").agg(F.count("*").alias("rounds"), F.sum("calls").alias("calls"), *(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in tokens))
 
 
-def output_repetition(events: DataFrame) -> DataFrame:
-    """Results of one call id that say the same again in a session; what the repeats add."""
-    rows = events.filter("kind = 'tool_result'").groupBy("session_id", "call_id").agg(F.count("*").alias("n"), (F.sum("size") - F.max("size")).alias("extra"), F.min("idx").alias("idx"))
-    return _incident(rows.filter("n >= 2 and extra >= 1000"), "output_repetition", F.col("extra"))
+def inspection_rounds(rows: DataFrame) -> DataFrame:
+    """Responses of one request that only look at things, three at least."""
+    found = rounds(rows).filter("category = 'inspection'").groupBy("session_id", "scope").agg(F.count("*").alias("n"), F.min("idx").alias("idx"))
+    return _incident(found.filter("n >= 3"), "inspection_rounds", F.col("n"))
 
 
-def verification_repetition(events: DataFrame) -> DataFrame:
-    """The same check again in one request."""
-    rows = s.request_scope(events).filter(F.col("command").contains("pytest")).groupBy("session_id", "scope", "command")
-    return _incident(rows.agg(F.count("*").alias("n"), F.min("idx").alias("idx")).filter("n >= 2"), "verification_repetition", F.col("n") - 1)
+def status_probes(rows: DataFrame) -> DataFrame:
+    """Calls of one request that ask how things stand, three at least."""
+    hit = F.col("paired") & status_probe(F.col("tool"), F.col("signature"))
+    found = rows.filter(hit).groupBy("session_id", "scope").agg(F.count("*").alias("n"), F.min("idx").alias("idx"))
+    return _incident(found.filter("n >= 3"), "status_probes", F.col("n"))
+
+
+def output_repetition(rows: DataFrame) -> DataFrame:
+    """Characters that equal inspections of one request say again, a thousand at least."""
+    looked = rows.filter(F.col("paired") & F.col("r_ok") & is_inspection() & F.col("r_text").isNotNull())
+    found = looked.groupBy("session_id", "scope", _key().alias("key"), F.sha2("r_text", 256).alias("digest")).agg(
+        F.count("*").alias("n"), F.min("r_size").alias("least"), F.max("r_size").alias("most"), F.min("idx").alias("idx")
+    )
+    extra = F.col("most") * (F.col("n") - 1)
+    return _incident(found.filter((F.col("n") >= 2) & (F.col("least") == F.col("most")) & (extra >= 1000)), "output_repetition", extra)
+
+
+def verification_repetition(rows: DataFrame) -> DataFrame:
+    """Checks of one request with the same arguments that came back well, without the first."""
+    together = F.col("next_user").isNull() | (F.col("next_user") > F.col("r_idx"))
+    well = F.col("r_ok") & (F.coalesce("r_exit", F.lit(0)) == 0) & ~(F.col("r_exit").isNull() & F.coalesce(F.col("r_text").rlike(_RUNNING), F.lit(False)))
+    checks = rows.filter(F.col("paired") & well & together & tx.check_command(F.col("command")))
+    found = checks.groupBy("session_id", "scope", _key().alias("key")).agg(F.count("*").alias("n"), F.min("idx").alias("idx"))
+    return _incident(found.filter("n >= 2"), "verification_repetition", F.col("n") - 1)
+
+
+def cache_rebuilds(rows: DataFrame, tokens: int = config.DEFAULTS["tails"]["cache_rebuild_tokens"]) -> DataFrame:
+    """Responses of one request that write a cache anew, right after one of the same model read from it."""
+    w = s.session()
+    last = {f"last_{c}": F.lag(c).over(w) for c in ("cache_read", "model", "scope", "idx")}
+    used = rows.filter(is_usage()).withColumns(last)
+    warm = (F.col("last_cache_read") > 0) & (F.col("cache_read") == 0) & (F.col("cache_write") >= tokens)
+    same = (F.col("model") == F.col("last_model")) & (F.col("scope") == F.col("last_scope")) & (F.col("scope") >= 0) & (F.coalesce("compacted", F.lit(-1)) < F.col("last_idx"))
+    found = used.filter(warm & same).groupBy("session_id", "scope").agg(F.count("*").alias("n"), F.min("last_idx").alias("idx"))
+    return _incident(found, "cache_rebuilds", F.col("n"))
+
+
+def delegations(rows: DataFrame) -> DataFrame:
+    """Seconds from a subagent's start to its end, or as far as the log goes while none is seen."""
+    ended = h.handovers(rows)
+    open_for = F.when(F.col("status").isin("running", "unknown"), F.col("open_seconds"))
+    found = ended.withColumn("value", F.coalesce("seconds", open_for)).filter("value >= 0")
+    return _incident(found, F.when(F.col("seconds").isNotNull(), "delegation_lifetime").otherwise("delegation_open"), F.col("value"))
+
+
+def delegation_repetition(rows: DataFrame) -> DataFrame:
+    """Reviews handed out after earlier ones of the same request, over some of the same files, had come back."""
+    found = h.repeated(h.handovers(rows))
+    return _incident(found, "delegation_repetition", F.col("earlier"))
 
 
 MEASURES = (
-    tool_latency, output_volume, retry_attempts, failure_chain, poll_amplification, delegation_fanout, context_replay, cache_creation,
-    inspection_rounds, status_probes, output_repetition, verification_repetition,
+    model_usage, round_trips, output_volume, retry_attempts, failure_chain, poll_amplification, delegation_fanout, context_replay, cache_creation, inspection_rounds,
+    status_probes, output_repetition, verification_repetition, cache_rebuilds, delegations, delegation_repetition,
 )
 
 
-def incidents(events: DataFrame, spawns: Column | None = None) -> DataFrame:
-    """All measurements of a trace table; `spawns` as in delegation_fanout()."""
-    return reduce(DataFrame.unionByName, (m(events, spawns) if m is delegation_fanout else m(events) for m in MEASURES))
+def incidents(rows: DataFrame) -> DataFrame:
+    """All measurements of facts()."""
+    return reduce(DataFrame.unionByName, (m(rows) for m in MEASURES))
+
+
+def coverage(rows: DataFrame) -> DataFrame:
+    """How much of the calls the measurements could use."""
+    return rows.filter(is_call()).agg(
+        F.count("*").alias("calls"), F.count_if("paired").alias("paired"), F.count_if(~F.col("paired")).alias("unpaired"),
+        F.count_if(F.col("paired") & F.col("ts").isNotNull() & F.col("r_ts").isNotNull()).alias("timed"), F.count_if(F.col("paired") & F.col("r_size").isNotNull()).alias("sized"),
+    )
 
 
 def distributions(found: DataFrame) -> DataFrame:
     """N, median, nearest-rank p95 and p99, maximum and the share of the top 1 % of every cohort.
 
-    The median is the true one; p95 and p99 are values of the cohort (percentile_disc)."""
-    w = Window.partitionBy("cohort")
-    placed = found.withColumns({"place": F.row_number().over(w.orderBy(F.col("value").desc(), "session_id", "idx")), "size": F.count("*").over(w)})
-    top = F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("size") * 0.01))
-    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return placed.groupBy("kind", "cohort").agg(
-        F.count("*").alias("n"),
-        F.round(F.percentile("value", 0.5), 6).alias("p50"),
-        F.round(disc(0.95), 6).alias("p95"),
-        F.round(disc(0.99), 6).alias("p99"),
+    The median is the true one; p95 and p99 are values of the cohort."""
+    rows = ranked_values(found, ["kind", "cohort"], "value")
+    first = F.col("size") - F.col("above") - F.col("n")  # how many values are smaller
+    at = lambda place: F.max(F.when((first < place) & (place <= first + F.col("n")), F.col("value")))
+    size = F.col("size")
+    top = F.greatest(F.lit(0), F.least(F.col("n"), F.greatest(F.lit(1), F.ceil(size * 0.01)) - F.col("above")))
+    return rows.groupBy("kind", "cohort").agg(
+        F.max("size").alias("n"),
+        F.round((at(F.floor((size + 1) / 2)) + at(F.floor(size / 2) + 1)) / 2, 6).alias("p50"),
+        F.round(at(F.ceil(size * 0.95)), 6).alias("p95"),
+        F.round(at(F.ceil(size * 0.99)), 6).alias("p99"),
         F.round(F.max("value"), 6).alias("largest"),
-        F.round(F.sum(F.when(top, F.col("value"))) / F.sum("value"), 6).alias("top_share"),
+        F.round(F.sum(F.col("value") * top) / F.sum(F.col("value") * F.col("n")), 6).alias("top_share"),
     )
 
 
 def retained(found: DataFrame, most: int = 10, scale: float = 1.0) -> DataFrame:
-    """The `most` largest of each cohort and all that reach their threshold, with the ratio to the median
-    where the cohort has five values."""
-    w = Window.partitionBy("cohort")
+    """The `most` largest of each cohort, with their place, and all others that reach their threshold, with the
+    ratio to the median where the cohort has five values. Only the largest of each task meet to be placed."""
     limit = F.create_map(*(F.lit(x) for k, (t, _) in THRESHOLDS.items() for x in (k, float(t) * scale)))
-    placed = found.withColumns(
-        {"place": F.row_number().over(w.orderBy(F.col("value").desc(), "session_id", "idx")), "n": F.count("*").over(w), "median": F.percentile("value", 0.5).over(w)}
-    )
-    placed = placed.withColumn("exceeds", F.col("value") >= limit[F.col("kind")]).filter((F.col("place") <= most) | F.col("exceeds"))
-    ratio = F.when((F.col("n") >= 5) & (F.col("median") > 0), F.round(F.col("value") / F.col("median"), 6))
+    order = Window.partitionBy("cohort").orderBy(F.col("value").desc(), "session_id", "idx")
+    top = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    keys = ["kind", "cohort", "session_id", "idx", "value"]
+    beyond = found.filter(F.col("value") >= limit[F.col("kind")]).join(top.select(*keys), keys, "left_anti").withColumn("place", F.lit(None).cast("int"))
+    shape = distributions(found).select(F.col("cohort").alias("of"), "n", "p50")
+    placed = top.unionByName(beyond).withColumn("exceeds", F.col("value") >= limit[F.col("kind")])
+    placed = placed.join(shape, F.col("cohort") == F.col("of"))
+    ratio = F.when((F.col("n") >= 5) & (F.col("p50") > 0), F.round(F.col("value") / F.col("p50"), 6))
     return placed.select("kind", "cohort", "session_id", "idx", F.round("value", 6).alias("value"), F.col("place").cast("long").alias("place"), "exceeds", ratio.alias("median_ratio"))
 
 
 def observations(found: DataFrame, scale: float = 1.0) -> DataFrame:
-    """A finding for every retained incident that reaches its kind's threshold."""
+    """A finding for every incident that reaches its kind's threshold."""
     severity = F.create_map(*(F.lit(x) for k, (_, v) in THRESHOLDS.items() for x in (k, v)))
-    rows = retained(found, scale=scale).filter("exceeds")
+    limit = F.create_map(*(F.lit(x) for k, (t, _) in THRESHOLDS.items() for x in (k, float(t) * scale)))
+    rows = found.filter(F.col("value") >= limit[F.col("kind")])
     name = F.concat(F.lit("TAIL_"), F.upper("kind"))
-    return rows.select(name.alias("detector"), F.lit("observation").alias("kind"), severity[F.col("kind")].alias("severity"), "session_id", "idx", "value")
+    return rows.select(name.alias("detector"), F.lit("observation").alias("kind"), severity[F.col("kind")].alias("severity"), "session_id", "idx", F.round("value", 6).alias("value"))

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import text as tx
 from tracewright.operators import errors, graph, labels, memory
-from tracewright.sources.driver_tables import sql, table, trace_events
+from tracewright.operators.facts import facts
+from tracewright.sources.driver_tables import sql, table, trace_events, work_events
+
+from .findings import _EDITS
 
 
 def _edges(spark, d):
@@ -18,7 +21,7 @@ def _edges(spark, d):
 
 
 def root_walk(spark, d):
-    return graph.walk(graph.ranked_edges(_edges(spark, d)), 4)
+    return graph.walk(graph.ranked_edges(_edges(spark, d)))
 
 
 def tree_rollup(spark, d):
@@ -27,7 +30,7 @@ def tree_rollup(spark, d):
 
 
 def components(spark, d):
-    """G7 over all session-path links. The SQL twin keeps every tenth remainder only, so the two differ."""
+    """G7 over all session-path links."""
     rows = trace_events(spark, d).filter("kind = 'tool_call' and path is not null")
     return graph.families(rows.select(F.concat(F.lit("s"), F.col("session_id").cast("string")).alias("a"), F.col("path").alias("b")))
 
@@ -74,8 +77,10 @@ def content_dup_alias(spark, d):
 
 
 def command_intents(spark, d):
-    rows = trace_events(spark, d).filter("command is not null")
-    return rows.groupBy(tx.command_intent(F.col("command")).alias("intent"), "command").agg(F.count("*").alias("n"))
+    rows = work_events(spark, d).filter("command is not null")
+    c = F.col("command")
+    shown = (tx.command_intent(c).alias("intent"), "command", tx.check_command(c).alias("checks"), tx.edits_file(c).alias("edits"), F.coalesce(tx.exit1_is_answer(c), F.lit(False)).alias("answers"))
+    return rows.groupBy(*shown).agg(F.count("*").alias("n"))
 
 
 def model_classes(spark, d):
@@ -88,9 +93,14 @@ def failure_signals_tristate(spark, d):
 
 
 def error_categories(spark, d):
-    text = F.concat_ws(" ", F.lit("failed:"), F.regexp_replace("error", "_", " "))
-    rows = trace_events(spark, d).filter("error is not null").select("session_id", errors.classify(text).alias("e"))
-    return rows.groupBy("e.category", "e.severity", "e.confidence").agg(F.count("*").alias("n"), F.countDistinct("session_id").alias("sessions"))
+    rows = facts(work_events(spark, d)).filter("kind = 'tool_result' and not ok")
+    found = rows.select("session_id", errors.classify(F.col("text"), None, F.col("exit_code"), F.col("c_command")).alias("e"))
+    return found.groupBy("e.category", "e.severity", "e.confidence").agg(F.count("*").alias("n"), F.countDistinct("session_id").alias("sessions"))
+
+
+def impediments(spark, d):
+    rows = work_events(spark, d).filter("kind = 'tool_result'")
+    return rows.groupBy(errors.impediment(F.concat_ws(" ", "text", "error")).alias("impediment")).agg(F.count("*").alias("n"))
 
 
 def error_actions(spark, d):
@@ -124,7 +134,7 @@ def guidance_chunks(spark, d):
 
 
 def evidence_batches(spark, d):
-    return memory.batches(table(spark, d, "benchmark").select("item_id", F.octet_length("text").cast("long").alias("bytes")), "item_id", "bytes", 2000)
+    return memory.batches(table(spark, d, "benchmark").select("item_id", F.octet_length("text").cast("long").alias("bytes")), "item_id", "bytes", 2000, 40)
 
 
 def hook_summaries(spark, d):
@@ -140,7 +150,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         root_walk, tree_rollup, components, redact_text, secret_scan, lexicon_hits, deliverables, stable_ids, output_shapes, text_excerpts, content_dup_alias,
-        command_intents, model_classes, failure_signals_tristate, error_categories, error_actions, incident_groups, failure_recovery, outcomes, label_eval,
+        command_intents, model_classes, failure_signals_tristate, error_categories, impediments, error_actions, incident_groups, failure_recovery, outcomes, label_eval,
         evaluator_confusion, guidance_chunks, evidence_batches, hook_summaries, evidence_recurrence,
     )
 }
@@ -149,7 +159,6 @@ _DOCS = "(SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents
 _EDGES = """edges AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
 walk AS (SELECT DISTINCT parent AS node, parent AS root, 0 AS depth FROM edges WHERE parent NOT IN (SELECT child FROM edges)
     UNION ALL SELECT e.child, w.root, w.depth + 1 FROM walk w JOIN edges e ON e.parent = w.node)"""
-_INTENT = "CASE WHEN regexp_matches(command, '^(npm run build|pytest|python -m pytest)') THEN 'build_test' WHEN regexp_matches(command, '^(sed -i|git revert|echo done > )') THEN 'mutate' WHEN regexp_matches(command, '^(git status|ls|cat)') THEN 'inspect' ELSE 'other' END"
 
 
 def redact_sql(text: str) -> str:
@@ -167,7 +176,7 @@ ORACLE_SQL = {
     "root_walk": f"WITH RECURSIVE {_EDGES} SELECT node, root, CAST(depth AS BIGINT) AS depth FROM walk",
     "tree_rollup": f"WITH RECURSIVE {_EDGES} SELECT root, count(*) AS nodes, round(sum(round(c_acctbal, 2)), 2) AS total FROM walk JOIN customer ON node = 'c' || c_custkey GROUP BY root",
     "components": "WITH RECURSIVE " + sql(
-        """AND_WITH links AS (SELECT DISTINCT 's' || session_id AS a, path AS b FROM ev WHERE kind = 'tool_call' AND path IS NOT NULL AND session_id % 10 = k % 10),
+        """AND_WITH links AS (SELECT DISTINCT 's' || session_id AS a, path AS b FROM ev WHERE kind = 'tool_call' AND path IS NOT NULL),
         both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
         reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a)
         SELECT node, min(other) AS label FROM reach GROUP BY node""",
@@ -188,7 +197,12 @@ ORACLE_SQL = {
         CASE WHEN regexp_matches(text, '{tx.EMAIL}') THEN substr(text, greatest(1, strpos(text, regexp_extract(text, '{tx.EMAIL}')) - 20), 60) END AS around,
         left(list_filter(string_split(text, chr(10)), lambda x: contains(lower(x), '@'))[1], 300) AS line FROM {_DOCS}""",
     "content_dup_alias": f"""SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS canonical, count(*) OVER (PARTITION BY text) AS copies FROM {_DOCS}""",
-    "command_intents": sql(f"SELECT {_INTENT} AS intent, command, count(*) AS n FROM ev WHERE command IS NOT NULL GROUP BY 1, 2", "ev"),
+    "command_intents": sql(
+        f"""SELECT {errors.intent_sql("command")} AS intent, command, {errors.intent_sql("command")} = 'build_test' AND NOT regexp_matches(command, '^ruff format') AS checks,
+        {_EDITS} AS edits, regexp_matches(regexp_replace(trim(string_split_regex(command, '[;|&]+')[-1]), '^\\S*/', ''), '{tx._ANSWERS}') AS answers, count(*) AS n
+        FROM work WHERE command IS NOT NULL GROUP BY ALL""",
+        "made", "work",
+    ),
     "model_classes": sql("SELECT split_part(model, ':', 1) AS class, count(*) AS n, round(avg(seconds), 6) AS mean FROM ev GROUP BY 1", "ev"),
     "failure_signals_tristate": sql(
         "AND_WITH s AS ("
@@ -201,9 +215,21 @@ ORACLE_SQL = {
     ),
     "error_categories": sql(
         f"""SELECT category, severity, confidence, count(*) AS n, count(DISTINCT session_id) AS sessions FROM (
-        SELECT session_id, {errors.classify_sql("'failed: ' || replace(error, '_', ' ')")} FROM ev WHERE error IS NOT NULL) GROUP BY category, severity, confidence""",
-        "ev",
+        SELECT session_id, {errors.classify_sql("text", "c_command", "exit_code")} FROM f WHERE kind = 'tool_result' AND NOT ok) GROUP BY category, severity, confidence""",
+        "made", "work", "f",
+    ),
+    "impediments": sql(
+        "SELECT CASE WHEN len(hits) = 1 THEN hits[1] END AS impediment, count(*) AS n FROM (SELECT list_filter(["
+        + ", ".join(f"CASE WHEN regexp_matches(concat_ws(' ', text, error), '{p}') THEN '{n}' END" for n, p in errors.IMPEDIMENTS.items())
+        + "], lambda x: x IS NOT NULL) AS hits FROM work WHERE kind = 'tool_result') GROUP BY 1",
+        "made", "work",
     ),
+    "evidence_batches": """WITH RECURSIVE o AS (SELECT item_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, lane, row_number() OVER (PARTITION BY lane ORDER BY item_id) AS r FROM (
+            SELECT *, CAST('0x' || substr(md5(CAST(item_id AS VARCHAR)), 1, 8) AS BIGINT) % (SELECT greatest(1, CAST(ceil(count(*) / 40) AS BIGINT)) FROM benchmark) AS lane FROM benchmark)),
+        p AS (SELECT item_id, bytes, lane, r, CAST(0 AS BIGINT) AS batch, bytes AS fill FROM o WHERE r = 1 UNION ALL
+            SELECT o.item_id, o.bytes, o.lane, o.r, p.batch + CASE WHEN p.fill + o.bytes > 2000 THEN 1 ELSE 0 END, CASE WHEN p.fill + o.bytes > 2000 THEN o.bytes ELSE p.fill + o.bytes END
+            FROM p JOIN o ON o.lane = p.lane AND o.r = p.r + 1)
+        SELECT item_id, lane, bytes, batch FROM p""",
     "error_actions": sql(
         f"""AND_WITH acted AS (SELECT *, CASE error {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in errors.ACTIONS.items())} ELSE 'inspect' END AS action FROM ev WHERE error IS NOT NULL),
         placed AS (SELECT *, row_number() OVER (PARTITION BY action ORDER BY session_id, idx) AS r FROM acted)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from tracewright.operators import joins as j
 from tracewright.operators import metrics as m
 from tracewright.operators import sequence as s
-from tracewright.sources.driver_tables import responses, sql, table, trace_events
+from tracewright.sources.driver_tables import ERRORS, responses, sql, table, trace_events
 
 HOUR = 3600.0
-ERROR_NAMES = ["permission", "rate_limit", "timeout"]
+ERROR_NAMES = sorted(ERRORS)
 
 
 def session_metrics(spark, d):
@@ -86,7 +86,8 @@ def turn_ownership(spark, d):
 
 def price_lookup_prefix(spark, d):
     part = table(spark, d, "part")
-    rates = part.groupBy("p_brand").agg(F.round(F.avg("p_retailprice"), 6).alias("price")).filter("length(p_brand) < 8")
+    rates = part.groupBy("p_brand").agg(F.round(F.avg("p_retailprice"), 6).alias("price"))
+    part = part.withColumn("p_brand", F.concat("p_brand", F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, "-mini").otherwise("[1m]")))
     prices = rates.select(F.col("p_brand").alias("prefix"), "price").unionByName(spark.createDataFrame([("default", 1.5)], "prefix string, price double"))
     return j.longest_prefix(part, "p_brand", prices)
 
@@ -213,10 +214,10 @@ ORACLE_SQL = {
         "ev",
     ),
     "price_lookup_prefix": """
-        WITH prices AS (SELECT p_brand AS prefix, round(avg(p_retailprice), 6) AS price FROM part GROUP BY p_brand HAVING length(p_brand) < 8
+        WITH prices AS (SELECT p_brand AS prefix, round(avg(p_retailprice), 6) AS price FROM part GROUP BY p_brand
             UNION ALL SELECT 'default', 1.5),
         found AS (SELECT k.p_brand AS key, p.price, length(p.prefix) AS n, row_number() OVER (PARTITION BY k.p_brand ORDER BY length(p.prefix) DESC) AS r
-            FROM (SELECT DISTINCT p_brand FROM part) k LEFT JOIN prices p ON starts_with(k.p_brand, p.prefix))
+            FROM (SELECT DISTINCT p_brand || CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN '-mini' ELSE '[1m]' END AS p_brand FROM part) k LEFT JOIN prices p ON starts_with(k.p_brand, p.prefix))
         SELECT key, coalesce(price, 1.5) AS price, CASE WHEN n = length(key) THEN 'exact' ELSE 'estimated' END AS status FROM found WHERE r = 1""",
     "dedup_responses": sql(
         """SELECT thread_id, response_id, seq, input FROM (SELECT *, row_number() OVER (PARTITION BY thread_id, response_id ORDER BY seq) AS r FROM resp) WHERE r = 1""", "resp"

@@ -1,4 +1,4 @@
-"""Queries of costs, tails and rankings (M, O, T, A14-A18, D41-D59)."""
+"""Queries of costs and rankings (M, O, A15-A18)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import costs as c
 from tracewright.operators import rankings as r
-from tracewright.operators import tails as t
 from tracewright.sources.driver_tables import responses, sql, trace_events
 
 #: Dollars per million tokens.
@@ -29,11 +28,6 @@ def origin_attributed(spark, d):
     return rows.groupBy("thread_id").agg(F.round(F.sum("attributed"), 11).alias("attributed"), F.round(F.max("attributed"), 11).alias("largest"))
 
 
-def cache_rebuilds(spark, d):
-    rows = responses(spark, d).withColumn("cache_hit", F.when(F.col("input") % 3000 == 0, 0).otherwise(F.col("cache_read")))
-    return c.cache_rebuilds(rows, 5000)
-
-
 def wait_bands(spark, d):
     rows = responses(spark, d)
     seconds = (F.unix_micros(F.col("ts_end").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
@@ -53,23 +47,6 @@ def expense_tail_5pct(spark, d):
     return c.expense_tail(per)
 
 
-def _incidents(spark, d):
-    """The shared tables have no subagents; shell calls stand for spawns."""
-    return t.incidents(trace_events(spark, d), F.col("tool") == "shell")
-
-
-def tail_distributions(spark, d):
-    return t.distributions(_incidents(spark, d))
-
-
-def tail_retained(spark, d):
-    return t.retained(_incidents(spark, d), 10, 0.5)
-
-
-def tail_observations(spark, d):
-    return t.observations(_incidents(spark, d), 0.3)
-
-
 def model_activity(spark, d):
     rows = responses(spark, d)
     return rows.groupBy("model", "effort").agg(
@@ -77,25 +54,11 @@ def model_activity(spark, d):
     )
 
 
-def theme_scores(spark, d):
-    return r.themes(_incidents(spark, d))
-
-
-def priority_rank(spark, d):
-    return r.priorities(t.observations(_incidents(spark, d), 0.3))
-
-
 def prevalence_rankings(spark, d):
     return r.prevalence(trace_events(spark, d), "error")
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (
-        invoice_by_model, origin_attributed, cache_rebuilds, wait_bands, monthly_rollup, spend_overview, expense_tail_5pct, tail_distributions, tail_retained,
-        tail_observations, model_activity, theme_scores, priority_rank, prevalence_rankings,
-    )
-}
+QUERIES = {f.__name__: f for f in (invoice_by_model, origin_attributed, wait_bands, monthly_rollup, spend_overview, expense_tail_5pct, model_activity, prevalence_rankings)}
 
 _COST = "(" + " + ".join(f"coalesce({k}, 0) / 1e6 * {v}" for k, v in RATES.items()) + ")"
 _CHARGED = f"charged AS (SELECT *, {_COST} AS cost, CASE effort WHEN 'A' THEN 'exact' WHEN 'N' THEN 'estimated' ELSE 'unknown' END AS status FROM resp)"
@@ -103,45 +66,6 @@ _WORST = "(['exact', 'estimated', 'unknown'])[max(CASE status WHEN 'exact' THEN
 _OVERVIEW = """count(*) AS responses, count(*) FILTER (status = 'exact') AS exact, count(*) FILTER (status = 'estimated') AS estimated,
     count(*) FILTER (status = 'unknown') AS unknown, round(sum(cost), 8) AS cost, count(*) FILTER (response_id IS NULL) AS anonymous FROM charged"""
 
-_UPTO = "OVER (PARTITION BY session_id ORDER BY idx ROWS UNBOUNDED PRECEDING)"
-
-
-def _inc(kind: str, select: str, cohort: str = "''") -> str:
-    name = f"'{kind}'" if cohort == "''" else f"'{kind}:' || {cohort}"
-    return f"SELECT '{kind}' AS kind, {name} AS cohort, session_id, CAST(idx AS BIGINT) AS idx, CAST(value AS DOUBLE) AS value FROM ({select})"
-
-
-def _scope(hit: str, value: str, least: int) -> str:
-    return f"SELECT session_id, min(idx) AS idx, {value} AS value FROM scoped WHERE {hit} GROUP BY session_id, scope HAVING count(*) >= {least}"
-
-
-_INCIDENTS = (
-    f"scoped AS (SELECT *, coalesce(max(CASE WHEN kind = 'user_msg' THEN idx END) {_UPTO}, -1) AS scope FROM ev),\n"
-    "same AS (SELECT *, count(*) OVER (PARTITION BY session_id, call_id, kind) AS n FROM ev WHERE call_id IS NOT NULL),\n"
-    "incidents AS ("
-    + " UNION ALL ".join(
-        [
-            _inc("tool_latency", "SELECT a.session_id, a.idx, a.tool, (epoch_us(b.ts) - epoch_us(a.ts)) / 1e6 AS value FROM same a JOIN same b ON a.session_id = b.session_id AND a.call_id = b.call_id WHERE a.kind = 'tool_call' AND b.kind = 'tool_result' AND a.n = 1 AND b.n = 1 AND b.idx > a.idx", "tool"),
-            _inc("output_volume", "SELECT *, size AS value, CASE WHEN ok THEN 'ok' ELSE 'failed' END AS done FROM ev WHERE kind = 'tool_result'", "done"),
-            _inc("retry_attempts", "SELECT session_id, min(idx) AS idx, count(*) AS value FROM (SELECT *, coalesce(sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, call_id, scope ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed FROM scoped WHERE kind = 'tool_result') GROUP BY session_id, call_id, scope, closed HAVING count(*) >= 2 AND count(*) FILTER (NOT ok) >= 2"),
-            _inc("failure_chain", f"SELECT session_id, min(idx) AS idx, count(*) AS value FROM (SELECT *, sum(CASE WHEN kind = 'user_msg' OR ok THEN 1 ELSE 0 END) {_UPTO} AS island FROM ev) WHERE ok = false GROUP BY session_id, island HAVING count(*) >= 3"),
-            _inc("poll_amplification", f"SELECT session_id, min(idx) AS idx, count(*) AS value FROM (SELECT *, sum(CASE WHEN kind = 'user_msg' OR (kind = 'tool_call' AND category <> 'read') THEN 1 ELSE 0 END) {_UPTO} AS island FROM ev) WHERE category = 'read' GROUP BY session_id, island, tool HAVING count(*) >= 3"),
-            _inc("delegation_fanout", _scope("tool = 'shell'", "count(*)", 2)),
-            _inc("context_replay", _scope("kind = 'tool_result'", "sum(size)", 3)),
-            _inc("cache_creation", _scope("category = 'write'", "sum(size)", 2)),
-            _inc("inspection_rounds", "SELECT session_id, min(idx) AS idx, count(*) AS value FROM scoped WHERE kind = 'tool_call' GROUP BY session_id, scope HAVING bool_and(category = 'read') AND count(*) >= 3"),
-            _inc("status_probes", _scope("command = 'git status'", "count(*)", 1)),
-            _inc("output_repetition", "SELECT session_id, min(idx) AS idx, sum(size) - max(size) AS value FROM ev WHERE kind = 'tool_result' GROUP BY session_id, call_id HAVING count(*) >= 2 AND sum(size) - max(size) >= 1000"),
-            _inc("verification_repetition", "SELECT session_id, min(idx) AS idx, count(*) - 1 AS value FROM scoped WHERE contains(command, 'pytest') GROUP BY session_id, scope, command HAVING count(*) >= 2"),
-        ]
-    )
-    + ")"
-)
-_LIMIT = "CASE kind " + " ".join(f"WHEN '{k}' THEN {float(v)}" for k, (v, _) in t.THRESHOLDS.items()) + " END"
-_SEVERITY = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, (_, v) in t.THRESHOLDS.items()) + " END"
-_PLACED = "placed AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY value DESC, session_id, idx) AS place, count(*) OVER (PARTITION BY cohort) AS n, median(value) OVER (PARTITION BY cohort) AS median FROM incidents)"
-_OBSERVED = f"observed AS (SELECT 'TAIL_' || upper(kind) AS detector, 'observation' AS obs, {_SEVERITY} AS severity, session_id, idx, round(value, 6) AS value FROM placed WHERE value >= {_LIMIT} * 0.3)"
-
 ORACLE_SQL = {
     "invoice_by_model": sql(f"AND_WITH {_CHARGED} SELECT model, effort, round(sum(cost), 8) AS amount, {_WORST} AS status, count(*) AS n FROM charged GROUP BY model, effort", "resp"),
     "origin_attributed": sql(
@@ -153,12 +77,6 @@ ORACLE_SQL = {
         SELECT thread_id, round(sum(attributed), 11) AS attributed, round(max(attributed), 11) AS largest FROM spread GROUP BY thread_id""",
         "resp",
     ),
-    "cache_rebuilds": sql(
-        """SELECT thread_id, count(*) AS rebuilds, CAST(sum(cache_write) AS BIGINT) AS written FROM (
-        SELECT *, lag(cache_read) OVER w > 0 AND lag(model) OVER w = model AS warm FROM resp WINDOW w AS (PARTITION BY thread_id ORDER BY seq))
-        WHERE warm AND (input % 3000 = 0 OR cache_read = 0) AND cache_write >= 5000 GROUP BY thread_id""",
-        "resp",
-    ),
     "wait_bands": sql(
         "SELECT CAST(CASE " + " ".join(f"WHEN s >= {e} THEN {e}" for e in reversed(_EDGES)) + " ELSE 0.0 END AS DOUBLE) AS band, model, count(*) AS waits, CAST(sum(cache_write) AS BIGINT) AS written "
         "FROM (SELECT *, (epoch_us(ts_end) - epoch_us(ts)) / 1e6 AS s FROM resp) GROUP BY 1, 2",
@@ -179,34 +97,11 @@ ORACLE_SQL = {
         SELECT thread_id, cost FROM (SELECT *, rank() OVER (ORDER BY cost DESC) AS r, count(*) OVER () AS n FROM per) WHERE r <= ceil(n * 0.05)""",
         "resp",
     ),
-    "tail_distributions": sql(
-        f"""AND_WITH {_INCIDENTS}, {_PLACED} SELECT kind, cohort, count(*) AS n, round(median(value), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95,
-        round(quantile_disc(value, 0.99), 6) AS p99, round(max(value), 6) AS largest,
-        round(sum(value) FILTER (place <= greatest(1, ceil(n * 0.01))) / sum(value), 6) AS top_share FROM placed GROUP BY kind, cohort""",
-        "ev",
-    ),
-    "tail_retained": sql(
-        f"""AND_WITH {_INCIDENTS}, {_PLACED} SELECT kind, cohort, session_id, idx, round(value, 6) AS value, place, value >= {_LIMIT} * 0.5 AS exceeds,
-        CASE WHEN n >= 5 AND median > 0 THEN round(value / median, 6) END AS median_ratio FROM placed WHERE place <= 10 OR value >= {_LIMIT} * 0.5""",
-        "ev",
-    ),
-    "tail_observations": sql(f"AND_WITH {_INCIDENTS}, {_PLACED}, {_OBSERVED} SELECT detector, obs AS kind, severity, session_id, idx, value FROM observed", "ev"),
     "model_activity": sql(
         """SELECT model, effort, count(*) AS calls, CAST(sum(input) AS BIGINT) AS input, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write,
         CAST(sum(output) AS BIGINT) AS output, round(sum(input) / sum(sum(input)) OVER (), 6) AS input_share FROM resp GROUP BY model, effort""",
         "resp",
     ),
-    "theme_scores": sql(
-        f"""AND_WITH {_INCIDENTS}, per AS (SELECT kind, count(*) AS n, count(DISTINCT session_id) AS sessions, sum(value) AS total FROM incidents GROUP BY kind)
-        SELECT kind, n, sessions, round(30 * n / max(n) OVER () + 15 * total / max(total) OVER () + 35 * sessions / max(sessions) OVER () + 20 * (1 - n / sum(n) OVER ()), 6) AS score FROM per""",
-        "ev",
-    ),
-    "priority_rank": sql(
-        f"""AND_WITH {_INCIDENTS}, {_PLACED}, {_OBSERVED}, routed AS (SELECT detector, severity, count(*) AS incidents, count(DISTINCT session_id) AS sessions FROM observed GROUP BY detector, severity)
-        SELECT detector, severity, incidents, sessions, CASE WHEN sessions >= 20 THEN 'supported' WHEN sessions >= 5 THEN 'investigate' ELSE 'measure' END AS route,
-        row_number() OVER (ORDER BY CASE WHEN sessions >= 20 THEN 0 WHEN sessions >= 5 THEN 1 ELSE 2 END, incidents DESC, detector) AS place FROM routed""",
-        "ev",
-    ),
     "prevalence_rankings": sql(
         """AND_WITH per AS (SELECT error AS item, count(*) AS n, count(DISTINCT session_id) AS sessions, round(count(*) / count(DISTINCT session_id), 6) AS per_session FROM ev
             WHERE error IS NOT NULL GROUP BY error)

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import text as tx
 from tracewright.operators import sequence as s
+from tracewright.operators import handovers as h
 from tracewright.operators import structure as t
-from tracewright.sources.driver_tables import conversation_events, responses, sql, table, trace_events
+from tracewright.operators.facts import facts
+from tracewright.sources.driver_tables import conversation_events, responses, sql, table, trace_events, work_events
 
 _EDGES = [86_400.0 * d for d in (1, 7, 30)]
 
@@ -22,11 +24,16 @@ def task_ledger(spark, d):
 
 
 def handovers(spark, d):
-    return t.handovers(trace_events(spark, d))
+    found = h.handovers(facts(work_events(spark, d)))
+    return found.select("session_id", "idx", "scope", F.array_join("files", ",").alias("files"), "review", "status", "returned", F.round("seconds", 6).alias("seconds"))
 
 
 def repeated_delegations(spark, d):
-    return t.repeated_delegations(t.handovers(trace_events(spark, d))).withColumn("earlier", F.col("earlier").cast("long"))
+    return h.repeated(h.handovers(facts(work_events(spark, d))))
+
+
+def delegation_use(spark, d):
+    return h.consumption(facts(work_events(spark, d)))
 
 
 def cache_wait_cohorts(spark, d):
@@ -34,7 +41,7 @@ def cache_wait_cohorts(spark, d):
 
 
 def _candidates(spark, d):
-    """Duplicate work is a repeated read. The SQL twins take reads with an even key for it, so they differ."""
+    """Duplicate work is a repeated read."""
     rows = s.request_scope(trace_events(spark, d)).withColumn("unit", F.col("scope"))
     total = lambda r: r.groupBy("session_id", "unit").agg(F.sum("size").alias("amount"))
     per = lambda c: total(rows.filter(c))
@@ -74,24 +81,23 @@ def largest_sessions(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        episodes, task_ledger, handovers, repeated_delegations, cache_wait_cohorts, waste_partition, vetoed_diagnoses, classifier_coverage, capability_lattice, largest_sessions,
+        episodes, task_ledger, handovers, repeated_delegations, delegation_use, cache_wait_cohorts, waste_partition, vetoed_diagnoses, classifier_coverage, capability_lattice, largest_sessions,
     )
 }
 
 _UPTO = "OVER (PARTITION BY session_id ORDER BY idx ROWS UNBOUNDED PRECEDING)"
 _BEFORE = "OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-_OWN = "OVER (PARTITION BY session_id, call_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
-_LAUNCHED = f"""launched AS (SELECT session_id, call_id, idx, CASE WHEN returned IS NULL THEN 'open' WHEN again < returned THEN 'orphaned' WHEN ok_after THEN 'completed' ELSE 'failed' END AS status, returned
-    FROM (SELECT *, min(CASE WHEN kind = 'tool_result' THEN idx END) {_OWN} AS returned, min(CASE WHEN kind = 'tool_call' THEN idx END) {_OWN} AS again,
-        first_value(ok IGNORE NULLS) {_OWN} AS ok_after FROM ev WHERE call_id IS NOT NULL) WHERE kind = 'tool_call')"""
-_SCOPED = f"scoped AS (SELECT *, coalesce(max(CASE WHEN kind = 'user_msg' THEN idx END) {_UPTO}, -1) AS unit FROM ev)"
+_LAUNCHED = f"""launched AS (SELECT session_id, idx, scope, 'src/m' || regexp_extract(text, 'm([0-9]+)', 1) || '.py' AS files, true AS review,
+    CASE WHEN NOT paired THEN 'unknown' WHEN r_ok THEN 'completed' ELSE 'refused' END AS status, CASE WHEN paired AND r_ok THEN r_idx END AS returned,
+    CASE WHEN paired AND r_ok THEN round((r_ts - ts) / 1e6, 6) END AS seconds FROM f WHERE is_call AND tool = 'Task')"""
+_SCOPED = f"scoped AS (SELECT *, row_number() OVER (PARTITION BY session_id, category, path ORDER BY idx) AS nth, coalesce(max(CASE WHEN kind = 'user_msg' THEN idx END) {_UPTO}, -1) AS unit FROM ev)"
 
 
 def _per(condition: str) -> str:
     return f"SELECT session_id, unit, CAST(sum(size) AS BIGINT) AS amount FROM scoped WHERE {condition} GROUP BY session_id, unit"
 
 
-_BLOCK, _DUPLICATE, _ITERATE = _per("error IN ('rate_limit', 'sandbox_egress')"), _per("category = 'read' AND k % 2 = 0"), _per("error = 'build_test_fail'")
+_BLOCK, _DUPLICATE, _ITERATE = _per("error IN ('rate_limit', 'sandbox_egress')"), _per("category = 'read' AND nth > 1"), _per("error = 'build_test_fail'")
 ORACLE_SQL = {
     "episodes": sql(
         f"""AND_WITH gaps AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY idx)) / 1e6 AS gap,
@@ -110,11 +116,18 @@ ORACLE_SQL = {
         max(idx) FILTER (kind = 'assistant_msg') AS last_answer FROM numbered WHERE task > 0 GROUP BY session_id, task""",
         "conv",
     ),
-    "handovers": sql(f"AND_WITH {_LAUNCHED} SELECT session_id, call_id, idx, CASE WHEN status <> 'orphaned' THEN returned END AS returned, status FROM launched", "ev"),
+    "handovers": sql(f"AND_WITH {_LAUNCHED} SELECT * FROM launched", "made", "work", "f"),
     "repeated_delegations": sql(
-        f"""AND_WITH {_LAUNCHED} SELECT session_id, call_id, idx, CAST(earlier AS BIGINT) AS earlier FROM (SELECT *, coalesce(sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END)
-        OVER (PARTITION BY session_id, call_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM launched) WHERE earlier > 0""",
-        "ev",
+        f"""AND_WITH {_LAUNCHED} SELECT a.session_id, a.idx, count(*) AS earlier FROM launched a JOIN launched b ON a.session_id = b.session_id AND a.scope = b.scope AND a.files = b.files
+        WHERE a.status <> 'refused' AND b.idx < b.returned AND b.returned < a.idx GROUP BY a.session_id, a.idx""",
+        "made", "work", "f",
+    ),
+    "delegation_use": sql(
+        f"""AND_WITH {_LAUNCHED}, later AS (SELECT l.session_id, l.idx, returned, c.idx AS place, c.category, min(CASE WHEN c.category = 'write' THEN c.idx END) OVER (PARTITION BY l.session_id, l.idx) AS next_write
+            FROM launched l JOIN f c ON c.session_id = l.session_id AND c.is_call AND c.idx > returned)
+        SELECT session_id, idx, returned, min(place) AS next_call, any_value(next_write) AS next_write, count(*) FILTER (category = 'read' AND (next_write IS NULL OR place < next_write)) AS reads_before_write
+        FROM later GROUP BY session_id, idx, returned""",
+        "made", "work", "f",
     ),
     "cache_wait_cohorts": sql(
         "SELECT model, CAST(CASE " + " ".join(f"WHEN wait >= {e} THEN {e}" for e in reversed(_EDGES)) + """ ELSE 0.0 END AS DOUBLE) AS band, count(*) AS waits, CAST(sum(cache_write) AS BIGINT) AS written,

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from tracewright.functions import text as tx
 from tracewright.operators import detectors, memory, metrics
 from tracewright.sources import sinks
-from tracewright.sources.driver_tables import conversation_events, sql, trace_events
+from tracewright.sources.driver_tables import conversation_events, sql, trace_events, work_events
 from tracewright.streaming import twins
 
 from .evidence import redact_sql
-from .findings import BODIES, KNOBS
+from .findings import KNOBS, bodies
+
+TRACE_FINDINGS = sorted(bodies())
 
-TRACE_FINDINGS = ["RATE_LIMIT_LOOP", "EDIT_THRASH", "UNVERIFIED_COMPLETION"]
 
 def session_window_idle(spark, d):
     return twins.idle_sessions(trace_events(spark, d), "6 hours").select("session_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "size")
@@ -29,7 +30,7 @@ def evidence_projection(spark, d):
 
 
 def trace_table(spark, d):
-    events = trace_events(spark, d)
+    events = work_events(spark, d)
     found = detectors.run(events, KNOBS, enabled=set(TRACE_FINDINGS))
     return sinks.trace_table(metrics.session_metrics(events).select("session_id", "n_events", "errors"), found, TRACE_FINDINGS)
 
@@ -46,15 +47,15 @@ ORACLE_SQL = {
     "evidence_projection": sql(
         f"""SELECT session_id, idx, CASE kind WHEN 'user_msg' THEN 'user' ELSE 'assistant' END AS role,
         last_value(CASE WHEN kind = 'assistant_msg' THEN idx END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS antecedent,
-        length(left({redact_sql("text")}, 4000)) AS chars FROM conv WHERE kind <> 'meta'""",
+        length({redact_sql("text")}) AS chars FROM conv WHERE kind <> 'meta'""",
         "conv",
     ),
     "trace_table": sql(
-        f"""AND_WITH found AS ({" UNION ALL ".join(f"SELECT '{n}' AS detector, session_id FROM ({BODIES[n]})" for n in TRACE_FINDINGS)}),
+        f"""AND_WITH found AS ({" UNION ALL ".join(f"SELECT '{n}' AS detector, session_id FROM ({b.replace('FROM conv', 'FROM f')})" for n, b in bodies().items())}),
         counts AS (SELECT session_id, {", ".join(f"count(*) FILTER (detector = '{n}') AS {n}" for n in TRACE_FINDINGS)} FROM found GROUP BY session_id)
         SELECT e.session_id, count(*) AS n_events, count(*) FILTER (ok = false) AS errors, {", ".join(f"coalesce(any_value({n}), 0) AS {n}" for n in TRACE_FINDINGS)}
-        FROM ev e LEFT JOIN counts c ON e.session_id = c.session_id GROUP BY e.session_id""",
-        "ev",
+        FROM work e LEFT JOIN counts c ON e.session_id = c.session_id GROUP BY e.session_id""",
+        "made", "work", "f",
     ),
     "monthly_counts": sql("SELECT strftime(ts, '%Y-%m') AS month, model, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM ev GROUP BY 1, 2", "ev"),
 }
