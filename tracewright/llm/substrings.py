@@ -24,7 +24,7 @@ PLACE_BITS, MARK_BITS = 32, 31
 _START = (1 << PLACE_BITS) - 1
 #: Anchors or windows that a worker holds at once; repeats among them are found without a shuffle.
 HELD_ROWS = 4_000_000
-_SEED = "known boolean, route long, doc long, place long"
+_SEED = "known boolean, gram long, route long, doc long"
 _MATCH = "known boolean, n int, src long, src_place long, route long, doc long, place long"
 _RUN = "doc long, place long, n int, src long, src_place long"
 
@@ -84,11 +84,15 @@ def _by_key(keys: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.
     return order, begins, begins[np.cumsum(new) - 1] if len(k) else begins
 
 
+def _column(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.array(values.data, kind, mask=np.ma.getmaskarray(values)) if isinstance(values, np.ma.MaskedArray) else pa.array(values, kind)
+
+
 def _emit(schema: str, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     kinds = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64()}
     fields = [f.split() for f in schema.split(", ")]
     for at in range(0, len(columns[0]), 200_000):
-        arrays = [pa.array(c[at : at + 200_000], kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)]
+        arrays = [_column(c[at : at + 200_000], kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)]
         yield pa.RecordBatch.from_arrays(arrays, [n for n, _ in fields])
 
 
@@ -97,6 +101,11 @@ def _spread(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     return mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.view(np.uint64)).view(np.int64)
 
 
+def _of_row(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A key of one row of a batch; that two are equal by chance costs work, not results."""
+    return mix(key + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 class _Held:
     """Columns of rows, gathered until there are HELD_ROWS of them."""
 
@@ -117,18 +126,22 @@ class _Held:
 
 
 def _seeds(length: int, gram: int):
-    """Anchors of documents. What the rows held at once show to be shared is known; a gram that several of their
-    documents have is asked for once, with place -1, so a frequent gram has a row for each HELD_ROWS, not for each
-    place."""
+    """Grams that documents' anchors are, once a document. What the rows held at once show to be shared is known; such
+    a gram is also asked for once, without a document, so a frequent gram has a row for each HELD_ROWS."""
 
-    def answer(keys: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order, begins, begin = _by_key(keys, doc, place)
-        keys, doc, place = keys[order].view(np.int64), doc[order], place[order]
+    def answer(keys: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order, begins, begin = _by_key(keys, doc, np.zeros(len(doc), np.int8))
+        keys, doc = keys[order].view(np.int64), doc[order]
         last = np.concatenate([begins[1:], [len(doc)]]) - 1
         shared = np.repeat(doc[begins] != doc[last], last - begins + 1)
-        yield from _emit(_SEED, shared, np.where(shared, _spread(doc, place), keys), doc, place)
+        once = np.ones(len(doc), bool)
+        once[1:] = (np.diff(keys) != 0) | (np.diff(doc) != 0)
+        alone, held = once & ~shared, once & shared
+        none = np.zeros(len(doc), np.int64)
+        yield from _emit(_SEED, none[alone] > 0, none[alone], keys[alone], doc[alone])
+        yield from _emit(_SEED, none[held] == 0, keys[held], _spread(doc[held], keys[held]), doc[held])
         told = begins[shared[begins]]
-        yield from _emit(_SEED, np.zeros(len(told), bool), keys[told], doc[told], np.full(len(told), -1))
+        yield from _emit(_SEED, none[told] > 0, none[told], keys[told], np.ma.masked_all(len(told), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held(answer)
@@ -138,7 +151,7 @@ def _seeds(length: int, gram: int):
             _, at, keys = anchor_places(hashes, first, length, gram)
             at, own = np.unique(at, return_index=True)
             row = np.searchsorted(first, at, side="right") - 1
-            yield from held.add(keys[own] >> np.uint64(64 - GRAM_BITS), ids[row].astype(np.int64), at - first[row])
+            yield from held.add(keys[own] >> np.uint64(64 - GRAM_BITS), ids[row].astype(np.int64))
         yield from held.flush()
 
     return run
@@ -165,15 +178,14 @@ def _windows(length: int, gram: int):
             marks = batch.column(2).to_numpy(zero_copy_only=False)
             seeds = batch.column(3)
             hashes, _, first = words(batch.column(1))
-            starts, at, _ = anchor_places(hashes, first, length, gram)
+            starts, _, keys = anchor_places(hashes, first, length, gram)
             if not len(starts):
                 continue
-            seed_row = np.repeat(np.arange(len(ids)), np.diff(seeds.offsets.to_numpy()))
-            flat = seeds.flatten().to_numpy(zero_copy_only=False) + first[seed_row]
-            is_seed = np.zeros(len(hashes), bool)
-            is_seed[flat[flat < first[seed_row + 1]]] = True
-            starts = starts[is_seed[at]]
             row = np.searchsorted(first, starts, side="right") - 1
+            seed_row = np.repeat(np.arange(len(ids)), np.diff(seeds.offsets.to_numpy()))
+            shared = _of_row(seed_row, seeds.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            near = np.isin(_of_row(row, keys >> np.uint64(64 - GRAM_BITS)), shared)
+            starts, row = starts[near], row[near]
             place = marks[row] << PLACE_BITS | (starts - first[row])
             yield from held.add(gram_hashes(hashes, length, 101)[starts], ids[row], place)
         yield from held.flush()
@@ -275,9 +287,9 @@ def verified_runs(
     rows = marked.filter("id is not null").mapInArrow(_pack, as_packed).filter("id is not null").withColumn("mark", F.when(alone, 0).otherwise(F.col("mark")))
     seeds = every.filter("id is not null").select("id", "body").mapInArrow(_seeds(length, gram), _SEED)
     gram_rows = Window.partitionBy("known", "route")
-    shared = F.col("known") | (F.min("place").over(gram_rows) < 0) | (F.min("doc").over(gram_rows) < F.max("doc").over(gram_rows))
-    seeds = seeds.withColumn("shared", shared).filter("shared and place >= 0")
-    seeds = seeds.groupBy("doc").agg(F.collect_list("place").alias("seeds"))
+    shared = F.col("known") | (F.count("doc").over(gram_rows) < F.count("*").over(gram_rows)) | (F.min("doc").over(gram_rows) < F.max("doc").over(gram_rows))
+    seeds = seeds.withColumn("shared", shared).filter("shared and doc is not null")
+    seeds = seeds.groupBy("doc").agg(F.collect_list(F.when(F.col("known"), F.col("gram")).otherwise(F.col("route"))).alias("seeds"))
     found = rows.join(seeds, rows.id == seeds.doc).select("id", "body", "mark", "seeds", "rest").mapInArrow(_windows(length, gram), _MATCH)
     earliest = Window.partitionBy("known", "route").orderBy("doc", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     linked = found.withColumns({"least": F.first("doc").over(earliest), "least_place": F.first("place").over(earliest)}).filter("known or doc > least")
