@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("evidence", "findings", "measures", "sequences", "spending", "structures", "tails", "windows")
+MODULES: tuple[str, ...] = ("evidence", "findings", "measures", "sequences", "spending", "structures", "tails", "windows", "work")
 
 
 def _gather(name: str) -> dict:

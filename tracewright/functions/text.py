@@ -260,3 +260,78 @@ def imported(text: Column) -> Column:
     groups = [F.regexp_extract_all(text, F.lit(IMPORTS), F.lit(g)) for g in (1, 2, 3, 4)]
     names = F.transform(F.arrays_zip(*(g.alias(f"g{i}") for i, g in enumerate(groups))), lambda z: F.concat(*(F.coalesce(z[f"g{i}"], F.lit("")) for i in range(4))))
     return F.filter(F.transform(names, lambda n: F.regexp_extract(n, r"^([^./]*)", 1)), lambda n: n != "")
+
+
+def read_paths(command: Column) -> Column:
+    """The paths that a command's reading segments name: operands of cat, head, tail, sed -n, grep, rg, ls
+    and find that are no options, patterns or numbers, each once."""
+    word = r"(?:'[^']*'|\"[^\"]*\"|[^\s'\"<>|&;])+"
+
+    def operands(segment: Column) -> Column:
+        head = segment_head(segment)
+        words = F.transform(F.regexp_extract_all(F.regexp_replace(head, r"[0-9]*>{1,2}\s*\S+", ""), F.lit(word), 0), lambda w: F.regexp_replace(w, r"^(['\"])(.*)\1$", "$2"))
+        rest = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w: ~w.startswith("-") & ~w.rlike(r"^[0-9]+,?[0-9]*p?$"))
+        pattern = head.rlike(r"^(?:grep|egrep|rg|ugrep|sed)(?:\s|$)") & ~head.rlike(r"\s-n\s+['\"]?[0-9]+,?[0-9]*p")
+        kept = F.when(pattern, F.slice(rest, 2, F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest)
+        return F.when(head.rlike(READERS), kept).otherwise(F.array().cast("array<string>"))
+
+    return F.coalesce(F.array_distinct(F.flatten(F.transform(split_segments(command), operands))), F.array().cast("array<string>"))
+
+
+#: Words by which a line of an output is a diagnostic.
+DIAGNOSTIC = (
+    r"(?i)(?:error|exception|traceback|failed|denied|not found|no such|unknown (?:flag|option)|unrecognized argument|invalid (?:argument|option|offset)|timed? out|deadline|"
+    r"command not found|cannot find|missing|expected|assert)"
+)
+
+
+def diagnostic(text: Column, most: int = 6, last: int = 3, limit: int = 1200) -> Column:
+    """the first diagnostic lines of an output, or its last lines if none is, cut to a length."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    told = F.filter(lines, lambda x: x.rlike(DIAGNOSTIC))
+    ends = F.slice(lines, F.greatest(F.size(lines) - (last - 1), F.lit(1)), F.lit(last))
+    return F.left(F.array_join(F.when(F.size(told) > 0, F.slice(told, 1, most)).otherwise(ends), "\n"), F.lit(limit))
+
+
+def json_digest(text: Column) -> Column:
+    """SHA-256 of a JSON text with its keys in order and no white space between; null for what is no JSON."""
+    return F.sha2(F.to_json(F.try_parse_json(text)), 256)
+
+
+def normalize_request(text: Column) -> Column:
+    """the request inside a harness's envelope; empty if the envelope holds none."""
+    inner = F.regexp_extract(text, r"(?s)^\s*<(?:user_query|request|input)>\s*(.*?)\s*</(?:user_query|request|input)>\s*$", 1)
+    empty = text.rlike(r"(?s)^\s*<(environment_context|user_instructions|system-reminder)>.*</\1>\s*$")
+    return F.when(empty, "").when(inner != "", inner).otherwise(F.trim(text))
+
+
+def clip_bytes(text: Column, limit: int, mark: str = "…") -> Column:
+    """a text of at most `limit` bytes of UTF-8 that ends at a whole character, with a mark if it was cut."""
+    room = limit - len(mark.encode())
+    fits = F.octet_length(text) <= limit
+    # What the cut leaves of a last character is no valid UTF-8, becomes the replacement character and is dropped.
+    cut = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, room).cast("string"))
+    return F.when(fits, text).otherwise(F.concat(F.regexp_replace(cut, "\ufffd+$", ""), F.lit(mark)))
+
+
+def estimate_split(total: Column) -> list[Column]:
+    """A lump of tokens as cache reads (80 %), output (8 %) and the rest as input, halves to even."""
+    read, out = F.bround(total * 0.8).cast("long"), F.bround(total * 0.08).cast("long")
+    return [read.alias("cache_read"), out.alias("output"), (total - read - out).cast("long").alias("input")]
+
+
+def duration(seconds: Column) -> Column:
+    """12 s, 3.5 min or 2.0 h, rounded down."""
+    tenths = lambda unit: F.floor(seconds / (unit / 10)) / 10
+    return F.when(seconds < 60, F.format_string("%.0f s", F.floor(seconds).cast("double"))).when(seconds < 3600, F.format_string("%.1f min", tenths(60))).otherwise(F.format_string("%.1f h", tenths(3600)))
+
+
+def amount(cost: Column, status: Column) -> Column:
+    """$1.25, ~$1.25 if estimated, or unpriced."""
+    sign = F.when(status == "exact", "").otherwise("~")
+    return F.when(cost.isNull() | (status == "unknown"), "unpriced").otherwise(F.concat(sign, F.lit("$"), F.format_string("%.2f", cost)))
+
+
+def tag(text: Column, name: str) -> Column:
+    """what stands between a tag's first opening and closing; null without them."""
+    return F.nullif(F.trim(F.regexp_extract(text, rf"(?s)<{name}>(.*?)</{name}>", 1)), F.lit(""))
