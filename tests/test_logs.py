@@ -132,7 +132,7 @@ def test_replayed_history_of_a_parent_is_dropped(spark, tmp_path):
 def trace(spark, rows):
     """Facts of one session; rows are (kind, given columns)."""
     names = sorted({k for _, given in rows for k in given})
-    kinds = {"idx": "long", "ok": "boolean", "exit_code": "int", "size": "long", "input": "long", "output": "long", "cache_read": "long", "cache_write": "long", "ts": "timestamp", "lines": "long", "todos": "int", "todos_done": "int"}
+    kinds = {"idx": "long", "ok": "boolean", "exit_code": "int", "size": "long", "input": "long", "output": "long", "cache_read": "long", "cache_write": "long", "ts": "timestamp", "lines": "long", "todos": "int", "todos_done": "int", "final": "boolean"}
     frame = spark.createDataFrame([(1, i, k, *(given.get(n) for n in names)) for i, (k, given) in enumerate(rows)], "session_id long, idx long, kind string" + "".join(f", {n} {kinds.get(n, 'string')}" for n in names))
     return facts(frame)
 
@@ -229,6 +229,16 @@ def test_swallowed_errors(spark):
     assert found(trace(spark, [*bad, answer("Here you are.")]), "SILENT_ERROR_SWALLOW") == [("SILENT_ERROR_SWALLOW", 1, 2, 1.0)]
     assert found(trace(spark, [*bad, answer("It failed.")]), "SILENT_ERROR_SWALLOW") == []
     assert found(trace(spark, [*bad, *probe, answer("Here.")]), "SILENT_ERROR_SWALLOW") == []
+    note, final = ("assistant_msg", {"text": "Reading on.", "final": False}), ("assistant_msg", {"text": "Here.", "final": True})
+    assert found(trace(spark, [*bad, note, final]), "SILENT_ERROR_SWALLOW") == [("SILENT_ERROR_SWALLOW", 1, 3, 1.0)]
+    assert found(trace(spark, [*bad, note, ("meta", {"raw_type": "task_complete"}), final]), "SILENT_ERROR_SWALLOW") == []
+
+
+def test_runaways_that_end_well(spark):
+    rows = [("user_msg", {"text": "go"})] + [call("c", "Read", "read", path="a")] * 6
+    assert found(trace(spark, [*rows, result("c")]), "RUNAWAY_SESSION", RUNAWAY_SESSION={"events": 5}) == [("RUNAWAY_SESSION", 0, 7, 8.0)]
+    assert found(trace(spark, [*rows, result("c"), ("assistant_msg", {"text": "x", "final": True})]), "RUNAWAY_SESSION", RUNAWAY_SESSION={"events": 5}) == []
+    assert found(trace(spark, [*rows, result("c"), ("assistant_msg", {"text": "x"}), ("user_msg", {"text": "Perfect, thanks"})]), "RUNAWAY_SESSION", RUNAWAY_SESSION={"events": 5}) == []
 
 
 def test_scope_style_and_todos(spark):

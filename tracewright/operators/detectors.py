@@ -403,7 +403,7 @@ def _after_edit() -> Column:
 def _completion(words) -> dict[str, Column]:
     tests = is_exec() & (F.col("intent") == "build_test") & _after_edit()
     return {
-        "edit": F.max("last_edit"), "claim": F.max(_idx(is_said() & _after_edit() & F.col("text").rlike(tx.words_pattern(words)))), "tests": F.collect_set(F.when(tests, F.col("command"))),
+        "edit": F.max("last_edit"), "claim": F.max(_idx(is_said() & _after_edit() & F.coalesce("final", F.lit(True)) & F.col("text").rlike(tx.words_pattern(words)))), "tests": F.collect_set(F.when(tests, F.col("command"))),
         "paths": F.collect_set(F.when(is_write() & F.col("path").rlike(tx.CODE), F.col("path"))),
     }
 
@@ -435,7 +435,7 @@ def silent_error_swallow(k):
     """A true failure is followed by the turn's answer, with no call and no word about it between."""
     far = F.lit(1 << 62)
     answer = F.col("next_terminal")
-    swallowed = (answer < F.coalesce("next_user", far)) & (answer < F.coalesce("next_call", far)) & (answer < F.coalesce("next_ack", far))
+    swallowed = (answer < F.coalesce("next_end", far)) & (answer < F.coalesce("next_call", far)) & (answer < F.coalesce("next_ack", far))
     return Finding(is_result() & (F.col("ok") == F.lit(False)) & ~F.col("benign") & swallowed, F.lit(1), F.col("idx"), answer)
 
 
@@ -467,15 +467,15 @@ def credential_leak(k):
 
 @detector("RUNAWAY_SESSION", "medium", "session", needs=("ok", "ts"), events=400, tokens=150_000, minutes=90, idle=10.0, words=tuple(LEXICONS["positive"]))
 def runaway_session(k, c):
-    """A cap on events, tokens or active minutes is passed, and the session does not end well: by a user's praise
-    after an answer, or by a passing test and a commit."""
+    """A cap on events, tokens or active minutes is passed, and the session does not end well: by an answer marked
+    as final after the last user message, by a user's praise after an answer, or by a passing test and a commit."""
     praise = is_user() & (F.col("idx") == F.col("last_user")) & F.col("text").rlike(tx.words_pattern(k["words"]))
     found = {
         "n": F.count_if("logical"), "tokens": _tokens(), "minutes": F.sum(F.when((F.col("gap") >= 0) & (F.col("gap") <= 60 * k["idle"]), F.col("gap"))) / 60, "stamped": _stamped(),
         "praised": F.bool_or(praise), "answered": F.bool_or(is_said() & (F.col("idx") < F.col("last_user"))), "passed": F.max("last_pass").isNotNull(),
-        "committed": F.bool_or(is_exec() & F.lower("command").contains("git commit")), "a": F.min("idx"), "b": F.max("idx"),
+        "committed": F.bool_or(is_exec() & F.lower("command").contains("git commit")), "a": F.min("idx"), "b": F.max("idx"), "concluded": F.max("last_end") > F.coalesce(F.max("last_user"), F.lit(-1)),
     }
     yes = lambda x: F.coalesce(x, F.lit(False))
     over = (c("n") > k["events"]) | yes(c("tokens") > k["tokens"]) | yes(c("stamped") & (c("minutes") > k["minutes"]))
-    well = (yes(c("praised")) & yes(c("answered"))) | (c("passed") & yes(c("committed")))
+    well = yes(c("concluded")) | (yes(c("praised")) & yes(c("answered"))) | (c("passed") & yes(c("committed")))
     return Finding(over & ~well, c("n"), c("a"), c("b"), found)

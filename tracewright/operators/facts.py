@@ -14,6 +14,7 @@ COLUMNS = {
     "ts": "timestamp", "kind": "string", "tool": "string", "category": "string", "call_id": "string", "signature": "string", "text": "string", "size": "long",
     "ok": "boolean", "error": "string", "exit_code": "int", "path": "string", "command": "string", "model": "string", "response_id": "string", "input": "long",
     "output": "long", "cache_read": "long", "cache_write": "long", "old_text": "string", "new_text": "string", "lines": "long", "todos": "int", "todos_done": "int",
+    "final": "boolean", "raw_type": "string",
 }
 #: Rows beside what a session did; tools that search, that edit in place and that write whole files.
 ASIDE, SEARCHES, EDITS, WRITES = ("meta", "usage"), ("grep", "glob", "find", "rg", "egrep", "ugrep"), ("edit", "multiedit", "notebookedit", "file_change", "apply_patch"), ("write",)
@@ -131,6 +132,8 @@ def facts(events: DataFrame) -> DataFrame:
             "read_first": F.when(touches, F.min(F.when(is_read(), F.col("idx"))).over(Window.partitionBy("session_id", "path_key"))),
         }
     ).drop("r", "c", "n_calls", "n_results", "id_key")
+    ends = F.coalesce(F.col("raw_type") == "task_complete", F.lit(False))
+    answered, plain = F.coalesce(is_said() & F.col("final"), F.lit(False)) | ends, is_said() & F.col("final").isNull()
     session, gone_by = Window.partitionBy("session_id"), lambda c: F.max(F.when(c, F.col("idx")))
     passed = is_exec() & (F.col("intent") == "build_test") & F.coalesce(F.col("r_ok"), F.lit(False))
     first = lambda c: F.min(F.when(c, F.col("idx")))
@@ -143,12 +146,12 @@ def facts(events: DataFrame) -> DataFrame:
             "planned": gone_by((F.col("kind").isin("thinking", "plan")) | (is_call() & (F.col("category") == "planning"))).over(s.before()).isNotNull(),
             "observed": gone_by(is_read() | is_exec() | is_search()).over(s.upto()).isNotNull(),
             "compacted": gone_by(F.col("kind") == "compaction").over(s.before()), "compacted_pos": F.max(F.when(F.col("kind") == "compaction", F.col("pos"))).over(s.before()),
-            "next_call": first(is_call()).over(s.after()), "next_user": first(is_user()).over(s.after()), "next_write": first(is_write()).over(s.after()), "next_said": first(is_said()).over(s.after()),
+            "next_call": first(is_call()).over(s.after()), "next_user": first(is_user()).over(s.after()), "next_write": first(is_write()).over(s.after()), "next_said": first(plain).over(s.after()), "next_end": first(is_user() | ends).over(s.after()), "last_end": gone_by(answered).over(session),
             "next_ack": first(is_said() & F.col("text").rlike(ACKNOWLEDGED)).over(s.after()), "stamp": stamp,
             "gap": (stamp - F.last(stamp, ignorenulls=True).over(s.before())) / 1e6,
         }
     )
-    terminal = is_said() & (F.col("next_said").isNull() | (F.col("next_user") < F.col("next_said")))
+    terminal = answered & ~ends | (plain & (F.col("next_said").isNull() | (F.col("next_end") < F.col("next_said"))))
     rows = rows.withColumn("terminal", F.coalesce(terminal, F.lit(False))).withColumn("next_terminal", first(F.col("terminal")).over(s.after()))
     gone = F.coalesce(is_result() & benign(F.col("ok"), F.col("exit_code"), F.col("error"), F.col("text"), F.col("c_command"), F.col("c_category")), F.lit(False))
     r_benign = F.coalesce(is_call() & benign(F.col("r_ok"), F.col("r_exit"), F.col("r_error"), F.col("r_text"), F.col("command"), F.col("category")), F.lit(False))
