@@ -38,15 +38,20 @@ def _chains(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
     """The running failure chain of one session: its length and first idx are all that is kept."""
     length, start = state.get if state.exists else (0, -1)
     out = []
-    rows = pd.concat(list(frames)).sort_values("idx") if not state.hasTimedOut else pd.DataFrame(columns=["idx", "kind", "ok"])
-    for r in rows.itertuples():
-        ends = r.kind == "user_msg" or (r.kind == "tool_result" and bool(r.ok))
-        if ends and length >= 3:
-            out.append((key[0], start, length))
-        if ends:
-            length, start = 0, -1
-        elif r.kind == "tool_result":
-            length, start = length + 1, (r.idx if length == 0 else start)
+    if not state.hasTimedOut:
+        rows = pd.concat(list(frames)).sort_values("idx", ignore_index=True)
+        result, ok = rows.kind == "tool_result", rows.ok.fillna(False).astype(bool)
+        ends, failed = (rows.kind == "user_msg") | (result & ok), result & ~ok
+        # The chain that runs on from before is island 0; each end begins the next.
+        island = ends.cumsum()
+        found = rows[failed].groupby(island[failed]).idx.agg(["size", "min"]).reindex(range(int(island.iloc[-1]) + 1))
+        found["size"] = found["size"].fillna(0).astype(int)
+        if length:
+            found.loc[0] = (found["size"][0] + length, start)
+        closed = found.iloc[:-1]
+        out = [(key[0], int(r["min"]), int(r["size"])) for _, r in closed[closed["size"] >= 3].iterrows()]
+        length = int(found["size"].iloc[-1])
+        start = int(found["min"].iloc[-1]) if length else -1
     if state.hasTimedOut:
         if length >= 3:
             out.append((key[0], start, length))
