@@ -39,7 +39,8 @@ def origin_attributed(rows: DataFrame, cache_rate: float) -> DataFrame:
     is its tokens times the sum, over later ones, of their cost per token introduced so far: two running sums, no
     self join. What the first response reads was introduced by nobody and stays with it."""
     order = Window.partitionBy("thread_id").orderBy("seq")
-    past, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("thread_id").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, -1)
     tokens, cost = F.col("input") + F.col("output"), F.col("cache_read") / 1e6 * cache_rate
     known = rows.withColumn("known", F.coalesce(F.sum(tokens).over(past), F.lit(0)))
     rated = known.withColumn("rate", F.when(F.col("known") > 0, cost / F.col("known")).otherwise(0.0))

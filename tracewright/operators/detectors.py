@@ -23,6 +23,14 @@ from .facts import is_call, is_edit, is_exec, is_read, is_result, is_said, is_se
 from .graph import cut_lineage
 
 LEXICONS = config.DEFAULTS["lexicons"]
+#: Paths of tests, marks of skipped tests, asserts, claims about a program, reverts, requests to fix, and
+#: proposals of more than was asked.
+TEST_PATH = r"(?i)(?:^|/)(?:test_|tests?/)|_test\.|\.test\.|\.spec\."
+_SKIP, _ASSERT = r"(?i)@pytest\.mark\.(?:skip|xfail)|\bxfail\b|\.skip\s*\(|\bskip\b|@unittest\.skip", r"\bassert\b|\bexpect\s*\("
+_CLAIM = r"(?i)\bthe\s+\w+\s+(?:returns|is|does|will|should)\b"
+_REVERT = r"(?i)git\s+(?:checkout|revert)|reset\s+--hard|git\s+restore|git\s+clean\s+-"
+_FIX = r"(?i)\b(?:fix|bug|repair|correct|patch|resolve)\b"
+_CREEP = r"(?i)\b(?:we could also|it would be better if|might as well|while we'?re at it|for good measure)\b"
 
 
 @dataclass(frozen=True)
@@ -258,10 +266,14 @@ def edit_without_read(rows, k):
     looks = rows.filter(is_read() | is_search() | (is_exec() & (F.col("intent") == "inspect")))
     sees = looks.select("session_id").distinct()
     looks = looks.select("session_id", F.col("pos").alias("at"), F.col("path").alias("seen"), F.concat_ws(" ", "command", "path").alias("said"))
+    # An edit meets only the looks of its own stretch of events and of the one before.
+    stretch = lambda c: F.floor(F.col(c) / k["rows"])
+    looks = looks.withColumn("stretch", stretch("at"))
+    met = first.withColumn("stretch", F.explode(F.array(stretch("pos"), stretch("pos") - 1))).join(looks, ["session_id", "stretch"])
     near = (F.col("at") < F.col("pos")) & (F.col("at") >= F.col("pos") - k["rows"])
     into = F.col("path").startswith(F.concat(F.regexp_replace("seen", "/+$", ""), F.lit("/"))) & (F.length("seen") > 0)
     named = (F.length("name") >= 4) & F.col("said").contains(F.col("name"))
-    grounded = first.join(looks, "session_id").filter(near & (F.coalesce(into, F.lit(False)) | named)).select("session_id", "idx")
+    grounded = met.filter(near & (F.coalesce(into, F.lit(False)) | named)).select("session_id", "idx")
     found = first.join(sees, "session_id", "left_semi").join(grounded, ["session_id", "idx"], "left_anti")
     return found.select("session_id", F.col("idx").alias("span_start"), F.col("idx").alias("span_end"), F.lit(1).alias("value"))
 
@@ -309,16 +321,12 @@ def no_adapt_retry(rows, k):
     return found.filter(F.col("value") >= k["least"])
 
 
-@detector("ASSUMING_NOT_OBSERVING", "low", "session", needs=("text",), claim=r"(?i)\bthe\s+\w+\s+(?:returns|is|does|will|should)\b")
+@detector("ASSUMING_NOT_OBSERVING", "low", "session", needs=("text",), claim=_CLAIM)
 def assuming(k, c):
     """A claim about the program before anything was looked at; the first of a session."""
     return Finding(c("idx").isNotNull(), F.lit(1), c("idx"), aggregates={"idx": F.min(_idx(is_said() & F.col("text").rlike(k["claim"]) & ~F.col("observed")))})
 
 
-TEST_PATH = r"(?i)(?:^|/)(?:test_|tests?/)|_test\.|\.test\.|\.spec\."
-_SKIP, _ASSERT = r"(?i)@pytest\.mark\.(?:skip|xfail)|\bxfail\b|\.skip\s*\(|\bskip\b|@unittest\.skip", r"\bassert\b|\bexpect\s*\("
-
-
 @detector("TEST_GAMING", "high", "event", needs=("category", "error", "path", "old_text", "new_text"), path=TEST_PATH)
 def test_gaming(k):
     """After a failed test run, an edit of a test's path that adds a skip or removes asserts."""
@@ -328,7 +336,7 @@ def test_gaming(k):
     return Finding(is_write() & F.col("test_failed").isNotNull() & F.col("path").rlike(k["path"]) & loosened, F.lit(1), F.col("idx"))
 
 
-@detector("PANIC_REVERT", "high", "session", needs=("command", "error"), rows=5, revert=r"(?i)git\s+(?:checkout|revert)|reset\s+--hard|git\s+restore|git\s+clean\s+-")
+@detector("PANIC_REVERT", "high", "session", needs=("command", "error"), rows=5, revert=_REVERT)
 def panic_revert(k, c):
     """A revert soon after a failing test; the first of a session."""
     hit = is_exec() & F.col("command").rlike(k["revert"]) & (F.col("idx") - F.col("test_failed") <= k["rows"])
@@ -371,10 +379,7 @@ def perfectionism_loop(k, c):
     return Finding((c("n") >= k["least"]) & ~F.coalesce(c("spoke"), F.lit(False)), c("n"), c("a"), c("b"), found)
 
 
-_CREEP = r"(?i)\b(?:we could also|it would be better if|might as well|while we'?re at it|for good measure)\b"
-
-
-@detector("OVER_ENGINEERING", "low", "session", needs=("text", "category"), files=3, fix=r"(?i)\b(?:fix|bug|repair|correct|patch|resolve)\b", creep=_CREEP)
+@detector("OVER_ENGINEERING", "low", "session", needs=("text", "category"), files=3, fix=_FIX, creep=_CREEP)
 def over_engineering(k, c):
     """A request to fix ends in many new files, or the assistant proposes more than was asked."""
     found = {

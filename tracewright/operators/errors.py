@@ -153,7 +153,7 @@ def recovery(results: DataFrame, signature: str) -> DataFrame:
     """For every failure the next success of its signature, the attempts until then, and how it ended."""
     own = Window.partitionBy("session_id", signature)
     by = own.orderBy("idx")
-    later = by.rowsBetween(1, Window.unboundedFollowing)
+    later = own.orderBy(F.col("idx").desc()).rowsBetween(Window.unboundedPreceding, -1)
     rows = results.withColumns(
         {
             "place": F.row_number().over(by),

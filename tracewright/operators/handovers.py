@@ -14,6 +14,7 @@ SPAWNS = ("agent", "task", "spawn_agent", "create_thread", "fork_thread")
 STEERS = ("steer_subagent", "send_message", "send_message_to_agent", "send_message_to_thread")
 WAITS = ("get_subagent_result", "wait_agent", "wait_threads", "wait")
 ENDS = ("interrupt_agent", "close_agent")
+#: Words of a request to review, and how a text names a subagent.
 _REVIEW = r"(?i)\b(?:review|audit|verify|verification|validate|validation|qa|fact.check)\b"
 _AGENT = r"(?i)\bagent[_ -]?id\b[\"']?\s*[:=]\s*[\"']?([\w-]+)|\b([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\b"
 

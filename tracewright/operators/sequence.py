@@ -19,7 +19,9 @@ def upto() -> WindowSpec:
 
 
 def after() -> WindowSpec:
-    return session().rowsBetween(1, Window.unboundedFollowing)
+    """The rows behind each row, for aggregates that do not depend on their order: a running frame from the session's
+    end, as one that starts at each row and runs to the end would be worked out anew for every row."""
+    return Window.partitionBy("session_id").orderBy(F.col("idx").desc()).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def logical(events: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ THRESHOLDS = {k: (config.DEFAULTS["tails"][k], v) for k, v in SEVERITIES.items()
 #: Tools that wait for a subagent, and that ask how things stand.
 WAITS = ("wait_agent", "get_subagent_result", "wait", "collaboration.wait_agent")
 POLLS = (*WAITS, "write_stdin", "functions.write_stdin", "list_agents", "collaboration.list_agents")
+#: How an output says that what it started still runs.
 _RUNNING = r"(?i)\b(?:process|script|agent) (?:is (?:still )?)?running\b|\brunning in (?:the )?background\b"
 
 

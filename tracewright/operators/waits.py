@@ -36,7 +36,8 @@ def cache_waits(rows: DataFrame, tokens: int = config.DEFAULTS["tails"]["cache_r
     every = every.withColumn("stops", F.sum(F.when(F.col("rank") == 3, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     every = every.withColumn("m", F.when(F.col("m").isNotNull(), F.struct("m.*", "stops")))
     prior = F.last("m", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    following = F.first("m", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    backwards = Window.partitionBy("session_id").orderBy(F.col("at").desc(), F.col("rank").desc())
+    following = F.last("m", ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, -1))
     found = every.withColumns({"prior": prior, "next": following}).filter("wait is not null").groupBy("session_id", F.col("wait").alias("idx"))
     ends = found.agg(F.max(F.when(F.col("rank") == 1, F.col("prior"))).alias("prior"), F.max(F.when(F.col("rank") == 2, F.col("next"))).alias("next"))
     seconds = (F.unix_micros(F.col("r_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
