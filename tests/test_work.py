@@ -98,3 +98,18 @@ def test_texts_of_commands_and_outputs(spark):
 def test_costs_that_records_state(spark):
     rows = spark.createDataFrame([('{"total_cost_usd": 1.5, "cost": 9}',), ('{"cost": {"total": 2}}',), ('{"cost": true}',), ("{}",)], "r string").select(F.parse_json("r").alias("r"))
     assert [r[0] for r in rows.select(work.cost_of(F.col("r"))).collect()] == [1.5, 2.0, None, None]
+
+
+def test_label_store_commands(spark, tmp_path, capsys):
+    from tracewright.__main__ import main
+
+    rows = [("r", "dev", "o", "f", a, v) for a, v in (("ann", 1.0), ("bob", 0.9))] + [("r", "dev", "p", "f", a, v) for a, v in (("ann", 1.0), ("bob", 0.0))]
+    store = spark.createDataFrame(rows, "root string, split string, object_id string, feature_id string, annotator string, value double")
+    store.coalesce(1).write.json(str(tmp_path / "s"))
+    got = labels.eval_store(store).collect()
+    assert [tuple(r) for r in got] == [("f", "dev", 4, 0.75, 2, 0.5)]
+    write(tmp_path / "new.json", [{"root": "q", "split": "held_out", "object_id": "o", "feature_id": "g", "annotator": "ann", "value": 1.0}])
+    assert main(["label", str(tmp_path / "s"), str(tmp_path / "new.json")]) == 0 and main(["eval", str(tmp_path / "s")]) == 0 and main(["version"]) == 0
+    assert "held_out" in capsys.readouterr().out
+    whole = spark.read.schema(store.schema).json(str(tmp_path / "s"))
+    assert labels.burned(whole, store.limit(0)).count() == 1

@@ -1,4 +1,4 @@
-"""python -m tracewright analyze LOGS OUT | detectors | threads LOGS"""
+"""python -m tracewright analyze LOGS OUT | threads LOGS | label STORE LABELS | eval STORE | detectors | config-show | version"""
 
 from __future__ import annotations
 
@@ -28,6 +28,11 @@ def main(argv: list[str] | None = None) -> int:
     shown.add_argument("--config")
     commands.add_parser("version", help="print the version")
     commands.add_parser("detectors", help="list the rules with their severities and knobs")
+    label = commands.add_parser("label", help="append labels (JSON lines) to a store that pins each root to its split")
+    label.add_argument("store")
+    label.add_argument("labels")
+    evaluate = commands.add_parser("eval", help="agreement and shares of yes in a label store")
+    evaluate.add_argument("store")
     threads = commands.add_parser("threads", help="list the sessions of logs")
     threads.add_argument("logs")
     args = parser.parse_args(argv)
@@ -39,9 +44,16 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(config.load(args.config), indent=1))
         return 0
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    from tracewright.operators import analysis, detectors
+    from tracewright.operators import analysis, detectors, labels
     from tracewright.sources import decoders, jsonl, sinks
 
+    stored = "root string, split string, object_id string, feature_id string, annotator string, value double"
+    if args.command == "label":
+        sinks.append_labels(spark.read.schema(stored).json(args.labels), args.store)
+        return 0
+    if args.command == "eval":
+        labels.eval_store(spark.read.schema(stored).json(args.store)).orderBy("feature_id", "split").show(1000, False)
+        return 0
     if args.command == "detectors":
         for d in detectors.REGISTRY.values():
             print(d.id, d.severity, d.kind, d.knobs or "")

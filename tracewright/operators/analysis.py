@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import detectors, errors, handovers, metrics, tails
+from . import detectors, errors, handovers, metrics, rankings, tails
 from .facts import facts
 from .graph import cut_lineage
 
@@ -56,6 +56,8 @@ def analyze(
         "findings": detectors.run(rows, knobs, severities, known=True, enabled=enabled, disabled=disabled).unionByName(_observed(incidents)),
         "incidents": tails.retained(incidents),
         "distributions": tails.distributions(incidents),
+        "themes": rankings.themes(incidents),
+        "priorities": rankings.priorities(tails.observations(incidents)),
         "activity": tails.model_activity(rows),
         "delegations": handovers.handovers(rows).withColumn("files", F.array_join("files", "\n")),
     }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import double_labels
+
 
 def agreement(pairs: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
     """Rates of both annotators and how often they agree, by key."""
@@ -27,6 +29,23 @@ def confusion(rows: DataFrame, keys: list[str], gold: Column, predicted: Column)
     return counts.select("*", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(tp + tn, tp + fp + fn + tn).alias("accuracy"))
 
 
+def eval_store(store: DataFrame) -> DataFrame:
+    """Of a label store (root, split, object_id, feature_id, annotator, value from 0 to 1), by feature and split:
+    labels, share of yes (0.7 or more) among the sure ones, items that two have labelled, and how often they agree."""
+    sure = (F.col("value") >= 0.7) | (F.col("value") <= 0.3)
+    keys = ["feature_id", "split"]
+    per = store.groupBy(*keys).agg(F.count("*").alias("labels"), F.round(F.count_if(F.col("value") >= 0.7) / F.nullif(F.count_if(sure), F.lit(0)), 6).alias("yes"))
+    pairs = double_labels(store.select("object_id", *keys, "annotator", "value"), ["object_id", *keys])
+    alike = (F.col("value_1") >= 0.5) == (F.col("value_2") >= 0.5)
+    agreed = pairs.groupBy(*keys).agg(F.count("*").alias("pairs"), F.round(F.avg(alike.cast("int")), 6).alias("agreement"))
+    return per.join(agreed, keys, "left")
+
+
+def burned(store: DataFrame, marks: DataFrame) -> DataFrame:
+    """L4: the labels of held-out splits that have not been looked at: those without a mark (feature_id, split)."""
+    return store.filter("split = 'held_out'").join(marks.select("feature_id", "split").distinct(), ["feature_id", "split"], "left_anti")
+
+
 #: Questions that a bank may hold.
 MOST_QUESTIONS = 10_000
 
