@@ -25,7 +25,7 @@ _START = (1 << PLACE_BITS) - 1
 #: Anchors or windows that a worker holds at once; repeats among them are found without a shuffle.
 HELD_ROWS = 4_000_000
 _SEED = "known boolean, gram long, route long, doc long"
-_MATCH = "known boolean, n int, src long, src_place long, route long, doc long, place long"
+_MATCH = "known boolean, n int, src long, src_place long, more array<long>, route long, doc long, place long"
 _RUN = "doc long, place long, n int, src long, src_place long"
 
 
@@ -89,7 +89,7 @@ def _column(values: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def _emit(schema: str, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    kinds = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64()}
+    kinds = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
     fields = [f.split() for f in schema.split(", ")]
     for at in range(0, len(columns[0]), 200_000):
         arrays = [_column(c[at : at + 200_000], kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)]
@@ -165,11 +165,20 @@ def _windows(length: int, gram: int):
         order, _, begin = _by_key(keys, doc, place)
         keys, doc, place = keys[order].view(np.int64), doc[order], place[order]
         src, src_place = doc[begin], place[begin]
-        asked, none = doc == src, np.zeros(len(doc), np.int64)
-        yield from _emit(_MATCH, *(c[asked] for c in (none > 0, none + 1, none, none, keys, doc, place)))
+        asked = doc == src
+        # A document that says the same again asks once, with its other places.
+        ours, own, at = keys[asked], doc[asked], place[asked]
+        first = np.ones(len(ours), bool)
+        first[1:] = (np.diff(ours) != 0) | (np.diff(own) != 0)
+        ends = np.append(np.flatnonzero(first), len(ours))
+        more = np.full(len(ends) - 1, None, object)
+        for i in np.flatnonzero(np.diff(ends) > 1):
+            more[i] = at[ends[i] + 1 : ends[i + 1]]
+        none = np.zeros(len(more), np.int64)
+        yield from _emit(_MATCH, none > 0, none + 1, none, none, more, ours[first], own[first], at[first])
         doc, place, src, src_place = (c[~asked] for c in (doc, place, src, src_place))
         n, doc, place, src, src_place = _extend(np.ones(len(doc), np.int64), doc, place, src, src_place)
-        yield from _emit(_MATCH, n > 0, n, src, src_place, _spread(doc, place), doc, place)
+        yield from _emit(_MATCH, n > 0, n, src, src_place, np.full(len(n), None, object), _spread(doc, place), doc, place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held(answer)
@@ -293,6 +302,8 @@ def verified_runs(
     found = rows.join(seeds, rows.id == seeds.doc).select("id", "body", "mark", "seeds", "rest").mapInArrow(_windows(length, gram), _MATCH)
     earliest = Window.partitionBy("known", "route").orderBy("doc", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     linked = found.withColumns({"least": F.first("doc").over(earliest), "least_place": F.first("place").over(earliest)}).filter("known or doc > least")
+    each = F.explode(F.when(F.col("more").isNull(), F.array("place")).otherwise(F.concat(F.array("place"), F.col("more")))).alias("place")
+    linked = linked.select("known", "n", "src", "src_place", "least", "least_place", "doc", each)
     start_of = lambda place: place.bitwiseAND(F.lit(_START))
     mark_of = lambda place: F.shiftright(place, PLACE_BITS)
     src, src_place = (F.when(F.col("known"), F.col(a)).otherwise(F.col(b)) for a, b in (("src", "least"), ("src_place", "least_place")))
