@@ -68,7 +68,8 @@ def format_chat(turns: DataFrame, template: Template | None = None) -> DataFrame
     Rows of a conversation go by turn, then role and text (null first), as one stream that is never collected,
     however long it is; each partition holds whole conversations. in_order is whether the machine allows the turn's
     role where it stands; such turns are formatted all the same, as are roles that the template doesn't name. Null
-    text and null role are empty; rows without conv_id are one conversation. Repeated rows are repeated turns.
+    text and null role are empty; rows without conv_id are one conversation. Repeated rows are repeated turns. Long
+    texts are formatted whole. An empty table gives no rows; other columns, whatever their names, are not read.
     """
     template = template or Template()
 

@@ -107,7 +107,8 @@ def predict_language(docs: DataFrame, profiles: dict[str, list[int]], text_col:
 
     The label with the smallest out-of-place distance wins, the first in order on a tie; the score is 1 less that
     distance as a share of the largest possible. Null text, or none of its characters a letter: `und`, score 0.
-    Repeated rows get equal results; columns of these names in the input are replaced.
+    Long texts are counted whole. Repeated rows get equal results; an empty table gives no rows; columns of these names
+    in the input are replaced, others stay.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")

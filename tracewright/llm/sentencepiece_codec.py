@@ -107,7 +107,7 @@ class MergeCodec:
         return tuple(out)
 
     def learn(self, segments: set[str]) -> None:
-        """Encodes segments that are not known yet and holds each against the library, both ways."""
+        """Encodes segments that are not known yet and holds those that begin with a space mark against the library."""
         new = [s for s in segments if s not in self.known]
         if len(self.known) + len(new) > CACHE_ENTRIES:
             self.known.clear()
@@ -143,9 +143,10 @@ class MergeCodec:
 def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
     """The rows of `docs` with ids (array of int) and decoded (string) appended; no begin or end ids.
 
-    The texts travel in Arrow batches. New segments, and one whole text a piece of each batch, are encoded and
-    decoded by the sentencepiece library as well; a difference stops the job. Null and empty texts: no ids, decoded
-    is empty. Long texts are encoded whole. Columns called ids or decoded in the input are replaced.
+    The texts travel in Arrow batches. New segments that begin with a space mark, up to CACHED_LENGTH characters, and
+    one whole text a piece of each batch are encoded by the sentencepiece library as well; a difference stops the job. Null and empty texts: no ids, decoded
+    is empty. Long texts are encoded whole. Repeated rows get equal results; an empty table gives no rows. Columns called
+    ids or decoded in the input are replaced, others stay.
     """
     with open(model_path, "rb") as f:
         model = f.read()
