@@ -291,7 +291,8 @@ def brute_repeats(rows, length):
 
 @pytest.mark.parametrize("length,gram", [(13, 5), (6, 3)])
 def test_substrings(spark, length, gram):
-    rows = corpus(10, 80) + [(500, "p q r s t u v w x y z a b c d"), (500, "other text under the same id")]
+    twice = " ".join(f"t{i}" for i in range(40))
+    rows = corpus(10, 80) + [(500, "p q r s t u v w x y z a b c d"), (500, "other text under the same id"), (501, twice), (501, twice), (600, "q " + twice), (601, twice + " q")]
     for parts in (1, 7):
         found = substrings.remove_repeats(docs(spark, rows).repartition(parts), length, gram, keep=("source", "id"))
         assert sorted(((r.id, r.n_words, r.n_removed, r.kept_text) for r in found.collect()), key=str) == brute_repeats(rows, length)
@@ -314,6 +315,14 @@ def test_maximal_repeats_extend_and_cover(spark):
     assert substrings.maximal_repeats(docs(spark, [])).count() == 0
 
 
+def test_lines_that_one_document_repeats(spark):
+    line = "one two three four five six seven "
+    rows = [(1, line * 50), (2, "x y " + line * 30 + "z"), (3, line * 3), (0, "a b c one two three"), (4, "w " * 200), (5, "v " + "w " * 300)]
+    for parts in (1, 4):
+        found = substrings.remove_repeats(docs(spark, rows).repartition(parts), 6, 3)
+        assert sorted(((r.id, r.n_words, r.n_removed, r.kept_text) for r in found.collect()), key=str) == brute_repeats(rows, 6)
+
+
 def test_substrings_compare_words_not_hashes(spark, monkeypatch):
     """All windows hash alike: then only runs whose words are truly the source's may go."""
     import numpy as np
