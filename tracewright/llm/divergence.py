@@ -29,28 +29,30 @@ def let(value: F.Column, body) -> F.Column:
 
 
 def repeated_words(words: F.Column) -> F.Column:
-    """Words inside windows of three that occur twice or more in the array."""
+    """Words inside windows of three that occur twice or more in the array; windows are compared by hashes of the
+    words' hashes, of 64 bits each."""
     last = F.size(words) - 3
 
-    def window(i: F.Column) -> F.Column:
-        return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    def windows(h: F.Column) -> F.Column:
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))
 
     def cover(hashes: F.Column) -> F.Column:
         """Only texts in which a window comes again need their windows in order."""
-        placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(F.aggregate(let(placed, again), zero, widen, lambda a: a["n"]))
 
     def again(s: F.Column) -> F.Column:
         key = lambda p: F.get(s, p)["h"]
         twice = lambda p: key(p).eqNullSafe(key(p - 1)) | key(p).eqNullSafe(key(p + 1))
         places = F.filter(F.sequence(F.lit(0), F.size(s) - 1), twice)
-        return F.array_sort(F.transform(places, lambda p: F.get(s, p)["i"]))
+        return F.sort_array(F.transform(places, lambda p: F.get(s, p)["i"]))
 
     def widen(acc: F.Column, i: F.Column) -> F.Column:
         return F.struct((acc["n"] + i + 3 - F.greatest(acc["end"], i)).alias("n"), (i + 3).alias("end"))
 
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-    return F.when(last >= 0, let(F.transform(F.sequence(F.lit(0), last), window), cover)).otherwise(0).cast("long")
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(last >= 0, let(hashes, lambda h: let(windows(h), cover))).otherwise(0).cast("long")
 
 
 def repeated_lines(lines: F.Column) -> F.Column:
@@ -63,7 +65,7 @@ def word_counts(words: F.Column, common: F.Column, longest: F.Column) -> F.Colum
     """Structs (which, n): how often each of the `common` words comes, by its place from 1. No word of more than
     `longest` bytes, those of the longest common one, can be any of them."""
     near = F.filter(words, lambda w: F.octet_length(w) <= longest)
-    found = F.array_sort(F.filter(F.transform(near, lambda w: F.array_position(common, w)), lambda i: i > 0))
+    found = F.sort_array(F.filter(F.transform(near, lambda w: F.array_position(common, w)), lambda i: i > 0))
     starts = lambda s: F.transform(F.array_distinct(s), lambda i: F.struct(i.cast("int").alias("which"), F.array_position(s, i).alias("at")))
     sized = lambda s, t: F.transform(
         t, lambda x, k: F.struct(x["which"].alias("which"), (F.coalesce(F.get(t, k + 1)["at"], F.size(s) + 1) - x["at"]).cast("int").alias("n"))
