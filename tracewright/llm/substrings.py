@@ -240,15 +240,19 @@ def _digest(words: list[bytes]) -> bytes:
 
 
 def _digests(length: int):
-    """Digests of the words of asked runs (id, body, mark, asked: place and n)."""
+    """Digests of the words of asked runs (id, body, mark, asked: place and n), once each: rows that share an id follow
+    each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, told = None, set()
         for batch in _unpacked(batches):
             out: tuple[list, ...] = ([], [], [], [])
             for doc, words, mark, asked in zip(batch.column(0).to_pylist(), _texts(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                last, told = doc, told if doc == last else set()
                 for run in asked:
                     place, n = run["src_place"], run["n"]
-                    if place >> PLACE_BITS == mark:
+                    if place >> PLACE_BITS == mark and (place, n) not in told:
+                        told.add((place, n))
                         at = place & _START
                         for column, value in zip(out, (doc, place, n, _digest(words[at : at + n + length - 1])), strict=True):
                             column.append(value)
@@ -314,7 +318,8 @@ def verified_runs(
     runs = matches.mapInArrow(_runs, _RUN)
     asked = runs.groupBy("src").agg(F.collect_set(F.struct("src_place", "n")).alias("asked"))
     digests = rows.join(asked, rows.id == asked.src).select("id", "body", "mark", "asked", "rest").mapInArrow(_digests(length), "src long, src_place long, n int, digest binary")
-    digests = digests.groupBy("src", "src_place", "n").agg(F.first("digest").alias("digest"))
+    # A run that many documents have is one key of this join, whose sides are both dealt for it alone, so that adaptive
+    # execution splits it.
     told = runs.join(digests, ["src", "src_place", "n"]).groupBy("doc").agg(F.collect_list(F.struct("place", "n", "digest", "src", "src_place")).alias("runs"))
     whole = rows.join(told, rows.id == told.doc, "left").select("id", "body", "mark", "rest", "runs")
     none = F.lit(None).cast(whole.schema["runs"].dataType).alias("runs")
