@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.llm import curve_packing, fill_in_middle
+from tracewright.llm import alignment, curve_packing, fill_in_middle
 
 from .test_operators import corpus, docs
 
@@ -130,3 +130,105 @@ def test_curve_puts_like_documents_together(spark):
 def test_sequence_of_a_power_of_two_is_not_padded(spark):
     packed = spark.createDataFrame([(0, 0, 3, bytes(12)), (0, 3, 1, bytes(4)), (1, 0, 3, bytes(12))], "sequence_id long, offset long, length long, ids binary")
     assert {r.sequence_id: len(r.ids) // 4 for r in curve_packing.sequences(packed, 16).collect()} == {0: 4, 1: 16}
+
+
+BYTE_BPE, PIECE_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def both_sides():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(BYTE_BPE)
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    letters = {c: k for k, c in enumerate([*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])}
+    others = [k for k in range(256) if k not in letters]
+    byte_of = {chr(k): k for k in letters} | {chr(0x100 + n): k for n, k in enumerate(others)}
+
+    def a_bytes(i):
+        return bytes(byte_of[c] for c in a.id_to_token(i))
+
+    def b_bytes(i):
+        piece = b.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace("\u2581", " ").encode()
+
+    return (lambda t: a.encode(" " + t, add_special_tokens=False).ids), (lambda t: b.encode(t)), a_bytes, b_bytes
+
+
+def aligned_by_pointers(text, sides):
+    """(ids of A, ids of B) for each group, by one pointer into each side."""
+    a, b, a_bytes, b_bytes = sides
+    if not text:
+        return []
+    of_a, of_b = a(text), b(text)
+    raw = (" " + text).encode()
+    if any(b"".join(map(f, ids)) != raw for f, ids in ((a_bytes, of_a), (b_bytes, of_b))):
+        return []
+    groups, i, j, a_end, b_end, here = [], 0, 0, 0, 0, ([], [])
+    while i < len(of_a) or j < len(of_b):
+        if a_end <= b_end and i < len(of_a):
+            here[0].append(of_a[i])
+            a_end += len(a_bytes(of_a[i]))
+            i += 1
+        else:
+            here[1].append(of_b[j])
+            b_end += len(b_bytes(of_b[j]))
+            j += 1
+        if a_end == b_end:
+            groups.append(here)
+            here = ([], [])
+    return groups
+
+
+def alignment_rows():
+    rng = random.Random(9)
+    parts = ["a", "=", "-", "=-", "  ", "\n", "\u00e9", "\u6c49", "\U0001f600", "\u2581", "\x00", "<|endoftext|>", "</s>", "<0x41>", "The", " the", "ing", "zz", "1", "\u03a9", "\u0301"]
+    rows = [(5000 + k, "".join(rng.choices(parts[: rng.choice([9, 21])], k=rng.randint(0, 40)))) for k in range(150)]
+    return odd_rows() + rows + [(6000, "=-" * 3000 + "=" * 777), (6001, "y" * 9000), (6002, " " * 2000)]
+
+
+def test_alignment_against_two_pointers_and_counts(spark, both_sides):
+    rows = alignment_rows()
+    groups = [(i, aligned_by_pointers(t, both_sides)) for i, t, *_ in rows]
+    held, links = Counter(), []
+    for _, found in groups:
+        own = Counter((x, y) for a, b in found for x in a for y in b)
+        links.append(own)
+        held.update(own.keys())
+    best_a, best_b = Counter(), Counter()
+    for (x, y), n in held.items():
+        best_a[x], best_b[y] = max(best_a[x], n), max(best_b[y], n)
+    want = Counter()
+    for (i, found), own in zip(groups, links, strict=True):
+        text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in found)
+        digest = hashlib.sha256(text.encode()).hexdigest() if found else ""
+        numbers = (sum(len(a) for a, _ in found), sum(len(b) for _, b in found), len(found), sum(own.values()))
+        sums = (sum(n for p, n in own.items() if held[p] == best_a[p[0]]), sum(n * held[p] for p, n in own.items()), digest)
+        want[i, *numbers, *sums, sum(n for p, n in own.items() if held[p] == best_b[p[1]])] += 1
+    given = docs(spark, rows).repartition(4)
+    columns = ("id", "n_a", "n_b", "n_groups", "n_links", "n_best_a", "count_sum", "groups", "n_best_b")
+    assert Counter(map(tuple, alignment.align_corpus(given, BYTE_BPE, PIECE_BPE, digest_groups=True).select(*columns).collect())) == want
+    # Each way of bringing counts back, alone and together, gives the same sums.
+    aligned = alignment.align(given, BYTE_BPE, PIECE_BPE).coalesce(1).withColumn("row", F.monotonically_increasing_id()).cache()
+    sums = [sorted(map(tuple, alignment.with_counts(aligned.select("row", "pairs", "times"), hot).collect())) for hot in (1, 60, 10**9)]
+    assert sums[0] == sums[1] == sums[2] and len(sums[0]) == sum(bool(f) for _, f in groups)
+    aligned.unpersist()
+    nothing = alignment.align_corpus(docs(spark, []), BYTE_BPE, PIECE_BPE)
+    assert nothing.count() == 0
+
+
+def test_merge_of_ends_and_large_groups(both_sides, monkeypatch):
+    with open(BYTE_BPE, encoding="utf-8") as f, open(PIECE_BPE, "rb") as g:
+        codec = alignment.codec_of(f.read(), g.read())
+    texts = [t for _, t, *_ in alignment_rows()]
+    whole = alignment.align_block(codec, texts)
+    for listed in (0, 3, 10**9):  # distinct ids of every group, of the larger, of none
+        monkeypatch.setattr(alignment, "LISTED_LINKS", listed)
+        again = alignment.align_block(codec, texts)
+        assert again["groups"] == whole["groups"]
+        assert all((x == y).all() for c in ("pairs", "times") for x, y in zip(again[c], whole[c], strict=True))
+    for k, t in enumerate(texts):
+        assert len(aligned_by_pointers(t, both_sides)) == whole["n_groups"][k]
+    assert alignment.align_block(codec, [None, ""])["groups"] == ["", ""]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("chat_format", "curve_packing", "divergence", "fill_in_middle", "language_id", "link_trust", "mixing", "sentencepiece_codec", "sharding", "simhash", "spotsigs", "substrings")
+MODULES = ("alignment", "chat_format", "curve_packing", "divergence", "fill_in_middle", "language_id", "link_trust", "mixing", "sentencepiece_codec", "sharding", "simhash", "spotsigs", "substrings")
 
 
 def queries() -> dict:
