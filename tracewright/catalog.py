@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("delegations", "evidence", "findings", "measures", "reports", "sequences", "spending", "structures", "tails", "windows", "work")
+MODULES: tuple[str, ...] = ("delegations", "diagnoses", "evidence", "findings", "measures", "reports", "sequences", "spending", "structures", "tails", "windows", "work")
 
 
 def _gather(name: str) -> dict:

@@ -131,11 +131,17 @@ def tier(model: Column, effort: Column, tiers: dict[str, int]) -> Column:
     return found
 
 
-def baseline(text: Column, occupancy: Column, price: float) -> list[Column]:
-    """M8: what a fresh start would have cost at least and at most: the request, and a prompt of unknown size."""
+def fresh_tokens(text: Column, occupancy: Column) -> list[Column]:
+    """M8: millions of tokens that a fresh start would have read at least and at most: the request, and a prompt of
+    unknown size."""
     request = tx.approx_tokens(F.coalesce(text, F.lit("")))
     system = F.greatest(F.lit(0), F.least(occupancy, F.greatest(occupancy - request, F.floor(occupancy / 5))))
-    return [(request / 1e6 * price).alias("low"), ((request + system) / 1e6 * price).alias("high")]
+    return [request / 1e6, (request + system) / 1e6]
+
+
+def baseline(text: Column, occupancy: Column, price: float) -> list[Column]:
+    """M8: what a fresh start would have cost at least and at most."""
+    return [(tokens * price).alias(name) for tokens, name in zip(fresh_tokens(text, occupancy), ("low", "high"), strict=True)]
 
 
 def cost_of(record: Column, keys: tuple[str, ...] = ("total_cost_usd", "cost.total", "cost", "usage.cost")) -> Column:
