@@ -696,9 +696,11 @@ def test_queries_have_the_stated_columns(spark, sf_dir):
     want = {
         "op2": "doc_id n_tokens ids_sha256 decoded_sha256", "op6": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
         "op8": "doc_id held_out lang_pred score", "op10": "doc_id fingerprint component_id", "op4": "doc_id size text_crc32 law shard slot grown_shard",
+        "op11": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256", "op12": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+        "op13": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
     }
     queries = {k.split("_")[0]: v for k, v in llm.queries().items()}
-    assert set(queries) == {f"op{i}" for i in range(1, 11)}
+    assert set(queries) == {f"op{i}" for i in range(1, 14)}
     for k, columns in want.items():
         assert set(columns.split()) <= set(queries[k](spark, sf_dir).columns)
     assert queries["op10"](spark, sf_dir).filter(F.length("fingerprint") != 16).count() == 0
