@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as tx
-from tracewright.operators import failures, labels, waits, work
+from tracewright.operators import errors, failures, labels, waits, work
 from tracewright.sources import decoders, runs
 
 from .test_logs import call, result, trace, write
@@ -34,6 +34,34 @@ def test_failure_leaves(spark):
     assert [r.owner for r in got[:4]] == ["environment", "unknown", "agent", "product"] and got[6].disposition == "expected"
 
 
+def test_signals_that_need_more_than_a_word(spark):
+    rows = lambda text, exit_code, command, size=None: trace(spark, [call("a", "Bash", "execute", command=command), result("a", False, text=text, size=size or len(text), exit_code=exit_code, error="other")])
+    one = lambda *given: failures.records(rows(*given)).first()
+    assert one("storage.objects.get access denied", 1, "gcloud x").iam_permission_named and one("No such file or directory: 'jq'", 1, "jq x").executable_missing
+    assert not one("v1.2.permission", 1, "x").iam_permission_named and not one("see a.b for more", 1, "x").iam_permission_named
+    assert one("", 143, "make").timeout and not one("", 1, "make").timeout and one("x", 1, "make", 99).timeout is None
+    assert [one(*g).no_match for g in (("", 1, "grep a b"), ("Script completed", 1, "grep a b"), ("boom", 1, "grep a b"), ("", 2, "grep a b"), ("boom", 1, "cat a | sort"), ("", 1, "grep a b", 5), ("", 1, "make"))] == [
+        True, True, False, False, None, None, False,
+    ]
+    assert one("2 test failures", 1, "cd a && make lint; ls").failing_segment == "make lint" and one("2 test failures", 1, "make lint; make test").failing_segment is None
+    check = [("intent.project_check", 0.9)]
+    assert leaf_of(spark, "the build broke", check, command="ls; make build").leaf == "compound_check_attributed"
+
+
+def test_how_a_session_ended(spark):
+    words, praise = ("wrong", "undo"), ("thanks",)
+    run = lambda i, command, ok: [call(i, "Bash", "execute", command=command), result(i, ok)]
+    edit, said = [call("e", "Edit", "write", path="a.py"), result("e")], lambda t: [("user_msg", {"text": t})]
+    cases = {
+        "corrected": [*run("1", "pytest", True), *said("thanks, but wrong")], "test_failed": [*said("thanks"), *run("1", "pytest", True), *run("2", "npx jest a", False)],
+        "reverted": [*edit, *run("1", "git checkout a.py", True), *said("thanks")], "approved": [*run("1", "git restore a", True), *edit, *said("thanks")],
+        "test_passed": [*run("1", "pytest", False), *run("2", "pytest", True)], "committed": [*run("1", "git commit -m x", True)], "no_signal": [*run("1", "git commit -m x", False), *run("2", "ls", True)],
+    }
+    for reason, rows in cases.items():
+        got = errors.outcomes(trace(spark, rows), words, praise).first()
+        assert (got.reason, got.label) == (reason, {"no_signal": "unknown"}.get(reason, "negative" if reason in ("corrected", "test_failed", "reverted") else "positive"))
+
+
 def test_waits_between_responses(spark):
     used = lambda i, **n: ("usage", {"response_id": i, "model": "m", "input": 1, "output": 1} | n)
     wait = lambda i: [call(i, "wait_agent", "subagent", response_id=i), result(i)]

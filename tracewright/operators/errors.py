@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,10 @@ ACTIONS = {
 }
 
 
+#: Marks of a test command, and of one that takes edits back.
+TEST_MARKERS, REVERTS = ("pytest", "vitest", "jest", "tsc", "unittest", " test", "test "), ("git checkout", "git revert", "reset --hard", "git restore")
+
+
 def tri_state(text: Column, pattern: str, truncated: Column) -> Column:
     """True on a match; without one unknown if the text was cut, else false. A null text knows nothing."""
     return F.when(text.rlike(pattern), True).when(text.isNull() | truncated, None).otherwise(False)
@@ -165,17 +171,26 @@ def recovery(results: DataFrame, signature: str) -> DataFrame:
     return rows.filter("not ok").select("session_id", signature, "idx", F.col("success").alias("recovered_idx"), attempts.alias("attempts"), outcome.alias("outcome"))
 
 
-def outcomes(events: DataFrame) -> DataFrame:
-    """How each session ended: reverted after the last edit, failed, verified by a later test, succeeded, unknown."""
-    last = lambda c: F.max(F.when(c, F.col("idx")))
-    per = events.groupBy("session_id").agg(
-        last(F.col("category") == "write").alias("edit"),
-        last(F.col("command").startswith("git revert")).alias("revert"),
-        last(F.col("command").contains("pytest")).alias("test"),
-        F.max_by("ok", F.when(F.col("kind") == "tool_result", F.col("idx"))).alias("last_ok"),
-    )
-    edit = F.coalesce("edit", F.lit(-1))
-    outcome = (
-        F.when(F.col("revert") > edit, "reverted").when(~F.col("last_ok"), "failed").when(F.col("last_ok") & (F.col("test") > edit), "verified").when(F.col("last_ok"), "succeeded").otherwise("unknown")
-    )
-    return per.select("session_id", outcome.alias("outcome"))
+def outcomes(rows: DataFrame, correction: tuple[str, ...], positive: tuple[str, ...]) -> DataFrame:
+    """Label and reason of each session of facts(), the first that holds: negative if the last message of the user
+    corrects, the last test run failed, or a command takes back what was edited last; positive if that message
+    approves, the last test run passed, or something was committed; else unknown."""
+    low = F.lower("command")
+    has = lambda *words: F.coalesce(reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words)), F.lit(False))
+    command = F.coalesce((F.col("kind") == "tool_call") & (F.col("category") == "execute") & F.col("command").isNotNull(), F.lit(False))
+    ok = F.coalesce("r_ok", "ok")
+    tests = command & ((F.col("intent") == "build_test") | has(*TEST_MARKERS)) & ok.isNotNull()
+    edit = F.max(F.when((F.col("kind") == "tool_call") & (F.col("category") == "write"), F.col("idx")))
+    said = F.max(F.when((F.col("kind") == "user_msg") & (F.coalesce("text", F.lit("")) != ""), F.struct("idx", "text")))
+    per = rows.groupBy("session_id").agg(
+        said.alias("said"), F.max(F.when(tests, F.struct("idx", ok.alias("ok")))).alias("test"), edit.alias("edit"),
+        F.max(F.when(command & has(*REVERTS), F.col("idx"))).alias("revert"), F.max(command & has("git commit") & F.coalesce(ok, F.lit(True))).alias("committed"),
+    )
+    spoke = lambda words: F.coalesce(tx.lexicon(F.col("said.text"), words), F.lit(False))
+    test = F.col("test.ok")
+    reason = (
+        F.when(spoke(correction), "corrected").when(test == F.lit(False), "test_failed").when(F.col("revert") > F.col("edit"), "reverted")
+        .when(spoke(positive), "approved").when(test, "test_passed").when(F.col("committed"), "committed").otherwise("no_signal")
+    )
+    label = F.when(F.col("reason").isin("corrected", "test_failed", "reverted"), "negative").when(F.col("reason") == "no_signal", "unknown").otherwise("positive")
+    return per.select("session_id", reason.alias("reason")).withColumn("label", label)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewright.config import DEFAULTS
 from tracewright.functions import text as tx
 from tracewright.operators import errors, graph, labels, memory
 from tracewright.operators.facts import facts
@@ -116,7 +117,8 @@ def failure_recovery(spark, d):
 
 
 def outcomes(spark, d):
-    return errors.outcomes(trace_events(spark, d)).groupBy("outcome").agg(F.count("*").alias("n"))
+    words = DEFAULTS["lexicons"]
+    return errors.outcomes(facts(work_events(spark, d)), tuple(words["correction"]), tuple(words["positive"]))
 
 
 def label_eval(spark, d):
@@ -161,6 +163,10 @@ walk AS (SELECT DISTINCT parent AS node, parent AS root, 0 AS depth FROM edges W
     UNION ALL SELECT e.child, w.root, w.depth + 1 FROM walk w JOIN edges e ON e.parent = w.node)"""
 
 
+def _words(name: str) -> str:
+    return "'" + tx.alternation(tuple(DEFAULTS["lexicons"][name])).replace("'", "''") + "'"
+
+
 def redact_sql(text: str) -> str:
     for pattern, name in ((tx.SECRET, "<secret>"), (tx.EMAIL, "<email>"), (tx.URL, "<url>"), (tx.PHONE, "<phone>"), (tx.IPV4, "<ip>")):
         text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{name}', 'g')"
@@ -252,11 +258,14 @@ ORACLE_SQL = {
         "ev",
     ),
     "outcomes": sql(
-        """AND_WITH per AS (SELECT session_id, max(idx) FILTER (category = 'write') AS edit, max(idx) FILTER (starts_with(command, 'git revert')) AS revert,
-            arg_max(ok, idx) FILTER (kind = 'tool_result') AS last_ok, max(idx) FILTER (contains(command, 'pytest')) AS test FROM ev GROUP BY session_id)
-        SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN revert > coalesce(edit, -1) THEN 'reverted' WHEN NOT last_ok THEN 'failed' WHEN last_ok AND test > coalesce(edit, -1) THEN 'verified'
-            WHEN last_ok THEN 'succeeded' ELSE 'unknown' END AS outcome FROM per) GROUP BY outcome""",
-        "ev",
+        f"""AND_WITH runs AS (SELECT *, lower(command) AS low, is_exec AND command IS NOT NULL AS runs, coalesce(r_ok, ok) AS fine FROM f),
+        per AS (SELECT session_id, arg_max(text, idx) FILTER (kind = 'user_msg' AND coalesce(text, '') <> '') AS said, max(idx) FILTER (is_write) AS edit,
+            arg_max(fine, idx) FILTER (runs AND fine IS NOT NULL AND (intent = 'build_test' OR {" OR ".join(f"contains(low, '{m}')" for m in errors.TEST_MARKERS)})) AS test,
+            max(idx) FILTER (runs AND ({" OR ".join(f"contains(low, '{m}')" for m in errors.REVERTS)})) AS revert, coalesce(bool_or(runs AND contains(low, 'git commit') AND coalesce(fine, true)), false) AS committed FROM runs GROUP BY session_id),
+        reasons AS (SELECT session_id, CASE WHEN regexp_matches(said, {_words("correction")}) THEN 'corrected' WHEN NOT test THEN 'test_failed' WHEN revert > edit THEN 'reverted' WHEN regexp_matches(said, {_words("positive")}) THEN 'approved'
+            WHEN test THEN 'test_passed' WHEN committed THEN 'committed' ELSE 'no_signal' END AS reason FROM per)
+        SELECT session_id, reason, CASE WHEN reason IN ('corrected', 'test_failed', 'reverted') THEN 'negative' WHEN reason = 'no_signal' THEN 'unknown' ELSE 'positive' END AS label FROM reasons""",
+        "made", "work", "f",
     ),
     "label_eval": """SELECT lang, count(*) AS n, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0 END), 6) AS first_rate, round(avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0 END), 6) AS second_rate,
         round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0 END), 6) AS agreement FROM labels JOIN documents USING (doc_id) GROUP BY lang""",

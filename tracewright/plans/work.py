@@ -37,6 +37,36 @@ def failure_leaves(spark, d):
     return found.groupBy("leaf", "disposition", "owner").agg(F.count("*").alias("n"), F.countDistinct("session_id").alias("sessions"))
 
 
+#: What failed commands say in failure_leaf_cases().
+CASES = (
+    "refresh needs an interactive tty", "refresh: interactive; missing permission 'a.b'", "storage.objects.get access denied", "unknown flag --x", "offset 10 is beyond the end of the file", "No such file or directory: 'jq'",
+    "bash: foo: command not found", "check_prompts: 2 findings", "would reformat a.py", "a.py:1:1 E501 line too long", "mypy: 3 findings", "AssertionError: 1 == 2", "compilation failed in a.c", "panic: index out of range", "deadline exceeded",
+    "KeyError: 'x'", "no such column: y", "no such file: src/a.py", "validation error: argument 'path' is missing", "old_string was not found in src/a.py", "", "Script completed", "the build failed, see lint", "Traceback (most recent call last)",
+)
+#: The questions whose answers decide leaves.
+ASKED = (
+    "intent.user_named_identifier", "intent.identifier_matches", "intent.stop_if_missing", "intent.presence_probe", "intent.absence_acceptable", "intent.post_action_verifier", "intent.main_action_completed", "intent.agent_validator",
+    "intent.project_check", "check.invocation_rejected", "check.prompt_finding", "check.product_runtime", "context.agent_data_assumption", "context.agent_sql_assumption",
+)
+
+
+_VALUES = (0.1, 0.9, 0.5, 0.9, 0.1, 0.1, 0.5, 0.1, 0.9, 0.5, 0.1)
+
+
+def failure_leaf_cases(spark, d):
+    """Failed results of work_events() that say CASES in turn, with answers by their place: every leaf occurs."""
+    at = F.col("session_id") * 31 + F.floor(F.col("idx") / 4)
+    failed = (F.col("kind") == "tool_result") & ~F.col("ok")
+    said = F.element_at(F.array(*map(F.lit, CASES)), (at % len(CASES) + 1).cast("int"))
+    rows = _facts(spark, d).withColumns({"text": F.when(failed, said).otherwise(F.col("text")), "size": F.when(failed, F.length(said) + F.when(at % 9 == 0, 5).otherwise(0)).otherwise(F.col("size"))})
+    rows = rows.withColumns({"c_command": F.when(failed & (at % 5 == 4), None).when(failed & (at % 7 == 3), "cd src; make lint").when(failed & (at % 7 == 5), "grep -rn foo src").otherwise(F.col("c_command")), "exit_code": F.when(failed & (at % 23 == 7), 143).otherwise(F.col("exit_code"))})
+    rows = cut_lineage(rows.filter(failed))
+    value = lambda n: F.element_at(F.array(*map(F.lit, _VALUES)), ((F.col("session_id") * (n + 3) + F.floor(F.col("idx") / 4) * (n * n + 1) + 3 * n) % len(_VALUES) + 1).cast("int"))
+    each = F.array(*(F.struct(F.lit(q).alias("feature"), value(n).alias("value")) for n, q in enumerate(ASKED)))
+    features = rows.select("session_id", "idx", F.inline(each)).withColumn("reason", F.lit(None).cast("string"))
+    return failures.leaves(failures.records(rows), failures.answers(features)).select("session_id", "idx", "leaf", "disposition", "owner")
+
+
 def failure_signals(spark, d):
     rows = failures.records(_facts(spark, d))
     each = F.array(*(F.struct(F.lit(n).alias("signal"), F.col(n).alias("value")) for n in failures.SIGNALS))
@@ -134,7 +164,7 @@ def shell_reads(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        failure_leaves, failure_signals, cache_waits, cache_wait_groups, episode_facts, display_runs, stuck_stretches, thrashing_paths, tokens_by_model, phase_spend, expense_context,
+        failure_leaves, failure_leaf_cases, failure_signals, cache_waits, cache_wait_groups, episode_facts, display_runs, stuck_stretches, thrashing_paths, tokens_by_model, phase_spend, expense_context,
         tier_ranks, continuation_range, monetary_amounts, message_positions, eligible_messages, text_clips, split_estimates, json_digests, shell_reads,
     )
 }
@@ -149,9 +179,21 @@ def _work(body: str) -> str:
 
 
 _UPTO = "OVER (PARTITION BY session_id ORDER BY idx ROWS UNBOUNDED PRECEDING)"
-_SIGNALS = ", ".join(f"regexp_matches(text, {_q(p)}) AS {n}" for n, p in failures.SIGNALS.items())
-_FAILED = f"""failed AS (SELECT session_id, idx, c_command AS command, exit_code, error = 'no_match_probe' AS no_match, coalesce(size > length(text), false) AS cut, text,
-    coalesce({intent_sql("c_command")} = 'build_test', false) AS checked, coalesce(starts_with(c_command, 'grep'), false) AS probe, coalesce({intent_sql("c_command")} = 'inspect', false) AS inspects, {_SIGNALS}
+#: This engine's patterns have no lookbehind and no possessive repeats: a dotted name ends where no more of it can follow.
+_PLAIN = {
+    "iam_permission_named": r"(?i)(?:permission|role)\s+['\"]?[\w-]+(?:\.[\w-]+)+|(?:^|[^\w.-])[\w-]+(?:\.[\w-]+)+(?:[^\w.\n-]|\.[^\w\n-]).*(?:permission|denied)|(?:missing|required)\s+(?:permission|role)\s+['\"]?[\w.-]+"
+}
+_TESTED = {n: f"coalesce(regexp_matches(text, {_q(_PLAIN.get(n, p))}), false)" for n, p in failures.SIGNALS.items()}
+_TESTED["timeout"] = f"(coalesce(exit_code = {failures.TIMED_OUT}, false) OR {_TESTED['timeout']})"
+_SIGNALS = ", ".join(f"{t} AS {n}" for n, t in _TESTED.items())
+_SEGMENTS = "list_filter(string_split_regex(c_command, '[;|&\\n]+'), lambda x: trim(x) <> '')"
+_CHECKED = f"list_filter({_SEGMENTS}, lambda x: regexp_matches(x, {_q(failures.CHECKS)}))"
+_FAILING = f"CASE WHEN len({_SEGMENTS}) > 1 AND len({_CHECKED}) = 1 AND regexp_matches(text, {_q(failures.CHECKS)}) THEN trim({_CHECKED}[1]) END"
+_LAST = "regexp_replace(trim(string_split_regex(c_command, '[;|&\\n]+')[-1]), '^\\S*/', '')"
+_SILENT = f"""CASE WHEN exit_code = 1 AND c_command <> '' AND regexp_matches({_LAST}, {_q(tx._ANSWERS)}) AND trim(coalesce(text, '')) IN ('', {", ".join(map(_q, failures.SILENT))}) AND NOT coalesce(size > length(text), false) THEN true
+    WHEN exit_code = 1 AND c_command <> '' AND (len({_SEGMENTS}) > 1 OR coalesce(size > length(text), false)) THEN NULL ELSE false END"""
+_FAILED = f"""failed AS (SELECT session_id, idx, c_command AS command, exit_code, {_SILENT} AS no_match, coalesce(size > length(text), false) AS cut, text,
+    coalesce({intent_sql("c_command")} = 'build_test', false) AS checked, coalesce(starts_with(c_command, 'grep'), false) AS probe, {_FAILING} AS failing, coalesce({intent_sql("failing")} = 'inspect', false) AS inspects, {_SIGNALS}
     FROM f WHERE kind = 'tool_result' AND ok = false)"""
 _BILLED = "billed AS (SELECT * FROM f WHERE kind = 'usage' QUALIFY row_number() OVER (PARTITION BY session_id, response_id ORDER BY idx) = 1)"
 _SPENT = "(" + " + ".join(f"coalesce({k}, 0) / 1e6 * {v}" for k, v in RATES.items()) + ")"
@@ -183,15 +225,31 @@ _IMPEDED = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(concat_ws(' ',
 
 ORACLE_SQL = {
     "failure_leaves": _work(
-        f"""AND_WITH {_FAILED}, leaves AS (SELECT session_id, CASE WHEN (no_match OR (exit_code = 1 AND inspects)) AND probe THEN 'expected_no_match'
+        f"""AND_WITH {_FAILED}, leaves AS (SELECT session_id, CASE WHEN (coalesce(no_match, false) OR coalesce(exit_code = 1 AND inspects, false)) AND probe THEN 'expected_no_match'
             WHEN auth_refresh_blocked AND iam_permission_named THEN 'unresolved' WHEN auth_refresh_blocked THEN 'credential_refresh_blocked' WHEN iam_permission_named THEN 'iam_permission_missing'
-            WHEN cli_argument_rejected THEN 'cli_invocation_rejected' WHEN read_range_invalid THEN 'read_range_invalid' WHEN executable_missing OR missing_dependency THEN 'command_unavailable'
+            WHEN failing IS NOT NULL AND checked THEN 'compound_check_attributed' WHEN cli_argument_rejected THEN 'cli_invocation_rejected' WHEN read_range_invalid THEN 'read_range_invalid' WHEN executable_missing OR missing_dependency THEN 'command_unavailable'
             WHEN checked AND prompt_definition THEN 'prompt_definition_finding' WHEN checked AND static_format THEN 'static_format_finding' WHEN checked AND static_lint THEN 'static_lint_finding'
             WHEN checked AND static_type THEN 'static_type_finding' WHEN checked AND test_assertion THEN 'test_assertion_failure' WHEN checked AND compile_error THEN 'product_build_failure'
             WHEN timeout OR transport_failure THEN 'external_dependency_or_transport' ELSE 'unresolved' END AS leaf FROM failed)
         SELECT leaf, CASE WHEN starts_with(leaf, 'expected_') THEN 'expected' WHEN leaf = 'unresolved' THEN 'unresolved' ELSE 'terminal' END AS disposition,
         CASE leaf {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in failures.OWNERS.items())} ELSE 'agent' END AS owner, count(*) AS n, count(DISTINCT session_id) AS sessions FROM leaves GROUP BY leaf"""
     ),
+    "failure_leaf_cases": _work(
+        f"""AND_WITH said AS (SELECT * REPLACE (([{", ".join(map(_q, CASES))}])[turn % {len(CASES)} + 1] AS text, length(([{", ".join(map(_q, CASES))}])[turn % {len(CASES)} + 1]) + CASE WHEN turn % 9 = 0 THEN 5 ELSE 0 END AS size,
+            CASE WHEN turn % 5 = 4 THEN NULL WHEN turn % 7 = 3 THEN 'cd src; make lint' WHEN turn % 7 = 5 THEN 'grep -rn foo src' ELSE c_command END AS c_command, CASE WHEN turn % 23 = 7 THEN 143 ELSE exit_code END AS exit_code) FROM (SELECT *, session_id * 31 + idx // 4 AS turn FROM f WHERE kind = 'tool_result' AND ok = false)),
+        failed AS (SELECT session_id, idx, c_command AS command, exit_code, {_SILENT} AS no_match, text, {_FAILING} AS failing, coalesce(exit_code = 1 AND {intent_sql("failing")} = 'inspect', false) AS inspects, {_SIGNALS}, {", ".join(
+            f"({list(_VALUES)})[(session_id * {n + 3} + idx // 4 * {n * n + 1} + {3 * n}) % {len(_VALUES)} + 1] >= 0.7 AS y{n}, ({list(_VALUES)})[(session_id * {n + 3} + idx // 4 * {n * n + 1} + {3 * n}) % {len(_VALUES)} + 1] <= 0.3 AS n{n}" for n in range(len(ASKED)))} FROM said),
+        leaves AS (SELECT session_id, idx, CASE WHEN y0 AND n1 AND missing_target THEN 'wrong_requested_identifier' WHEN y2 AND missing_target THEN 'expected_stop_precondition'
+            WHEN (coalesce(no_match, false) OR inspects) AND y3 AND y4 THEN 'expected_no_match' WHEN auth_refresh_blocked AND iam_permission_named THEN 'unresolved' WHEN auth_refresh_blocked THEN 'credential_refresh_blocked'
+            WHEN iam_permission_named THEN 'iam_permission_missing' WHEN tool_contract_rejected AND command IS NULL AND regexp_matches(text, {_q(failures._NAMED)}) THEN 'tool_contract_rejected'
+            WHEN edit_match_missing AND command IS NULL AND regexp_matches(text, {_q(failures._PATH)}) THEN 'edit_match_missing' WHEN failing IS NOT NULL AND y8 THEN 'compound_check_attributed' WHEN cli_argument_rejected OR y9 THEN 'cli_invocation_rejected' WHEN read_range_invalid THEN 'read_range_invalid'
+            WHEN executable_missing OR missing_dependency THEN 'command_unavailable' WHEN y5 AND y6 THEN 'post_action_verifier_mismatch' WHEN y7 AND (data_shape_exception OR y12) THEN 'agent_validator_data_shape'
+            WHEN y7 AND (sql_schema_exception OR y13) THEN 'agent_validator_sql_schema' WHEN y8 AND (prompt_definition OR y10) THEN 'prompt_definition_finding' WHEN y8 AND static_format THEN 'static_format_finding'
+            WHEN y8 AND static_lint THEN 'static_lint_finding' WHEN y8 AND static_type THEN 'static_type_finding' WHEN y8 AND test_assertion THEN 'test_assertion_failure' WHEN y8 AND compile_error THEN 'product_build_failure'
+            WHEN product_runtime_error AND y11 THEN 'product_runtime_failure' WHEN timeout OR transport_failure THEN 'external_dependency_or_transport' WHEN missing_target AND y0 AND n4 THEN 'required_target_missing' ELSE 'unresolved' END AS leaf FROM failed)
+        SELECT session_id, idx, leaf, CASE WHEN starts_with(leaf, 'expected_') THEN 'expected' WHEN leaf = 'unresolved' THEN 'unresolved' ELSE 'terminal' END AS disposition,
+        CASE leaf {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in failures.OWNERS.items())} ELSE 'agent' END AS owner FROM leaves"""
+    ),
     "failure_signals": _work(
         f"AND_WITH {_FAILED} SELECT signal, count(*) FILTER (value) AS yes, count(*) FILTER (NOT value) AS no, count(*) FILTER (value IS NULL) AS unknown FROM ("
         + " UNION ALL ".join(f"SELECT '{n}' AS signal, CASE WHEN {n} THEN true WHEN cut THEN NULL ELSE false END AS value FROM failed" for n in failures.SIGNALS)
