@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def themes(incidents: DataFrame) -> DataFrame:
     """A score of volume (30), spend (15), reach (35) and ease (20) for each kind."""
@@ -27,11 +29,13 @@ def priorities(observed: DataFrame, supported: int = 20, investigate: int = 5) -
 
 
 def prevalence(events: DataFrame, item: str) -> DataFrame:
-    """Three rankings of an item's values that are not mixed: rows, sessions, and rows a session."""
+    """Three rankings of an item's values that are not mixed: rows, sessions, and rows a session. Items may be as many
+    as paths are, so no ranking is made in one task."""
     per = events.filter(F.col(item).isNotNull()).groupBy(F.col(item).alias("item")).agg(F.count("*").alias("n"), F.countDistinct("session_id").alias("sessions"))
     per = per.withColumn("per_session", F.round(F.col("n") / F.col("sessions"), 6))
-    place = lambda c: F.row_number().over(Window.orderBy(F.col(c).desc(), "item")).cast("long")
-    return per.select("*", place("n").alias("by_n"), place("sessions").alias("by_sessions"), place("per_session").alias("by_rate"))
+    for column, name in (("n", "by_n"), ("sessions", "by_sessions"), ("per_session", "by_rate")):
+        per = numbered(per, [F.col(column).desc(), F.col("item").asc()], name)
+    return per
 
 
 def cover(incidents: DataFrame, most: int) -> DataFrame:

@@ -55,7 +55,7 @@ def lexicon_hits(spark, d):
 
 
 def deliverables(spark, d):
-    rows = table(spark, d, "pages").select("page_id", F.explode(tx.deliverables(F.col("html"))).alias("item"))
+    rows = table(spark, d, "pages").select("page_id", F.explode(tx.deliverables(F.concat_ws(" ", "url", "html"))).alias("item"))
     return rows.groupBy("page_id").agg(F.count("*").alias("items"), F.max(F.length("item")).cast("long").alias("longest"))
 
 
@@ -193,7 +193,7 @@ ORACLE_SQL = {
         {_hits_sql(tx.PHONE)} AS phones FROM {_DOCS}) WHERE secrets + emails + addresses + phones > 0""",
     "lexicon_hits": f"SELECT lang, source, count(*) AS n FROM {_DOCS} WHERE regexp_matches(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:was|des|und|que)(?:[^\\p{{L}}\\p{{N}}_]|$)') GROUP BY lang, source",
     "deliverables": """SELECT page_id, count(*) AS items, max(length(item)) AS longest FROM (SELECT DISTINCT page_id, unnest(list_concat(
-        regexp_extract_all(html, 'https?://[^\\s"''<>)]+'), regexp_extract_all(html, '(?:[A-Za-z0-9_-]+/)+[A-Za-z0-9_.-]+'), regexp_extract_all(html, '`[^`\\n]+`'))) AS item FROM pages)
+        regexp_extract_all(concat_ws(' ', url, html), 'https?://[^\\s"''<>)]+'), regexp_extract_all(concat_ws(' ', url, html), '(?:[A-Za-z0-9_-]+/)+[A-Za-z0-9_.-]+'), regexp_extract_all(concat_ws(' ', url, html), '`[^`\\n]+`'))) AS item FROM pages)
         GROUP BY page_id""",
     "stable_ids": "SELECT doc_id, substr(sha256(concat_ws(chr(31), source, CAST(doc_id AS VARCHAR), lang)), 1, 24) AS id FROM documents",
     "output_shapes": f"""SELECT doc_id, length(text) AS chars, len(string_split(text, chr(10))) AS lines, sha256(text) AS sha256,

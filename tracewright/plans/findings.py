@@ -12,7 +12,7 @@ from tracewright.sources.driver_tables import conversation_events, sql, work_eve
 #: Values that suit the shared tables, whose sessions last weeks and hold few long texts. The defaults of the rules are
 #: for logs. The SQL twins read these.
 KNOBS = {
-    "bloated_opener": {"tokens": 150}, "cold_start_reads": {"most": 2}, "slow_to_action": {"most": 3}, "overlong_trace": {"events": 150, "tokens": 9_000_000, "minutes": 41_000},
+    "bloated_opener": {"tokens": 60}, "cold_start_reads": {"most": 2}, "slow_to_action": {"most": 0}, "overlong_trace": {"events": 150, "tokens": 9_000_000, "minutes": 41_000},
     "context_bloat_no_clear": {"window": 5_000_000}, "tool_monoculture": {"share": 0.25}, "linear_scan_search": {"most": 8}, "idle_gap": {"minutes": 2000}, "EDIT_THRASH": {"rows": 400},
     "RETRY_STORM": {"least": 3, "rows": 300}, "CONTEXT_ROT": {"ratio": 1.0}, "CORRECTION_LOOP": {"rows": 200, "least": 2}, "GOAL_DRIFT": {"recall": 0.6},
     "NO_ADAPT_RETRY": {"distance": 12}, "COMPACTION_AMNESIA": {"rows": 60}, "PERFECTIONISM_LOOP": {"least": 1}, "OVER_ENGINEERING": {"files": 2}, "RUNAWAY_SESSION": {"events": 180},

@@ -97,7 +97,7 @@ def dedup_responses(spark, d):
 
 
 def orphans_anti(spark, d):
-    return j.orphans(table(spark, d, "customer"), table(spark, d, "orders"), "c_custkey", "o_custkey").select("c_custkey", "c_name")
+    return j.orphans(table(spark, d, "orders"), table(spark, d, "lineitem"), "o_orderkey", "l_orderkey").select("o_orderkey", "o_custkey")
 
 
 def label_pairs(spark, d):
@@ -222,6 +222,6 @@ ORACLE_SQL = {
     "dedup_responses": sql(
         """SELECT thread_id, response_id, seq, input FROM (SELECT *, row_number() OVER (PARTITION BY thread_id, response_id ORDER BY seq) AS r FROM resp) WHERE r = 1""", "resp"
     ),
-    "orphans_anti": "SELECT c_custkey, c_name FROM customer ANTI JOIN orders ON c_custkey = o_custkey",
+    "orphans_anti": "SELECT o_orderkey, o_custkey FROM orders ANTI JOIN lineitem ON o_orderkey = l_orderkey",
     "label_pairs": "SELECT doc_id, quality AS value_1, toxic AS value_2 FROM labels",
 }

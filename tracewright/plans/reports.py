@@ -27,9 +27,9 @@ def trace_fold(spark, d):
 
 
 def month_cells(spark, d):
-    orders = table(spark, d, "orders")
-    cells = orders.select(F.col("o_orderkey").alias("task_id"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderpriority").alias("model")).filter("task_id % 3 <> 0")
-    diagnoses = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.collect_set("l_orderkey").alias("task_ids"))
+    """An order is a diagnosis and its own task; those without line items lead to no cell."""
+    cells = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_returnflag").alias("model"))
+    diagnoses = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array("o_orderkey").alias("task_ids"))
     return reports.month_cells(diagnoses, cells)
 
 
@@ -136,9 +136,7 @@ ORACLE_SQL = {
         SELECT root AS trace_id, count(*) AS sessions, round(sum(round(c_acctbal, 2)), 2) AS cost, coalesce(array_to_string(list_sort(list(DISTINCT CASE WHEN c_acctbal < 0 THEN 'negative' WHEN c_custkey % 50 = 0 THEN 'round' END)
             FILTER (c_acctbal < 0 OR c_custkey % 50 = 0)), ','), '') AS notes, CASE WHEN max(c_nationkey % 2) = 0 THEN 'exact' ELSE 'estimated' END AS status
         FROM customer JOIN walk ON node = 'c' || c_custkey GROUP BY root""",
-    "month_cells": """WITH t AS (SELECT DISTINCT l_suppkey AS id, l_orderkey FROM lineitem),
-        m AS (SELECT DISTINCT id, strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS model FROM t JOIN orders ON o_orderkey = l_orderkey AND o_orderkey % 3 <> 0)
-        SELECT * FROM m UNION ALL SELECT DISTINCT id, 'unknown', NULL FROM t WHERE id NOT IN (SELECT id FROM m)""",
+    "month_cells": """SELECT DISTINCT o_orderkey AS id, coalesce(strftime(l_shipdate, '%Y-%m'), 'unknown') AS month, l_returnflag AS model FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey""",
     "guidance_pairs": """WITH c AS (SELECT item_id, substr(text, u.c * 180 + 1, 200) AS part FROM benchmark, unnest(range(0, greatest(1, CAST(ceil((length(text) - 20) / 180) AS BIGINT)))) AS u(c)),
         k AS (SELECT n_nationkey AS candidate_id, substr(lower(n_name), 1, 3) AS claim FROM nation)
         SELECT candidate_id, count(*) AS chunks, count(*) FILTER (contains(part, claim)) AS told FROM k, c GROUP BY candidate_id""",

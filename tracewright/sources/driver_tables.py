@@ -104,7 +104,7 @@ def work_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "error": F.when(failed, F.when(kind == "error", _pick(ERRORS, k)).when(k % 13 < 4, "build_test_fail").otherwise("other")), "exit_code": F.when(name == "Bash", F.when(~failed, 0).when(k % 25 == 2, 130).otherwise(1)),
     }
     usage = {
-        "kind": F.lit("usage"), "ts": time(span), "model": _pick(MODELS, k), "input": n(1000), "output": n(100), "cache_write": F.when(k % 3 == 0, n(400)).otherwise(0),
+        "kind": F.lit("usage"), "ts": time(span), "model": _pick(MODELS, k), "input": n(1000), "output": n(100), "cache_write": F.when(k % 3 != 1, n(400)).otherwise(0),
         "cache_read": F.when(k % 17 == 16, None).when(k % 6 == 5, 0).otherwise(n(10_000)),
     }
     types = {
@@ -178,7 +178,7 @@ SELECT session_id, start + i AS idx, response_id, kind, ts, tool, category, call
         WHERE name IS NOT NULL AND NOT (event_type = 'purchase' AND k % 8 = 0)
     UNION ALL SELECT user_id, start, 2, k, 'r' || event_id, 'usage', epoch_us(ts) + CAST(round(value * 1000000) AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
         {_pick_sql(MODELS, "k")}, CAST(round(value * 1000) AS BIGINT), CAST(round(value * 100) AS BIGINT), CASE WHEN k % 17 = 16 THEN NULL WHEN k % 6 = 5 THEN 0 ELSE CAST(round(value * 10000) AS BIGINT) END,
-        CASE WHEN k % 3 = 0 THEN CAST(round(value * 400) AS BIGINT) ELSE 0 END FROM made WHERE name IS NOT NULL OR said = 'assistant_msg')""",
+        CASE WHEN k % 3 <> 1 THEN CAST(round(value * 400) AS BIGINT) ELSE 0 END FROM made WHERE name IS NOT NULL OR said = 'assistant_msg')""",
     "made": _MADE,
     "ev": f"""
 SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, ts,
