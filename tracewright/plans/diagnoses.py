@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.operators import diagnoses as dg
 from tracewright.operators import questions as q
 from tracewright.operators import sequence as s
-from tracewright.operators import structure, work
+from tracewright.operators import digests, structure, work
 from tracewright.operators.facts import facts
 from tracewright.sources.driver_tables import sql, table, trace_events, work_events
 
@@ -85,6 +85,14 @@ def diagnosis_conservation(spark, d):
     return dg.conserved(dg.priced_once(claims, spend), spend)
 
 
+def episode_digests(spark, d):
+    """Some episodes fit a small budget as they are, some only after several stages."""
+    rows = facts(work_events(spark, d))
+    named = structure.episodes(rows, 6 * 3600.0, 20).select("session_id", F.col("first_idx").alias("episode"), "first_idx", "last_idx", F.col("reason").alias("trigger"))
+    found = digests.digests(rows, named, 260)
+    return found.select("session_id", "episode", F.to_json("digest").alias("digest"), digests.tokens(F.col("digest")).cast("long").alias("tokens"))
+
+
 _RATES = {"alpha": (3.0, 0.3, 3.75), "beta:high": (5.0, 0.5, 6.25)}
 
 
@@ -109,7 +117,7 @@ def counterfactuals(spark, d):
     return found.withColumns({c: F.round(c, 8) for c in ("low", "high", "amount")})
 
 
-QUERIES = {f.__name__: f for f in (question_passes, phase_labels, diagnosis_prices, diagnosis_conservation, continuation_burdens, counterfactuals)}
+QUERIES = {f.__name__: f for f in (question_passes, phase_labels, episode_digests, diagnosis_prices, diagnosis_conservation, continuation_burdens, counterfactuals)}
 
 _N = {question: n for n, (_, question) in enumerate(BANK)}
 _values = lambda rows: ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in rows)
