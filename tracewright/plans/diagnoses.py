@@ -10,6 +10,7 @@ from tracewright.operators import questions as q
 from tracewright.operators import sequence as s
 from tracewright.operators import digests, structure, work
 from tracewright.operators.facts import facts
+from tracewright.sources import publish
 from tracewright.sources.driver_tables import sql, table, trace_events, work_events
 
 #: A bank of questions by scope, and which question opens which from what value (null: by choice alone).
@@ -93,6 +94,14 @@ def episode_digests(spark, d):
     return found.select("session_id", "episode", F.to_json("digest").alias("digest"), digests.tokens(F.col("digest")).cast("long").alias("tokens"))
 
 
+def run_differences(spark, d):
+    """`orders` as the rows of two runs: the second lacks some, has others changed, under a new key, or new ones."""
+    k, o = F.col("o_orderkey"), table(spark, d, "orders").select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).cast("decimal(12,2)").cast("string").alias("price"))
+    new = o.filter(k % 17 != 0).select(F.when(k % 19 == 0, k + 1_000_000_000).otherwise(k).alias("o_orderkey"), F.when(k % 13 == 0, F.lit(1).cast(o.schema["o_custkey"].dataType)).otherwise(F.col("o_custkey")).alias("o_custkey"), "price")
+    extra = o.filter(k % 23 == 0).select((k + 2_000_000_000).alias("o_orderkey"), "o_custkey", F.lit("0").alias("price"))
+    return publish.differences(o, new.unionByName(extra), "o_orderkey")
+
+
 _RATES = {"alpha": (3.0, 0.3, 3.75), "beta:high": (5.0, 0.5, 6.25)}
 
 
@@ -117,7 +126,7 @@ def counterfactuals(spark, d):
     return found.withColumns({c: F.round(c, 8) for c in ("low", "high", "amount")})
 
 
-QUERIES = {f.__name__: f for f in (question_passes, phase_labels, episode_digests, diagnosis_prices, diagnosis_conservation, continuation_burdens, counterfactuals)}
+QUERIES = {f.__name__: f for f in (question_passes, phase_labels, episode_digests, run_differences, diagnosis_prices, diagnosis_conservation, continuation_burdens, counterfactuals)}
 
 _N = {question: n for n, (_, question) in enumerate(BANK)}
 _values = lambda rows: ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in rows)
@@ -185,6 +194,12 @@ SELECT scope, object_id, question, state, CASE WHEN state = 'answered' THEN roun
         CASE WHEN rate IS NULL THEN 'unknown' ELSE 'exact' END AS status, missed, after_gap, compacted, occupancy, reuse FROM ranged""",
         "made", "work", "f",
     ),
+    "run_differences": """WITH old AS (SELECT o_orderkey AS key, o_custkey AS c, CAST(CAST(round(o_totalprice, 2) AS DECIMAL(12,2)) AS VARCHAR) AS p FROM orders),
+new AS (SELECT CASE WHEN key % 19 = 0 THEN key + 1000000000 ELSE key END AS key, CASE WHEN key % 13 = 0 THEN 1 ELSE c END AS c, p FROM old WHERE key % 17 <> 0 UNION ALL SELECT key + 2000000000, c, '0' FROM old WHERE key % 23 = 0),
+met AS (SELECT coalesce(o.key, n.key) AS key, CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'removed' ELSE 'changed' END AS change, coalesce(n.c, o.c) AS c, coalesce(n.p, o.p) AS p FROM old o FULL JOIN new n ON o.key = n.key
+    WHERE o.key IS NULL OR n.key IS NULL OR o.c <> n.c OR o.p <> n.p),
+moved AS (SELECT max(key) FILTER (change = 'removed') AS was, max(key) FILTER (change = 'added') AS key FROM met WHERE change <> 'changed' GROUP BY c, p HAVING count(*) FILTER (change = 'removed') = 1 AND count(*) FILTER (change = 'added') = 1)
+SELECT key, 'moved' AS change, was FROM moved UNION ALL SELECT key, change, NULL FROM met WHERE key NOT IN (SELECT key FROM moved UNION ALL SELECT was FROM moved)""",
     "counterfactuals": sql(
         f"AND_WITH {_BURDENS} SELECT session_id, round(min(low), 8) AS low, round(max(high), 8) AS high, round((min(low) + max(high)) / 2, 8) AS amount, 'exact' AS status, count(*) AS n FROM ranged WHERE fires GROUP BY 1",
         "made", "work", "f",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import publish
+
 #: Severities from least to most.
 SEVERITIES = ("info", "low", "medium", "high")
 
@@ -32,13 +34,15 @@ def write_csv(table: DataFrame, path: str) -> None:
 
 
 def append_labels(labels: DataFrame, store: str) -> None:
-    """K7: appends labels to a store, and refuses those whose root is pinned to another split there."""
+    """K7: appends labels to a store, and refuses those whose root is pinned to another split there. Check and append
+    are one writer's at a time (publish.lease)."""
     spark = labels.sparkSession
-    held = spark.read.schema(labels.schema).json(store).select("root", F.col("split").alias("pinned")).distinct()
-    conflict = labels.join(held, "root").filter("split <> pinned").select("root").limit(1).collect()
-    if conflict:
-        raise ValueError(f"{conflict[0].root} is pinned to another split")
-    labels.write.mode("append").json(store)
+    with publish.lease(spark, store):
+        held = spark.read.schema(labels.schema).json(store).select("root", F.col("split").alias("pinned")).distinct()
+        conflict = labels.join(held, "root").filter("split <> pinned").select("root").limit(1).collect()
+        if conflict:
+            raise ValueError(f"{conflict[0].root} is pinned to another split")
+        labels.write.mode("append").json(store)
 
 
 def write_commands(commands: DataFrame, path: str, kind: str = "json") -> str:
