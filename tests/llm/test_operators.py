@@ -586,6 +586,43 @@ def test_link_trust_does_not_depend_on_how_links_are_dealt(spark):
     assert {(r[0], r[1]): r[2] for r in found[0] if r[2]} == {k: v for k, v in want.items() if v}
 
 
+def test_link_trust_at_several_distances(spark):
+    """Hosts one to four links away from a blocked one, beside a hub with more links than a small score has units of a
+    few digits, against the same walks over whole numbers in Python."""
+    page = lambda i, url, *to: (i, url, "".join(f'<a href="{t}">x</a>' for t in to))
+    chain = [f"far{k}.io" for k in range(5)]
+    rows = [page(1, "http://far0.net/"), page(2, f"http://{chain[1]}/", "http://far0.net/")]
+    rows += [page(2 + k, f"http://{chain[k]}/", f"http://{chain[k - 1]}/") for k in range(2, 5)]
+    rows += [page(50, "http://hub.io/", *(f"http://leaf{k}.io/" for k in range(300)), "http://far0.net/"), page(60, "http://x.example.net/en/", "http://far2.io/")]
+    rows += [page(100 + k, f"http://leaf{k}.io/") for k in range(300)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.host: r for r in link_trust.judge_urls(frame).collect()}
+    hosts = frame.select("page_id", link_trust.host_of(F.col("url")).alias("host"), "html")
+    links = [(r.src, r.dst, r.n) for r in link_trust.host_links(hosts).collect()]
+    names = [r.host for r in hosts.collect()]
+    scores = {}
+    for says, seeds in (("allow", ["x.example.net"]), ("block", ["far0.net"]), ("every", names)):
+        ways = [(a, b, n) if says == "allow" else (b, a, n) for a, b, n in links]
+        out, seed = Counter(), Counter({h: seeds.count(h) * (link_trust.UNITS // len(seeds)) for h in set(seeds)})
+        for a, _, n in ways:
+            out[a] += n
+        score = Counter(seed)
+        for _ in range(link_trust.STEPS):
+            step = Counter({h: v // 100 * 15 for h, v in seed.items()})
+            for a, b, n in ways:
+                step[b] += score[a] // 100 * 85 // out[a] * n
+            score = step
+        scores[says] = score
+    for host, r in got.items():
+        t, d, e = (scores[says][host] for says in ("allow", "block", "every"))
+        assert (r.trust, r.distrust, r.usual) == tuple(x // link_trust.SHOWN for x in (t, d, e))
+        assert r.rule or r.verdict == ("block" if d > t and d > e else "allow")
+    assert got["far1.io"].distrust > got["far2.io"].distrust > got["far3.io"].distrust > got["far4.io"].distrust > 0
+    # far2 is trusted, and so is what it links to; those that link to it are not.
+    assert {k: got[f"far{k}.io"].verdict for k in range(1, 5)} == {1: "allow", 2: "allow", 3: "block", 4: "block"}
+    assert got["leaf7.io"].verdict == "allow"
+
+
 def test_owners_of_hosts(spark):
     rows = spark.createDataFrame([(i, f"http://{h}/", None) for i, h in enumerate(["a.b.co.uk", "b.co.uk", "c.co.uk", "x.y.com", "z.com.br.io"])], "page_id long, url string, html string")
     pages = rows.select("page_id", link_trust.host_of(F.col("url")).alias("host"), "html")
