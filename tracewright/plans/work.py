@@ -59,7 +59,7 @@ def failure_leaf_cases(spark, d):
     failed = (F.col("kind") == "tool_result") & ~F.col("ok")
     said = F.element_at(F.array(*map(F.lit, CASES)), (at % len(CASES) + 1).cast("int"))
     rows = _facts(spark, d).withColumns({"text": F.when(failed, said).otherwise(F.col("text")), "size": F.when(failed, F.length(said) + F.when(at % 9 == 0, 5).otherwise(0)).otherwise(F.col("size"))})
-    rows = rows.withColumns({"c_command": F.when(failed & (at % 5 == 4), None).when(failed & (at % 7 == 3), "cd src; make lint").when(failed & (at % 7 == 5), "grep -rn foo src").otherwise(F.col("c_command")), "exit_code": F.when(failed & (at % 23 == 7), 143).otherwise(F.col("exit_code"))})
+    rows = rows.withColumns({"c_command": F.when(failed & (at % 5 == 4), None).when(failed & (at % len(CASES)).isin(20, 21), "grep -rn foo src").when(failed & (at % 7 == 3), "cd src; make lint").otherwise(F.col("c_command")), "exit_code": F.when(failed & (at % 23 == 7), 143).otherwise(F.col("exit_code"))})
     rows = cut_lineage(rows.filter(failed))
     value = lambda n: F.element_at(F.array(*map(F.lit, _VALUES)), ((F.col("session_id") * (n + 3) + F.floor(F.col("idx") / 4) * (n * n + 1) + 3 * n) % len(_VALUES) + 1).cast("int"))
     each = F.array(*(F.struct(F.lit(q).alias("feature"), value(n).alias("value")) for n, q in enumerate(ASKED)))
@@ -236,7 +236,7 @@ ORACLE_SQL = {
     ),
     "failure_leaf_cases": _work(
         f"""AND_WITH said AS (SELECT * REPLACE (([{", ".join(map(_q, CASES))}])[turn % {len(CASES)} + 1] AS text, length(([{", ".join(map(_q, CASES))}])[turn % {len(CASES)} + 1]) + CASE WHEN turn % 9 = 0 THEN 5 ELSE 0 END AS size,
-            CASE WHEN turn % 5 = 4 THEN NULL WHEN turn % 7 = 3 THEN 'cd src; make lint' WHEN turn % 7 = 5 THEN 'grep -rn foo src' ELSE c_command END AS c_command, CASE WHEN turn % 23 = 7 THEN 143 ELSE exit_code END AS exit_code) FROM (SELECT *, session_id * 31 + idx // 4 AS turn FROM f WHERE kind = 'tool_result' AND ok = false)),
+            CASE WHEN turn % 5 = 4 THEN NULL WHEN turn % {len(CASES)} IN (20, 21) THEN 'grep -rn foo src' WHEN turn % 7 = 3 THEN 'cd src; make lint' ELSE c_command END AS c_command, CASE WHEN turn % 23 = 7 THEN 143 ELSE exit_code END AS exit_code) FROM (SELECT *, session_id * 31 + idx // 4 AS turn FROM f WHERE kind = 'tool_result' AND ok = false)),
         failed AS (SELECT session_id, idx, c_command AS command, exit_code, {_SILENT} AS no_match, text, {_FAILING} AS failing, coalesce(exit_code = 1 AND {intent_sql("failing")} = 'inspect', false) AS inspects, {_SIGNALS}, {", ".join(
             f"({list(_VALUES)})[(session_id * {n + 3} + idx // 4 * {n * n + 1} + {3 * n}) % {len(_VALUES)} + 1] >= 0.7 AS y{n}, ({list(_VALUES)})[(session_id * {n + 3} + idx // 4 * {n * n + 1} + {3 * n}) % {len(_VALUES)} + 1] <= 0.3 AS n{n}" for n in range(len(ASKED)))} FROM said),
         leaves AS (SELECT session_id, idx, CASE WHEN y0 AND n1 AND missing_target THEN 'wrong_requested_identifier' WHEN y2 AND missing_target THEN 'expected_stop_precondition'
