@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import detectors, errors, handovers, metrics, rankings, tails
+from . import briefs, detectors, errors, handovers, metrics, rankings, tails
 from .facts import facts
 from .graph import cut_lineage
 
@@ -44,14 +44,15 @@ def _any_of(text: Column, parts: list[str]) -> Column:
 def analyze(
     events: DataFrame, knobs: dict[str, dict] | None = None, severities: dict[str, str] | None = None, enabled: set[str] | None = None, disabled: frozenset[str] = frozenset()
 ) -> dict[str, DataFrame]:
-    """Sessions, usage, findings, incidents and their distributions, model activity and delegations of decoded events.
+    """Sessions, usage, findings, incidents and their distributions, model activity and delegations of decoded events,
+    and the brief that sums them up.
 
     The events are written once (a checkpoint), so the rules do not decode the logs again each."""
     rows = cut_lineage(facts(enrich(events)))
     incidents = cut_lineage(tails.incidents(rows))
     acts = rows.filter("logical")
     usage = rows.filter("kind = 'usage'").groupBy("session_id").agg(*(F.sum(c).alias(c) for c in ("input", "output", "cache_read", "cache_write")))
-    return {
+    found = {
         "sessions": metrics.session_metrics(acts).join(usage, "session_id", "left"),
         "findings": detectors.run(rows, knobs, severities, known=True, enabled=enabled, disabled=disabled).unionByName(_observed(incidents)),
         "incidents": tails.retained(incidents),
@@ -61,6 +62,7 @@ def analyze(
         "activity": tails.model_activity(rows),
         "delegations": handovers.handovers(rows).withColumn("files", F.array_join("files", "\n")),
     }
+    return found | {"brief": briefs.lines(found["sessions"], cut_lineage(found["findings"]), found["themes"], found["priorities"])}
 
 
 def _observed(incidents: DataFrame) -> DataFrame:

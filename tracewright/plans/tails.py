@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewright.operators import briefs, detectors
 from tracewright.operators import rankings as r
 from tracewright.operators import tails as t
 from tracewright.operators.facts import facts
 from tracewright.operators.graph import cut_lineage
 from tracewright.sources.driver_tables import sql, work_events
 
+from .findings import KNOBS
+from .findings import ORACLE_SQL as _FOUND
+
 
 def _facts(spark, d):
     return cut_lineage(facts(work_events(spark, d)))
@@ -55,9 +59,18 @@ def priority_rank(spark, d):
     return r.priorities(t.observations(_incidents(spark, d), 0.02))
 
 
+def run_brief(spark, d):
+    """Findings of the rules and of the tails in one report."""
+    incidents = cut_lineage(_incidents(spark, d))
+    seen = t.observations(incidents, 0.02)
+    rows = cut_lineage(facts(work_events(spark, d)))
+    found = detectors.run(rows, KNOBS, known=True).select("detector", "severity", "session_id").unionByName(seen.select("detector", "severity", "session_id"))
+    return briefs.lines(rows.select("session_id").distinct(), cut_lineage(found), r.themes(incidents), r.priorities(seen))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (tail_incidents, tail_distributions, tail_retained, tail_observations, tail_coverage, round_activity, cache_rebuilds, theme_scores, priority_rank)
+    for f in (tail_incidents, tail_distributions, tail_retained, tail_observations, tail_coverage, round_activity, cache_rebuilds, theme_scores, priority_rank, run_brief)
 }
 
 _UPTO = "OVER (PARTITION BY session_id ORDER BY idx ROWS UNBOUNDED PRECEDING)"
@@ -166,3 +179,12 @@ ORACLE_SQL = {
         row_number() OVER (ORDER BY CASE WHEN sessions >= 20 THEN 0 WHEN sessions >= 5 THEN 1 ELSE 2 END, incidents DESC, detector) AS place FROM routed"""
     ),
 }
+_SEVERE = "list_position(['info', 'low', 'medium', 'high'], severity)"
+ORACLE_SQL["run_brief"] = f"""WITH th AS ({ORACLE_SQL["theme_scores"]}), pr AS ({ORACLE_SQL["priority_rank"]}), fu AS ({_FOUND["findings_union"]}),
+per AS (SELECT detector, severity, CAST(findings AS BIGINT) AS n, sessions FROM fu UNION ALL SELECT detector, severity, incidents, sessions FROM pr)
+SELECT 'overview' AS section, 1::BIGINT AS place, 'sessions' AS name, NULL::VARCHAR AS label, count(DISTINCT user_id) AS n, NULL::BIGINT AS sessions, NULL::DOUBLE AS score FROM events
+UNION ALL SELECT 'overview', 2, 'findings', NULL, CAST(coalesce(sum(n), 0) AS BIGINT), NULL, NULL FROM per UNION ALL SELECT 'overview', 3, 'signals', NULL, count(DISTINCT detector), NULL, NULL FROM per
+UNION ALL SELECT 'overview', 4, 'severity', arg_max(severity, {_SEVERE}), NULL, NULL, NULL FROM per
+UNION ALL SELECT 'finding', row_number() OVER (ORDER BY {_SEVERE} DESC, n DESC, detector), detector, severity, n, sessions, NULL FROM per
+UNION ALL SELECT 'theme', row_number() OVER (ORDER BY score DESC, kind), kind, of, n, sessions, score FROM th LEFT JOIN (SELECT DISTINCT detector AS of FROM per) ON of = 'TAIL_' || upper(kind)
+UNION ALL SELECT 'priority', place, detector, route, incidents, sessions, NULL FROM pr"""
