@@ -615,7 +615,7 @@ def test_link_trust_at_several_distances(spark):
         scores[says] = score
     for host, r in got.items():
         t, d, e = (scores[says][host] for says in ("allow", "block", "every"))
-        assert (r.trust, r.distrust, r.usual) == tuple(x // link_trust.SHOWN for x in (t, d, e))
+        assert (r.trust, r.distrust, r.usual) == (t, d, e)
         assert r.rule or r.verdict == ("block" if d > t and d > e else "allow")
     assert got["far1.io"].distrust > got["far2.io"].distrust > got["far3.io"].distrust > got["far4.io"].distrust > 0
     # far2 is trusted, and so is what it links to; those that link to it are not.

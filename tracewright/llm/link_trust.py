@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
 from math import ceil, log
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +11,9 @@ from .common import cut_lineage, table
 
 #: Rules (host suffix, path prefix, verdict); the longest that fits wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Percent of a score that walks on, percent of all scores that may be left to walk, units that all seeds of a walk share,
-#: and units of a score that is shown. With 10**28 units a page of 10**10 starts with 10**18, so a host passes on what it
-#: has however many links it has; the sums still fit 38 digits.
-DAMPING_PERCENT, LEFT_PERCENT, UNITS, SHOWN = 85, 1, 10**28, 10**13
-_WHOLE = "decimal(38,0)"
+#: Percent of a score that walks on, percent of all scores that may be left to walk, units that all seeds of a walk share:
+#: as many as sums of whole 64-bit numbers have room for, so that one of 10**10 pages starts with 10**8.
+DAMPING_PERCENT, LEFT_PERCENT, UNITS = 85, 1, 10**18
 #: After this many steps at most LEFT_PERCENT of all scores have not come to rest, whatever the links: 29.
 STEPS = ceil(log(LEFT_PERCENT / 100) / log(DAMPING_PERCENT / 100))
 #: Hosts with over 1 / HOT_SHARE of all pages, or of a walk's links, are hot: fewer than HOT_SHARE, so they are broadcast.
@@ -47,13 +44,6 @@ def rule_of(host: F.Column, path: F.Column, rules=RULES) -> tuple[F.Column, F.Co
     return rule, verdict
 
 
-def _div(score: F.Column, by: F.Column | int) -> F.Column:
-    """Whole division of scores, rounded down and exact at 38 digits."""
-    by = F.lit(by) if isinstance(by, int) else by
-    by = by.cast("decimal(20,0)")
-    return ((score - score % by) / by).cast(_WHOLE)
-
-
 def host_links(pages: DataFrame) -> DataFrame:
     """src, dst, n: links from hosts to other hosts in the pages' html, counted once a page, and for each page
     one link each way between its host and that host's site, which have one owner: its last two labels, or three where
@@ -79,8 +69,8 @@ def propagate(links: DataFrame, seeds: DataFrame, totals: dict[str, int], steps:
     meet their links by a broadcast of their scores instead, so no hub's links come together. Five steps make one plan,
     then a checkpoint.
     """
-    share = F.create_map(*(F.lit(x) if isinstance(x, str) else F.lit(x).cast(_WHOLE) for k, n in totals.items() for x in (k, Decimal(UNITS // n))))
-    seed = cut_lineage(seeds.select("says", "host", (F.col("n") * share[F.col("says")].cast(_WHOLE)).cast(_WHOLE).alias("seed")))
+    share = F.create_map(*(F.lit(x) for k, n in totals.items() for x in (k, UNITS // n)))
+    seed = cut_lineage(seeds.select("says", "host", (F.col("n") * share[F.col("says")]).alias("seed")))
     against = F.explode(F.array(F.lit("block"), F.lit("every"))).alias("says")
     ways = links.select(F.lit("allow").alias("says"), F.col("src").alias("host"), "dst", "n").unionByName(
         links.select(against, F.col("dst").alias("host"), F.col("src").alias("dst"), "n")
@@ -92,9 +82,8 @@ def propagate(links: DataFrame, seeds: DataFrame, totals: dict[str, int], steps:
     crowded = not hubs.isEmpty()
     common = ways.join(F.broadcast(hubs), ["says", "host"], "left_anti") if crowded else ways
     of_hubs = cut_lineage(ways.join(F.broadcast(hubs), ["says", "host"], "left_semi")) if crowded else None
-    walks = (_div(F.col("score"), 100) * DAMPING_PERCENT).cast(_WHOLE)
-    moved = (_div(walks, F.col("out")) * F.col("n")).cast(_WHOLE).alias("score")
-    kept = seed.select("says", "host", (_div(F.col("seed"), 100) * (100 - DAMPING_PERCENT)).cast(_WHOLE).alias("score"))
+    moved = F.expr(f"score div 100 * {DAMPING_PERCENT} div out * n").alias("score")
+    kept = seed.select("says", "host", F.expr(f"seed div 100 * {100 - DAMPING_PERCENT}").alias("score"))
     score = seed.select("says", "host", F.col("seed").alias("score"))
     for k in range(steps):
         step = common.join(score, ["says", "host"]).select("says", F.col("dst").alias("host"), moved).unionByName(kept)
@@ -114,7 +103,7 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     distrust walks from the blocked pages' hosts against them, since who links to the blocked is suspect. The same walk
     from all pages says what distrust is usual for a host: what sites and dead ends take away, they take from both. A
     host is blocked if its distrust exceeds both its trust and what is usual for it; others are allowed.
-    Rules win over that. The three scores are shown in units of SHOWN, the verdict is made of whole ones.
+    Rules win over that.
 
     Null urls or urls without :// have an empty host and path and are allowed. Null html has no links, and html of any
     length is read whole. Links are counted a pair of hosts before any step; no step lists more than the links. Repeated
@@ -137,7 +126,7 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
         seeds = hosts.filter("says is not null").unionByName(hosts.withColumn("says", F.lit("every"))).filter("host <> ''")
         scores = propagate(cut_lineage(host_links(rows)), seeds.groupBy("says", "host").agg(F.sum("n").alias("n")), totals | {"every": every})
     else:
-        scores = hosts.select("says", "host", F.col("n").cast(_WHOLE).alias("score")).limit(0)
+        scores = hosts.select("says", "host", F.col("n").alias("score")).limit(0)
     sums = hosts.groupBy("host").agg(F.sum("n").alias("n")).join(
         scores.groupBy("host").agg(*(F.sum(F.when(F.col("says") == v, F.col("score")).otherwise(0)).alias(c) for v, c in (("allow", "trust"), ("block", "distrust"), ("every", "usual")))),
         "host",
@@ -145,7 +134,7 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     )
     trust, distrust, usual = (F.coalesce(c, F.lit(0)) for c in ("trust", "distrust", "usual"))
     blocked = (distrust > trust) & (distrust > usual) & (F.col("host") != "")
-    verdicts = sums.select(F.col("host").alias("of"), "n", F.when(blocked, "block").otherwise("allow").alias("method"), *(_div(c.cast(_WHOLE), SHOWN).cast("long").alias(n) for c, n in ((trust, "trust"), (distrust, "distrust"), (usual, "usual"))))
+    verdicts = sums.select(F.col("host").alias("of"), "n", F.when(blocked, "block").otherwise("allow").alias("method"), trust.alias("trust"), distrust.alias("distrust"), usual.alias("usual"))
     verdicts = cut_lineage(verdicts)
     pages_of_all = verdicts.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(verdicts.filter(F.col("n") * HOT_SHARE > pages_of_all))
@@ -163,7 +152,7 @@ def _steps_sql() -> str:
     parts = ["score0 AS (SELECT says, host, seed AS score FROM seed)"]
     for k in range(STEPS):
         parts.append(
-            f"score{k + 1} AS MATERIALIZED (SELECT says, host, CAST(sum(score) AS HUGEINT) AS score FROM ("
+            f"score{k + 1} AS MATERIALIZED (SELECT says, host, CAST(sum(score) AS BIGINT) AS score FROM ("
             f"SELECT w.says, dst AS host, score // 100 * {DAMPING_PERCENT} // outgoing * n AS score FROM ways w "
             f"JOIN score{k} s ON w.says = s.says AND w.src = s.host"
             f" UNION ALL SELECT says, host, seed // 100 * {100 - DAMPING_PERCENT} FROM seed) GROUP BY says, host)"
@@ -200,11 +189,11 @@ WITH judged AS (
 ), seeds AS (
     SELECT says, host FROM ruled WHERE says IS NOT NULL UNION ALL SELECT 'every', host FROM ruled
 ), seed AS (
-    SELECT says, host, count(*) * (CAST('{UNITS}' AS HUGEINT) // CAST(sum(count(*)) OVER (PARTITION BY says) AS HUGEINT)) AS seed
+    SELECT says, host, count(*) * ({UNITS} // CAST(sum(count(*)) OVER (PARTITION BY says) AS BIGINT)) AS seed
     FROM seeds WHERE host <> '' GROUP BY says, host
 ),
 {_steps_sql()}
-SELECT page_id, r.host, path, rule, {", ".join(f"CAST(coalesce({a}.score, 0) // {SHOWN} AS BIGINT) AS {n}" for a, n in (("t", "trust"), ("d", "distrust"), ("e", "usual")))},
+SELECT page_id, r.host, path, rule, coalesce(t.score, 0) AS trust, coalesce(d.score, 0) AS distrust, coalesce(e.score, 0) AS usual,
     coalesce(r.says, CASE WHEN coalesce(d.score, 0) > greatest(coalesce(t.score, 0), coalesce(e.score, 0)) AND r.host <> ''
         THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled r LEFT JOIN score{STEPS} t ON r.host = t.host AND t.says = 'allow'
