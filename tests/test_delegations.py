@@ -45,13 +45,13 @@ def test_matching_alternates_through_a_chain(spark):
 
 def chain_and_bush(depth=50, wide=400):
     nodes = [f"n{k}" for k in range(depth)] + [f"w{k}" for k in range(wide)] + ["alone", "x", "y", "z"]
-    edges = [(f"n{k}", f"n{k + 1}") for k in range(depth - 1)] + [("n10", f"w{k}") if k < 300 else (f"w{k - 300}", f"w{k}") for k in range(wide)]
+    edges = [(f"n{k}", f"n{k + 1}") for k in range(depth - 1)] + [(f"n{min(10, depth - 1)}", f"w{k}") if k < 300 else (f"w{k - 300}", f"w{k}") for k in range(wide)]
     edges += [("x", "y"), ("y", "x"), ("y", "z"), ("gone", "alone"), ("n3", "n3")]
     return nodes, edges
 
 
 def test_levels_give_what_a_walk_gives(spark):
-    nodes, edges = chain_and_bush()
+    nodes, edges = chain_and_bush(12)
     frame = spark.createDataFrame([(n, k if k % 5 else None) for k, n in enumerate(nodes)], "node string, v long")
     links = spark.createDataFrame(edges, "parent string, child string")
     placed = levels.place(frame, links)
@@ -70,6 +70,13 @@ def test_levels_give_what_a_walk_gives(spark):
     assert sums == want
     seen = levels.subtree_values(placed, frame.select("node", (F.coalesce("v", F.lit(0)) % 7).alias("p")), "p").groupBy("node").agg(F.sort_array(F.collect_list("p")).alias("p"))
     assert {r.node: r.p for r in seen.collect()} == {n: sorted({(value[m] or 0) % 7 for m in below}) for n, below in under.items()}
+    assert levels.subtree_sums(levels.place(frame.limit(0), links.limit(0)), ["v"]).count() == 0
+
+
+def test_a_deep_chain_and_a_wide_tree_parents_first(spark):
+    nodes, edges = chain_and_bush(50)
+    up = {c: p for p, c in edges if p != c and p in nodes}
+    placed = levels.place(spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(edges, "parent string, child string"))
 
     def step(ready, given):
         if given is None:
@@ -81,9 +88,8 @@ def test_levels_give_what_a_walk_gives(spark):
     def path(n):
         return path(up[n]) + ">" + n if n in up else n
 
-    assert {r.node: r.path for r in done.collect()} == {n: path(n) for n in under}
+    assert {r.node: r.path for r in done.collect()} == {n: path(n) for n in nodes if n not in "xyz"}
     assert {r.node for r in left.collect()} == {"x", "y", "z"}
-    assert levels.subtree_sums(levels.place(frame.limit(0), links.limit(0)), ["v"]).count() == 0
 
 
 EVENT = "trace_id long, session_id string, ord long, idx long, kind string, tool string, call_id string, agent string, text string, ok boolean, raw_type string, status string, final boolean"

@@ -103,8 +103,12 @@ def test_digests_equal_a_plain_fold_and_never_pass_the_budget(spark):
     episodes = spark.createDataFrame([(1, *b) for b in bounds], "session_id long, episode long, first_idx long, last_idx long, trigger string")
     want = fold(known, bounds)
     seen = set()
-    for budget in (10_000, 700, 200, 110, 60, 20):
-        got = dg.digests(frame, episodes, budget).select("episode", "digest", F.length(F.to_json("digest")).alias("n")).collect()
+    budgets = (10_000, 700, 200, 110, 60, 20)
+    whole = dg.digests(frame, episodes, 10**6)
+    every = whole.select("episode", F.explode(F.array(*(F.struct(F.lit(b).alias("budget"), dg.shrink(F.col("digest"), b).alias("digest")) for b in budgets))).alias("s"))
+    every = every.select("episode", "s.*", F.length(F.to_json("s.digest")).alias("n")).collect()
+    for budget in budgets:
+        got = [r for r in every if r.budget == budget]
         assert len(got) == len(bounds)
         for r in got:
             expected = shrunk(want[r.episode], budget)

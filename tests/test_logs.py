@@ -131,9 +131,14 @@ def test_replayed_history_of_a_parent_is_dropped(spark, tmp_path):
 
 def trace(spark, rows):
     """Facts of one session; rows are (kind, given columns)."""
-    names = sorted({k for _, given in rows for k in given})
+    return traces(spark, {1: rows})
+
+
+def traces(spark, sessions):
+    """Facts of sessions, each a list as for trace()."""
+    names = sorted({k for rows in sessions.values() for _, given in rows for k in given})
     kinds = {"idx": "long", "ok": "boolean", "exit_code": "int", "size": "long", "input": "long", "output": "long", "cache_read": "long", "cache_write": "long", "ts": "timestamp", "lines": "long", "todos": "int", "todos_done": "int", "final": "boolean"}
-    frame = spark.createDataFrame([(1, i, k, *(given.get(n) for n in names)) for i, (k, given) in enumerate(rows)], "session_id long, idx long, kind string" + "".join(f", {n} {kinds.get(n, 'string')}" for n in names))
+    frame = spark.createDataFrame([(s, i, k, *(given.get(n) for n in names)) for s, rows in sessions.items() for i, (k, given) in enumerate(rows)], "session_id long, idx long, kind string" + "".join(f", {n} {kinds.get(n, 'string')}" for n in names))
     return facts(frame)
 
 

@@ -9,7 +9,7 @@ from tracewright.functions import text as tx
 from tracewright.operators import errors, failures, labels, waits, work
 from tracewright.sources import decoders, runs
 
-from .test_logs import call, result, trace, write
+from .test_logs import call, result, trace, traces, write
 
 
 def leaf_of(spark, text, answers=(), **given):
@@ -35,17 +35,20 @@ def test_failure_leaves(spark):
 
 
 def test_signals_that_need_more_than_a_word(spark):
-    rows = lambda text, exit_code, command, size=None: trace(spark, [call("a", "Bash", "execute", command=command), result("a", False, text=text, size=size or len(text), exit_code=exit_code, error="other")])
-    one = lambda *given: failures.records(rows(*given)).first()
-    assert one("storage.objects.get access denied", 1, "gcloud x").iam_permission_named and one("No such file or directory: 'jq'", 1, "jq x").executable_missing
-    assert not one("v1.2.permission", 1, "x").iam_permission_named and not one("see a.b for more", 1, "x").iam_permission_named
-    assert one("", 143, "make").timeout and not one("", 1, "make").timeout and one("x", 1, "make", 99).timeout is None
-    assert [one(*g).no_match for g in (("", 1, "grep a b"), ("Script completed", 1, "grep a b"), ("boom", 1, "grep a b"), ("", 2, "grep a b"), ("boom", 1, "cat a | sort"), ("", 1, "grep a b", 5), ("", 1, "make"))] == [
-        True, True, False, False, None, None, False,
+    told = [
+        # text, exit status, command, size, what holds
+        ("storage.objects.get access denied", 1, "gcloud x", None, {"iam_permission_named": True, "no_match": False}), ("No such file or directory: 'jq'", 1, "jq x", None, {"executable_missing": True}),
+        ("v1.2.permission", 1, "x", None, {"iam_permission_named": False}), ("see a.b for more", 1, "x", None, {"iam_permission_named": False}),
+        ("", 143, "make", None, {"timeout": True}), ("", 1, "make", None, {"timeout": False, "no_match": False}), ("x", 1, "make", 99, {"timeout": None, "no_match": None}),
+        ("", 1, "grep a b", None, {"no_match": True}), ("Script completed", 1, "grep a b", None, {"no_match": True}), ("boom", 1, "grep a b", None, {"no_match": False}), ("", 2, "grep a b", None, {"no_match": False}),
+        ("boom", 1, "cat a | sort", None, {"no_match": None}), ("", 1, "grep a b", 5, {"no_match": None}),
+        ("2 test failures", 1, "cd a && make lint; ls", None, {"failing_segment": "make lint"}), ("2 test failures", 1, "make lint; make test", None, {"failing_segment": None}),
     ]
-    assert one("2 test failures", 1, "cd a && make lint; ls").failing_segment == "make lint" and one("2 test failures", 1, "make lint; make test").failing_segment is None
-    check = [("intent.project_check", 0.9)]
-    assert leaf_of(spark, "the build broke", check, command="ls; make build").leaf == "compound_check_attributed"
+    rows = {k: [call("a", "Bash", "execute", command=c), result("a", False, text=t, size=size or len(t), exit_code=e, error="other")] for k, (t, e, c, size, _) in enumerate(told)}
+    got = {r.session_id: r for r in failures.records(traces(spark, rows)).collect()}
+    for k, (*_, want) in enumerate(told):
+        assert {n: got[k][n] for n in want} == want, told[k]
+    assert leaf_of(spark, "the build broke", [("intent.project_check", 0.9)], command="ls; make build").leaf == "compound_check_attributed"
 
 
 def test_how_a_session_ended(spark):
@@ -57,9 +60,9 @@ def test_how_a_session_ended(spark):
         "reverted": [*edit, *run("1", "git checkout a.py", True), *said("thanks")], "approved": [*run("1", "git restore a", True), *edit, *said("thanks")],
         "test_passed": [*run("1", "pytest", False), *run("2", "pytest", True)], "committed": [*run("1", "git commit -m x", True)], "no_signal": [*run("1", "git commit -m x", False), *run("2", "ls", True)],
     }
-    for reason, rows in cases.items():
-        got = errors.outcomes(trace(spark, rows), words, praise).first()
-        assert (got.reason, got.label) == (reason, {"no_signal": "unknown"}.get(reason, "negative" if reason in ("corrected", "test_failed", "reverted") else "positive"))
+    got = {r.session_id: (r.reason, r.label) for r in errors.outcomes(traces(spark, dict(enumerate(cases.values()))), words, praise).collect()}
+    label = lambda reason: {"no_signal": "unknown"}.get(reason, "negative" if reason in ("corrected", "test_failed", "reverted") else "positive")
+    assert got == {k: (reason, label(reason)) for k, reason in enumerate(cases)}
 
 
 def test_waits_between_responses(spark):
