@@ -66,8 +66,8 @@ def propagate(links: DataFrame, seeds: DataFrame, totals: dict[str, int], steps:
 
     A step is one shuffle: scores lie by host, as the links do, and what they pass on is added up on the map side
     before it is dealt by host again. Hosts with over 1 / hot_share of a walk's links, fewer than hot_share of them,
-    meet their links by a broadcast of their scores instead, so no hub's links come together. Three steps make one plan,
-    then a checkpoint, so that the driver holds small plans.
+    meet their links by a broadcast of their scores instead, so no hub's links come together. Five steps make one plan,
+    then a checkpoint.
     """
     share = F.create_map(*(F.lit(x) for k, n in totals.items() for x in (k, UNITS // n)))
     seed = cut_lineage(seeds.select("says", "host", (F.col("n") * share[F.col("says")]).alias("seed")))
@@ -91,7 +91,7 @@ def propagate(links: DataFrame, seeds: DataFrame, totals: dict[str, int], steps:
             high = score.join(F.broadcast(hubs), ["says", "host"], "left_semi")
             step = step.unionByName(of_hubs.join(F.broadcast(high), ["says", "host"]).select("says", F.col("dst").alias("host"), moved))
         score = step.groupBy("says", "host").agg(F.sum("score").alias("score"))
-        if k % 3 == 2 or k == steps - 1:
+        if k % 5 == 4 or k == steps - 1:
             score = cut_lineage(score)
     return score
 
