@@ -60,10 +60,10 @@ def priority_rank(spark, d):
 
 
 def run_brief(spark, d):
-    """Findings of the rules and of the tails in one report."""
-    incidents = cut_lineage(_incidents(spark, d))
+    """Findings of the rules and of the tails in one report. Both read the same facts, which are written once."""
+    rows = _facts(spark, d)
+    incidents = cut_lineage(t.incidents(rows))
     seen = t.observations(incidents, 0.02)
-    rows = cut_lineage(facts(work_events(spark, d)))
     found = detectors.run(rows, KNOBS, known=True).select("detector", "severity", "session_id").unionByName(seen.select("detector", "severity", "session_id"))
     return briefs.lines(rows.select("session_id").distinct(), cut_lineage(found), r.themes(incidents), r.priorities(seen))
 
