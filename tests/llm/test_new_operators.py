@@ -232,3 +232,14 @@ def test_merge_of_ends_and_large_groups(both_sides, monkeypatch):
     for k, t in enumerate(texts):
         assert len(aligned_by_pointers(t, both_sides)) == whole["n_groups"][k]
     assert alignment.align_block(codec, [None, ""])["groups"] == ["", ""]
+
+
+def test_a_block_is_small_beside_the_tokenizers():
+    """op13: blocks hold the texts in order, none left out, and but for a single long text about BLOCK_CHARS characters."""
+    from tracewright.llm.alignment import BLOCK_CHARS, blocks
+
+    texts = ["a" * (k % 900) if k % 7 else None for k in range(3000)] + ["b" * 700_000, "c", None, ""]
+    runs = list(blocks(texts))
+    assert [p for run in runs for p in range(*run)] == list(range(len(texts)))
+    assert all(sum(len(t or "") for t in texts[a:b][1:]) <= BLOCK_CHARS <= 1 << 18 for a, b in runs) and len(runs) > 4
+    assert list(blocks([])) == []

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHUNK_BYTES, cut_lineage, shared_folder, table
+from .common import cut_lineage, shared_folder, table
 
 #: A pair of ids is one number: the A id above SIDE_BITS bits, the B id below.
 SIDE_BITS = 32
@@ -24,6 +24,9 @@ LISTED_LINKS = 256
 #: A pair held by at least one in HOT_PAIRS of all (document, pair) rows is hot, so no more than HOT_PAIRS are.
 HOT_PAIRS = 65_536
 _BLOCK_BITS = 20
+#: Characters of the texts that are aligned at once. What the numbers of a block take is some 60 times that, and a worker
+#: keeps it while the executor goes on, so blocks are small beside the tokenizers.
+BLOCK_CHARS = 1 << 18
 
 
 class PairCodec:
@@ -121,6 +124,14 @@ def merge_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.n
     return a_met, b_met
 
 
+def blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """First and last place (behind it) of runs of texts of about BLOCK_CHARS characters, one text at least."""
+    number = np.cumsum([len(t or "") for t in texts]) // BLOCK_CHARS
+    for block in np.unique(number):
+        at = np.flatnonzero(number == block)
+        yield int(at[0]), int(at[-1]) + 1
+
+
 def align_block(codec: PairCodec, texts: list[str | None]) -> dict[str, list]:
     """n_a, n_b, n_groups, n_links, groups, pairs, times for each of the texts, worked out for all of them at once."""
     of_a, of_b = codec.encode([t or "" for t in texts])
@@ -199,11 +210,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
         codec = codec_of(a_definition, b_model)
         for frame in frames:
             texts = [t if isinstance(t, str) else None for t in frame["text"]]
-            blocks = np.cumsum([len(t or "") for t in texts]) // CHUNK_BYTES
-            for block in np.unique(blocks):
-                at = np.flatnonzero(blocks == block)
-                made = pd.DataFrame(align_block(codec, texts[at[0] : at[-1] + 1]))
-                made.insert(0, "id", frame["id"].iloc[at[0] : at[-1] + 1].to_numpy())
+            for first, end in blocks(texts):
+                made = pd.DataFrame(align_block(codec, texts[first:end]))
+                made.insert(0, "id", frame["id"].iloc[first:end].to_numpy())
                 yield made
 
     return rows.mapInPandas(run, T.StructType(fields))
