@@ -535,6 +535,39 @@ def test_pieces_of_repeated_rows_and_empty_tables(spark):
     assert sentencepiece_codec.encode_decode(frame.limit(0), path).count() == 0
 
 
+def test_pieces_of_a_batch_share_one_agenda(monkeypatch):
+    """op2: the segments of a batch are merged together, as the library does, however few of them are remembered."""
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        codec = sentencepiece_codec.MergeCodec(f.read())
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinsé日🙂.,\n", k=rng.randint(1, 70))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(60)] + [None, "", "x" * 500]
+    monkeypatch.setattr(sentencepiece_codec, "CACHE_ENTRIES", 300)
+    for some in (texts[:20], texts[20:], texts):
+        ids, begins = codec.encode_batch(some)
+        assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:], strict=False)] == [library.encode(t or "") for t in some]
+        assert codec.decode_batch(ids, begins) == [t or "" for t in some]
+        assert max(map(len, codec.known)) <= sentencepiece_codec.CACHED_LENGTH and len(codec.ends) == len(codec.known) + 1
+    assert codec.merge_all([])[0].size == 0
+
+
+def test_texts_are_sent_to_the_codec_once(spark):
+    """pipeline: a text column that stays in the rows is not copied beside itself on its way to Python."""
+    import public_tokenizers
+
+    frame = docs(spark, [(1, "same words here")])
+    found = sentencepiece_codec.encode_decode(frame, public_tokenizers.path("piece_bpe_32k.model"))
+    assert "__codec_text" not in found._jdf.queryExecution().analyzed().toString()
+    ids = found.first().ids
+    other = sentencepiece_codec.encode_decode(frame.withColumn("ids", F.col("text")), public_tokenizers.path("piece_bpe_32k.model"), "ids")
+    assert other.columns == [*frame.columns, "ids", "decoded"] and other.first().ids == ids
+
+
 def test_link_trust(spark):
     page = lambda i, url, *to: (i, url, "".join(f'<a href="{t}">x</a>' for t in to))
     rows = [

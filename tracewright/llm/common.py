@@ -41,15 +41,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Zero-copy slices of the batches that hold about CHUNK_BYTES of the string column each (one row at least)."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Zero-copy slices of the batches that hold about `size` bytes of the string column each (one row at least)."""
     for batch in batches:
         text = batch.column(batch.schema.get_field_index(column))
         ends = np.cumsum(text_lengths(text))
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            upto = max(at + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, side="right")))
+            upto = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(at, upto - at)
             at = upto
 
