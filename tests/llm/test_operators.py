@@ -315,6 +315,24 @@ def test_maximal_repeats_extend_and_cover(spark):
     assert substrings.maximal_repeats(docs(spark, [])).count() == 0
 
 
+def test_seeds_hold_little_beside_the_batch():
+    """pipeline: texts are hashed in small pieces, and rows are answered long before they take hundreds of MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(250)) for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], ["id", "body"])
+    tracemalloc.start()
+    try:
+        n_rows = sum(b.num_rows for b in substrings.tidy(substrings._seeds(13, 5))(iter([batch])))
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n_rows > 20_000
+    assert held < 60 << 20 and substrings.HELD_ROWS <= 1_000_000
+
+
 def test_lines_that_one_document_repeats(spark):
     line = "one two three four five six seven "
     rows = [(1, line * 50), (2, "x y " + line * 30 + "z"), (3, line * 3), (0, "a b c one two three"), (4, "w " * 200), (5, "v " + "w " * 300)]
@@ -474,6 +492,17 @@ def test_language_query_against_brute_force(spark, sf_dir):
         assert found.lang_pred == least and found.score == pytest.approx(1 - far[least] / (language_id.PROFILE_GRAMS * len(own)))
 
 
+def test_texts_are_sent_to_the_profiles_once(spark):
+    """pipeline: the text column that stays in the rows is the one that is read."""
+    rows = docs(spark, [(1, "a b c", "en", "web"), (2, None, None, None)])
+    known = language_id.learn_profiles(spark.createDataFrame([("the cat and the dog", "en")], "text string, lang string"))
+    found = language_id.predict_language(rows, known)
+    assert "__language_text" not in found._jdf.queryExecution().optimizedPlan().toString()
+    other = language_id.predict_language(rows.select("doc_id", F.col("text").alias("body")), known, "body")
+    assert sorted(map(tuple, found.select("doc_id", "lang_pred", "score").collect())) == sorted(map(tuple, other.select("doc_id", "lang_pred", "score").collect()))
+    assert {r.body for r in other.collect()} == {"a b c", None}
+
+
 def test_language_of_long_texts_and_empty_tables(spark):
     frame = docs(spark, [(1, "the cat and the dog " * 20_000, "en"), (2, "der hund und die katze " * 50, "de"), (2, "der hund und die katze " * 50, "de")])
     profiles = language_id.learn_profiles(frame)

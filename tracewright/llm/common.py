@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,18 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK_BYT
             at = upto
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, with what it freed given back to the system when it ends: Python workers are used again, and idle ones
+    stand beside those of the stage that runs, so each would keep the most that any task of it held."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        pa.system_memory_pool().release_unused()  # the C library's heap, where numpy's arrays and Python's objects are
+
+    return tidied
+
+
 def text_buffer(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array and the n + 1 offsets of its rows in them; null rows are empty."""
     if text.null_count:

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import pieces, table
+from .common import pieces, table, tidy
 
 #: Grams a profile holds, documents a language is learnt from at most (about), and the label of texts without letters.
 PROFILE_GRAMS, LEARNT_DOCUMENTS, UNDETERMINED = 300, 4000, "und"
@@ -70,7 +71,7 @@ def learn_profiles(
                     [pa.array([label] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], ["label", "gram", "n"]
                 )
 
-    grams = rows.filter(drawn).mapInArrow(run, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    grams = rows.filter(drawn).mapInArrow(tidy(run), "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("label").orderBy(F.col("n").desc(), "gram")
     top = grams.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= size).collect()
     out: dict[str, list[int]] = {}
@@ -112,16 +113,19 @@ def predict_language(docs: DataFrame, profiles: dict[str, list[int]], text_col:
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
-    rows = docs.select(*kept, F.col(text_col).cast("string").alias("__language_text"))
+    # A text column that goes through anyway is not sent twice.
+    own = text_col in kept and docs.schema[text_col].dataType == T.StringType()
+    rows = docs.select(*kept) if own else docs.select(*kept, F.col(text_col).cast("string").alias("__language_text"))
+    read = text_col if own else "__language_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Profiles(profiles, size)
-        for batch in pieces(batches, "__language_text"):
-            found = [known.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        for batch in pieces(batches, read):
+            found = [known.predict(t) for t in batch.column(batch.schema.get_field_index(read)).to_pylist()]
             added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *added], names=[*kept, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

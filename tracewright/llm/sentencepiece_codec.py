@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, table
+from .common import pieces, table, tidy
 
 SPACE = "▁"
 #: Segments up to this many characters are remembered, as many as CACHE_ENTRIES a worker.
 CACHED_LENGTH, CACHE_ENTRIES = 48, 150_000
 #: Texts are handled in pieces of about this many bytes.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 _PLACE_BITS = 40
 #: No rank of a pair: the two symbols do not merge.
 _APART = 1 << 62
@@ -252,7 +252,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text") -> D
             columns = [*batch.columns[: len(kept)], lists, pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ids", "decoded"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, pieces, table
+from .common import cut_lineage, pieces, table, tidy
 from .components import connected_components
 
 #: Buckets of candidates over this size are split by the ring of their free bits before pairs are listed; 16 or more.
@@ -63,7 +63,7 @@ def fingerprints(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], ["id", "fingerprint"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fingerprint long")
+    return rows.mapInArrow(tidy(run), "id long, fingerprint long")
 
 
 def _segments(fp: F.Column, m: int) -> list:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHUNK_BYTES, gram_hashes, mix, pieces, table, words
+from .common import gram_hashes, mix, pieces, table, tidy, words
 
 #: Words of the shortest repeat, and of the grams that anchors are chosen from.
 LENGTH, GRAM = 13, 5
@@ -23,7 +23,9 @@ GRAM_BITS = 48
 PLACE_BITS, MARK_BITS = 32, 31
 _START = (1 << PLACE_BITS) - 1
 #: Anchors or windows that a worker holds at once; repeats among them are found without a shuffle.
-HELD_ROWS = 4_000_000
+HELD_ROWS = 1_000_000
+#: Texts are hashed in pieces of about this many bytes; what numpy holds meanwhile is some sixty times that.
+PIECE_BYTES = 1 << 19
 _SEED = "known boolean, gram long, route long, doc long"
 _MATCH = "known boolean, n int, src long, src_place long, more array<long>, route long, doc long, place long"
 _RUN = "doc long, place long, n int, src long, src_place long"
@@ -32,13 +34,13 @@ _RUN = "doc long, place long, n int, src long, src_place long"
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, body, ...) with each text as a zstd frame, a third less to shuffle than what the shuffle makes of it."""
     packer = zstandard.ZstdCompressor(level=1)
-    for batch in pieces(batches, "body"):
+    for batch in pieces(batches, "body", PIECE_BYTES):
         frames = [None if t is None else packer.compress(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(frames, pa.binary()), *batch.columns[2:]], batch.schema.names)
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of _pack() with their texts, in pieces of about CHUNK_BYTES of text (one row at least)."""
+    """The rows of _pack() with their texts, in pieces of about PIECE_BYTES of text (one row at least)."""
     opener = zstandard.ZstdDecompressor()
     for batch in batches:
         texts, size, at = [], 0, 0
@@ -46,7 +48,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             frame = batch.column(1)[i].as_py()
             texts.append(None if frame is None else opener.decompress(frame))
             size += len(texts[-1] or b"")
-            if size >= CHUNK_BYTES or i == batch.num_rows - 1:
+            if size >= PIECE_BYTES or i == batch.num_rows - 1:
                 part = batch.slice(at, i + 1 - at)
                 body = pa.array(texts, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), body, *part.columns[2:]], batch.schema.names)
@@ -145,7 +147,7 @@ def _seeds(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held(answer)
-        for batch in pieces(batches, "body"):
+        for batch in pieces(batches, "body", PIECE_BYTES):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             hashes, _, first = words(batch.column(1))
             _, at, keys = anchor_places(hashes, first, length, gram)
@@ -297,13 +299,13 @@ def verified_runs(
     # The joins below take these same rows by id, all columns of them and with the filter that inner joins would add, so
     # the texts are shuffled once and the exchange is reused.
     alone = F.count("*").over(Window.partitionBy("id")) == 1
-    rows = marked.filter("id is not null").mapInArrow(_pack, as_packed).filter("id is not null").withColumn("mark", F.when(alone, 0).otherwise(F.col("mark")))
-    seeds = every.filter("id is not null").select("id", "body").mapInArrow(_seeds(length, gram), _SEED)
+    rows = marked.filter("id is not null").mapInArrow(tidy(_pack), as_packed).filter("id is not null").withColumn("mark", F.when(alone, 0).otherwise(F.col("mark")))
+    seeds = every.filter("id is not null").select("id", "body").mapInArrow(tidy(_seeds(length, gram)), _SEED)
     gram_rows = Window.partitionBy("known", "route")
     shared = F.col("known") | (F.count("doc").over(gram_rows) < F.count("*").over(gram_rows)) | (F.min("doc").over(gram_rows) < F.max("doc").over(gram_rows))
     seeds = seeds.withColumn("shared", shared).filter("shared and doc is not null")
     seeds = seeds.groupBy("doc").agg(F.collect_list(F.when(F.col("known"), F.col("gram")).otherwise(F.col("route"))).alias("seeds"))
-    found = rows.join(seeds, rows.id == seeds.doc).select("id", "body", "mark", "seeds", "rest").mapInArrow(_windows(length, gram), _MATCH)
+    found = rows.join(seeds, rows.id == seeds.doc).select("id", "body", "mark", "seeds", "rest").mapInArrow(tidy(_windows(length, gram)), _MATCH)
     earliest = Window.partitionBy("known", "route").orderBy("doc", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     linked = found.withColumns({"least": F.first("doc").over(earliest), "least_place": F.first("place").over(earliest)}).filter("known or doc > least")
     each = F.explode(F.when(F.col("more").isNull(), F.array("place")).otherwise(F.concat(F.array("place"), F.col("more")))).alias("place")
@@ -315,15 +317,15 @@ def verified_runs(
     shift, other = (start_of(src_place) - start_of(F.col("place"))).alias("shift"), mark_of(src_place).bitwiseXOR(mark_of(F.col("place"))).alias("other")
     both = F.shiftleft(F.col("n").cast("long"), PLACE_BITS).bitwiseOR(start_of(F.col("place")))
     matches = linked.groupBy("doc", mark_of(F.col("place")).alias("mark"), src.alias("src"), shift, other).agg(F.collect_list(both).alias("places"))
-    runs = matches.mapInArrow(_runs, _RUN)
+    runs = matches.mapInArrow(tidy(_runs), _RUN)
     asked = runs.groupBy("src").agg(F.collect_set(F.struct("src_place", "n")).alias("asked"))
-    digests = rows.join(asked, rows.id == asked.src).select("id", "body", "mark", "asked", "rest").mapInArrow(_digests(length), "src long, src_place long, n int, digest binary")
+    digests = rows.join(asked, rows.id == asked.src).select("id", "body", "mark", "asked", "rest").mapInArrow(tidy(_digests(length)), "src long, src_place long, n int, digest binary")
     # A run that many documents have is one key of this join, whose sides are both dealt for it alone, so that adaptive
     # execution splits it.
     told = runs.join(digests, ["src", "src_place", "n"]).groupBy("doc").agg(F.collect_list(F.struct("place", "n", "digest", "src", "src_place")).alias("runs"))
     whole = rows.join(told, rows.id == told.doc, "left").select("id", "body", "mark", "rest", "runs")
     none = F.lit(None).cast(whole.schema["runs"].dataType).alias("runs")
-    return whole.unionByName(marked.filter("id is null").mapInArrow(_pack, as_packed).select("id", "body", "mark", "rest", none))
+    return whole.unionByName(marked.filter("id is null").mapInArrow(tidy(_pack), as_packed).select("id", "body", "mark", "rest", none))
 
 
 def maximal_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,7 +338,7 @@ def maximal_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
             found = [(i, at, size, r["src"], r["src_place"] & _START) for i, words, mark, runs in rows for at, size, r in _verified(words, mark, runs, length)]
             yield from _emit(schema, *np.array(found, np.int64).reshape(-1, 5).T)
 
-    return verified_runs(docs.filter(F.col(id_col).isNotNull()), length, gram, id_col, text_col).mapInArrow(run, schema)
+    return verified_runs(docs.filter(F.col(id_col).isNotNull()), length, gram, id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def remove_repeats(
@@ -364,7 +366,7 @@ def remove_repeats(
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_removed", "kept_text", "rest"])
 
     found = verified_runs(docs, length, gram, id_col, text_col, keep)
-    return found.mapInArrow(run, f"id long, n_words long, n_removed long, kept_text string, rest {found.schema['rest'].dataType.simpleString()}")
+    return found.mapInArrow(tidy(run), f"id long, n_words long, n_removed long, kept_text string, rest {found.schema['rest'].dataType.simpleString()}")
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
