@@ -216,9 +216,18 @@ MEASURES = (
 )
 
 
-def incidents(rows: DataFrame) -> DataFrame:
-    """All measurements of facts()."""
-    return reduce(DataFrame.unionByName, (m(rows) for m in MEASURES))
+#: Those that window or group a session's rows, without joins.
+GATHERED = (
+    retry_attempts, failure_chain, poll_amplification, delegation_fanout, context_replay, cache_creation, inspection_rounds, status_probes, output_repetition,
+    verification_repetition, cache_rebuilds,
+)
+
+
+def incidents(rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    """All measurements of facts(). A checkpoint does not know any more how its rows were dealt; `tasks` is over how
+    many tasks its sessions are dealt again, as adaptive execution would put them together by their bytes."""
+    dealt = rows if tasks is None else rows.repartition(tasks, "session_id")
+    return reduce(DataFrame.unionByName, (m(dealt if m in GATHERED else rows) for m in MEASURES))
 
 
 def coverage(rows: DataFrame) -> DataFrame:

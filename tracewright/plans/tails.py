@@ -19,8 +19,13 @@ def _facts(spark, d):
     return cut_lineage(facts(work_events(spark, d)))
 
 
+def _measured(rows):
+    """The incidents of _facts(), gathered in as many tasks as those have."""
+    return t.incidents(rows, rows.rdd.getNumPartitions())
+
+
 def _incidents(spark, d):
-    return t.incidents(_facts(spark, d))
+    return _measured(_facts(spark, d))
 
 
 def tail_incidents(spark, d):
@@ -62,7 +67,7 @@ def priority_rank(spark, d):
 def run_brief(spark, d):
     """Findings of the rules and of the tails in one report. Both read the same facts, which are written once."""
     rows = _facts(spark, d)
-    incidents = cut_lineage(t.incidents(rows))
+    incidents = cut_lineage(_measured(rows))
     seen = t.observations(incidents, 0.02)
     found = detectors.run(rows, KNOBS, known=True).select("detector", "severity", "session_id").unionByName(seen.select("detector", "severity", "session_id"))
     return briefs.lines(rows.select("session_id").distinct(), cut_lineage(found), r.themes(incidents), r.priorities(seen))
