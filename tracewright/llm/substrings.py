@@ -24,7 +24,7 @@ PLACE_BITS, MARK_BITS = 32, 31
 _START = (1 << PLACE_BITS) - 1
 #: Anchors or windows that a worker holds at once; repeats among them are found without a shuffle.
 HELD_ROWS = 1_000_000
-#: Texts are hashed in pieces of about this many bytes; what numpy holds meanwhile is some sixty times that.
+#: Texts are hashed in pieces of about this many bytes; what numpy holds meanwhile is some fifty times that.
 PIECE_BYTES = 1 << 19
 _SEED = "known boolean, gram long, route long, doc long"
 _MATCH = "known boolean, n int, src long, src_place long, more array<long>, route long, doc long, place long"
