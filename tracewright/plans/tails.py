@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.operators import briefs, detectors
 from tracewright.operators import rankings as r
 from tracewright.operators import tails as t
 from tracewright.operators.facts import facts
-from tracewright.operators.graph import cut_lineage
+from tracewright.operators.graph import cut_lineage, kept
 from tracewright.sources.driver_tables import sql, work_events
 
 from .findings import KNOBS
@@ -64,13 +67,26 @@ def priority_rank(spark, d):
     return r.priorities(t.observations(_incidents(spark, d), 0.02))
 
 
+#: Fixed value: measures or rules that a task takes one after the other. Each holds its first pages of memory until the
+#: task ends.
+AT_ONCE = 4
+
+
+def _few(items):
+    return [items[i : i + AT_ONCE] for i in range(0, len(items), AT_ONCE)]
+
+
 def run_brief(spark, d):
-    """Findings of the rules and of the tails in one report. Both read the same facts, which are written once."""
-    rows = _facts(spark, d)
-    incidents = cut_lineage(_measured(rows))
-    seen = t.observations(incidents, 0.02)
-    found = detectors.run(rows, KNOBS, known=True).select("detector", "severity", "session_id").unionByName(seen.select("detector", "severity", "session_id"))
-    return briefs.lines(rows.select("session_id").distinct(), cut_lineage(found), r.themes(incidents), r.priorities(seen))
+    """Findings of the rules and of the tails in one report. Both read the same facts, which are made once and kept while
+    they are counted, in the tasks they were made in; only counts by kind and by detector leave those."""
+    apart = [x.id for x in detectors.REGISTRY.values() if x.stage == "table"]
+    shared = set(detectors.REGISTRY) - set(apart)
+    with kept(facts(work_events(spark, d))) as rows:
+        number = cut_lineage(rows.groupBy("session_id").agg(F.lit(1)).agg(F.count("*").alias("sessions")))
+        tails = reduce(DataFrame.unionByName, [cut_lineage(t.tallies(t.incidents(rows, measures=few), 0.02)) for few in _few(t.MEASURES)])
+        rules = reduce(DataFrame.unionByName, [cut_lineage(detectors.tallies(detectors.run(rows, KNOBS, known=True, enabled=few))) for few in (shared, *map(set, _few(apart)))])
+    seen = tails.filter("observed > 0").select("detector", "severity", F.col("observed").alias("n"), F.col("observed_sessions").alias("sessions"))
+    return briefs.of_counts(number, rules.unionByName(seen), r.scored(tails), r.routed(seen.withColumnRenamed("n", "incidents")))
 
 
 QUERIES = {
